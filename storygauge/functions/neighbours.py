@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from storygauge.functions.rounding import fixed
 from storygauge.functions.text import issue_keys_in, key_stem, one_line, strip
 from storygauge.schemas import NEIGHBOUR_ITEM, SUBTASK_ITEM
 
@@ -45,9 +46,11 @@ def neighbours_json(items: Column) -> Column:
 
 def neighbour_line(items: Column) -> Column:
     """``KEY (0.83), KEY (0.79)``"""
-    entry = lambda t: F.format_string(
-        "%s (%.2f)", F.coalesce(t["issue_key"], F.lit("None")), F.coalesce(t["similarity"], F.lit(0.0))
-    )
+
+    def entry(t: Column) -> Column:
+        key, similarity = F.coalesce(t["issue_key"], F.lit("None")), F.coalesce(t["similarity"], F.lit(0.0))
+        return F.format_string("%s (%s)", key, fixed(similarity, 2))
+
     return F.array_join(F.transform(items, entry), ", ")
 
 
@@ -57,8 +60,8 @@ def neighbour_examples(items: Column) -> Column:
     def entry(t: Column) -> Column:
         title = F.coalesce(F.nullif(t["title"], F.lit("")), F.lit("Untitled"))
         return F.format_string(
-            "- %s (%d SP, similarity %.2f): %s — %s",
-            t["issue_key"], t["story_points"], t["similarity"], title, one_line(t["description"]),
+            "- %s (%d SP, similarity %s): %s — %s",
+            t["issue_key"], t["story_points"], fixed(t["similarity"], 2), title, one_line(t["description"]),
         )
 
     return F.array_join(F.transform(items, entry), "\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -44,6 +44,6 @@ def two_sided_p(rho: float, n: float) -> float | None:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([two_sided_p(r, m) for r, m in zip(rho, n)], dtype="float64")

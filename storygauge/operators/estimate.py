@@ -11,6 +11,7 @@ from storygauge.functions.prompts import NO_RETRIEVAL_WARNING
 from storygauge.functions.replies import (
     flag_field, json_object, number_field, subtasks_of, text_field,
 )
+from storygauge.functions.rounding import round_exact
 from storygauge.functions.scale import is_on_scale, snap_to_scale
 from storygauge.functions.text import word_count
 from storygauge.schemas import COMPLEX_POINTS, NO_RETRIEVAL_CONFIDENCE_CAP, RESULTS
@@ -35,15 +36,11 @@ KEYWORD_REASONING = (
 SUBTASK_ARRAY = "array<struct<title string, story_points int, reasoning string>>"
 
 
-def two_decimals(value: Column) -> Column:
-    return F.round(value, 2)
-
-
 def neighbour_confidence(top_similarity: Column, spread: Column) -> Column:
     """0.3 to 0.9: higher for a close nearest neighbour, lower when the neighbours' points disagree."""
     closeness = F.least(top_similarity / F.lit(0.85), F.lit(1.0)) * 0.6
     penalty = F.least(spread / F.lit(13.0), F.lit(0.5))
-    return two_decimals(F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.lit(0.3) + closeness - penalty)))
+    return round_exact(F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.lit(0.3) + closeness - penalty)), 2)
 
 
 def neighbour_spread(neighbours: DataFrame) -> DataFrame:
@@ -121,7 +118,7 @@ def estimate_from_keywords(tickets: DataFrame) -> DataFrame:
         tickets.withColumn("_text", text)
         .withColumn("_words", word_count(F.col("_text")))
         .withColumn("story_points", snap_to_scale(F.greatest(F.lit(1), score)))
-        .withColumn("confidence", two_decimals(F.lit(0.55) + F.least(F.lit(0.25), F.col("_words") / 400)))
+        .withColumn("confidence", round_exact(F.lit(0.55) + F.least(F.lit(0.25), F.col("_words") / 400), 2))
         .withColumn("complex", points >= COMPLEX_POINTS)
         .withColumn("reasoning", F.format_string(KEYWORD_REASONING, F.col("_words"), points))
         .withColumn("subtasks", F.when(F.col("complex"), standard).otherwise(F.array().cast(SUBTASK_ARRAY)))
@@ -164,7 +161,7 @@ def merge_replies(replied: DataFrame, model: str) -> DataFrame:
             F.when(grounded, F.lit(f"rag+llm:{model}")).otherwise(F.lit(f"llm:{model}+no-retrieval")),
         )
         .withColumn("no_rag_fallback", ~grounded)
-        .withColumn("rag_raw_average", two_decimals(F.col("rag_raw_average")))
+        .withColumn("rag_raw_average", round_exact(F.col("rag_raw_average"), 2))
         .drop("_payload")
     )
 

@@ -26,7 +26,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from storygauge.functions.similarity import usable
+from storygauge.functions.rounding import round_exact
+from storygauge.functions.similarity import unit, usable
 from storygauge.schemas import DEFAULT_NEIGHBOURS, MAX_NEIGHBOURS
 
 BROADCAST_BYTES = 64 << 20  # query vectors that may be sent to every task
@@ -126,7 +127,7 @@ def _rank(found: DataFrame, key: str, k: int) -> DataFrame:
     return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .withColumn("similarity", F.round("raw_similarity", 4))
+        .withColumn("similarity", round_exact(F.col("raw_similarity"), 4))
         .drop("raw_similarity")
     )
 
@@ -251,8 +252,6 @@ class CellIndex:
         cls, corpus: DataFrame, cells: int, *, key: str = "issue_key", vector: str = "embedding",
         rows_per_cell: int = 256, seed: int = 42,
     ) -> "CellIndex":
-        from storygauge.functions.similarity import unit
-
         rows = searchable(corpus, vector)
         total = rows.count()
         share = min(1.0, cells * rows_per_cell / max(1, total))
