@@ -207,7 +207,9 @@ ORACLES["keyed_issues"] = f"WITH {ISSUES} SELECT ID, Issue_Key FROM issues WHERE
 VALID = f"({strip('title')} <> '' AND {strip('project')} <> '' AND {strip('description')} <> '')"
 ORACLES["checked_submissions"] = f"WITH subs AS ({view(views.SUBMISSIONS)}) SELECT doc_id, {VALID} AS valid FROM subs"
 ORACLES["fractional_issues"] = f"WITH {ISSUES} SELECT ID, Story_Point FROM issues WHERE Story_Point <> round_even(Story_Point, 0)"
-ORACLES["tickets_through_csv"] = ORACLES["clean_tickets"]
+# An empty CSV cell reads as NULL.
+ORACLES["tickets_through_csv"] = f"""WITH {CLEAN} SELECT issue_key, project, nullif(issue_type, '') AS issue_type, nullif(title, '') AS title,
+  nullif(description, '') AS description, actual_story_points FROM clean"""
 ORACLES["backlog_with_submissions"] = f"""WITH backlog AS ({view(views.BACKLOG)}), subs AS ({view(views.SUBMISSIONS)}),
 top AS (SELECT max(TRY_CAST(nullif(regexp_extract(issue_key, '^TKT-(\\d+)$', 1), '') AS BIGINT)) AS highest FROM backlog),
 numbered AS (SELECT *, highest + row_number() OVER (ORDER BY doc_id) AS number FROM subs, top WHERE {VALID})

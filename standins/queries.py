@@ -39,6 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """The table after a write and a read, as one run's results are scored by several reports."""
+    path = scratch(t.spark, name)
+    df.write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
 def tickets_of(t: Tables) -> DataFrame:
     return cleaning.to_tickets(tables.load_issues_for_export(t.issues(), t.projects(), include_zero=True))
 
@@ -654,7 +661,8 @@ def mean_reconciliation_gap(t):
 
 @query
 def ablation_report(t):
-    return rounded(evaluate.ablation_report(t.results_rag(), t.results_norag()))
+    rag, norag = written(t, t.results_rag(), "rag"), written(t, t.results_norag(), "norag")
+    return rounded(evaluate.ablation_report(rag, norag))
 
 
 # --- reviews ---------------------------------------------------------------------------------------

@@ -66,9 +66,10 @@ def first_closed_object(text: Column) -> Column:
     return F.when(closed > 0, F.substring(tail, F.lit(1), closed))
 
 
-def _object_or_null(text: Column) -> Column:
-    value = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+def _first_object(*texts: Column) -> Column:
+    """The first of the texts that parses as a JSON object, as VARIANT; NULL when none does."""
+    parsed = F.transform(F.array(*texts), lambda text: F.try_parse_json(text))
+    return F.get(F.filter(parsed, lambda value: F.schema_of_variant(value).startswith("OBJECT")), F.lit(0))
 
 
 def json_object(raw: Column) -> Column:
@@ -82,13 +83,8 @@ def json_object(raw: Column) -> Column:
     fenced = F.nullif(F.regexp_extract(reply, FENCED_OBJECT, 1), F.lit(""))
     widest = F.nullif(F.regexp_extract(reply, WIDEST_OBJECT, 0), F.lit(""))
     return F.coalesce(
-        _object_or_null(fenced),
-        _object_or_null(repair_json(fenced)),
-        _object_or_null(widest),
-        _object_or_null(repair_json(first_closed_object(reply))),
-        _object_or_null(repair_json(widest)),
-        _object_or_null(reply),
-        _object_or_null(repair_json(reply)),
+        _first_object(fenced, repair_json(fenced), widest),
+        _first_object(repair_json(first_closed_object(reply)), repair_json(widest), reply, repair_json(reply)),
     )
 
 
