@@ -7,7 +7,7 @@ import string
 from standins import views
 from storygauge.functions.prompts import NO_RETRIEVAL_WARNING
 from storygauge.functions.replies import POINT_CLAIM
-from storygauge.functions.text import ISSUE_KEY_PATTERN, WHITESPACE
+from storygauge.functions.text import ISSUE_KEY_PATTERN, WHITESPACE, WHITESPACE_CLASS
 from storygauge.operators.estimate import LARGE_WORDS, MEDIUM_WORDS, SMALL_WORDS, STANDARD_SUBTASKS
 from storygauge.schemas import HALLUCINATION_LABELS, RUBRIC_COLUMNS, SCALE
 
@@ -25,7 +25,7 @@ def strip(x: str) -> str:
 
 def unquote(x: str) -> str:
     t = strip(x)
-    runs = f"""CAST(length(regexp_extract({t}, '^["{WHITESPACE}]*')) AS BIGINT)"""
+    runs = f"""CAST(length(regexp_extract({t}, '^("|{WHITESPACE_CLASS})*')) AS BIGINT)"""
     peel = f"""CASE WHEN length(acc) >= 2 AND starts_with(acc, '"') AND ends_with(acc, '"')
                THEN trim(substr(acc, 2, length(acc) - 2), '{WHITESPACE}') ELSE acc END"""
     return f"list_reduce(list_prepend({t}, list_transform(range({runs}), lambda i: '')), lambda acc, x: {peel})"
@@ -53,7 +53,7 @@ def one_decimal(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"CASE WHEN {strip(x)} = '' THEN 0 ELSE CAST(len(regexp_split_to_array({strip(x)}, '[{WHITESPACE}]+')) AS INTEGER) END"
+    return f"CASE WHEN {strip(x)} = '' THEN 0 ELSE CAST(len(regexp_split_to_array({strip(x)}, '{WHITESPACE_CLASS}+')) AS INTEGER) END"
 
 
 def shown(x: str) -> str:

@@ -9,6 +9,7 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         "
     "       　"
 )
+WHITESPACE_CLASS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"  # the same code points as a pattern
 ISSUE_KEY_PATTERN = r"\b([A-Z][A-Z0-9]+-\d+)\b"
 # ------------------------------------------------------------------------------------------------
 
@@ -25,13 +26,13 @@ def is_blank(col: Column) -> Column:
 def word_count(col: Column) -> Column:
     """Number of whitespace-separated words."""
     text = strip(col)
-    return F.when(text == "", 0).otherwise(F.size(F.split(text, f"[{WHITESPACE}]+")))
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, f"{WHITESPACE_CLASS}+")))
 
 
 def unquote(col: Column) -> Column:
     """Remove surrounding double-quote pairs, however many, and the whitespace between them."""
     text = strip(col)
-    layers = F.length(F.regexp_extract(text, f'^["{WHITESPACE}]*', 0))
+    layers = F.length(F.regexp_extract(text, f'^(?:"|{WHITESPACE_CLASS})*', 0))
 
     def peel(value: Column, _: Column) -> Column:
         wrapped = (F.length(value) >= 2) & value.startswith('"') & value.endswith('"')

@@ -33,6 +33,7 @@ from storygauge.schemas import DEFAULT_NEIGHBOURS, MAX_NEIGHBOURS
 BROADCAST_BYTES = 64 << 20  # query vectors that may be sent to every task
 BLOCK_ROWS = 16_384  # rows of one block in the block join
 KEEP_DECIMALS = 12
+SLACK = 1e-11  # wide enough that rounding never drops a row that ties with the last one kept
 SLAB = 4 << 20  # similarities computed at a time
 
 
@@ -80,14 +81,18 @@ class _Best:
         step = max(1, SLAB // max(1, len(vectors)))
         q_parts, c_parts, s_parts = [], [], []
         for lo in range(0, len(self.queries), step):
-            sims = np.round(self.queries[lo:lo + step] @ vectors.T, KEEP_DECIMALS)
-            floor = self.floor[lo:lo + step]
-            if sims.shape[1] > self.k:
-                floor = np.maximum(floor, -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1])
-            q, c = np.nonzero(sims >= floor[:, None])
+            sims = self.queries[lo:lo + step] @ vectors.T
+            floor = self.floor[lo:lo + step] - SLACK
+            better = sims >= floor[:, None]
+            crowded = np.nonzero(better.sum(axis=1) > 4 * self.k)[0]
+            if len(crowded):
+                place = sims.shape[1] - self.k
+                kth = np.partition(sims[crowded], place, axis=1)[:, place]
+                better[crowded] &= sims[crowded] >= (kth - SLACK)[:, None]
+            q, c = np.nonzero(better)
             q_parts.append(q + lo)
             c_parts.append(c)
-            s_parts.append(sims[q, c])
+            s_parts.append(np.round(sims[q, c], KEEP_DECIMALS))
         chosen = pa.array(np.concatenate(c_parts))
         found = pa.table(
             [pa.array(np.concatenate(q_parts)), keys.take(chosen), pa.array(np.concatenate(s_parts))]
