@@ -412,6 +412,25 @@ ORACLES["estimate_run_without_retrieval"] = f"""WITH {SCRIPTED} SELECT issue_key
 ORACLES["estimate_run_outcome"] = f"""WITH {SCRIPTED} SELECT count(*) AS n, CAST(count_if(NOT failed) AS BIGINT) AS written,
   CAST(count_if(failed) AS BIGINT) AS failed FROM scripted"""
 ORACLES["failed_estimates"] = f"WITH {SCRIPTED} SELECT issue_key, 'no usable reply in 3 attempts' AS error FROM scripted WHERE failed"
+BLOCK = PROMPT.replace(" || chr(10) || chr(10) || 'Estimate this ticket in JSON.'", "")
+assert BLOCK != PROMPT
+EXAMPLE = """'- ' || issue_key || ' (' || story_points || ' SP, similarity ' || printf('%.2f', similarity) || '): ' ||
+  coalesce(nullif(title, ''), 'Untitled') || ' — ' || CASE WHEN length(flat) <= 300 THEN flat ELSE substr(flat, 1, 297) || '...' END"""
+ORACLES["estimate_run_with_retrieval"] = f"""WITH {TICKETS}, sample AS (SELECT * FROM tickets
+  QUALIFY row_number() OVER (PARTITION BY actual_story_points ORDER BY {hashed(42, 'issue_key')}) <= 10),
+q AS (SELECT issue_key AS query_key, {letters(strip('description'))} AS query_vector FROM sample WHERE {strip('description')} <> ''),
+c AS (SELECT issue_key, actual_story_points AS story_points, {letters(strip('description'))} AS embedding FROM tickets),
+found AS ({nearest("(SELECT * FROM q WHERE list_sum(query_vector) > 0)", "(SELECT * FROM c WHERE list_sum(embedding) > 0)", 5)}),
+est AS ({estimated('found', 'found')}),
+texts AS (SELECT issue_key, {strip('title')} AS title, {strip("replace(" + strip('description') + ", chr(10), ' ')")} AS flat FROM tickets),
+examples AS (SELECT query_key, string_agg({EXAMPLE}, chr(10) ORDER BY rank) AS block FROM found JOIN texts USING (issue_key) GROUP BY query_key),
+asked AS (SELECT s.issue_key, s.actual_story_points, e.*, length(CASE WHEN e.query_key IS NULL THEN {PROMPT} ELSE
+  'Fixed story points: ' || rag_story_points || chr(10) || '(weighted average ' || printf('%.1f', rag_raw_average) || ' of ' || n_neighbours ||
+  ' similar tickets)' || chr(10) || chr(10) || 'Similar past tickets:' || chr(10) || x.block || chr(10) || chr(10) || '---' || chr(10) || {BLOCK} ||
+  chr(10) || chr(10) || 'Explain the estimate in JSON.' END) AS size
+  FROM sample s LEFT JOIN est e ON e.query_key = s.issue_key LEFT JOIN examples x ON x.query_key = s.issue_key)
+SELECT issue_key, actual_story_points, rag_story_points, round({exact('rag_raw_average', 2)}, 1) AS rag_raw_average, rag_confidence,
+  query_key IS NULL AS no_rag_fallback, CAST(coalesce(n_neighbours, 0) AS INTEGER) AS n_neighbours FROM asked WHERE size % 7 <> 0"""
 SUBTASK_VALUES = ", ".join(f"('{t}', {p}, '{r}')" for t, p, r in STANDARD_SUBTASKS)
 SUBTASKS = f"""{NORAG}, subtasks AS (SELECT n.issue_key, n.title AS ticket_title, n.description, s.title AS subtask_title, s.reasoning AS subtask_reasoning
   FROM norag n, (VALUES {SUBTASK_VALUES}) s(title, points, reasoning) WHERE n.complex_flag)"""
