@@ -469,7 +469,7 @@ def odd_neighbour_json(t):
 
 @query
 def neighbour_examples(t):
-    found = nn.with_ticket_text(t.neighbours(), t.vectors())
+    found = nn.nearest(t.queries(), t.vectors(), 10, fetch=("title", "description"))
     lists = nn.as_lists(found, evaluate.NEIGHBOUR_COLUMNS)
     return lists.select("query_key", F.md5(fn.neighbour_examples(F.col("similar_tickets"))).alias("block"))
 

@@ -140,35 +140,39 @@ def _rank(found: DataFrame, key: str, k: int) -> DataFrame:
 def nearest(
     queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_NEIGHBOURS, *, query_key: str = "query_key",
     query_vector: str = "query_vector", key: str = "issue_key", vector: str = "embedding",
-    payload: Sequence[str] = ("story_points",), broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    payload: Sequence[str] = ("story_points",), fetch: Sequence[str] = (), dimension: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows of every query: query_key, key, payload, rank, similarity (4 decimals).
 
-    Keys are unique on each side, as in the vector table. Fetch wide columns for the few rows found with
-    ``with_ticket_text`` instead of putting them in ``payload``.
+    Keys are unique on each side, as in the vector table. ``payload`` columns travel with the vectors; wide ones
+    belong in ``fetch``, which looks them up for the rows found, without reading a vector again. Give ``dimension``
+    where the query vectors are costly to make: otherwise one of them is fetched to learn it.
     """
     k = clamp_k(k)
     q = searchable(queries, query_vector).select(F.col(query_key).alias("query_key"), F.col(query_vector).alias("query_vector"))
     c = searchable(corpus, vector).select(key, F.col(vector).alias("_vector"), *payload)
     fields = _output(q, c, "query_key", key, payload)
-    bounded = _bounded_table(q, broadcast_bytes)
+    bounded = _bounded_table(q, broadcast_bytes, dimension)
     if bounded is not None:
-        found = _scan_against(bounded, c, k, key, payload, fields)
-    else:
-        found = _block_join(
-            q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, key, payload, fields, block_rows
-        )
-    return _rank(found, key, k)
+        found = _rank(_scan_against(bounded, c, k, key, payload, fields), key, k)
+        # at most k rows per query, and the queries were within the bound: the wide table is not shuffled
+        return with_columns_of(F.broadcast(found), corpus, key, fetch) if fetch else found
+    cells = q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0))
+    found = _rank(_block_join(*cells, k, key, payload, fields, block_rows), key, k)
+    return with_columns_of(found, corpus, key, fetch) if fetch else found
 
 
-def _bounded_table(queries: DataFrame, limit_bytes: int) -> pa.Table | None:
+def _bounded_table(queries: DataFrame, limit_bytes: int, dimension: int | None) -> pa.Table | None:
     """The query vectors if they fit ``limit_bytes`` in double precision, else None."""
-    head = queries.limit(1).toArrow()
-    if head.num_rows == 0:
-        return head
-    width = max(1, len(head["query_vector"][0].as_py()))
-    rows = max(1, limit_bytes // (8 * width))
+    if dimension is None:
+        head = queries.limit(1).toArrow()
+        if head.num_rows == 0:
+            return head
+        dimension = len(head["query_vector"][0].as_py())
+    rows = limit_bytes // (8 * max(1, dimension))
+    if rows == 0:
+        return None
     table = queries.limit(rows + 1).toArrow()
     return table if table.num_rows <= rows else None
 
@@ -316,11 +320,9 @@ def recall(found: DataFrame, exact: DataFrame, key: str = "issue_key") -> DataFr
     )
 
 
-def with_ticket_text(
-    neighbours: DataFrame, corpus: DataFrame, key: str = "issue_key", columns: Sequence[str] = ("title", "description")
-) -> DataFrame:
-    """Neighbours with text columns of the corpus. No vector is read for it."""
-    return neighbours.join(corpus.select(key, *columns), key, "left")
+def with_columns_of(neighbours: DataFrame, corpus: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Neighbours with further columns of the corpus rows they name."""
+    return corpus.select(key, *columns).join(neighbours, key)
 
 
 def as_lists(neighbours: DataFrame, columns: Sequence[str] = ("issue_key", "story_points", "similarity")) -> DataFrame:
