@@ -1,0 +1,163 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from storygauge.operators import cleaning, ingest
+from storygauge.operators.encode import CallableEncoder, TfIdfEncoder
+from storygauge.plans import ingest as job, lookup
+from storygauge.schemas import BACKLOG, TICKETS, VECTORS
+from storygauge.sources.vectors import read_vectors, write_vectors
+
+
+def lengths_encoder(model="len-2", dimension=2):
+    return CallableEncoder(model, dimension, lambda: (lambda texts: [[float(len(t)), 1.0] for t in texts]), batch_size=2)
+
+
+def tickets(spark, rows):
+    return spark.createDataFrame([(k, "P", "Bug", t, d, p) for k, t, d, p in rows], TICKETS)
+
+
+ROWS = [("A-1", "one", "first", 3), ("A-2", "", " second ", 5), (" ", "blank", "x", 1), (None, "null", "x", 1), ("A-3", None, "", 8)]
+
+
+def test_second_run_writes_nothing(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert job.ingest(tickets(spark, ROWS), store, lengths_encoder()) == 3
+    assert job.ingest(tickets(spark, ROWS), store, lengths_encoder()) == 0
+    more = ROWS + [("A-4", "t", "fourth", 2)]
+    assert job.ingest(tickets(spark, more), store, lengths_encoder()) == 1
+    got = {r.issue_key: r for r in read_vectors(spark, store).collect()}
+    assert set(got) == {"A-1", "A-2", "A-3", "A-4"}
+    assert (got["A-2"].title, got["A-2"].description, got["A-2"].story_points) == (None, "second", 5)
+    assert got["A-1"].embedding == [5.0, 1.0] and got["A-1"].embedding_model == "len-2" and got["A-1"].created_at
+
+
+def test_models_are_kept_side_by_side(spark, tmp_path):
+    store = str(tmp_path / "store")
+    job.ingest(tickets(spark, ROWS), store, lengths_encoder())
+    assert job.ingest(tickets(spark, ROWS), store, lengths_encoder("other")) == 3
+    assert read_vectors(spark, store).count() == 6 and read_vectors(spark, store, "other").count() == 3
+
+
+def test_force_replaces_and_one_model_drops_the_other(spark, tmp_path):
+    store, merged, single = (str(tmp_path / n) for n in ("store", "merged", "single"))
+    job.ingest(tickets(spark, ROWS), store, lengths_encoder())
+    changed = tickets(spark, [("A-1", "one", "first changed", 13)])
+    with pytest.raises(ValueError, match="out="):
+        job.ingest(changed, store, lengths_encoder(), force=True)
+    assert job.ingest(changed, store, lengths_encoder(), force=True, out=merged) == 1
+    got = {r.issue_key: r for r in read_vectors(spark, merged).collect()}
+    assert len(got) == 3 and (got["A-1"].story_points, got["A-1"].embedding[0]) == (13, 13.0)
+    assert job.ingest(changed, merged, lengths_encoder("other"), one_model=True, out=single) == 1
+    got = {r.issue_key: r.embedding_model for r in read_vectors(spark, single).collect()}
+    assert got == {"A-1": "other", "A-2": "len-2", "A-3": "len-2"}
+
+
+def test_limit_and_title(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert job.ingest(tickets(spark, ROWS[:2]), store, lengths_encoder(), limit=1, include_title=True) == 1
+    assert read_vectors(spark, store).head().embedding[0] == len("one\n\nfirst")
+
+
+def test_model_filter_prunes_directories(spark, tmp_path):
+    store = str(tmp_path / "store")
+    for m in ("a", "b"):
+        job.ingest(tickets(spark, ROWS), store, lengths_encoder(m))
+    plan = read_vectors(spark, store, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(embedding_model" in plan
+
+
+def test_last_row_of_a_hot_key_wins(spark):
+    rows = [("hot", i, f"t{i}") for i in range(500)] + [(f"k{i}", 0, "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "issue_key string, seq int, title string").repartition(6)
+    got = {r.issue_key: r.title for r in ingest.last_per_key(df, ["issue_key"], F.col("seq")).collect()}
+    assert len(got) == 1001 and got["hot"] == "t499"
+
+
+def test_upsert(spark):
+    old = datetime.datetime(2020, 1, 1)
+    stored = spark.createDataFrame([
+        ("a", "t", "d", 1, [1.0], "m", old), ("b", "t", "d", 2, [1.0], "m", old), ("a", "t", "d", 3, [1.0], "n", old),
+    ], VECTORS)
+    fresh = spark.createDataFrame([("a", "t2", "d2", 8, [2.0], "m", old), ("c", "t", "d", 5, [1.0], "m", old)], VECTORS)
+    got = {(r.issue_key, r.embedding_model): r for r in ingest.upsert_vectors(stored, fresh).collect()}
+    assert len(got) == 4 and got["a", "m"].story_points == 8 and got["a", "n"].story_points == 3
+    assert got["a", "m"].created_at > old and got["b", "m"].created_at == old
+    got = {(r.issue_key, r.embedding_model) for r in ingest.upsert_vectors(stored, fresh, one_model=True).collect()}
+    assert got == {("a", "m"), ("b", "m"), ("c", "m")}
+
+
+def test_vectors_round_trip(spark, tmp_path):
+    rows = [("a", None, "d\n\"x\"", 1, [0.25, -1.0], "m", datetime.datetime(2020, 1, 1)), ("b", "t", "d", 2, None, "m", None)]
+    write_vectors(spark.createDataFrame(rows, VECTORS), str(tmp_path / "v"))
+    got = sorted(tuple(r) for r in read_vectors(spark, str(tmp_path / "v")).collect())
+    assert got == rows
+    assert read_vectors(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_encoder_checks_its_output(spark):
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    assert [r.embedding for r in lengths_encoder().transform(df, "t").collect()] == [[1.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(Exception, match="expected 3 numbers"):
+        lengths_encoder(dimension=3).transform(df, "t").collect()
+    with pytest.raises(ValueError, match="positive"):
+        lengths_encoder(dimension=0)
+    assert lengths_encoder().transform(df.filter("false"), "t").collect() == []
+
+
+def test_tfidf_vectors_are_unit_length(spark):
+    df = spark.createDataFrame([("fix the login page",), ("rewrite the build",), ("login login",), ("",), (None,)], "t string")
+    encoder = TfIdfEncoder.fit(df, "t", 384)
+    got = [r.embedding for r in encoder.transform(df, "t").collect()]
+    assert [len(v) for v in got] == [384] * 5
+    assert [round(sum(x * x for x in v), 4) for v in got] == [1.0, 1.0, 1.0, 0.0, 0.0]
+
+
+def test_lookup(spark, tmp_path):
+    corpus = tickets(spark, [("A-1", "t", "fix the login page", 3), ("A-2", "t", "rewrite the build scripts", 8), ("A-3", None, "tune login form", 2)])
+    encoder = TfIdfEncoder.fit(corpus, "description", 256)
+    store = str(tmp_path / "store")
+    job.ingest(corpus, store, encoder)
+    queries = spark.createDataFrame([("q1", "login page broken"), ("q2", "  "), ("q3", None), ("q4", "...")], "query_key string, description string")
+    got = {r.query_key: r.answer for r in lookup.lookup_json(queries, read_vectors(spark, store), encoder, 2).collect()}
+    assert got["q1"].startswith('[{"issue_key":"A-1","title":"t","description":"fix the login page","story_points":3,"similarity":0.')
+    assert got["q2"] == got["q3"] == '{"error":"description must not be empty"}'
+    assert got["q4"] == "[]"
+
+
+def test_append_tickets_numbers_on(spark):
+    backlog = spark.createDataFrame([(k, "P", "Bug", "t", "d") for k in ("TKT-001", "TKT-010", "TKT-998", "OTHER-5000", "TKT-x", "xTKT-9999")], BACKLOG)
+    rows = [(i, " P ", "Task", f" title {i}", "d\n") for i in range(300)]
+    new = spark.createDataFrame(rows, "seq int, project string, issue_type string, title string, description string").repartition(7)
+    got = {r.issue_key: r for r in ingest.append_tickets(backlog, new, [F.col("seq")]).collect()}
+    assert len(got) == 306
+    assert got["TKT-999"].title == "title 0" and got["TKT-1000"].title == "title 1" and got["TKT-1298"].title == "title 299"
+    assert (got["TKT-999"].project, got["TKT-999"].description) == ("P", "d")
+    empty = backlog.filter("false")
+    assert "TKT-001" in {r.issue_key for r in ingest.append_tickets(empty, new, [F.col("seq")]).collect()}
+
+
+def test_numbers_have_no_gaps_with_copies(spark):
+    df = spark.createDataFrame([("same",)] * 400 + [(f"r{i}",) for i in range(800)], "t string").repartition(6)
+    numbers = [r.number for r in ingest.number_rows(df, [F.col("t")]).collect()]
+    assert sorted(numbers) == list(range(1, 1201))
+
+
+def test_submissions(spark):
+    rows = [("t", "p", "d"), (" ", "p", "d"), ("t", None, "d"), ("t", "p", "\n")]
+    df = spark.createDataFrame(rows, "title string, project string, description string")
+    accepted, rejected = cleaning.split_submissions(df)
+    assert (accepted.count(), rejected.count()) == (1, 3)
+
+
+def test_stream_ingest(spark, tmp_path):
+    from storygauge.streaming.ingest import stream_ingest
+
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    tickets(spark, ROWS).write.parquet(source)
+    for expected in (3, 4):
+        stream = spark.readStream.schema(TICKETS).parquet(source)
+        stream_ingest(stream, store, lengths_encoder(), str(tmp_path / "cp")).awaitTermination()
+        assert read_vectors(spark, store).count() == expected
+        tickets(spark, [("A-1", "one", "first", 3), ("A-9", "n", "new", 1)]).write.mode("append").parquet(source)

@@ -1,0 +1,113 @@
+import hashlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from storygauge.operators import cleaning, sampling
+from storygauge.schemas import ISSUES
+
+
+def issue_frame(spark, points):
+    rows = [(i, f"K-{i}", 1, "Bug", f"t{i}", None, f"d{i}", None, p) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, ISSUES).withColumn("Project_Name", F.lit("P"))
+
+
+POINTS = [float(p) for p in [1] * 200 + [2] * 60 + [3] * 25 + [8] * 10 + [21] * 3 + [0] * 40]
+
+
+def expected_keys(rows, quota):
+    """First rows per class by the MD5 of key and seed."""
+    by_class = {}
+    for key, cls in rows:
+        by_class.setdefault(cls, []).append((hashlib.md5(f"{key}|42".encode()).hexdigest(), key))
+    return {key for cls, items in by_class.items() for _, key in sorted(items)[:quota(cls, len(items))]}
+
+
+def test_balanced_sample_counts(spark):
+    issues = issue_frame(spark, POINTS)
+    got = sampling.balanced_sample(issues, 0.2)
+    # 298 labelled rows, target 60, five classes, twelve each
+    assert Counter(r.actual_story_points for r in got.collect()) == {1: 12, 2: 12, 3: 12, 8: 10, 21: 3}
+
+
+def test_balanced_sample_with_zero(spark):
+    got = sampling.balanced_sample(issue_frame(spark, POINTS), 0.2, include_zero=True)
+    assert Counter(r.actual_story_points for r in got.collect()) == {0: 11, 1: 11, 2: 11, 3: 11, 8: 10, 21: 3}
+
+
+def test_sample_takes_the_first_hashes_and_repeats(spark):
+    issues = issue_frame(spark, POINTS)
+    keys = {r.issue_key for r in sampling.balanced_sample(issues, 0.2).collect()}
+    rows = [(i, p) for i, p in enumerate(POINTS) if p > 0]
+    assert keys == {f"K-{i}" for i in expected_keys(rows, lambda c, n: min(12, n))}
+    again = {r.issue_key for r in sampling.balanced_sample(issues.repartition(7), 0.2).collect()}
+    assert keys == again
+    other = {r.issue_key for r in sampling.balanced_sample(issues, 0.2, seed=7).collect()}
+    assert keys != other
+
+
+def test_target_rounds_half_to_even(spark):
+    # 25 rows at a tenth: 2.5 rounds to 2, one row for each of two classes
+    got = sampling.balanced_sample(issue_frame(spark, [1.0] * 13 + [2.0] * 12), 0.1)
+    assert got.count() == 2
+
+
+def test_copies_of_one_key_are_cut_exactly(spark):
+    """A third of the rows share one identity; quotas stay exact and no row beyond them appears."""
+    rows = [("hot", 5, "same")] * 300 + [(f"k{i}", 5, "other") for i in range(600)]
+    df = spark.createDataFrame(rows, "issue_key string, actual_story_points int, t string").repartition(6)
+    for quota in (1, 250, 400, 650, 900):
+        got = sampling.take_per_class(df, F.col("actual_story_points"), sampling.FixedCount(quota), ("issue_key",))
+        counts = Counter(r.issue_key for r in got.collect())
+        assert sum(counts.values()) == quota
+        assert all(n == 1 for k, n in counts.items() if k != "hot") and counts["hot"] <= 300
+
+
+def test_stratified_sample_drops_missing_labels(spark):
+    df = spark.createDataFrame([(f"k{i}", [1, 2, None][i % 3]) for i in range(60)], "issue_key string, actual_story_points int")
+    got = Counter(r.actual_story_points for r in sampling.stratified_sample(df, 7).collect())
+    assert got == {1: 7, 2: 7}
+
+
+@pytest.mark.parametrize("fraction", [0.8, 0.2, 0.7])
+def test_split_is_disjoint_complete_and_proportional(spark, fraction):
+    sizes = {1: 501, 2: 77, 3: 13, 5: 2}
+    rows = [(f"k{c}-{i}", c) for c, n in sizes.items() for i in range(n)]
+    pool = spark.createDataFrame(rows, "issue_key string, actual_story_points int").repartition(5)
+    corpus, holdout = sampling.split_tickets(pool, fraction)
+    a, b = corpus.collect(), holdout.collect()
+    keys_a, keys_b = {r.issue_key for r in a}, {r.issue_key for r in b}
+    assert not keys_a & keys_b and keys_a | keys_b == {k for k, _ in rows}
+    import math
+    assert len(b) == math.ceil(round((1 - fraction) * len(rows), 9))
+    for cls, n in sizes.items():
+        assert abs(sum(r.actual_story_points == cls for r in a) - n * len(a) / len(rows)) < 1
+
+
+def test_split_ignores_labels_when_a_class_has_one_row(spark):
+    rows = [(f"k{i}", 1 + i % 2) for i in range(40)] + [("single", 21)]
+    pool = spark.createDataFrame(rows, "issue_key string, actual_story_points int")
+    corpus, holdout = sampling.split_tickets(pool, 0.8)
+    assert (corpus.count(), holdout.count()) == (32, 9)
+    first = sorted((hashlib.md5(f"{k}|42".encode()).hexdigest(), k) for k, _ in rows)[:32]
+    assert {r.issue_key for r in corpus.collect()} == {k for _, k in first}
+
+
+def test_split_keeps_copies_of_a_key_together(spark):
+    rows = [("hot", 1)] * 100 + [(f"k{i}", 1) for i in range(200)]
+    corpus, holdout = sampling.split_tickets(spark.createDataFrame(rows, "issue_key string, actual_story_points int"), 0.5)
+    assert corpus.count() + holdout.count() == 300
+    assert not {r[0] for r in corpus.collect()} & {r[0] for r in holdout.collect()}
+
+
+def test_first_rows(spark):
+    df = spark.createDataFrame([(f"k{i}",) for i in (3, 1, 2)], "issue_key string")
+    assert [r[0] for r in sampling.first_rows(df, 2).collect()] == ["k1", "k2"]
+
+
+def test_eligible_pool(spark):
+    rows = [("a", " d ", "3"), ("b", " ", "3"), ("c", "d", "x"), ("d", "d", "-1"), ("e", "d", None), ("f", None, "3"), ("g", "d", "0")]
+    df = spark.createDataFrame(rows, "issue_key string, description string, actual_story_points string")
+    got = [(r.issue_key, r.description, r.actual_story_points) for r in cleaning.eligible_pool(df).collect()]
+    assert got == [("a", "d", 3), ("g", "d", 0)]
