@@ -128,12 +128,10 @@ def vector_quality(t):
 @query
 def lookup_answers(t):
     """Every submission looked up among the documents' letter vectors; blank ones get an error."""
-    answers = lookup.lookup_json(
-        t.view(SUBMISSIONS).withColumn("query_key", F.col("doc_id")), letter_vectors(t), LETTERS, 3
-    )
+    answers = lookup.lookup_json(t.view(SUBMISSIONS), letter_vectors(t), LETTERS, 3)
     items = F.from_json("answer", "array<struct<issue_key string, story_points int, similarity double>>")
     return answers.select(
-        F.col("query_key").alias("doc_id"),
+        "doc_id",
         F.when(F.col("answer").startswith("{"), F.col("answer")).alias("error"),
         F.when(F.col("answer").startswith("["), F.array_join(F.transform(items, lambda i: i["issue_key"]), ",")).alias("keys"),
     )
@@ -376,7 +374,8 @@ def corpus_and_holdout(t):
 
 @query
 def split_overlap(t):
-    corpus, holdout = export.split(t.issues(), t.projects())
+    marked = export.split(t.issues(), t.projects())
+    corpus, holdout = marked.filter("side = 'corpus'"), marked.filter("side = 'holdout'")
     return corpus.join(holdout, "issue_key", "left_semi").agg(F.count(F.lit(1)).alias("overlap"))
 
 

@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from storygauge.functions.rounding import round_exact
 from storygauge.functions.similarity import unit, usable
 from storygauge.schemas import DEFAULT_NEIGHBOURS, MAX_NEIGHBOURS
+from storygauge.session import durable
 
 BROADCAST_BYTES = 64 << 20  # query vectors that may be sent to every task
+BROADCAST_ROWS = 500_000  # neighbour rows that may be
 BLOCK_ROWS = 16_384  # rows of one block in the block join
 KEEP_DECIMALS = 12
 SLACK = 1e-11  # wide enough that rounding never drops a row that ties with the last one kept
@@ -156,10 +158,11 @@ def nearest(
     bounded = _bounded_table(q, broadcast_bytes, dimension)
     if bounded is not None:
         found = _rank(_scan_against(bounded, c, k, key, payload, fields), key, k)
-        # at most k rows per query, and the queries were within the bound: the wide table is not shuffled
-        return with_columns_of(F.broadcast(found), corpus, key, fetch) if fetch else found
-    cells = q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0))
-    found = _rank(_block_join(*cells, k, key, payload, fields, block_rows), key, k)
+        if fetch and bounded.num_rows * k <= BROADCAST_ROWS:
+            return with_columns_of(F.broadcast(found), corpus, key, fetch)  # the wide table is not shuffled
+    else:
+        cells = durable(q).withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0))
+        found = _rank(_block_join(*cells, k, key, payload, fields, block_rows), key, k)
     return with_columns_of(found, corpus, key, fetch) if fetch else found
 
 
@@ -297,15 +300,17 @@ def approximate_neighbours(
 ) -> DataFrame:
     """Nearest corpus rows within the ``probes`` cells closest to each query, exactly ranked there.
 
-    With as many probes as cells the result is that of ``nearest``.
+    With as many probes as cells the result is that of ``nearest``. A corpus that is searched often is better
+    stored with its ``cell`` (``index.assign``), which is then used as it is.
     """
     k = clamp_k(k)
     q = searchable(queries, query_vector).select(F.col(query_key).alias("query_key"), F.col(query_vector).alias("query_vector"))
-    c = searchable(corpus, vector).select(key, F.col(vector).alias("_vector"), *payload)
+    placed = searchable(corpus, vector)
+    placed = placed if "cell" in corpus.columns else index.assign(placed, vector)
+    c = placed.select(key, F.col(vector).alias("_vector"), *payload, "cell")
     fields = _output(q, c, "query_key", key, payload)
-    found = _block_join(
-        index.assign(q, "query_vector", probes), index.assign(c, "_vector"), k, key, payload, fields, block_rows
-    )
+    probed = durable(index.assign(q, "query_vector", probes))
+    found = _block_join(probed, c, k, key, payload, fields, block_rows)
     return _rank(found, key, k)
 
 

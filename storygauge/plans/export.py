@@ -11,7 +11,7 @@ from storygauge.operators.cleaning import eligible_pool, export_view, to_tickets
 from storygauge.operators.profile import (
     clean_label_distribution, dataset_summary, describe_lengths, label_counts, priority_counts, project_summary,
 )
-from storygauge.operators.sampling import balanced_sample, split_tickets
+from storygauge.operators.sampling import balanced_sample, mark_split
 from storygauge.plans.evaluate import as_rows
 from storygauge.sources.files import write_csv
 
@@ -49,18 +49,18 @@ def export(issues: DataFrame, projects: DataFrame, out: str, **options) -> dict[
     return paths
 
 
-def split(issues: DataFrame, projects: DataFrame, fraction: float = 0.8, seed: int = 42, key_prefix: str = "ISSUE-") -> tuple[DataFrame, DataFrame]:
-    """Retrieval corpus and holdout of all eligible tickets."""
+def split(
+    issues: DataFrame, projects: DataFrame, fraction: float = 0.8, seed: int = 42, key_prefix: str = "ISSUE-"
+) -> DataFrame:
+    """All eligible tickets, each marked as corpus or holdout in ``side``."""
     pool = eligible_pool(to_tickets(export_view(issues, projects, include_zero=True), key_prefix))
-    return split_tickets(pool, fraction, seed)
+    return mark_split(pool, fraction, seed)
 
 
-def write_split(corpus: DataFrame, holdout: DataFrame, out: str) -> tuple[str, str]:
-    """Both sides as CSV directories, each in key order."""
-    paths = f"{out}/retrieval_corpus", f"{out}/train_holdout"
-    for df, path in zip((corpus, holdout), paths):
-        write_csv(df, path, order_by="issue_key")
-    return paths
+def write_split(marked: DataFrame, out: str) -> tuple[str, str]:
+    """Both sides as CSV directories, each in key order, in one pass over the tickets."""
+    write_csv(marked, out, order_by="issue_key", partition_by="side")
+    return f"{out}/side=corpus", f"{out}/side=holdout"
 
 
 def profile_report(issues: DataFrame) -> DataFrame:

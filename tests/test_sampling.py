@@ -111,3 +111,29 @@ def test_eligible_pool(spark):
     df = spark.createDataFrame(rows, "issue_key string, description string, actual_story_points string")
     got = [(r.issue_key, r.description, r.actual_story_points) for r in cleaning.eligible_pool(df).collect()]
     assert got == [("a", "d", 3), ("g", "d", 0)]
+
+
+def test_different_rows_of_one_key_are_cut_exactly(spark):
+    """A third of the rows share a key but differ: they are ordered by their whole content."""
+    rows = [("hot", 5, f"text {i}") for i in range(300)] + [("hot", 5, "copy")] * 50 + [(f"k{i}", 5, "other") for i in range(600)]
+    df = spark.createDataFrame(rows, "issue_key string, actual_story_points int, t string").repartition(6)
+    seen = {}
+    for quota in (100, 400, 500, 700, 950):
+        got = sampling.take_per_class(df, F.col("actual_story_points"), sampling.FixedCount(quota), ("issue_key",)).collect()
+        assert len(got) == quota
+        counts = Counter((r.issue_key, r.t) for r in got)
+        assert all(n <= (50 if key == ("hot", "copy") else 1) for key, n in counts.items())
+        assert all(counts[key] >= n for key, n in seen.items())  # a larger quota keeps what a smaller one took
+        seen = counts
+
+
+def test_split_is_written_side_by_side(spark, tmp_path):
+    from storygauge.plans import export
+    from storygauge.schemas import TICKETS
+    from storygauge.sources.files import read_csv
+
+    rows = [(f"K-{i:03d}", "P", "Bug", "t", f"d, {i}", 1 + i % 2) for i in range(100)]
+    marked = sampling.mark_split(spark.createDataFrame(rows, TICKETS), 0.8)
+    corpus, holdout = (read_csv(spark, p, TICKETS) for p in export.write_split(marked, str(tmp_path / "s")))
+    assert (corpus.count(), holdout.count()) == (80, 20)
+    assert sorted(tuple(r) for r in corpus.unionByName(holdout).collect()) == rows
