@@ -38,7 +38,8 @@ def unquote(col: Column) -> Column:
         wrapped = (F.length(value) >= 2) & value.startswith('"') & value.endswith('"')
         return F.when(wrapped, strip(F.substring(value, F.lit(2), F.length(value) - 2))).otherwise(value)
 
-    quoted = text.startswith('"') & text.endswith('"')
+    # most texts do not start with a quote and are only stripped
+    quoted = F.coalesce(F.rlike(col, F.lit(rf'\A{WHITESPACE_CLASS}*"')), F.lit(False))
     return F.when(quoted, F.aggregate(F.sequence(F.lit(1), layers), text, peel)).otherwise(text)
 
 

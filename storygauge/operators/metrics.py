@@ -1,7 +1,8 @@
 """Scores of a results table.
 
 Points take few values, so every score first counts the (actual, predicted) pairs, which combines on the map side
-and has no hot key, and then works on that small table.
+and has no hot key, and then works on that small table. Where it is used more than once the small table is staged
+in the checkpoint folder, so the results are read once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from storygauge.functions.scale import is_on_scale
 from storygauge.functions.stats import correlation_p
 from storygauge.operators.checks import require_columns
 from storygauge.schemas import COMPLEX_THRESHOLD
+from storygauge.session import durable
 
 POINT_COLUMNS = ("issue_key", "actual_story_points", "predicted_story_points")
 RANK_GROUP = 1 << 16
@@ -52,7 +54,7 @@ def average_ranks(pairs: DataFrame, value: str) -> DataFrame:
 
 def rank_correlation(results: DataFrame) -> DataFrame:
     """Spearman's rho of actual and predicted points with its two-sided p, one row."""
-    return _rank_correlation(point_pairs(results))
+    return _rank_correlation(durable(point_pairs(results)))
 
 
 def _rank_correlation(pairs: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def error_metrics(results: DataFrame) -> DataFrame:
     A ticket with zero actual points has no relative error: MMRE leaves it out, and PRED counts it as a miss.
     """
     require_columns(results, POINT_COLUMNS, "results")
-    pairs = point_pairs(results)
+    pairs = durable(point_pairs(results))
     return _plain_errors(pairs).join(_rank_correlation(pairs), "n")
 
 
