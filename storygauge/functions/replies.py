@@ -96,6 +96,12 @@ def number_field(payload: Column, name: str) -> Column:
     return F.try_variant_get(payload, f"$.{name}", "double")
 
 
+def whole_field(payload: Column, name: str, default: int) -> Column:
+    """Number field cut to a whole number; ``default`` where it is missing or no number."""
+    number = F.coalesce(number_field(payload, name), F.lit(float(default)))
+    return F.greatest(F.lit(-1e9), F.least(F.lit(1e9), number)).cast("int")
+
+
 def flag_field(payload: Column, name: str) -> Column:
     """Boolean field; the words true and false are read as such, other text and numbers by being non-empty."""
     text = F.lower(F.try_variant_get(payload, f"$.{name}", "string"))
@@ -110,7 +116,7 @@ def subtasks_of(payload: Column) -> Column:
         objects,
         lambda e: F.struct(
             text_field(e, "title").alias("title"),
-            F.coalesce(number_field(e, "story_points"), F.lit(1.0)).cast("int").alias("story_points"),
+            whole_field(e, "story_points", 1).alias("story_points"),
             text_field(e, "reasoning").alias("reasoning"),
         ),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storygauge.functions.neighbours import neighbours_json
 from storygauge.functions.prompts import NO_RETRIEVAL_WARNING
 from storygauge.functions.replies import (
-    flag_field, json_object, number_field, subtasks_of, text_field,
+    flag_field, json_object, number_field, subtasks_of, text_field, whole_field,
 )
 from storygauge.functions.rounding import round_exact
 from storygauge.functions.scale import is_on_scale, snap_to_scale
@@ -136,7 +136,7 @@ def merge_replies(replied: DataFrame, model: str) -> DataFrame:
     """
     payload = F.col("_payload")
     grounded = F.col("rag_story_points").isNotNull()
-    said = F.coalesce(number_field(payload, "story_points"), F.lit(3.0)).cast("int")
+    said = whole_field(payload, "story_points", 3)
     own_points = F.when(is_on_scale(said), said).otherwise(snap_to_scale(said))
     stated = number_field(payload, "confidence")
     reasoning = text_field(payload, "reasoning")
@@ -171,7 +171,9 @@ def subtask_columns(subtasks: Column) -> dict[str, Column]:
     titles = F.transform(subtasks, lambda s: s["title"])
     return {
         "subtask_count": F.size(subtasks),
-        "subtask_points_sum": F.aggregate(subtasks, F.lit(0), lambda total, s: total + s["story_points"]),
+        "subtask_points_sum": F.aggregate(
+            subtasks, F.lit(0).cast("long"), lambda total, s: total + s["story_points"], lambda total: total.try_cast("int")
+        ),
         "subtask_titles": F.array_join(titles, " | "),
         "subtasks_json": F.to_json(subtasks),
     }

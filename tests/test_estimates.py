@@ -88,6 +88,7 @@ def test_merge_replies(spark):
         ("rag default", 13, 13.0, 0.6, '{"reasoning": "r"}', None),
         ("off scale", None, None, None, '{"story_points": 9, "confidence": 0.9, "reasoning": "r"}', None),
         ("defaults", None, None, None, "{}", None),
+        ("huge", None, None, None, '{"story_points": 1e30, "subtasks": [{"story_points": 1e12}, {"story_points": 1e12}, {"story_points": 1e12}]}', None),
         ("broken", None, None, None, "nope", None),
         ("failed", None, None, None, None, "ValueError: x"),
     ]
@@ -100,6 +101,7 @@ def test_merge_replies(spark):
     assert (r.story_points, r.confidence, r.no_rag_fallback) == (13, 0.45, True)
     assert r.reasoning.startswith("No similar tickets found") and r.source == "llm:m+no-retrieval"
     assert (got["defaults"].story_points, got["defaults"].confidence) == (3, 0.4)
+    assert got["huge"].story_points == 21 and len(got["huge"].subtasks) == 3
     assert got["broken"].error == "no JSON object in the reply" and got["failed"].error == "ValueError: x"
 
 
