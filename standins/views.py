@@ -9,7 +9,7 @@ from storygauge.functions.scale import snap_to_scale
 from storygauge.operators.estimate import (
     estimate_from_keywords, estimate_from_neighbours, subtask_columns,
 )
-from storygauge.operators.neighbours import as_lists, nearest
+from storygauge.operators.neighbours import nearest
 from storygauge.schemas import SCALE
 
 MIN_SIMILARITY = 0.35
@@ -164,13 +164,13 @@ class Tables:
     def results_rag(self) -> DataFrame:
         """Results of a run with retrieval: the neighbour estimate of every query, explained by formula."""
         neighbours = self.neighbours().withColumn("title", F.concat(F.lit("T "), "issue_key"))
-        lists = as_lists(neighbours, ("issue_key", "story_points", "similarity", "title"))
-        estimates = estimate_from_neighbours(neighbours, MIN_SIMILARITY)
+        listed = ("issue_key", "story_points", "similarity", "title")
+        estimates = estimate_from_neighbours(neighbours, MIN_SIMILARITY, listed)
         own = self.vectors().select(
             F.col("issue_key").alias("query_key"), "vec_id", F.col("story_points").alias("actual_story_points"),
             F.coalesce("title", F.lit("")).alias("title"), "description",
         )
-        joined = own.join(lists, "query_key").join(estimates, "query_key")
+        joined = own.join(estimates, "query_key")
         reasoning = F.expr(REASONING.format(first="similar_tickets[0].issue_key", id="vec_id", points="rag_story_points"))
         return joined.select(
             F.col("query_key").alias("issue_key"), "vec_id", "title", "description", "actual_story_points",

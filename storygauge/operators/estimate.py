@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,6 +15,7 @@ from storygauge.functions.replies import (
 from storygauge.functions.rounding import round_exact
 from storygauge.functions.scale import is_on_scale, snap_to_scale
 from storygauge.functions.text import word_count
+from storygauge.operators.neighbours import ranked_list
 from storygauge.schemas import COMPLEX_POINTS, NO_RETRIEVAL_CONFIDENCE_CAP, RESULTS
 
 # --- fixed values: the keyword estimator ----------------------------------------------------------
@@ -58,10 +60,12 @@ def similar_enough(neighbours: DataFrame, min_similarity: float = 0.0) -> DataFr
     return neighbours.withColumn("_any", any_close).filter(close | ~F.col("_any")).drop("_any")
 
 
-def estimate_from_neighbours(neighbours: DataFrame, min_similarity: float = 0.0) -> DataFrame:
+def estimate_from_neighbours(
+    neighbours: DataFrame, min_similarity: float = 0.0, listed: Sequence[str] = ()
+) -> DataFrame:
     """Points, raw weighted mean and confidence per query, in one aggregation.
 
-    Every measure is taken twice, over the close neighbours and over all, and the query picks the first if it
+    With ``listed``, those columns of the neighbours come along as the list ``similar_tickets``. Every measure is taken twice, over the close neighbours and over all, and the query picks the first if it
     has a close neighbour; so the fallback needs no second pass over the neighbours.
     """
     close = F.col("similarity") >= F.lit(float(min_similarity))
@@ -80,11 +84,13 @@ def estimate_from_neighbours(neighbours: DataFrame, min_similarity: float = 0.0)
         ]
 
     grouped = neighbours.groupBy("query_key").agg(
-        F.count(F.lit(1)).alias("n_neighbours"), *measures(close, "close"), *measures(F.lit(True), "all")
+        F.count(F.lit(1)).alias("n_neighbours"), *measures(close, "close"), *measures(F.lit(True), "all"),
+        *([ranked_list(listed).alias("similar_tickets")] if listed else []),
     )
+    carried = ["similar_tickets"] if listed else []
     pick = lambda name: F.when(F.col("n_close") > 0, F.col(f"{name}_close")).otherwise(F.col(f"{name}_all"))
     measured = grouped.select(
-        "query_key", "n_neighbours",
+        "query_key", "n_neighbours", *carried,
         *[pick(m).alias(m) for m in ("weighted", "weights", "nearest", "top", "high", "low")],
     )
     raw = F.when(F.col("weights") > 0, F.col("weighted") / F.col("weights")).otherwise(F.col("nearest"))
@@ -94,6 +100,7 @@ def estimate_from_neighbours(neighbours: DataFrame, min_similarity: float = 0.0)
         snap_to_scale(F.round("raw", 9)).alias("rag_story_points"),
         F.col("raw").alias("rag_raw_average"),
         neighbour_confidence(F.col("top"), F.col("high") - F.col("low")).alias("rag_confidence"),
+        *carried,
     )
 
 

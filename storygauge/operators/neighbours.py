@@ -330,9 +330,12 @@ def with_columns_of(neighbours: DataFrame, corpus: DataFrame, key: str, columns:
     return corpus.select(key, *columns).join(neighbours, key)
 
 
-def as_lists(neighbours: DataFrame, columns: Sequence[str] = ("issue_key", "story_points", "similarity")) -> DataFrame:
-    """One row per query with its neighbours in rank order; a list holds at most fifty."""
+def ranked_list(columns: Sequence[str]) -> Column:
+    """Aggregate: a query's neighbours in rank order, at most fifty."""
     items = F.sort_array(F.collect_list(F.struct("rank", *columns)))
-    return neighbours.groupBy("query_key").agg(
-        F.transform(items, lambda t: F.struct(*[t[c].alias(c) for c in columns])).alias("similar_tickets")
-    )
+    return F.transform(items, lambda t: F.struct(*[t[c].alias(c) for c in columns]))
+
+
+def as_lists(neighbours: DataFrame, columns: Sequence[str] = ("issue_key", "story_points", "similarity")) -> DataFrame:
+    """One row per query with its neighbours as a list."""
+    return neighbours.groupBy("query_key").agg(ranked_list(columns).alias("similar_tickets"))

@@ -11,21 +11,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storygauge.functions.scale import is_fractional, points_label, round_points
 from storygauge.functions.text import is_blank
 from storygauge.operators.cleaning import of_project
+from storygauge.session import durable
 
 
 def one_decimal(value: Column) -> Column:
     return F.rint(value * 10) / 10
 
 
-def dataset_summary(issues: DataFrame) -> DataFrame:
-    """One row with the core counts of the dataset."""
-    per_label = issues.groupBy("Story_Point").agg(
+def _summary_counts() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n"),
         F.count_if(is_blank(F.col("Title"))).alias("no_title"),
         F.count_if(is_blank(F.col("Description_Text"))).alias("no_text"),
         F.count_if(is_blank(F.col("Priority"))).alias("no_priority"),
-    )
+    ]
+
+
+def dataset_summary(issues: DataFrame) -> DataFrame:
+    """One row with the core counts of the dataset."""
+    return _summary(issues.groupBy("Story_Point").agg(*_summary_counts()))
+
 
+def _summary(per_label: DataFrame) -> DataFrame:
     def total(c: str | Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
 
@@ -62,14 +69,17 @@ def project_summary(issues: DataFrame) -> DataFrame:
 
     The missing project is named after grouping, so it stays apart from a project really called Unknown.
     """
-    grouped = issues.groupBy("Project_Name").agg(
-        F.count(F.lit(1)).alias("total_tickets"), F.count("Story_Point").alias("labeled_tickets")
-    )
-    return grouped.select(
+    return _projects(issues.groupBy("Project_Name").agg(
+        F.count(F.lit(1)).alias("n"), F.count("Story_Point").alias("labeled")
+    ))
+
+
+def _projects(per_project: DataFrame) -> DataFrame:
+    return per_project.select(
         F.coalesce("Project_Name", F.lit("Unknown")).alias("Project_Name"),
-        "total_tickets",
-        "labeled_tickets",
-        one_decimal(F.col("labeled_tickets") / F.col("total_tickets") * 100).alias("labeled_pct"),
+        F.col("n").alias("total_tickets"),
+        F.col("labeled").alias("labeled_tickets"),
+        one_decimal(F.col("labeled") / F.col("n") * 100).alias("labeled_pct"),
     ).orderBy(F.desc("total_tickets"), "Project_Name", "labeled_tickets")
 
 
@@ -85,7 +95,10 @@ def top_projects(issues: DataFrame, n: int = 5) -> DataFrame:
 def label_counts(issues: DataFrame, points: Column | None = None) -> DataFrame:
     """Counts per label value with its display form; the missing label comes first."""
     value = F.col("Story_Point") if points is None else points
-    counts = issues.groupBy(value.alias("story_point")).agg(F.count(F.lit(1)).alias("count"))
+    return _labels(issues.groupBy(value.alias("story_point")).agg(F.count(F.lit(1)).alias("count")))
+
+
+def _labels(counts: DataFrame) -> DataFrame:
     return counts.withColumn("story_point_label", points_label(F.col("story_point"))).orderBy(
         F.coalesce("story_point", F.lit(-1.0))
     )
@@ -117,8 +130,11 @@ def clean_label_distribution(tickets: DataFrame, label: str = "actual_story_poin
 
 def priority_counts(issues: DataFrame) -> DataFrame:
     """Tickets per priority, most frequent first; the missing one is named after grouping."""
-    counts = issues.groupBy("Priority").agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(F.coalesce("Priority", F.lit("Missing")).alias("priority"), "count").orderBy(
+    return _priorities(issues.groupBy("Priority").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _priorities(counts: DataFrame) -> DataFrame:
+    return counts.select(F.coalesce("Priority", F.lit("Missing")).alias("priority"), F.col("n").alias("count")).orderBy(
         F.desc("count"), "priority"
     )
 
@@ -137,8 +153,12 @@ def describe_lengths(issues: DataFrame, text: str = "Description_Text") -> DataF
 
     Sums run exactly, in decimals over the distinct lengths, so the deviation does not depend on row order.
     """
+    return _describe(length_counts(issues, text))
+
+
+def _describe(lengths: DataFrame) -> DataFrame:
     n, length = F.col("n").cast("decimal(38,0)"), F.col("length").cast("decimal(38,0)")
-    sums = length_counts(issues, text).agg(
+    sums = lengths.agg(
         F.sum("n").alias("count"),
         F.sum(n * length).alias("s1"),
         F.sum(n * length * length).alias("s2"),
@@ -193,3 +213,35 @@ def fractional_label_stats(issues: DataFrame) -> DataFrame:
         F.count("Story_Point").alias("unique_raw"),
         F.count_distinct(round_points(points)).alias("unique_rounded"),
     )
+
+
+def profile_tables(issues: DataFrame) -> dict[str, DataFrame]:
+    """Summary, text lengths, priorities, labels and projects from a single scan of the issues.
+
+    The rows are counted by label, by priority, by project and by text length at once. The counts, few next to
+    the rows, are staged; each table is taken from its share of them.
+    """
+    keys = ["Story_Point", "Priority", "Project_Name", "length"]
+    narrow = issues.select(
+        *keys[:3], F.length("Description_Text").alias("length"),
+        *[is_blank(F.col(c)).alias(f"_{c}") for c in ("Title", "Description_Text", "Priority")],
+        F.col("Story_Point").isNotNull().alias("_labelled"),
+    )
+    counts = durable(
+        narrow.groupingSets([[F.col(k)] for k in keys], *keys).agg(
+            F.grouping_id(*keys).alias("_set"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("_Title")).alias("no_title"),
+            F.count_if(F.col("_Description_Text")).alias("no_text"),
+            F.count_if(F.col("_Priority")).alias("no_priority"),
+            F.count_if(F.col("_labelled")).alias("labeled"),
+        )
+    )
+    by = {k: counts.filter(F.col("_set") == 15 - (8 >> i)) for i, k in enumerate(keys)}
+    return {
+        "summary": _summary(by["Story_Point"]),
+        "description_length": _describe(by["length"].filter(F.col("length").isNotNull()).select("length", "n")),
+        "priority": _priorities(by["Priority"]),
+        "story_point": _labels(by["Story_Point"].select(F.col("Story_Point").alias("story_point"), F.col("n").alias("count"))),
+        "project": _projects(by["Project_Name"]),
+    }

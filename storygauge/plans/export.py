@@ -8,9 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from storygauge.operators.cleaning import eligible_pool, export_view, to_tickets
-from storygauge.operators.profile import (
-    clean_label_distribution, dataset_summary, describe_lengths, label_counts, priority_counts, project_summary,
-)
+from storygauge.operators.profile import clean_label_distribution, profile_tables
 from storygauge.operators.sampling import balanced_sample, mark_split
 from storygauge.plans.evaluate import as_rows
 from storygauge.sources.files import write_csv
@@ -65,10 +63,11 @@ def write_split(marked: DataFrame, out: str) -> tuple[str, str]:
 
 def profile_report(issues: DataFrame) -> DataFrame:
     """Summary, text lengths, priorities, labels and projects as rows of (section, metric, value)."""
+    tables = profile_tables(issues)
     return reduce(DataFrame.unionByName, [
-        as_rows(dataset_summary(issues), "summary"),
-        as_rows(describe_lengths(issues), "description_length"),
-        as_rows(priority_counts(issues), "priority", F.col("priority")),
-        as_rows(label_counts(issues).drop("story_point"), "story_point", F.col("story_point_label")),
-        as_rows(project_summary(issues), "project", F.col("Project_Name")),
+        as_rows(tables["summary"], "summary"),
+        as_rows(tables["description_length"], "description_length"),
+        as_rows(tables["priority"], "priority", F.col("priority")),
+        as_rows(tables["story_point"].drop("story_point"), "story_point", F.col("story_point_label")),
+        as_rows(tables["project"], "project", F.col("Project_Name")),
     ])
