@@ -10,13 +10,20 @@ from storygauge.functions.text import embedding_text, strip
 from storygauge.operators.cleaning import with_key
 from storygauge.operators.encode import Encoder
 from storygauge.schemas import VECTORS
-from storygauge.session import durable
+from storygauge.session import durable, staged_keys
 
 
 def not_yet_stored(tickets: DataFrame, stored: DataFrame, model: str, key: str = "issue_key") -> DataFrame:
-    """Tickets whose key has no vector of this model."""
-    known = stored.filter(F.col("embedding_model") == model).select(F.col(key).alias("_known"))
-    return tickets.join(known, strip(tickets[key]) == F.col("_known"), "left_anti")
+    """Tickets whose key has no vector of this model.
+
+    Stored keys are first reduced to those of the tickets: a small batch against a large table scans the stored key
+    column and shuffles neither side.
+    """
+    keys, small = staged_keys(tickets.select(strip(F.col(key)).alias("_key")).distinct())
+    known = stored.filter(F.col("embedding_model") == model).select(F.col(key).alias("_key")).join(keys, "_key", "left_semi")
+    known = known.withColumnRenamed("_key", "_known")
+    # known keys are some of the keys counted above
+    return tickets.join(F.broadcast(known) if small else known, strip(tickets[key]) == F.col("_known"), "left_anti")
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
@@ -37,9 +44,14 @@ def upsert_vectors(stored: DataFrame, fresh: DataFrame, one_model: bool = False,
     """
     keys = ["issue_key"] if one_model else ["issue_key", "embedding_model"]
     latest = last_per_key(fresh, keys, order).withColumn("created_at", F.current_timestamp())
-    kept = stored.join(latest.select(*keys), keys, "left_anti")
     columns = VECTORS.fieldNames()
-    return kept.select(*columns).unionByName(latest.select(*columns))
+    return without_keys(stored, fresh, keys).select(*columns).unionByName(latest.select(*columns))
+
+
+def without_keys(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored rows that ``fresh`` does not replace; the stored vectors are not shuffled for a small ``fresh``."""
+    touched, _ = staged_keys(fresh.select(*keys).distinct())
+    return stored.join(touched, list(keys), "left_anti")
 
 
 def pending_rows(

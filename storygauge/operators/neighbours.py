@@ -267,9 +267,9 @@ class CellIndex:
         rows = searchable(corpus, vector)
         total = rows.count()
         share = min(1.0, cells * rows_per_cell / max(1, total))
-        training = rows.filter(
-            F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
-        ).select(array_to_vector(unit(F.col(vector))).alias("features"))
+        place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+        chosen = rows.filter(place < F.lit(int(share * (1 << 40)))).select(unit(F.col(vector)).alias("_unit"))
+        training = durable(chosen).select(array_to_vector("_unit").alias("features"))  # read once per iteration
         model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(training)
         return cls(np.array(model.clusterCenters()))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+BROADCAST_KEYS = 500_000  # rows of a narrow table that may be sent to every executor
 
 
 def build_session(app: str = "storygauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="storygauge-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def staged_keys(keys: DataFrame, limit: int = BROADCAST_KEYS) -> tuple[DataFrame, bool]:
+    """A narrow table staged by ``durable``, and whether it was counted to be small enough to broadcast.
+
+    If so it comes with the hint, so that a join against it leaves the other side where it is.
+    """
+    staged = durable(keys)
+    small = staged.limit(limit + 1).count() <= limit
+    return (F.broadcast(staged) if small else staged), small
