@@ -72,6 +72,10 @@ def share(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / {whole} END"
 
 
+def key(number: str) -> str:
+    return f"'V' || {number} % 4 || '-' || {number}"
+
+
 # --- tables that several queries start from -----------------------------------------------------------
 ISSUES = f"issues AS ({view(views.ISSUES)})"
 PROJECTS = f"projects AS ({view(views.PROJECTS)})"
@@ -94,7 +98,7 @@ CLEAN = f"{POOL}, clean AS ({tickets_from('with_zero')})"
 ELIGIBLE = f"""{CLEAN}, eligible AS (SELECT issue_key, project, issue_type, title, {strip('description')} AS description,
   actual_story_points FROM clean WHERE {strip('description')} <> '')"""
 VECTORS = f"vectors AS ({view(views.VECTORS)})"
-QUERY_VECTORS = """queries AS (SELECT 'VEC-' || q.vec_id AS query_key,
+QUERY_VECTORS = f"""queries AS (SELECT {key('q.vec_id')} AS query_key,
   CASE WHEN n.embedding IS NULL THEN CAST(q.embedding AS DOUBLE[])
        ELSE list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(n.embedding AS DOUBLE[])),
                            lambda z: z[1] + (q.vec_id % 4) / CAST(2 AS DOUBLE) * z[2]) END AS query_vector
@@ -137,7 +141,7 @@ RAG = f"""{ESTIMATES}, rag AS (
           n.issue_key AS first_key
         FROM estimates e JOIN vectors v ON v.issue_key = e.query_key
         JOIN neighbours n ON n.query_key = e.query_key AND n.rank = 1))"""
-TICKETS = f"""tickets AS (SELECT 'VEC-' || doc_id AS issue_key, doc_id, source AS project, lang AS issue_type,
+TICKETS = f"""tickets AS (SELECT {key('doc_id')} AS issue_key, doc_id, source AS project, lang AS issue_type,
   split_part(text, chr(10), 1) AS title, text AS description,
   CASE WHEN n_chars % 90 = 0 THEN 0 ELSE {snap('CAST(n_chars % 90 AS DOUBLE) / 4')} END AS actual_story_points FROM documents)"""
 
@@ -325,7 +329,8 @@ parts AS (SELECT lab, n * want // total AS whole, n * want % total AS remainder,
 quotas AS (SELECT lab, whole + CASE WHEN row_number() OVER (ORDER BY remainder DESC, lab) <= missing THEN 1 ELSE 0 END AS quota FROM parts)
 SELECT issue_key, actual_story_points, CASE WHEN row_number() OVER (PARTITION BY actual_story_points ORDER BY {hashed(42, 'issue_key')}) <= quota
   THEN 'corpus' ELSE 'holdout' END AS side FROM eligible JOIN quotas ON lab = actual_story_points"""
-ORACLES["split_overlap"] = "SELECT CAST(0 AS BIGINT) AS overlap FROM (SELECT count(*) FROM documents)"
+ORACLES["split_overlap"] = f"""WITH marked AS ({ORACLES['corpus_and_holdout']}) SELECT count(*) AS overlap FROM marked a
+  WHERE side = 'corpus' AND issue_key IN (SELECT issue_key FROM marked WHERE side = 'holdout')"""
 ORACLES["first_tickets"] = f"WITH {TICKETS} SELECT issue_key, project FROM tickets ORDER BY issue_key LIMIT 25"
 ORACLES["export_distributions"] = f"""WITH {POOL}, b AS ({balanced('positive', snap('Story_Point'), 'ID')}),
 z AS ({balanced('with_zero', label('Story_Point'), 'ID')})
@@ -351,12 +356,15 @@ ORACLES["mentioned_keys"] = f"""SELECT * FROM (SELECT doc_id, array_to_string(li
 ORACLES["embedding_texts"] = f"""WITH subs AS ({view(views.SUBMISSIONS)}) SELECT doc_id, md5(CASE WHEN {strip('title')} <> ''
   THEN {strip('title')} || chr(10) || chr(10) || {strip('description')} ELSE {strip('description')} END) AS with_title,
   md5({strip('description')}) AS plain FROM subs"""
-ORACLES["neighbour_json"] = f"""WITH {NEIGHBOURS} SELECT query_key AS issue_key, '[' || string_agg('{{"issue_key":"' || issue_key ||
+BY_KEY = "CAST(split_part(query_key, '-', 2) AS BIGINT) % 13"
+ORACLES["neighbour_json"] = f"""WITH {NEIGHBOURS} SELECT query_key AS issue_key, CASE WHEN {BY_KEY} = 0 THEN '[]' WHEN {BY_KEY} = 1 THEN NULL
+  WHEN {BY_KEY} = 2 THEN '{{"issue_key":"X-1"}}' ELSE '[' || string_agg('{{"issue_key":"' || issue_key ||
   '","story_points":' || story_points || ',"similarity":' || CAST(similarity AS VARCHAR) || ',"title":"T ' || issue_key || '"}}', ',' ORDER BY rank)
-  || ']' AS similar_tickets_json FROM neighbours GROUP BY query_key"""
+  || ']' END AS similar_tickets_json FROM neighbours GROUP BY query_key"""
+SAME_STEM = "avg(CASE WHEN split_part(issue_key, '-', 1) = split_part(query_key, '-', 1) THEN 1.0 ELSE 0.0 END)"
 LINE = "string_agg(issue_key || ' (' || printf('%.2f', similarity) || ')', ', ' ORDER BY rank)"
-ORACLES["neighbour_lines"] = f"""WITH {NEIGHBOURS} SELECT query_key AS issue_key, {LINE} AS line, CAST(1 AS DOUBLE) AS same_stem, 'VEC' AS stem
-  FROM neighbours GROUP BY query_key"""
+ORACLES["neighbour_lines"] = f"""WITH {NEIGHBOURS} SELECT query_key AS issue_key, CASE WHEN {BY_KEY} > 2 THEN {LINE} ELSE '' END AS line,
+  CASE WHEN {BY_KEY} > 2 THEN round({SAME_STEM}, 6) END AS same_stem, split_part(query_key, '-', 1) AS stem FROM neighbours GROUP BY query_key"""
 ORACLES["odd_neighbour_json"] = f"SELECT doc_id, form = 5 AS some FROM ({view(views.REPLIES)})"
 ORACLES["neighbour_examples"] = f"""WITH {NEIGHBOURS}, texts AS (SELECT issue_key, title, {strip("replace(description, chr(10), ' ')")} AS flat FROM vectors)
 SELECT query_key, md5(string_agg('- ' || issue_key || ' (' || story_points || ' SP, similarity ' || printf('%.2f', similarity) || '): ' ||
@@ -387,7 +395,7 @@ ORACLES["prompt_texts"] = f"WITH {TICKETS} SELECT issue_key, {PROMPT} AS user_pr
 ORACLES["keyword_estimates"] = f"""WITH {NORAG} SELECT issue_key, predicted_story_points, confidence, complex_flag, reasoning, subtask_count,
   subtask_points_sum, subtask_titles FROM norag"""
 ORACLES["merged_replies"] = f"""WITH {ESTIMATES}, {REPLY_FACTS}, j AS (SELECT f.*, e.rag_story_points AS rp, e.rag_raw_average AS ra, e.rag_confidence AS rc
-  FROM facts f LEFT JOIN estimates e ON e.query_key = 'VEC-' || f.doc_id), k AS (SELECT *, CASE WHEN rp IS NOT NULL THEN rp
+  FROM facts f LEFT JOIN estimates e ON e.query_key = {key('f.doc_id')}), k AS (SELECT *, CASE WHEN rp IS NOT NULL THEN rp
   WHEN NOT found THEN 3 ELSE {snap('points')} END AS story_points FROM j)
 SELECT doc_id, found AS ok, story_points, round(CASE WHEN rp IS NOT NULL THEN least(CASE WHEN found THEN confidence ELSE rc END, rc)
     ELSE least(CASE WHEN found THEN confidence ELSE 0.4 END, 0.45) END, 6) AS confidence,
@@ -488,12 +496,13 @@ ORACLES["paired_comparison"] = f"WITH {PAIRS} {COMPARE}"
 ORACLES["paired_comparison_repeated_keys"] = f"""WITH {RESULTS_LARGE}, pairs AS (
   SELECT abs(a.predicted_story_points - a.actual_story_points) AS error_rag, abs(b.predicted_story_points + 1 - b.actual_story_points) AS error_norag
   FROM results_large a JOIN results_large b USING (issue_key)) {COMPARE}"""
-RETRIEVAL = """SELECT count(*) AS n, CAST(1 AS DOUBLE) AS pct_with_neighbours, round(avg(top1), 6) AS mean_top1_similarity, round(avg(topk), 6) AS mean_topk_similarity,
-  round(avg(spread), 6) AS mean_neighbour_sp_spread, CAST(1 AS DOUBLE) AS mean_same_project_rate
-  FROM (SELECT max(similarity) AS top1, avg(similarity) AS topk, max(story_points) - min(story_points) AS spread FROM neighbours GROUP BY query_key)"""
+RETRIEVAL = f"""SELECT count(*) AS n, round(avg(CASE WHEN top1 IS NULL THEN 0.0 ELSE 1.0 END), 6) AS pct_with_neighbours, round(avg(top1), 6) AS mean_top1_similarity, round(avg(topk), 6) AS mean_topk_similarity,
+  round(avg(spread), 6) AS mean_neighbour_sp_spread, round(avg(stem), 6) AS mean_same_project_rate
+  FROM rag LEFT JOIN (SELECT query_key, max(similarity) AS top1, avg(similarity) AS topk, max(story_points) - min(story_points) AS spread,
+    {SAME_STEM} AS stem FROM neighbours GROUP BY query_key) ON query_key = rag.issue_key AND rag.vec_id % 13 > 2"""
 BANDS = """SELECT 'high' AS band, count(*) AS n, round(avg(abs(predicted_story_points - actual_story_points)), 6) AS mae FROM rag WHERE rag_confidence >= 0.7
   UNION ALL SELECT 'low', count(*), round(avg(abs(predicted_story_points - actual_story_points)), 6) FROM rag WHERE rag_confidence < 0.55"""
-ORACLES["retrieval_stats"] = f"WITH {NEIGHBOURS} {RETRIEVAL}"
+ORACLES["retrieval_stats"] = f"WITH {RAG} {RETRIEVAL}"
 ORACLES["confidence_band_errors"] = f"WITH {RAG} {BANDS}"
 CONFUSION = """SELECT CAST(count_if(actual_story_points >= 8 AND complex_flag) AS BIGINT) AS true_positive,
   CAST(count_if(actual_story_points < 8 AND complex_flag) AS BIGINT) AS false_positive,
@@ -516,7 +525,7 @@ ORACLES["ablation_report"] = f"WITH {PAIRS} " + " UNION ALL ".join([
 
 # --- reviews ---------------------------------------------------------------------------------------
 SHEET = f"""{RAG}, lines AS (SELECT query_key, {LINE} AS line, list(issue_key) AS keys FROM neighbours GROUP BY query_key),
-sheet AS (SELECT rag.*, line, keys FROM rag JOIN lines ON query_key = rag.issue_key)"""
+sheet AS (SELECT rag.*, line, keys FROM rag JOIN lines ON query_key = rag.issue_key WHERE rag.vec_id % 13 > 2)"""
 ORACLES["justification_sheet"] = f"""WITH {SHEET} SELECT issue_key, title AS ticket_title, CASE WHEN length(description) > 500
   THEN substr(description, 1, 500) || '...' ELSE description END AS ticket_description_snippet, predicted_story_points, reasoning,
   line AS neighbour_keys, {', '.join(f"'' AS {c}" for c in RUBRIC_COLUMNS)} FROM sheet"""

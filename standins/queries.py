@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from standins.stubs import LETTERS, scripted_generator, scripted_labeller
 from standins.views import (
     BACKLOG, LABEL_REPLIES, MIN_SIMILARITY, REPLIES, REWRITES, RUBRIC_SHEET, SUBMISSIONS, Tables,
+    vector_key,
 )
 from storygauge import schemas
 from storygauge.functions import neighbours as fn, replies as fr, scale as fs, similarity as fv, text as ft
@@ -522,7 +523,7 @@ def keyword_estimates(t):
 @query
 def merged_replies(t):
     """Replies joined to the neighbour estimates of the same key; documents without one take the other route."""
-    replied = t.view(REPLIES).withColumn("query_key", F.concat(F.lit("VEC-"), F.col("doc_id").cast("string")))
+    replied = t.view(REPLIES).withColumn("query_key", vector_key(F.col("doc_id")))
     joined = replied.join(t.estimates(), "query_key", "left").withColumnsRenamed({"raw": "reply"})
     made = estimate.merge_replies(joined.withColumn("error", F.lit(None).cast("string")), "m")
     return made.select(

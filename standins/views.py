@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from storygauge.functions.neighbours import neighbours_json
 from storygauge.functions.scale import snap_to_scale
@@ -10,7 +10,6 @@ from storygauge.operators.estimate import (
     estimate_from_keywords, estimate_from_neighbours, subtask_columns,
 )
 from storygauge.operators.neighbours import nearest
-from storygauge.schemas import SCALE
 
 MIN_SIMILARITY = 0.35
 
@@ -49,7 +48,7 @@ SELECT 'ORD-' || CAST(l_orderkey AS STRING) AS issue_key,
 FROM {lineitem}
 """
 VECTORS = """
-SELECT 'VEC-' || CAST(vec_id AS STRING) AS issue_key, split_part(text, chr(10), 1) AS title,
+SELECT 'V' || CAST(vec_id % 4 AS STRING) || '-' || CAST(vec_id AS STRING) AS issue_key, split_part(text, chr(10), 1) AS title,
   coalesce(text, '') AS description,
   CASE label WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 5 WHEN 5 THEN 8 WHEN 6 THEN 13
        ELSE 21 END AS story_points,
@@ -57,7 +56,7 @@ SELECT 'VEC-' || CAST(vec_id AS STRING) AS issue_key, split_part(text, chr(10),
 FROM {embeddings} LEFT JOIN {documents} ON doc_id = vec_id
 """
 REWRITES = """
-SELECT 'VEC-' || CAST(conv_id AS STRING) AS issue_key, role AS title, text AS description,
+SELECT 'V' || CAST(conv_id % 4 AS STRING) || '-' || CAST(conv_id AS STRING) AS issue_key, role AS title, text AS description,
   CAST(length(text) % 9 AS INT) AS story_points, CAST(NULL AS {float_array}) AS embedding,
   'unit-64' AS embedding_model, turn
 FROM {conversations}
@@ -117,6 +116,11 @@ TABLES = (
 )
 
 
+def vector_key(number: Column) -> Column:
+    """Key of a vector, in one of four projects."""
+    return F.concat(F.lit("V"), (number % 4).cast("string"), F.lit("-"), number.cast("string"))
+
+
 class Tables:
     """The tables of one scale-factor directory and the views on them."""
 
@@ -151,7 +155,7 @@ class Tables:
         share = (F.col("vec_id") % 4) / F.lit(2.0)
         mixed = F.zip_with("embedding", "next", lambda a, b: a.cast("double") + share * b.cast("double"))
         return v.join(nxt, "vec_id", "left").select(
-            F.concat(F.lit("VEC-"), F.col("vec_id").cast("string")).alias("query_key"),
+            vector_key(F.col("vec_id")).alias("query_key"),
             F.coalesce(mixed, F.col("embedding").cast("array<double>")).alias("query_vector"),
         )
 
@@ -177,13 +181,16 @@ class Tables:
             F.col("rag_story_points").alias("predicted_story_points"),
             (F.col("rag_story_points") >= 13).alias("complex_flag"),
             reasoning.alias("reasoning"), "rag_confidence",
-            neighbours_json(F.col("similar_tickets")).alias("similar_tickets_json"),
+            # some rows without neighbours: an empty list, nothing, and JSON that is no list
+            F.when(F.col("vec_id") % 13 == 0, F.lit("[]"))
+            .when(F.col("vec_id") % 13 == 2, F.lit('{"issue_key":"X-1"}'))
+            .when(F.col("vec_id") % 13 > 2, neighbours_json(F.col("similar_tickets"))).alias("similar_tickets_json"),
         )
 
     def tickets(self) -> DataFrame:
         """Every document as a ticket with its label."""
         return self.table("documents").select(
-            F.concat(F.lit("VEC-"), F.col("doc_id").cast("string")).alias("issue_key"),
+            vector_key(F.col("doc_id")).alias("issue_key"),
             "doc_id",
             F.col("source").alias("project"), F.col("lang").alias("issue_type"),
             F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"),
@@ -203,6 +210,3 @@ class Tables:
 
     def results_large(self) -> DataFrame:
         return self.view(RESULTS_LARGE)
-
-
-__all__ = ["Tables", "SCALE", "MIN_SIMILARITY"]

@@ -82,11 +82,6 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
-def plain_errors(results: DataFrame) -> DataFrame:
-    """Error scores without the rank correlation, one row."""
-    return _plain_errors(point_pairs(results))
-
-
 def _plain_errors(pairs: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     error = F.abs(F.col("predicted") - F.col("actual")).cast("double")
