@@ -32,9 +32,9 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Column | None = None
     An aggregation, so copies of a frequent key are merged before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest)
-    best = F.max(row) if order is None else F.max_by(row, F.struct(order, row))
-    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    first = [] if order is None else [order.alias("_order")]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*first, *rest)).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def upsert_vectors(stored: DataFrame, fresh: DataFrame, one_model: bool = False, order: Column | None = None) -> DataFrame:
@@ -116,10 +116,8 @@ def append_tickets(backlog: DataFrame, submissions: DataFrame, order: Sequence[C
     fields = ["project", "issue_type", "title", "description"]
     numbered = number_rows(submissions.select(*fields, *[o.alias(f"_o{i}") for i, o in enumerate(order)]),
                            [F.col(f"_o{i}") for i in range(len(order))])
-    start = highest_ticket_number(backlog).select(F.lit(1).alias("_one"), "highest")
-    added = (
-        numbered.withColumn("_one", F.lit(1))
-        .join(F.broadcast(start), "_one")  # one row
-        .select(ticket_key(F.col("highest") + F.col("number")).alias("issue_key"), *[strip(F.col(c)).alias(c) for c in fields])
+    start = highest_ticket_number(backlog).scalar()
+    added = numbered.select(
+        ticket_key(start + F.col("number")).alias("issue_key"), *[strip(F.col(c)).alias(c) for c in fields]
     )
     return backlog.select("issue_key", *fields).unionByName(added)

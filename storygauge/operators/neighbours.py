@@ -161,8 +161,12 @@ def nearest(
         if fetch and bounded.num_rows * k <= BROADCAST_ROWS:
             return with_columns_of(F.broadcast(found), corpus, key, fetch)  # the wide table is not shuffled
     else:
-        cells = durable(q).withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0))
-        found = _rank(_block_join(*cells, k, key, payload, fields, block_rows), key, k)
+        staged = durable(q)
+        one_cell = {
+            "cell": F.lit(0), "q_blocks": _blocks(staged.count(), block_rows), "c_blocks": _blocks(corpus.count(), block_rows)
+        }
+        pairs = _block_join(staged.withColumns(one_cell), c.withColumns(one_cell), k, key, payload, fields)
+        found = _rank(pairs, key, k)
     return with_columns_of(found, corpus, key, fetch) if fetch else found
 
 
@@ -212,31 +216,42 @@ def _schema(query_type: pa.DataType, corpus: pa.Schema, key: str, names: Sequenc
     )
 
 
+def _blocks(rows: int | Column, block_rows: int) -> Column:
+    count = F.lit(rows) if isinstance(rows, int) else rows
+    return F.greatest(F.lit(1), F.ceil(count / F.lit(block_rows)).cast("int"))
+
+
+def _with_block_counts(queries: DataFrame, corpus: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the block counts of their cell; cells found on one side only drop out.
+
+    The table of counts has one row per cell. The number of cells is an argument of the index, which bounds it.
+    """
+    size = F.count(F.lit(1)).alias("n")
+    q = queries.groupBy("cell").agg(size).select("cell", _blocks(F.col("n"), block_rows).alias("q_blocks"))
+    c = corpus.groupBy("cell").agg(size).select("cell", _blocks(F.col("n"), block_rows).alias("c_blocks"))
+    counts = F.broadcast(durable(q.join(c, "cell")))
+    return queries.join(counts, "cell"), corpus.join(counts, "cell")
+
+
 def _block_join(
-    queries: DataFrame, corpus: DataFrame, k: int, key: str, payload: Sequence[str], fields: T.StructType,
-    block_rows: int,
+    queries: DataFrame, corpus: DataFrame, k: int, key: str, payload: Sequence[str], fields: T.StructType
 ) -> DataFrame:
     """Top ``k`` per query and block pair, for queries and corpus rows of the same ``cell``.
 
-    A cell's rows are cut by key hash into blocks of about ``block_rows``. The table of block counts has one row
-    per cell; the number of cells is an argument of the index, so its broadcast is bounded.
+    Both sides carry the block counts of their cell, ``q_blocks`` and ``c_blocks``. Rows go to a block of their own
+    side by key hash, and to every block of the other side.
     """
-    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
-    q_blocks = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", blocks.alias("q_blocks"))
-    c_blocks = corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", blocks.alias("c_blocks"))
-    counts = F.broadcast(q_blocks.join(c_blocks, "cell"))
 
-    def cut(df: DataFrame, own: Column, own_count: str, other: str, other_count: str) -> DataFrame:
-        block = F.pmod(F.xxhash64(own), F.col(own_count).cast("long")).cast("int")
+    def cut(df: DataFrame, key_: Column, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(key_), F.col(f"{own}s").cast("long")).cast("int")
         return (
-            df.join(counts, "cell")
-            .withColumn("own_block", block)
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
+            df.withColumn(own, block)
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
             .drop("q_blocks", "c_blocks")
         )
 
-    q = cut(queries, F.col("query_key"), "q_blocks", "c_block", "c_blocks").withColumnRenamed("own_block", "q_block")
-    c = cut(corpus, F.col(key), "c_blocks", "q_block", "q_blocks").withColumnRenamed("own_block", "c_block")
+    q = cut(queries, F.col("query_key"), "q_block", "c_block")
+    c = cut(corpus, F.col(key), "c_block", "q_block")
     names = list(payload)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -310,7 +325,7 @@ def approximate_neighbours(
     c = placed.select(key, F.col(vector).alias("_vector"), *payload, "cell")
     fields = _output(q, c, "query_key", key, payload)
     probed = durable(index.assign(q, "query_vector", probes))
-    found = _block_join(probed, c, k, key, payload, fields, block_rows)
+    found = _block_join(*_with_block_counts(probed, c, block_rows), k, key, payload, fields)
     return _rank(found, key, k)
 
 

@@ -115,12 +115,9 @@ def rounded_label_counts_of(issues: DataFrame, project: str) -> DataFrame:
 def class_imbalance(issues: DataFrame) -> DataFrame:
     """Share of each label value in percent, two decimals."""
     counts = label_counts(issues)
-    total = counts.agg(F.sum("count").alias("total")).withColumn("one", F.lit(1))  # one row
-    pct = F.rint(F.col("count") / F.col("total") * 100 * 100) / 100
-    return (
-        counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
-        .orderBy(F.coalesce("story_point", F.lit(-1.0)))
-        .select("story_point_label", "count", pct.alias("pct"))
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select(
+        "story_point_label", "count", (F.rint(F.col("count") / total * 100 * 100) / 100).alias("pct")
     )
 
 

@@ -49,9 +49,9 @@ def types(table: pa.Table) -> dict[str, str]:
     return {f.name: name(f.type) for f in sorted(table.schema, key=lambda f: f.name)}
 
 
-def difference(spark, con, query, sql: str, directory: str) -> str | None:
+def difference(df, con, sql: str) -> str | None:
     """None when both agree, else what differs."""
-    ours, theirs = query(spark, directory).toArrow(), con.execute(sql).to_arrow_table()
+    ours, theirs = df.toArrow(), con.sql(sql).to_arrow_table()
     if types(ours) != types(theirs):
         return f"types {types(ours)} vs {types(theirs)}"
     a, b = rows(ours), rows(theirs)
@@ -74,7 +74,7 @@ def main(names: list[str], directory: str) -> None:
             continue
         start = time.time()
         try:
-            result = "rows only: %d" % query(spark, directory).count() if name not in sqls else difference(spark, con, query, sqls[name], directory)
+            result = "rows only: %d" % query(spark, directory).count() if name not in sqls else difference(query(spark, directory), con, sqls[name])
         except Exception as failure:  # noqa: BLE001
             result = f"{type(failure).__name__}: {str(failure)[:1500]}"
         print(f"{'ok  ' if result is None else 'DIFF'} {name} {time.time() - start:.2f}s {result or ''}", flush=True)

@@ -64,6 +64,14 @@ def test_fewer_probes_keep_most_neighbours(spark, data):
     assert {r.issue_key for r in approximate.collect()} <= exact_keys
 
 
+def test_stored_cells_are_used_as_they_are(spark, data, tmp_path):
+    q, c = frames(spark, *data)
+    index = nn.CellIndex.fit(c, 4)
+    index.assign(nn.searchable(c), "embedding").write.partitionBy("cell").parquet(str(tmp_path / "cells"))
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    assert found(nn.approximate_neighbours(q, stored, index, 5, probes=2)) == found(nn.approximate_neighbours(q, c, index, 5, probes=2))
+
+
 def test_a_crowded_cell_is_cut_into_blocks(spark, data):
     q, c = frames(spark, *data)
     index = nn.CellIndex.fit(c, 2)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from storygauge.functions import text as ft
@@ -25,6 +27,19 @@ def test_unquote_peels_pairs_only(one):
     assert one(list(cases), ft.unquote) == list(cases.values())
 
 
+def test_unquote_on_random_texts(one):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice('""  \n\u3000ab') for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+
+    def peeled(text):
+        inner = text.strip()
+        while len(inner) > 1 and inner.startswith('"') and inner.endswith('"'):
+            inner = inner[1:len(inner) - 1].strip()
+        return inner
+
+    assert one(texts, ft.unquote) == [peeled(t) for t in texts]
+
+
 def test_description_of_bare_quotes_is_chosen_and_then_empty(spark):
     df = spark.createDataFrame([('""', "markup"), (" ", "markup"), (None, '"m"'), ("text", None)], "a string, b string")
     got = [r[0] for r in df.select(ft.pick_description(F.col("a"), F.col("b"))).collect()]
