@@ -613,7 +613,7 @@ def worst_misses(t):
 
 @query
 def paired_errors(t):
-    return metrics.paired_errors(t.results_rag(), t.results_norag())
+    return metrics.paired_errors(t.results_rag(), t.results_norag()).withColumn("n_pairs", F.col("n_pairs").cast("long"))
 
 
 @query

@@ -128,9 +128,10 @@ def paired_errors(rag: DataFrame, norag: DataFrame) -> DataFrame:
         error = F.abs(F.col("predicted_story_points") - F.col("actual_story_points"))
         return df.groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.count(F.lit(1)).alias(f"_n_{tag}"))
 
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731 - the product may exceed 64 bits
     return (
         side(rag, "rag").join(side(norag, "norag"), "issue_key")
-        .select("issue_key", "error_rag", "error_norag", (F.col("_n_rag") * F.col("_n_norag")).alias("n_pairs"))
+        .select("issue_key", "error_rag", "error_norag", (wide("_n_rag") * wide("_n_norag")).alias("n_pairs"))
     )
 
 
@@ -139,7 +140,7 @@ def paired_comparison(rag: DataFrame, norag: DataFrame) -> DataFrame:
     n = F.col("n_pairs").cast("double")
     delta = (F.col("error_rag") - F.col("error_norag")).cast("double")
     return paired_errors(rag, norag).agg(
-        F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_paired"),
+        F.coalesce(F.sum(F.col("n_pairs").cast("decimal(38,0)")), F.lit(0)).try_cast("long").alias("n_paired"),
         _ratio(F.sum(delta * n), F.sum(F.when(delta.isNotNull(), n))).alias("mean_abs_error_delta"),
         _ratio(F.sum(F.when(delta < 0, n).otherwise(0.0)), F.sum(n)).alias("pct_rag_closer"),
     )

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,30 @@ def test_first_closed_object(one):
     assert got == ['{"a": "}"}', None, None, '{"a": {"b": "\\"}"}}']
 
 
+def test_first_closed_object_on_random_texts(one):
+    """Against a plain walk over the characters."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice('{}{}"\\ab\n') for _ in range(rng.randint(0, 16))) for _ in range(3000)]
+
+    def closed(text):
+        begin, depth, inside, skip = text.find("{"), 0, False, False
+        for at in range(max(begin, 0), len(text) if begin >= 0 else 0):
+            c = text[at]
+            if skip:
+                skip = False
+            elif inside:
+                skip, inside = c == "\\", c != '"'
+            elif c == '"':
+                inside = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if depth == 0:
+                    return text[begin:at + 1]
+        return None
+
+    assert one(texts, fr.first_closed_object) == [closed(t) for t in texts]
+
+
 def test_subtasks_skip_what_is_no_object(spark):
     raw = '{"subtasks": [{"title": " t ", "story_points": "3", "reasoning": "r"}, 5, null, {"title": "u"}]}'
     df = spark.createDataFrame([(raw,), ('{"subtasks": null}',), ('{"subtasks": "x"}',), ("{}",)], "v string")

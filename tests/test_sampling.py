@@ -113,6 +113,22 @@ def test_eligible_pool(spark):
     assert got == [("a", "d", 3), ("g", "d", 0)]
 
 
+def test_copies_come_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "COPIES_AT_ONCE", 10)
+    rows = [("same", 1)] * 400 + [("other", 2)] * 30
+    df = spark.createDataFrame(rows, "issue_key string, actual_story_points int").repartition(4)
+    for quota in (1, 10, 11, 25, 137):
+        got = Counter(r.issue_key for r in sampling.stratified_sample(df, quota).collect())
+        assert got == {"same": quota, "other": min(30, quota)}
+
+
+def test_quotas_of_billions_of_rows(spark):
+    counts = spark.createDataFrame([(1, 40_000_000_000), (2, 9_999_999_999), (3, 7)], "class int, n long")
+    got = {r["class"]: r.quota for r in sampling.LargestRemainder(0.8)(counts).collect()}
+    assert sum(got.values()) == 50_000_000_006 - 10_000_000_002 and got[3] in (5, 6)
+    assert abs(got[1] - 32_000_000_000) <= 1 and abs(got[2] - 8_000_000_000) <= 1
+
+
 def test_different_rows_of_one_key_are_cut_exactly(spark):
     """A third of the rows share a key but differ: they are ordered by their whole content."""
     rows = [("hot", 5, f"text {i}") for i in range(300)] + [("hot", 5, "copy")] * 50 + [(f"k{i}", 5, "other") for i in range(600)]
