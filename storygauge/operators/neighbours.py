@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -81,16 +82,15 @@ class _Best:
 
     def add(self, keys: pa.Array, vectors: np.ndarray, payload: Sequence[pa.Array], names: Sequence[str]) -> None:
         step = max(1, SLAB // max(1, len(vectors)))
-        q_parts, c_parts, s_parts = [], [], []
+        q_parts, c_parts, s_parts, by_key = [], [], [], None
         for lo in range(0, len(self.queries), step):
             sims = self.queries[lo:lo + step] @ vectors.T
             floor = self.floor[lo:lo + step] - SLACK
             better = sims >= floor[:, None]
             crowded = np.nonzero(better.sum(axis=1) > 4 * self.k)[0]
             if len(crowded):
-                place = sims.shape[1] - self.k
-                kth = np.partition(sims[crowded], place, axis=1)[:, place]
-                better[crowded] &= sims[crowded] >= (kth - SLACK)[:, None]
+                by_key = pc.sort_indices(keys).to_numpy() if by_key is None else by_key
+                better[crowded] = self._best_of(np.round(sims[crowded], KEEP_DECIMALS), by_key)
             q, c = np.nonzero(better)
             q_parts.append(q + lo)
             c_parts.append(c)
@@ -104,6 +104,16 @@ class _Best:
         self.rows = found if self.rows is None else pa.concat_tables([self.rows, found])
         self._prune()
 
+    def _best_of(self, sims: np.ndarray, by_key: np.ndarray) -> np.ndarray:
+        """Which similarities of each row can be among its best ``k``: all above the k-th largest, and of those equal
+        to it the ``k`` with the smallest keys. So a crowd of equal vectors never leaves this product."""
+        place = sims.shape[1] - self.k
+        kth = np.partition(sims, place, axis=1)[:, place:place + 1]
+        tied = (sims == kth)[:, by_key]
+        chosen = sims > kth
+        chosen[:, by_key] |= tied & (np.cumsum(tied, axis=1) <= self.k)
+        return chosen
+
     def _prune(self) -> None:
         table = self.rows.combine_chunks().sort_by([("q", "ascending"), ("sim", "descending"), ("key", "ascending")])
         q = table["q"].to_numpy()

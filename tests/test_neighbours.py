@@ -134,3 +134,21 @@ def test_column_expressions(spark):
     got = df.select(fv.cosine(F.col("a"), F.col("b")), fv.unit(F.col("a")), fv.usable(F.col("a"))).collect()
     assert got[0][0] == pytest.approx(0.96) and got[0][1] == pytest.approx([0.6, 0.8]) and got[0][2]
     assert [tuple(r) for r in got[1:]] == [(None, None, False), (None, None, False)]
+
+
+def test_a_crowd_of_equal_vectors_stays_inside_the_product():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    vectors = unit(np.vstack([np.tile(rng.normal(size=(1, 8)), (4000, 1)), rng.normal(size=(1000, 8))]))
+    best = nn._Best(unit(rng.normal(size=(50, 8))), 5)
+    keys = pa.array([f"K{i:05d}" for i in rng.permutation(5000)])
+    chosen = best._best_of(np.round(best.queries @ vectors.T, 12), np.argsort(keys.to_numpy(zero_copy_only=False)))
+    assert chosen.sum(axis=1).max() <= 10
+    best.add(keys, vectors, [], [])
+    got = best.rows.to_pandas()
+    for q, rows in got.groupby("q"):
+        sims = np.round(best.queries[q] @ vectors.T, 12)
+        expected = sorted(zip(-sims, keys.to_pylist()))[:5]
+        assert list(rows["key"]) == [k for _, k in expected]
