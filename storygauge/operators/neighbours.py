@@ -87,10 +87,15 @@ class _Best:
             sims = self.queries[lo:lo + step] @ vectors.T
             floor = self.floor[lo:lo + step] - SLACK
             better = sims >= floor[:, None]
-            crowded = np.nonzero(better.sum(axis=1) > 4 * self.k)[0]
-            if len(crowded):
-                by_key = pc.sort_indices(keys).to_numpy() if by_key is None else by_key
-                better[crowded] = self._best_of(np.round(sims[crowded], KEEP_DECIMALS), by_key)
+            many = np.nonzero(better.sum(axis=1) > 4 * self.k)[0]
+            if len(many):
+                place = sims.shape[1] - self.k
+                kth = np.partition(sims[many], place, axis=1)[:, place]
+                better[many] = sims[many] >= (kth - SLACK)[:, None]
+                crowded = many[better[many].sum(axis=1) > 4 * self.k]
+                if len(crowded):
+                    by_key = pc.sort_indices(keys).to_numpy() if by_key is None else by_key
+                    better[crowded] = self._best_of(np.round(sims[crowded], KEEP_DECIMALS), by_key)
             q, c = np.nonzero(better)
             q_parts.append(q + lo)
             c_parts.append(c)
