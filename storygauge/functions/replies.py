@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from storygauge.functions.text import strip
+from storygauge.functions.text import UNICODE, strip
 from storygauge.schemas import HALLUCINATION_LABELS
 
 # --- fixed values: patterns and character swaps of the repair and of the point-claim test ---------
@@ -20,14 +20,14 @@ POINT_CLAIM = r"(?i)(?:story\s*points?|estimate(?:d)?(?:\s+at)?)\s*[:=]?\s*(\d+)
 
 
 def drop_trailing_commas(text: Column) -> Column:
-    return F.regexp_replace(text, TRAILING_COMMA, "$1")
+    return F.regexp_replace(text, UNICODE + TRAILING_COMMA, "$1")
 
 
 def repair_json(text: Column) -> Column:
     """Turn the usual slips of generated JSON into valid JSON, as far as text rules can."""
     fixed = F.translate(drop_trailing_commas(strip(text)), *CURLY_QUOTES)
     for word, literal in LITERAL_WORDS:
-        fixed = F.regexp_replace(fixed, rf"\b{word}\b", literal)
+        fixed = F.regexp_replace(fixed, rf"{UNICODE}\b{word}\b", literal)
     return F.regexp_replace(fixed, SINGLE_QUOTED, '"$1"')
 
 
@@ -78,7 +78,7 @@ def json_object(raw: Column) -> Column:
     it stands already yields the first closed object, and the character fold only runs on what is left.
     """
     reply = F.coalesce(raw, F.lit(""))
-    fenced = F.nullif(F.regexp_extract(reply, FENCED_OBJECT, 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(reply, UNICODE + FENCED_OBJECT, 1), F.lit(""))
     widest = F.nullif(F.regexp_extract(reply, WIDEST_OBJECT, 0), F.lit(""))
     return F.coalesce(
         _first_object(fenced, repair_json(fenced), widest),
@@ -130,7 +130,7 @@ def label_of(raw: Column) -> Column:
 
 def claimed_points(text: Column) -> Column:
     """Digits that follow the first mention of points or of an estimate; NULL without such a claim."""
-    digits = F.regexp_extract(F.coalesce(text, F.lit("")), POINT_CLAIM, 1)
+    digits = F.regexp_extract(F.coalesce(text, F.lit("")), UNICODE + POINT_CLAIM, 1)
     return F.nullif(digits, F.lit(""))
 
 

@@ -12,6 +12,7 @@ WHITESPACE = (
 WHITESPACE_CLASS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"  # the same code points as a pattern
 ISSUE_KEY_PATTERN = r"\b([A-Z][A-Z0-9]+-\d+)\b"
 # ------------------------------------------------------------------------------------------------
+UNICODE = "(?U)"  # letters, digits, spaces and word edges of patterns are those of Unicode
 
 
 def strip(col: Column) -> Column:
@@ -72,7 +73,7 @@ def leading_snippet(col: Column, limit: int = 500) -> Column:
 
 def issue_keys_in(col: Column) -> Column:
     """Distinct tracker keys mentioned in a text, in upper case."""
-    found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(ISSUE_KEY_PATTERN), 1)
+    found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(UNICODE + ISSUE_KEY_PATTERN), 1)
     return F.array_distinct(F.transform(found, F.upper))
 
 

@@ -56,8 +56,8 @@ def test_snippet_keeps_the_limit_before_the_dots(one):
 
 
 def test_issue_keys(one):
-    got = one(["see AB-1, AB-1 and XY2-33; not ab-2, A-1 or AB-x", None], ft.issue_keys_in)
-    assert got == [["AB-1", "XY2-33"], []]
+    got = one(["see AB-1, AB-1 and XY2-33; not ab-2, A-1 or AB-x", "éAB-1 «CD-2»", None], ft.issue_keys_in)
+    assert got == [["AB-1", "XY2-33"], ["CD-2"], []]
 
 
 def test_embedding_text_with_and_without_title(spark):
