@@ -142,7 +142,7 @@ RAG = f"""{ESTIMATES}, rag AS (
         FROM estimates e JOIN vectors v ON v.issue_key = e.query_key
         JOIN neighbours n ON n.query_key = e.query_key AND n.rank = 1))"""
 TICKETS = f"""tickets AS (SELECT {key('doc_id')} AS issue_key, doc_id, source AS project, lang AS issue_type,
-  split_part(text, chr(10), 1) AS title, text AS description,
+  {views.TICKET_TITLE} AS title, text AS description,
   CASE WHEN n_chars % 90 = 0 THEN 0 ELSE {snap('CAST(n_chars % 90 AS DOUBLE) / 4')} END AS actual_story_points FROM documents)"""
 
 
@@ -183,8 +183,8 @@ ORACLES["cosine_of_successors"] = """SELECT a.vec_id, round(list_cosine_similari
 ORACLES["unit_vectors"] = f"""WITH {QUERY_VECTORS} SELECT query_key, round(len_, 6) AS length, CAST(1 AS DOUBLE) AS unit_length,
   round(query_vector[1] / len_, 6) AS first
   FROM (SELECT *, sqrt(list_inner_product(query_vector, query_vector)) AS len_ FROM queries)"""
-ORACLES["vector_quality"] = """SELECT (SELECT count(*) FROM embeddings) + (SELECT count(*) FROM conversations) AS total,
-  (SELECT count(*) FROM conversations) AS missing, CAST(0 AS BIGINT) AS zero, (SELECT count(*) FROM embeddings) AS usable"""
+ORACLES["vector_quality"] = """SELECT 2 * (SELECT count(*) FROM embeddings) + (SELECT count(*) FROM conversations) AS total,
+  (SELECT count(*) FROM conversations) AS missing, (SELECT count(*) FROM embeddings) AS zero, (SELECT count(*) FROM embeddings) AS usable"""
 ORACLES["lookup_answers"] = f"""WITH subs AS ({view(views.SUBMISSIONS)}), {TICKETS},
 asked AS (SELECT doc_id AS query_key, {strip('description')} AS body FROM subs WHERE {strip('description')} <> ''),
 q AS (SELECT query_key, {letters('body')} AS query_vector FROM asked),
@@ -351,8 +351,7 @@ ORACLES["confidence_labels"] = f"""WITH {ESTIMATES} SELECT CASE WHEN rag_confide
 FLAT = strip("replace(text, chr(10), ' ')")
 ORACLES["shortened_texts"] = f"""SELECT doc_id, CASE WHEN length({FLAT}) <= 300 THEN {FLAT} ELSE substr({FLAT}, 1, 297) || '...' END AS one_line,
   CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS snippet, {words('text')} AS words FROM documents"""
-ORACLES["mentioned_keys"] = f"""SELECT * FROM (SELECT doc_id, array_to_string(list_sort({keys_in('text')}), ',') AS keys FROM documents)
-  WHERE keys <> ''"""
+ORACLES["mentioned_keys"] = f"""SELECT doc_id, array_to_string(list_sort({keys_in(views.MENTIONS)}), ',') AS keys FROM documents"""
 ORACLES["embedding_texts"] = f"""WITH subs AS ({view(views.SUBMISSIONS)}) SELECT doc_id, md5(CASE WHEN {strip('title')} <> ''
   THEN {strip('title')} || chr(10) || chr(10) || {strip('description')} ELSE {strip('description')} END) AS with_title,
   md5({strip('description')}) AS plain FROM subs"""
@@ -545,7 +544,7 @@ ORACLES["rubric_rates"] = f"""WITH {RUBRIC}, t AS (SELECT count(*) AS labeled, (
     f"""SELECT '{c}' AS rubric, CAST(sum({c}) AS BIGINT) AS positive, any_value(labeled) AS labeled, any_value(unlabeled) AS unlabeled,
   round(avg({c}), 6) AS rate, any_value(mean_rate) AS mean_rate FROM done, t""" for c in RUBRIC_COLUMNS)
 ORACLES["subtask_sheet"] = f"WITH {SUBTASKS} SELECT issue_key, ticket_title, subtask_title, subtask_reasoning, '' AS label FROM subtasks"
-LABELLED = """labelled AS (SELECT 'T-' || doc_id % 97 AS issue_key, CASE doc_id % 6 WHEN 0 THEN 'grounded' WHEN 1 THEN 'inferred'
+LABELLED = """labelled AS (SELECT 'T-' || doc_id // 4 AS issue_key, CASE doc_id % 6 WHEN 0 THEN 'grounded' WHEN 1 THEN 'inferred'
   WHEN 2 THEN 'hallucinated' END AS label FROM documents)"""
 ORACLES["valid_labels"] = f"WITH {LABELLED} SELECT issue_key, count(*) AS n FROM labelled WHERE label IS NOT NULL GROUP BY 1"
 ORACLES["label_rates"] = f"WITH {LABELLED} " + " UNION ALL ".join(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from standins.stubs import LETTERS, scripted_generator, scripted_labeller
 from standins.views import (
-    BACKLOG, LABEL_REPLIES, MIN_SIMILARITY, REPLIES, REWRITES, RUBRIC_SHEET, SUBMISSIONS, Tables,
+    BACKLOG, LABEL_REPLIES, MENTIONS, MIN_SIMILARITY, REPLIES, REWRITES, RUBRIC_SHEET, SUBMISSIONS, Tables,
     vector_key,
 )
 from storygauge import schemas
@@ -122,8 +122,9 @@ def unit_vectors(t):
 
 @query
 def vector_quality(t):
-    stored = t.vectors().select("embedding").unionByName(t.view(REWRITES).select("embedding"))
-    return nn.vector_quality(stored)
+    vectors = t.vectors().select("embedding")
+    zeros = vectors.select(F.transform("embedding", lambda x: (x * 0).cast("float")).alias("embedding"))
+    return nn.vector_quality(vectors.unionByName(zeros).unionByName(t.view(REWRITES).select("embedding")))
 
 
 @query
@@ -432,8 +433,8 @@ def shortened_texts(t):
 
 @query
 def mentioned_keys(t):
-    keys = ft.issue_keys_in(F.col("text"))
-    return t.table("documents").select("doc_id", F.array_join(F.array_sort(keys), ",").alias("keys")).filter("keys <> ''")
+    keys = ft.issue_keys_in(F.expr(MENTIONS))
+    return t.table("documents").select("doc_id", F.array_join(F.array_sort(keys), ",").alias("keys"))
 
 
 @query
@@ -705,7 +706,7 @@ def subtask_sheet(t):
 def _labelled(t: Tables) -> DataFrame:
     replies = t.view(LABEL_REPLIES)
     return replies.select(
-        F.concat(F.lit("T-"), (F.col("doc_id") % 97).cast("string")).alias("issue_key"), fr.label_of(F.col("raw")).alias("label")
+        F.concat(F.lit("T-"), F.floor(F.col("doc_id") / 4).cast("string")).alias("issue_key"), fr.label_of(F.col("raw")).alias("label")
     )
 
 

@@ -19,7 +19,8 @@ SELECT doc_id AS ID,
        ELSE upper(source) || '-' || CAST(doc_id AS STRING) END AS Issue_Key,
   doc_id % 30 AS Project_ID,
   CASE WHEN doc_id % 37 = 0 THEN NULL ELSE lang END AS Type,
-  repeat('"', CAST(doc_id % 3 AS INT)) || split_part(text, chr(10), 1) || repeat('"', CAST(doc_id % 4 AS INT)) AS Title,
+  CASE WHEN doc_id % 41 = 0 THEN NULL WHEN doc_id % 43 = 0 THEN chr(9)
+       ELSE repeat('"', CAST(doc_id % 3 AS INT)) || split_part(text, chr(10), 1) || repeat('"', CAST(doc_id % 4 AS INT)) END AS Title,
   text AS Description,
   CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN '" "' WHEN doc_id % 31 = 0 THEN chr(10) || ' '
        ELSE text END AS Description_Text,
@@ -73,6 +74,16 @@ SELECT doc_id, CASE WHEN doc_id % 12 = 5 THEN ' ' ELSE ' ' || source || ' ' END
   CASE WHEN doc_id % 20 = 7 THEN chr(9) ELSE text || chr(10) END AS description
 FROM {documents}
 """
+# Titles open with words the keyword estimator knows.
+TICKET_TITLE = """
+CASE CAST(doc_id % 7 AS INT) WHEN 0 THEN 'Rewrite ' WHEN 1 THEN 'Fix ' WHEN 2 THEN 'Implement ' WHEN 3 THEN 'Migrate and add '
+  WHEN 4 THEN 'Framework: ' ELSE '' END || split_part(text, chr(10), 1)
+"""
+# Every document mentions two keys, one of them of another project.
+MENTIONS = """
+text || ' See ' || upper(source) || '-' || CAST(doc_id AS STRING) || ', X' || CAST(doc_id % 3 AS STRING) || '-' ||
+CAST(doc_id % 7 AS STRING) || ' and ' || upper(source) || '-' || CAST(doc_id AS STRING) || '; not ' || lang || '-1.'
+"""
 # A reply per document: plain, fenced, with slips to repair, two objects, an array, cut off, without JSON.
 REPLIES = """
 SELECT doc_id, CAST(doc_id % 10 AS INT) AS form,
@@ -193,7 +204,7 @@ class Tables:
             vector_key(F.col("doc_id")).alias("issue_key"),
             "doc_id",
             F.col("source").alias("project"), F.col("lang").alias("issue_type"),
-            F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"),
+            F.expr(TICKET_TITLE).alias("title"), F.col("text").alias("description"),
             F.when(F.col("n_chars") % 90 == 0, 0).otherwise(snap_to_scale((F.col("n_chars") % 90).cast("double") / 4))
             .alias("actual_story_points"),
         )
