@@ -18,6 +18,7 @@ from storygauge.operators import (
     cleaning, encode, estimate, generate, ingest, metrics, neighbours as nn, profile, review, sampling,
 )
 from storygauge.plans import evaluate, export, ingest as ingest_job, lookup
+from storygauge.session import shared_folder
 from storygauge.sources import files, tables, vectors as vector_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,9 +36,8 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/storygauge"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder of the session."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(t: Tables, df: DataFrame, name: str) -> DataFrame:

@@ -26,21 +26,24 @@ def build_session(app: str = "storygauge", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder, so a lost executor costs no rework.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for staged data that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. A private folder is made only
-    where none is named, as in unit tests.
+    A private folder is made only where none is named, as in unit tests; on a cluster that is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="storygauge-")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder, so that a lost executor costs no rework."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="storygauge-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
