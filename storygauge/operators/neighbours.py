@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from storygauge.functions.rounding import round_exact
 from storygauge.functions.similarity import unit, usable
 from storygauge.schemas import DEFAULT_NEIGHBOURS, MAX_NEIGHBOURS
-from storygauge.session import durable
+from storygauge.session import durable, staged_keys
 
 BROADCAST_BYTES = 64 << 20  # query vectors that may be sent to every task
 BROADCAST_ROWS = 500_000  # neighbour rows that may be
@@ -239,12 +239,12 @@ def _blocks(rows: int | Column, block_rows: int) -> Column:
 def _with_block_counts(queries: DataFrame, corpus: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with the block counts of their cell; cells found on one side only drop out.
 
-    The table of counts has one row per cell. The number of cells is an argument of the index, which bounds it.
+    The table of counts has one row per cell.
     """
     size = F.count(F.lit(1)).alias("n")
     q = queries.groupBy("cell").agg(size).select("cell", _blocks(F.col("n"), block_rows).alias("q_blocks"))
     c = corpus.groupBy("cell").agg(size).select("cell", _blocks(F.col("n"), block_rows).alias("c_blocks"))
-    counts = F.broadcast(durable(q.join(c, "cell")))
+    counts, _ = staged_keys(q.join(c, "cell"))
     return queries.join(counts, "cell"), corpus.join(counts, "cell")
 
 

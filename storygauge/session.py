@@ -47,11 +47,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged_keys(keys: DataFrame, limit: int = BROADCAST_KEYS) -> tuple[DataFrame, bool]:
+def staged_keys(keys: DataFrame) -> tuple[DataFrame, bool]:
     """A narrow table staged by ``durable``, and whether it was counted to be small enough to broadcast.
 
     If so it comes with the hint, so that a join against it leaves the other side where it is.
     """
     staged = durable(keys)
-    small = staged.limit(limit + 1).count() <= limit
+    small = staged.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     return (F.broadcast(staged) if small else staged), small

@@ -48,11 +48,8 @@ def test_rounding_follows_the_stored_number(one):
 
 
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.floats(-1e6, 1e6), min_size=50, max_size=200))
-def test_rounding_property(values):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+@given(values=st.lists(st.floats(-1e6, 1e6), min_size=50, max_size=200))
+def test_rounding_property(spark, values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
     got = [r[0] for r in df.select(rounding.round_exact(F.col("v"), 4)).collect()]
     assert got == [round(v, 4) for v in values]
