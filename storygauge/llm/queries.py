@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storygauge.llm import exact_dedup, sharding
+from storygauge.llm import exact_dedup, mixing, sharding
 from storygauge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,9 @@ def op2_ring_shards(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op3_exact_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, directory))
+
+
+@query
+def op5_pareto_mix(spark: SparkSession, directory: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, directory))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
