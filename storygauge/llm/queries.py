@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storygauge.llm import exact_dedup, mixing, sharding
+from storygauge.llm import exact_dedup, fingerprints, mixing, sharding
 from storygauge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,12 @@ def op3_exact_duplicates(spark: SparkSession, directory: str) -> DataFrame:
 def op5_pareto_mix(spark: SparkSession, directory: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, directory))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query
+def op1_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    made = fingerprints.with_edited(documents(spark, directory))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fingerprints.as_hex(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
