@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storygauge.llm import exact_dedup, fingerprints, mixing, sharding
+from storygauge.llm import exact_dedup, fingerprints, mixing, private_data, sharding
 from storygauge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,13 @@ def op1_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fingerprints.as_hex(F.col("fingerprint")).alias("fingerprint"),
         fingerprints.as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+@query
+def op6_private_data(spark: SparkSession, directory: str) -> DataFrame:
+    found = private_data.find_private(documents(spark, directory))
+    counts = [private_data.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in private_data.PATTERNS]
+    return found.select(
+        "doc_id", *counts, F.sha2(private_data.listed(F.col("base")), 256).alias("base_sha256"),
+        private_data.listed(F.col("spans")).alias("spans"),
+    )
