@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storygauge.llm import exact_dedup, fingerprints, mixing, private_data, sharding
+from storygauge.llm import exact_dedup, fingerprints, mixing, packing, private_data, sharding
 from storygauge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op6_private_data(spark: SparkSession, directory: str) -> DataFrame:
         "doc_id", *counts, F.sha2(private_data.listed(F.col("base")), 256).alias("base_sha256"),
         private_data.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op8_tiered_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(documents(spark, directory))
