@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storygauge.llm import exact_dedup, fingerprints, lang_id, mixing, packing, private_data, sharding
+from storygauge.llm import exact_dedup, fingerprints, lang_id, mixing, near_dedup, packing, private_data, sharding
 from storygauge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op8_tiered_packing(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
     return lang_id.identify(documents(spark, directory))
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, directory))
