@@ -115,13 +115,13 @@ def as_hex(packed: Column) -> Column:
     return F.lower(F.array_join(F.transform(packed, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-KEY = ("_unnamed", "_id", "_md5")
+KEY = ("_unnamed", "_number", "_md5")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select(
-        F.col("doc_id").isNull().alias("_unnamed"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.unhex(F.md5("text")).alias("_md5"),
-        "doc_id", "text",
+        F.col("doc_id").isNull().alias("_unnamed"), F.coalesce("doc_id", F.lit(0)).alias("_number"), F.unhex(F.md5("text")).alias("_md5"),
+        "text",
     )
 
 
@@ -154,7 +154,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
     )
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("_half")).cast("int"))
     edited = source.join(begun, list(KEY)).select(
-        "doc_id", "n_chars", "fingerprint", "near_next", F.concat(kept, F.col("_beginning")).alias("edited_text"),
+        F.when(~F.col("_unnamed"), F.col("_number")).alias("doc_id"), "n_chars", "fingerprint", "near_next", F.concat(kept, F.col("_beginning")).alias("edited_text"),
     )
     printed = edited.withColumn("edited_fingerprint", fingerprint(F.col("edited_text")))
     return printed.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
