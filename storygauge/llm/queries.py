@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storygauge.llm import exact_dedup, fingerprints, lang_id, mixing, near_dedup, packing, private_data, sharding
+from storygauge.llm import exact_dedup, fingerprints, lang_id, mixing, near_dedup, packing, private_data, sharding, toxicity
 from storygauge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, directory))
+
+
+@query
+def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, directory), spark.read.parquet(f"{directory}/labels.parquet"))

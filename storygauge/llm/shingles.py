@@ -30,11 +30,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+WHITE = np.zeros(256, bool)  # bytes between words
+WHITE[[32, 9, 10, 11, 12, 13]] = True
+
+
 class Words:
     """Hashes of all words of a chunk of texts, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, up: np.ndarray, down: np.ndarray):
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, up: np.ndarray, down: np.ndarray, between: np.ndarray = WHITE):
+        blank = between[data]
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True
         before = np.concatenate(([True], blank))[:-1] | first[:-1] if len(data) else blank
@@ -42,7 +46,7 @@ class Words:
         starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], dtype=np.uint64)))
         self.hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-        self.places = np.searchsorted(starts, offsets)
+        self.starts, self.ends, self.places = starts, ends, np.searchsorted(starts, offsets)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the shingle that starts at each word; only those that end in the same text are meant to be used."""
@@ -55,27 +59,33 @@ class Words:
         return mixed(total), self.places
 
 
-def of_texts(column: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
-    """For each text its shingle hashes, repeats included, and a 128-bit digest of its sequence of words.
-
-    Words are runs of other than white space. Fewer than five words are one shingle; no words are none. Nulls are empty.
-    """
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+def chunks(column: pa.Array, between: np.ndarray = WHITE, size: int = CHUNK) -> Iterator[Words]:
+    """The words of all texts, about ``size`` bytes of whole texts at a time."""
     if not len(column):
         return
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, place, held = column.buffers()
     offsets = np.frombuffer(place, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
-    begin, up, down = 0, *powers(CHUNK)
+    begin, up, down = 0, *powers(min(size, int(offsets[-1] - offsets[0])))
     while begin < len(column):
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + CHUNK, "right")) - 1)
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, "right")) - 1)
         chunk, at = data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin]
-        if len(chunk) > len(up) - 1:
-            words = Words(chunk, at, *powers(len(chunk)))
-        else:
-            words = Words(chunk, at, up, down)
+        sides = (up, down) if len(chunk) < len(up) else powers(len(chunk))
+        words = Words(chunk, at, *sides, between)
+        words.data = chunk
+        yield words
+        begin = end
+
+
+def of_texts(column: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
+    """For each text its shingle hashes, repeats included, and a 128-bit digest of its sequence of words.
+
+    Words are runs of other than white space. Fewer than five words are one shingle; no words are none. Nulls are empty.
+    """
+    for words in chunks(column):
         shingles, places = words.shingles()
-        for i in range(end - begin):
+        for i in range(len(places) - 1):
             a, b = places[i], places[i + 1]
             own = words.hashes[a:b]
             if b - a >= SIZE:
@@ -85,4 +95,3 @@ def of_texts(column: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
             else:
                 found = own
             yield found, hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-        begin = end
