@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from storygauge.llm.license_texts import LICENSES, NOTICES, SPELLINGS
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op3_exact_duplicates"] = r"""
@@ -12,3 +14,33 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = min(doc_id) OVER same AS kept, sha256(body) AS text_sha256
 FROM t WINDOW same AS (PARTITION BY body)
 """
+
+
+def _canonical(text: str) -> str:
+    kept = rf"regexp_replace({text}, '(?im)^[^\p{{L}}\p{{N}}\n]*(?:\(c\)|copyright|©)[^\n]*$', '', 'g')"
+    out = rf"(' ' || trim(regexp_replace(lower({kept}), '[^\p{{L}}\p{{N}}]+', '  ', 'g')) || ' ')"
+    for spelling, usual in SPELLINGS:
+        out = f"replace({out}, ' {spelling} ', ' {usual} ')"
+    return out
+
+
+def _known() -> str:
+    rows = [(n, t) for n, _, t in LICENSES] + [(n, f"{title}\n\n{t}") for n, title, t in LICENSES] + NOTICES
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in rows)
+
+
+ORACLES["op4_license_scan"] = f"""
+WITH k AS (
+  SELECT md5({_canonical("t")}) AS digest, min(n) AS license FROM (VALUES {_known()}) AS v(n, t) GROUP BY 1
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS body, md5({_canonical("coalesce(text, '')")}) AS digest FROM documents
+), l AS (
+  SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM d
+), m AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM (SELECT doc_id, md5({_canonical("line")}) AS digest FROM l WHERE line <> '') JOIN k USING (digest) GROUP BY doc_id
+)
+SELECT d.doc_id, d.digest, CASE WHEN d.digest <> md5('  ') THEN license END AS license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN k USING (digest) LEFT JOIN m ON m.doc_id = d.doc_id
+"""

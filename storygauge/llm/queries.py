@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from storygauge.llm import exact_dedup, fingerprints, lang_id, mixing, near_dedup, packing, private_data, sharding, toxicity
+from storygauge.llm import (
+    exact_dedup, fingerprints, lang_id, licenses, mixing, near_dedup, packing, private_data, sharding, toxicity,
+)
 from storygauge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +75,8 @@ def op10_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, directory), spark.read.parquet(f"{directory}/labels.parquet"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.scan(documents(spark, directory))
