@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storygauge.llm.common import let, small_side, staged, texts, BROADCAST_ROWS
+from storygauge.llm.common import let, small_side, staged, texts
 from storygauge.session import durable
 
 # Possessive repeats match what greedy ones do here and need no stack on long runs of digits or labels. A card has 14
@@ -143,14 +143,10 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, total: int, generalise_a
     entities = sets.groupBy("entity").agg(F.sum("_docs").alias("d_e"))
     pairs = sets.select("entity", "_docs", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
         F.sum("_docs").alias("d_et"), F.count(F.lit(1)).alias("_support"))
-    likely, _ = staged(pairs.filter(F.col("_support") >= support).drop("_support"))
-    terms, count = staged(likely.select("term").distinct())
-    words = texts(docs).select(F.explode(words_in(F.col("text"))).alias("term"))
-    if count <= BROADCAST_ROWS:
-        held = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
-    else:  # count all words first, so that only one row a word and task is shuffled
-        held = words.groupBy("term").agg(F.count(F.lit(1)).alias("d_t")).join(terms, "term", "left_semi")
-    counted = likely.join(durable(held), "term").join(entities, "entity")
+    likely = durable(pairs.filter(F.col("_support") >= support).drop("_support"))
+    words = texts(docs).select(F.explode(words_in(F.col("text"))).alias("term"))  # one row a word and task is shuffled
+    held = words.groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
+    counted = likely.join(held.join(likely.select("term").distinct(), "term", "left_semi"), "term").join(entities, "entity")
     n, d_et = F.lit(float(total)), F.least("d_et", "d_t").cast("double")
     ratio = F.when(F.col("d_e") < n, F.log(n * d_et / (F.col("d_e") * F.col("d_t"))) / F.log(n / F.col("d_e")))
     return counted.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise_at)
