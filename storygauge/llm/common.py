@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -47,3 +49,11 @@ def small_side(kept: DataFrame, rows: int) -> DataFrame:
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty) with further columns named; other columns never reach an operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
+
+
+def per_process(name: str, make: Callable[[], object]) -> object:
+    """A value that a Python worker makes once and keeps for all its tasks, whose code arrives anew with each task."""
+    held = sys.modules.setdefault("_corpus_worker", types.ModuleType("_corpus_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]

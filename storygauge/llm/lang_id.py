@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storygauge.llm.common import unit_interval
+from storygauge.llm.common import per_process, unit_interval
 
 FEATURES = 1 << 14
 ORDERS = 3
@@ -27,14 +27,11 @@ PER_CLASS = 1_000  # labelled rows of a language that are learned from, at most
 MOST_CLASSES = 200  # languages that are learned, the most frequent first
 UNDETERMINED = "und"
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
-_letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
     """For each code point whether it is a letter; built once a process."""
-    if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+    return per_process("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def characters(text: str | None) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from storygauge.llm.common import texts
+from storygauge.llm.common import per_process, texts
 
 END, LONGEST, TIERS = 1, 2048, (2048, 1024, 512, 256)
 STEP_TOKENS = 16 * LONGEST
@@ -35,19 +35,19 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long, step_group long"
 )
-_encoders: dict[str, object] = {}
 
 
 def encoder(path: str | None = None):
     """The encoder of a rank file, by default the public 50k byte-level vocabulary; one a worker process."""
-    if path not in _encoders:
+    def make():
         import public_tokenizers
         import tiktoken
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return per_process(f"encoder {path}", make)
 
 
 class Packer:
@@ -102,13 +102,12 @@ class Packer:
         keep = 0 if last else BUFFER // 8
         for tier, shorter in zip(self.tiers, [*self.tiers[1:], 0]):
             while self.pool and self.pool[-1][0] > shorter and self.held >= max(tier, keep):
-                first = self.take(len(self.pool) - 1)
-                sequence = [first]
-                self.fill(sequence, tier - first[0])
+                sequence: list[tuple] = []
+                self.fill(sequence, tier)
                 self.close(sequence)
         while last and self.held:
             size = 1 << min(self.held.bit_length() - 1, self.tiers[0].bit_length() - 1)
-            sequence: list[tuple] = []
+            sequence = []
             self.fill(sequence, size)
             self.close(sequence)
 
