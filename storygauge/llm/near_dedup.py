@@ -225,7 +225,7 @@ def block_similarities(left: list[tuple], right: list[tuple]) -> np.ndarray:
         shingle = np.concatenate([np.repeat(f, c) for f, c, _ in side])
         weight = np.concatenate([np.repeat(w, c) for _, c, w in side]).astype(np.float32)
         level = np.concatenate([np.concatenate([np.arange(k) for k in c]) if c.max(initial=1) > 1 else np.zeros(len(c), np.int64) for _, c, _ in side])
-        return row, shingles.mixed(shingle + level.astype(np.uint64)) if level.any() else shingles.mixed(shingle), weight
+        return row, shingles.mixed(shingle + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), weight
 
     (row_l, feature_l, weight_l), (row_r, feature_r, _) = entries(left), entries(right)
     common = np.intersect1d(feature_l, feature_r)
