@@ -15,7 +15,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storygauge.llm.common import SPACES, let, staged, texts
+from storygauge.llm.common import SPACES, let, texts
 from storygauge.operators.ingest import number_rows
 from storygauge.session import durable
 
@@ -136,16 +136,16 @@ def with_edited(docs: DataFrame) -> DataFrame:
     source = _keyed(docs)
     rows = durable(source.select(*KEY, F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint")))
     total = rows.count()
-    single, kinds = staged(rows.dropDuplicates(list(KEY)))
-    numbered = durable(number_rows(single, [F.col(k) for k in KEY], "_n"))
+    numbered = number_rows(rows.dropDuplicates(list(KEY)), [F.col(k) for k in KEY], "_n")
+    kinds = numbered.count()
     after = numbered.select(
         F.when(F.col("_n") == 1, F.lit(kinds)).otherwise(F.col("_n") - 1).alias("_n"),
         *[F.col(k).alias(f"_next{k}") for k in KEY], F.col("fingerprint").alias("_next_print"),
     )
-    links = durable(numbered.join(after, "_n").select(
+    links = numbered.join(after, "_n").select(
         *KEY, "n_chars", "fingerprint", F.expr("n_chars div 2").alias("_half"), *[f"_next{k}" for k in KEY],
         likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"),
-    ))
+    )
     nexts = source if kinds == total else source.dropDuplicates(list(KEY))
     begun = nexts.join(links.select(*[F.col(f"_next{k}").alias(k) for k in KEY], *[F.col(k).alias(f"_of{k}") for k in KEY], "_half", "n_chars", "fingerprint", "near_next"), list(KEY))
     begun = begun.select(
