@@ -1,0 +1,90 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from storygauge.llm import lang_id
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, messy):
+    from storygauge.llm.common import documents
+
+    return documents(spark, TABLES)
+
+
+@pytest.fixture(scope="module")
+def found(docs):
+    return {r.doc_id: r for r in lang_id.identify(docs).collect()}
+
+
+def test_held_out_accuracy(docs, found):
+    rows = docs.select("doc_id", "lang").collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert {r.doc_id for r in held} == {i for i, r in found.items() if r.held_out} and len(found) == len(rows)
+    assert sum(found[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.98
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_labels_of_held_out_rows_teach_nothing(docs, found):
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    changed = docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("s"))
+    again = {r.doc_id: r for r in lang_id.identify(changed).collect()}
+    assert again == found
+
+
+def test_scores_are_calibrated(docs, found):
+    rows = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in found.values() if r.held_out]
+    mean, right = np.mean([r.score for r in held]), np.mean([r.lang_pred == rows[r.doc_id] for r in held])
+    assert abs(mean - right) < 0.03
+
+
+def test_ngrams_against_plain_python():
+    points = lang_id.characters("Ab-c  é1漢!")
+    assert "".join(map(chr, points)) == " ab c é 漢 "
+    present, counts = lang_id.ngram_counts(points)
+    assert counts.sum() == sum(len(points) - k for k in range(lang_id.ORDERS))
+    assert len(lang_id.characters("12 ?!")) == 0 and len(lang_id.characters(None)) == 0
+    again = lang_id.ngram_counts(lang_id.characters("ab c é 漢"))
+    assert (again[0] == present).all() and (again[1] == counts).all()
+
+
+def test_training_separates_and_is_sparse():
+    draw = np.random.default_rng(0)
+    samples = []
+    for _ in range(300):
+        y = int(draw.integers(0, 3))
+        own = draw.integers(y * 50, y * 50 + 50, 10)
+        noise = draw.integers(1000, 3000, 5)
+        present, counts = np.unique(np.concatenate((own, noise)), return_counts=True)
+        samples.append((present, counts, y))
+    model = lang_id.train(["a", "b", "c"], np.ones(lang_id.FEATURES, np.float32), samples, l1=0.5)
+    right = [int(model.logits(p, c).argmax()) == y for p, c, y in samples]
+    assert np.mean(right) == 1.0
+    assert np.count_nonzero(model.weights[1000:3000]) < 0.2 * np.count_nonzero(model.weights)
+
+
+def test_temperature_lowers_the_loss():
+    model = lang_id.Model(["a", "b"], np.ones(lang_id.FEATURES, np.float32), np.zeros((lang_id.FEATURES, 2)), np.zeros(2))
+    model.weights[0] = (20, 0)
+    held = [(np.array([0]), np.array([1]), int(i % 4 == 0)) for i in range(400)]  # right three times in four
+    t = lang_id.calibrate(model, held)
+    sure = lang_id.softmax(model.logits(*held[0][:2]) / t)[0]
+    assert t > 1 and sure < 0.95
+
+
+def test_messy_and_empty(messy, nothing):
+    rows = lang_id.identify(messy).collect()
+    assert len(rows) == messy.count()
+    und = {r.doc_id for r in rows if r.lang_pred == "und"}
+    assert {5, 6, 7, 11, 14} <= und and all(r.score == 0 for r in rows if r.lang_pred == "und")
+    assert lang_id.identify(nothing).count() == lang_id.accepted(nothing).count() == 0
+    assert lang_id.accepted(messy).schema == messy.schema
+
+
+def test_accepted_keeps_clean_documents(docs):
+    assert lang_id.accepted(docs).count() >= docs.count() - 2
