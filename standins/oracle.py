@@ -5,14 +5,24 @@ from __future__ import annotations
 import string
 
 from standins import views
-from storygauge.functions.prompts import NO_RETRIEVAL_WARNING
-from storygauge.functions.replies import POINT_CLAIM
-from storygauge.functions.text import ISSUE_KEY_PATTERN, WHITESPACE, WHITESPACE_CLASS
-from storygauge.operators.estimate import LARGE_WORDS, MEDIUM_WORDS, SMALL_WORDS, STANDARD_SUBTASKS
-from storygauge.schemas import HALLUCINATION_LABELS, RUBRIC_COLUMNS, SCALE
 
 ORACLES: dict[str, str] = {}
 
+# --- fixed values, written out here so that a wrong one in the library shows ------------------------
+SCALE = (1, 2, 3, 5, 8, 13, 21)
+HALLUCINATION_LABELS = ('grounded', 'inferred', 'hallucinated')
+RUBRIC_COLUMNS = ('grounded', 'faithful_to_rag', 'comparative', 'no_hallucination', 'useful')
+NO_RETRIEVAL_WARNING = 'No similar tickets found in the vector store; estimate is based on ticket details only.'
+LARGE_WORDS = ('rewrite', 'migrate', 'real-time', 'collaborative', 'redesign', 'architecture', 'platform', 'framework', 'overhaul')
+MEDIUM_WORDS = ('implement', 'add', 'integrate', 'support', 'module', 'feature', 'api')
+SMALL_WORDS = ('fix', 'typo', 'rename', 'update text', 'log', 'tweak')
+STANDARD_SUBTASKS = (('Design and spike', 3, 'Investigate approach and risks.'), ('Core implementation', 8, 'Build the primary functionality.'), ('Tests and rollout', 3, 'Cover edge cases and ship safely.'))
+WHITESPACE = "\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0020\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE_CLASS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+ISSUE_KEY_PATTERN = r"\b([A-Z][A-Z0-9]+-\d+)\b"
+POINT_CLAIM = r"(?i)(?:story\s*points?|estimate(?:d)?(?:\s+at)?)\s*[:=]?\s*(\d+)"
+# ----------------------------------------------------------------------------------------------------
+
 
 def view(sql: str) -> str:
     return sql.format(float_array="FLOAT[]", **{t: t for t in views.TABLES})
@@ -364,7 +374,8 @@ SAME_STEM = "avg(CASE WHEN split_part(issue_key, '-', 1) = split_part(query_key,
 LINE = "string_agg(issue_key || ' (' || printf('%.2f', similarity) || ')', ', ' ORDER BY rank)"
 ORACLES["neighbour_lines"] = f"""WITH {NEIGHBOURS} SELECT query_key AS issue_key, CASE WHEN {BY_KEY} > 2 THEN {LINE} ELSE '' END AS line,
   CASE WHEN {BY_KEY} > 2 THEN round({SAME_STEM}, 6) END AS same_stem, split_part(query_key, '-', 1) AS stem FROM neighbours GROUP BY query_key"""
-ORACLES["odd_neighbour_json"] = f"SELECT doc_id, form = 5 AS some FROM ({view(views.REPLIES)})"
+ORACLES["odd_neighbour_json"] = f"SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '-:' || doc_id % 9 || ':0.5' WHEN 1 THEN 'K-' || doc_id || ':5:0.75' " \
+    "WHEN 2 THEN 'K:-:-|7:2:-' WHEN 3 THEN '' WHEN 4 THEN '' WHEN 5 THEN '' ELSE 'é:-:1.0' END AS items FROM documents"
 ORACLES["neighbour_examples"] = f"""WITH {NEIGHBOURS}, texts AS (SELECT issue_key, title, {strip("replace(description, chr(10), ' ')")} AS flat FROM vectors)
 SELECT query_key, md5(string_agg('- ' || issue_key || ' (' || story_points || ' SP, similarity ' || printf('%.2f', similarity) || '): ' ||
   coalesce(nullif(title, ''), 'Untitled') || ' — ' || CASE WHEN length(flat) <= 300 THEN flat ELSE substr(flat, 1, 297) || '...' END,
@@ -374,34 +385,37 @@ for _word, _literal in (("True", "true"), ("False", "false"), ("None", "null")):
     REPAIRED = f"regexp_replace({REPAIRED}, '\\b{_word}\\b', '{_literal}', 'g')"
 REPAIRED = f"""regexp_replace({REPAIRED}, '''([^''\\\\]*)''', '"\\1"', 'g')"""
 ORACLES["repaired_replies"] = f"SELECT doc_id, {REPAIRED} AS repaired FROM ({view(views.REPLIES)})"
-REPLY_FACTS = f"""facts AS (SELECT d.doc_id, form NOT IN (7, 8) AS found, CAST(n_chars % 25 AS DOUBLE) AS points,
-  (n_chars % 9 + 1) / CAST(10 AS DOUBLE) AS confidence,
+REPLY_FACTS = f"""facts AS (SELECT d.doc_id, form, form NOT IN (7, 8, 15) AS found,
+  CASE WHEN form IN (10, 11) THEN NULL WHEN form = 12 THEN 3e9 WHEN form = 16 THEN 5 ELSE CAST(n_chars % 25 AS DOUBLE) END AS points,
+  CASE WHEN form <> 13 THEN (n_chars % 9 + 1) / CAST(10 AS DOUBLE) END AS confidence,
   'Looks ' || CASE WHEN form = 9 THEN 'braces }} and {{ inside' ELSE 'small' END || ' for ' || source AS reasoning
   FROM documents d JOIN ({view(views.REPLIES)}) r ON r.doc_id = d.doc_id)""".replace("{{", "{").replace("}}", "}")
 ORACLES["reply_objects"] = f"""WITH {REPLY_FACTS} SELECT doc_id, found, CASE WHEN found THEN points END AS points,
   CASE WHEN found THEN confidence END AS confidence, CASE WHEN found THEN reasoning ELSE '' END AS reasoning,
-  CASE WHEN found THEN true END AS complex, CASE WHEN found THEN 'part ' || doc_id || ':' || doc_id % 6 || ':|:1:rest' ELSE '' END AS parts FROM facts"""
+  CASE WHEN found THEN true END AS complex, CASE WHEN found THEN 'part ' || doc_id || CASE WHEN form = 14 THEN '' ELSE ':' || doc_id % 6 END || ':|:1:rest' ELSE '' END AS parts FROM facts"""
 ORACLES["reply_labels"] = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'grounded' WHEN 1 THEN 'inferred' WHEN 2 THEN 'hallucinated' END AS label
   FROM documents"""
 CLAIM = f"nullif(regexp_extract(coalesce(reasoning, ''), '{POINT_CLAIM}', 1), '')"
 AGREES = f"coalesce({CLAIM} IS NULL OR TRY_CAST({CLAIM} AS BIGINT) = predicted_story_points, false)"
 ORACLES["point_claims"] = f"WITH {RAG} SELECT issue_key, {CLAIM} AS claimed, {AGREES} AS agrees FROM rag"
-PROMPT = """'Project: ' || project || chr(10) || 'Type: ' || issue_type || chr(10) || 'Title: ' || title || chr(10) || chr(10) ||
-  'Description:' || chr(10) || description || chr(10) || chr(10) || 'Estimate this ticket in JSON.'"""
+BLOCK = "'# ' || title || chr(10) || '(' || issue_type || ', ' || project || ')' || chr(10) || description"
+PROMPT = f"{BLOCK} || chr(10) || chr(10) || '# Size: to be found'"
 ORACLES["prompt_texts"] = f"WITH {TICKETS} SELECT issue_key, {PROMPT} AS user_prompt FROM tickets"
 
 # --- estimation ------------------------------------------------------------------------------------
 ORACLES["keyword_estimates"] = f"""WITH {NORAG} SELECT issue_key, predicted_story_points, confidence, complex_flag, reasoning, subtask_count,
   subtask_points_sum, subtask_titles FROM norag"""
-ORACLES["merged_replies"] = f"""WITH {ESTIMATES}, {REPLY_FACTS}, j AS (SELECT f.*, e.rag_story_points AS rp, e.rag_raw_average AS ra, e.rag_confidence AS rc
-  FROM facts f LEFT JOIN estimates e ON e.query_key = {key('f.doc_id')}), k AS (SELECT *, CASE WHEN rp IS NOT NULL THEN rp
-  WHEN NOT found THEN 3 ELSE {snap('points')} END AS story_points FROM j)
-SELECT doc_id, found AS ok, story_points, round(CASE WHEN rp IS NOT NULL THEN least(CASE WHEN found THEN confidence ELSE rc END, rc)
-    ELSE least(CASE WHEN found THEN confidence ELSE 0.4 END, 0.45) END, 6) AS confidence,
-  CASE WHEN rp IS NULL THEN '{NO_RETRIEVAL_WARNING} ' ELSE '' END || CASE WHEN found THEN reasoning ELSE '' END AS reasoning,
-  CASE WHEN found THEN true ELSE story_points >= 13 END AS complex,
-  CASE WHEN rp IS NULL THEN 'llm:m+no-retrieval' ELSE 'rag+llm:m' END AS source, rp IS NULL AS no_rag_fallback,
-  round({exact('ra', 2)}, 1) AS rag_raw_average, CASE WHEN found THEN 2 ELSE 0 END AS n_subtasks FROM k"""
+ORACLES["merged_replies"] = f"""WITH {ESTIMATES}, {REPLY_FACTS}, j AS (SELECT f.*, e.rag_story_points AS rp, e.rag_raw_average AS ra, e.rag_confidence AS rc,
+  CASE WHEN NOT found THEN 'no JSON object in the reply' WHEN rp IS NULL AND form IN (10, 11, 12) THEN 'story_points is no whole number'
+    WHEN form = 13 THEN 'confidence is no number' WHEN form = 14 THEN 'story_points of a subtask is no whole number' END AS error
+  FROM facts f LEFT JOIN estimates e ON e.query_key = {key('f.doc_id')})
+SELECT doc_id, error, CASE WHEN error IS NULL THEN coalesce(rp, {snap('points')}) END AS story_points,
+  round(CASE WHEN error IS NULL THEN least(confidence, coalesce(rc, 0.45)) END, 6) AS confidence,
+  CASE WHEN error IS NULL THEN CASE WHEN rp IS NULL THEN '{NO_RETRIEVAL_WARNING} ' ELSE '' END || reasoning END AS reasoning,
+  CASE WHEN error IS NULL THEN true END AS complex,
+  CASE WHEN error IS NULL THEN CASE WHEN rp IS NULL THEN 'llm:m+no-retrieval' ELSE 'rag+llm:m' END END AS source,
+  CASE WHEN error IS NULL THEN rp IS NULL END AS no_rag_fallback,
+  CASE WHEN error IS NULL THEN round({exact('ra', 2)}, 1) END AS rag_raw_average, CASE WHEN error IS NULL THEN 2 END AS n_subtasks FROM j"""
 SCRIPTED = f"""{TICKETS}, prompted AS (SELECT *, length({PROMPT}) AS size FROM tickets), scripted AS (SELECT *, size % 7 = 0 AS failed,
   CASE WHEN size % 7 = 0 THEN 3 WHEN size % 3 = 0 THEN 2 ELSE 1 END AS attempts,
   {snap('size % 25')} AS predicted FROM prompted)"""
@@ -409,22 +423,19 @@ ORACLES["generated_replies"] = f"""WITH {SCRIPTED} SELECT issue_key, CASE WHEN f
   '{{"story_points": ' || size % 25 || ', "confidence": 0.' || size % 10 || ', "reasoning": "Length ' || size ||
   '", "subtasks": [{{"title": "only part", "story_points": ' || (size % 4 + 1) || '}}]}}' END AS reply, attempts,
   CASE WHEN failed THEN 'no usable reply in 3 attempts' END AS error FROM scripted"""
-ORACLES["estimate_run_without_retrieval"] = f"""WITH {SCRIPTED} SELECT issue_key, actual_story_points,
-  CASE WHEN failed THEN 3 ELSE predicted END AS predicted_story_points,
-  CASE WHEN failed THEN CAST(0.4 AS DOUBLE) ELSE least(CAST(size % 10 AS DOUBLE) / 10, CAST(0.45 AS DOUBLE)) END AS confidence,
-  CASE WHEN failed THEN false ELSE predicted >= 13 END AS complex_flag, CASE WHEN failed THEN 0 ELSE 1 END AS subtask_count,
-  CASE WHEN failed THEN 0 ELSE CAST(size % 4 + 1 AS INTEGER) END AS subtask_points_sum, CASE WHEN failed THEN '' ELSE 'only part' END AS subtask_titles,
-  '{NO_RETRIEVAL_WARNING} ' || CASE WHEN failed THEN '' ELSE 'Length ' || size END AS reasoning,
-  'llm:m+no-retrieval' AS source, true AS no_rag_fallback, failed FROM scripted"""
+ORACLES["estimate_run_without_retrieval"] = f"""WITH {SCRIPTED} SELECT issue_key, actual_story_points, failed,
+  CASE WHEN NOT failed THEN predicted END AS predicted_story_points,
+  CASE WHEN NOT failed THEN least(CAST(size % 10 AS DOUBLE) / 10, CAST(0.45 AS DOUBLE)) END AS confidence,
+  CASE WHEN NOT failed THEN predicted >= 13 END AS complex_flag, CASE WHEN NOT failed THEN 1 END AS subtask_count,
+  CASE WHEN NOT failed THEN CAST(size % 4 + 1 AS INTEGER) END AS subtask_points_sum, CASE WHEN NOT failed THEN 'only part' END AS subtask_titles,
+  CASE WHEN NOT failed THEN '{NO_RETRIEVAL_WARNING} Length ' || size END AS reasoning,
+  CASE WHEN NOT failed THEN 'llm:m+no-retrieval' END AS source, CASE WHEN NOT failed THEN true END AS no_rag_fallback FROM scripted"""
 ORACLES["estimate_run_outcome"] = f"""WITH {SCRIPTED} SELECT count(*) AS n, CAST(count_if(NOT failed) AS BIGINT) AS written,
   CAST(count_if(failed) AS BIGINT) AS failed FROM scripted"""
 ORACLES["failed_estimates"] = f"WITH {SCRIPTED} SELECT issue_key, 'no usable reply in 3 attempts' AS error FROM scripted WHERE failed"
-BLOCK = PROMPT.replace(" || chr(10) || chr(10) || 'Estimate this ticket in JSON.'", "")
-assert BLOCK != PROMPT
 EXAMPLE = """'- ' || issue_key || ' (' || story_points || ' SP, similarity ' || printf('%.2f', similarity) || '): ' ||
   coalesce(nullif(title, ''), 'Untitled') || ' — ' || CASE WHEN length(flat) <= 300 THEN flat ELSE substr(flat, 1, 297) || '...' END"""
-ORACLES["estimate_run_with_retrieval"] = f"""WITH {TICKETS}, sample AS (SELECT * FROM tickets
-  QUALIFY row_number() OVER (PARTITION BY actual_story_points ORDER BY {hashed(42, 'issue_key')}) <= 10),
+ORACLES["estimate_run_with_retrieval"] = f"""WITH {TICKETS}, sample AS (SELECT * FROM tickets),
 q AS (SELECT issue_key AS query_key, {letters(strip('description'))} AS query_vector FROM sample WHERE {strip('description')} <> ''),
 c AS (SELECT issue_key, actual_story_points AS story_points, {letters(strip('description'))} AS embedding FROM tickets),
 found AS ({nearest("(SELECT * FROM q WHERE list_sum(query_vector) > 0)", "(SELECT * FROM c WHERE list_sum(embedding) > 0)", 5)}),
@@ -432,17 +443,16 @@ est AS ({estimated('found', 'found')}),
 texts AS (SELECT issue_key, {strip('title')} AS title, {strip("replace(" + strip('description') + ", chr(10), ' ')")} AS flat FROM tickets),
 examples AS (SELECT query_key, string_agg({EXAMPLE}, chr(10) ORDER BY rank) AS block FROM found JOIN texts USING (issue_key) GROUP BY query_key),
 asked AS (SELECT s.issue_key, s.actual_story_points, e.*, length(CASE WHEN e.query_key IS NULL THEN {PROMPT} ELSE
-  'Fixed story points: ' || rag_story_points || chr(10) || '(weighted average ' || printf('%.1f', rag_raw_average) || ' of ' || n_neighbours ||
-  ' similar tickets)' || chr(10) || chr(10) || 'Similar past tickets:' || chr(10) || x.block || chr(10) || chr(10) || '---' || chr(10) || {BLOCK} ||
-  chr(10) || chr(10) || 'Explain the estimate in JSON.' END) AS size
+  {BLOCK} || chr(10) || chr(10) || '# Size: ' || rag_story_points || chr(10) || 'settled from ' || n_neighbours ||
+  ' finished tickets, whose mean by similarity is ' || printf('%.1f', rag_raw_average) || ':' || chr(10) || x.block END) AS size
   FROM sample s LEFT JOIN est e ON e.query_key = s.issue_key LEFT JOIN examples x ON x.query_key = s.issue_key)
 SELECT issue_key, actual_story_points, rag_story_points, round({exact('rag_raw_average', 2)}, 1) AS rag_raw_average, rag_confidence,
   query_key IS NULL AS no_rag_fallback, CAST(coalesce(n_neighbours, 0) AS INTEGER) AS n_neighbours FROM asked WHERE size % 7 <> 0"""
 SUBTASK_VALUES = ", ".join(f"('{t}', {p}, '{r}')" for t, p, r in STANDARD_SUBTASKS)
 SUBTASKS = f"""{NORAG}, subtasks AS (SELECT n.issue_key, n.title AS ticket_title, n.description, s.title AS subtask_title, s.reasoning AS subtask_reasoning
   FROM norag n, (VALUES {SUBTASK_VALUES}) s(title, points, reasoning) WHERE n.complex_flag)"""
-LABEL_PROMPT_LENGTH = """length('Ticket title: ' || ticket_title || chr(10) || chr(10) || 'Ticket description:' || chr(10) || substr(description, 1, 4000) ||
-  chr(10) || chr(10) || 'Subtask title: ' || subtask_title || chr(10) || 'Subtask reasoning: ' || subtask_reasoning || chr(10) || chr(10) || 'Which label fits?')"""
+LABEL_PROMPT_LENGTH = """length('# Subtask: ' || subtask_title || chr(10) || subtask_reasoning || chr(10) || chr(10) ||
+  '# Its ticket: ' || ticket_title || chr(10) || description)"""
 ORACLES["labelled_subtasks"] = f"""WITH {SUBTASKS} SELECT issue_key, subtask_title, CASE {LABEL_PROMPT_LENGTH} % 5 WHEN 0 THEN 'grounded'
   WHEN 1 THEN 'inferred' WHEN 2 THEN 'hallucinated' WHEN 3 THEN 'grounded' ELSE 'inferred' END AS label FROM subtasks"""
 

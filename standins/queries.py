@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from standins.stubs import LETTERS, scripted_generator, scripted_labeller
 from standins.views import (
-    BACKLOG, LABEL_REPLIES, MENTIONS, MIN_SIMILARITY, REPLIES, REWRITES, RUBRIC_SHEET, SUBMISSIONS, Tables,
+    BACKLOG, LABEL_REPLIES, MENTIONS, MIN_SIMILARITY, NEIGHBOUR_TEXTS, REPLIES, REWRITES, RUBRIC_SHEET, SUBMISSIONS, Tables,
     vector_key,
 )
 from storygauge import schemas
@@ -69,7 +69,8 @@ def nearest_tickets(t):
 
 @query
 def nearest_tickets_by_blocks(t):
-    found = nn.nearest(t.queries(), t.vectors(), 10, broadcast_bytes=0, block_rows=128)
+    """Several scans of the corpus, each for as many queries as a small bound allows."""
+    found = nn.nearest(t.queries(), t.vectors(), 10, broadcast_bytes=1 << 17)
     return found.select("query_key", "rank", "issue_key", "story_points", "similarity")
 
 
@@ -463,9 +464,11 @@ def neighbour_lines(t):
 
 @query
 def odd_neighbour_json(t):
-    """Replies read as neighbour lists: whatever is no JSON array counts as empty."""
+    """Neighbour lists with numbers as texts, fractions, odd entries and text after the list."""
     items = fn.parse_neighbours(F.col("raw"))
-    return t.view(REPLIES).select("doc_id", fn.has_neighbours(items).alias("some"))
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    texts = F.transform(items, lambda x: F.concat_ws(":", shown(x["issue_key"]), shown(x["story_points"]), shown(x["similarity"])))
+    return t.view(NEIGHBOUR_TEXTS).select("doc_id", F.array_join(texts, "|").alias("items"))
 
 
 @query
@@ -528,8 +531,8 @@ def merged_replies(t):
     joined = replied.join(t.estimates(), "query_key", "left").withColumnsRenamed({"raw": "reply"})
     made = estimate.merge_replies(joined.withColumn("error", F.lit(None).cast("string")), "m")
     return made.select(
-        "doc_id", F.col("error").isNull().alias("ok"), "story_points", F.round("confidence", 6).alias("confidence"), "reasoning",
-        "complex", "source", "no_rag_fallback", F.round("rag_raw_average", 1).alias("rag_raw_average"), F.size("subtasks").alias("n_subtasks"),
+        "doc_id", "error", "story_points", F.round("confidence", 6).alias("confidence"), "reasoning",
+        "complex", "source", "no_rag_fallback", F.round("rag_raw_average", 1).alias("rag_raw_average"), F.when(F.col("subtasks").isNotNull(), F.size("subtasks")).alias("n_subtasks"),
     )
 
 
@@ -563,10 +566,9 @@ def failed_estimates(t):
 
 @query
 def estimate_run_with_retrieval(t):
-    """A stratified sample estimated against the letter vectors of all documents, written and read back."""
-    sample = sampling.stratified_sample(t.tickets(), 10)
+    """All tickets estimated against the letter vectors of all documents, written and read back."""
     path = scratch(t.spark, "results")
-    made = evaluate.run_estimates(sample, letter_vectors(t), LETTERS, scripted_generator, "m", k=5)
+    made = evaluate.run_estimates(t.tickets(), letter_vectors(t), LETTERS, scripted_generator, "m", k=5)
     files.write_results(made, path)
     return files.read_results(t.spark, path).select(
         "issue_key", "actual_story_points", "rag_story_points", F.round("rag_raw_average", 1).alias("rag_raw_average"), "rag_confidence",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from standins.harness import name_checkpoint_folder
 from storygauge.functions.neighbours import neighbours_json
 from storygauge.functions.scale import snap_to_scale
 from storygauge.operators.estimate import (
@@ -84,21 +85,36 @@ MENTIONS = """
 text || ' See ' || upper(source) || '-' || CAST(doc_id AS STRING) || ', X' || CAST(doc_id % 3 AS STRING) || '-' ||
 CAST(doc_id % 7 AS STRING) || ' and ' || upper(source) || '-' || CAST(doc_id AS STRING) || '; not ' || lang || '-1.'
 """
-# A reply per document: plain, fenced, with slips to repair, two objects, an array, cut off, without JSON.
+# A reply per document: plain, fenced, with slips to repair, two objects, an array, cut off, without JSON; points that are
+# a word, null or too large, a confidence and subtask points that are no number, braces before the object, a key twice.
 REPLIES = """
-SELECT doc_id, CAST(doc_id % 10 AS INT) AS form,
-  CASE doc_id % 10
+SELECT doc_id, CAST(doc_id % 17 AS INT) AS form,
+  CASE doc_id % 17
     WHEN 0 THEN body WHEN 1 THEN 'Sure:' || chr(10) || fence || 'json' || chr(10) || body || chr(10) || fence
     WHEN 2 THEN replace(body, '}}', ',}}') WHEN 3 THEN replace(body, '"', chr(39))
     WHEN 4 THEN 'Estimate ' || body || ' and {{"more": 1}}' WHEN 5 THEN '[' || body || ']'
     WHEN 6 THEN replace(body, 'true', 'True') WHEN 7 THEN replace(body, '}}', '')
-    WHEN 8 THEN source ELSE replace(body, 'small', 'braces }} and {{ inside') END AS raw
+    WHEN 8 THEN source WHEN 9 THEN replace(body, 'small', 'braces }} and {{ inside') WHEN 15 THEN 'Draft {{x}} final ' || body
+    WHEN 16 THEN replace(body, ', "complex"', ', "story_points": 5, "complex"') ELSE body END AS raw
 FROM (SELECT doc_id, source, repeat(chr(96), 3) AS fence,
-        '{{"story_points": ' || CAST(n_chars % 25 AS STRING) || ', "confidence": 0.' || CAST(n_chars % 9 + 1 AS STRING) ||
+        '{{"story_points": ' || CASE doc_id % 17 WHEN 10 THEN '"five"' WHEN 11 THEN 'null' WHEN 12 THEN '3000000000'
+          ELSE CAST(n_chars % 25 AS STRING) END || ', "confidence": ' ||
+        CASE WHEN doc_id % 17 = 13 THEN 'NaN' ELSE '0.' || CAST(n_chars % 9 + 1 AS STRING) END ||
         ', "reasoning": " Looks small for ' || source || ' ", "complex": true, "subtasks": [{{"title": " part ' ||
-        CAST(doc_id AS STRING) || ' ", "story_points": ' || CAST(doc_id % 6 AS STRING) || '}}, 7, {{"reasoning": "rest"}}]}}' AS body
+        CAST(doc_id AS STRING) || ' ", "story_points": ' || CASE WHEN doc_id % 17 = 14 THEN '"n/a"' ELSE CAST(doc_id % 6 AS STRING) END ||
+        '}}, 7, {{"reasoning": "rest"}}]}}' AS body
       FROM {documents}) AS t
 """
+# Neighbour lists as texts, some with numbers as texts, some no list.
+NEIGHBOUR_TEXTS = """
+SELECT doc_id, CASE doc_id % 7
+    WHEN 0 THEN '[{{"story_points": ' || CAST(doc_id % 9 AS STRING) || '.5, "similarity": "0.5"}}]'
+    WHEN 1 THEN ' [{{"issue_key": "K-' || CAST(doc_id AS STRING) || '", "story_points": "5", "similarity": "0.75"}}] '
+    WHEN 2 THEN '[1, {{"issue_key": "K", "story_points": "5.5", "similarity": "high"}}, null, {{"issue_key": 7, "story_points": 2.0}}]'
+    WHEN 3 THEN '[{{"issue_key": "K"}}] and more' WHEN 4 THEN '{{"issue_key": "K"}}' WHEN 5 THEN '[{{"issue_key": "K"}}'
+    ELSE '[{{"issue_key": "é", "story_points": null, "similarity": 1}}]' END AS raw
+FROM {documents}
+"""
 LABEL_REPLIES = """
 SELECT doc_id,
   CASE doc_id % 6 WHEN 0 THEN '{{"label": "grounded"}}' WHEN 1 THEN 'I say {{"label": " Inferred ", "why": "' || source || '",}}'
@@ -136,7 +152,7 @@ class Tables:
     """The tables of one scale-factor directory and the views on them."""
 
     def __init__(self, spark: SparkSession, directory: str):
-        self.spark, self.directory = spark, directory
+        self.spark, self.directory = name_checkpoint_folder(spark), directory
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")

@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from storygauge.functions.replies import number_field, whole_field
 from storygauge.functions.rounding import fixed
 from storygauge.functions.text import issue_keys_in, key_stem, one_line, strip
 from storygauge.schemas import NEIGHBOUR_ITEM, SUBTASK_ITEM
 
 
 def parse_items(raw: Column, item_ddl: str) -> Column:
-    """JSON array to array of structs; anything that is not an array gives an empty list."""
-    schema = f"array<struct<{item_ddl}>>"
-    text = strip(raw)
-    parsed = F.when(text.startswith("["), F.from_json(text, schema))
-    return F.coalesce(parsed, F.from_json(F.lit("[]"), schema))
+    """JSON array to array of structs; a text that is not one complete array gives an empty list.
+
+    Numbers may be written as texts, and whole numbers lose a fraction; what spells no number is NULL.
+    """
+    fields = [f.split() for f in item_ddl.split(", ")]
+    whole = strip(raw)
+    array = F.when(whole.startswith("["), whole)
+    # the parser stops after the first value; no text that goes on can be the only member of an object and of a list
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), array, F.lit("}")))
+    listed = F.try_parse_json(F.concat(F.lit("["), array, F.lit("]")))
+    items = F.when(listed.isNotNull(), F.try_variant_get(member, "$.v", "array<variant>"))
+
+    def value(item: Column, name: str, kind: str) -> Column:
+        if kind == "string":
+            return F.try_variant_get(item, f"$.{name}", "string")
+        return number_field(item, name) if kind == "double" else whole_field(item, name, None)
+
+    objects = F.filter(items, lambda t: F.schema_of_variant(t).startswith("OBJECT"))
+    built = F.transform(objects, lambda t: F.struct(*[value(t, n, k).alias(n) for n, k in fields]))
+    return F.coalesce(built, F.array().cast(f"array<struct<{item_ddl}>>"))
 
 
 def parse_neighbours(raw: Column) -> Column:

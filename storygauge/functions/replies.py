@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import json
+import math
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from storygauge.functions.text import UNICODE, strip
 from storygauge.schemas import HALLUCINATION_LABELS
@@ -15,6 +21,8 @@ SINGLE_QUOTED = r"'([^'\\]*)'"
 FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 WIDEST_OBJECT = r"(?s)\{.*\}"
 JSON_TOKEN = r'(?s)\\.|["{}]|[^\\"{}]+'
+WHOLE_TEXT = r"^\s*[+-]?\d+\s*$"
+DECIMAL_TEXT = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 POINT_CLAIM = r"(?i)(?:story\s*points?|estimate(?:d)?(?:\s+at)?)\s*[:=]?\s*(\d+)"
 # ------------------------------------------------------------------------------------------------
 
@@ -31,83 +39,141 @@ def repair_json(text: Column) -> Column:
     return F.regexp_replace(fixed, SINGLE_QUOTED, '"$1"')
 
 
-def first_closed_object(text: Column) -> Column:
-    """The text from the first opening brace to the brace that closes it; NULL when none does.
-
-    A fold over the quotes, braces, escapes and the stretches between them carries the nesting depth and whether it
-    stands inside a string, so braces in strings do not count.
-    """
-    tail = F.substring(text, F.locate("{", text), F.length(text))
-    tokens = F.regexp_extract_all(tail, F.lit(JSON_TOKEN), F.lit(0))
-    start = F.struct(
-        F.lit(0).alias("length"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("end")
-    )
-
-    def step(s: Column, token: Column) -> Column:
-        # an escape means something inside a string only; outside, its second character counts
-        sign = F.when(s["quoted"], token).otherwise(F.regexp_replace(token, r"^\\", ""))
-        outside = ~s["quoted"]
-        depth = s["depth"] + F.when(outside & (sign == "{"), 1).when(outside & (sign == "}"), -1).otherwise(0)
-        length = s["length"] + F.length(token)
-        return F.when(
-            s["end"] == 0,
-            F.struct(
-                length.alias("length"),
-                depth.alias("depth"),
-                F.when(sign == '"', outside).otherwise(s["quoted"]).alias("quoted"),
-                F.when((depth == 0) & (s["depth"] == 1), length).otherwise(0).alias("end"),
-            ),
-        ).otherwise(s)
-
-    end = F.aggregate(tokens, start, step, lambda s: s["end"])
-    closed = F.when(F.contains(text, F.lit("{")), end)
-    return F.when(closed > 0, F.substring(tail, F.lit(1), closed))
-
-
-def _first_object(*texts: Column) -> Column:
-    """The first of the texts that parses as a JSON object, as VARIANT; NULL when none does."""
-    parsed = F.transform(F.array(*texts), lambda text: F.try_parse_json(text))
-    return F.get(F.filter(parsed, lambda value: F.schema_of_variant(value).startswith("OBJECT")), F.lit(0))
+# --- one reply, read in Python: the same code decides about a retry and makes the result -----------
+def _repaired(text: str) -> str:
+    fixed = re.sub(TRAILING_COMMA, r"\1", text.strip()).translate(str.maketrans(*CURLY_QUOTES))
+    for word, literal in LITERAL_WORDS:
+        fixed = re.sub(rf"\b{word}\b", literal, fixed)
+    return re.sub(SINGLE_QUOTED, r'"\1"', fixed)
+
+
+def _first_closed(text: str) -> str:
+    """From the first opening brace to the one that closes it, strings skipped; empty when none does."""
+    start = text.find("{")
+    depth, quoted = 0, False
+    for token in re.finditer(JSON_TOKEN, text[start:]) if start >= 0 else ():
+        sign = token[0] if quoted else token[0].removeprefix("\\")  # an escape means something inside a string only
+        if sign == '"':
+            quoted = not quoted
+        elif not quoted and sign in ("{", "}"):
+            depth += 1 if sign == "{" else -1
+            if depth == 0:
+                return text[start:start + token.end()]
+    return ""
+
+
+def _places(reply: str) -> Iterator[str]:
+    """Where the object may be: a fenced block, the first closed braces, the widest braces, the whole reply."""
+    if fenced := re.search(FENCED_OBJECT, reply):
+        yield fenced[1]
+    yield _first_closed(reply)
+    if widest := re.search(WIDEST_OBJECT, reply):
+        yield widest[0]
+    yield reply
+
+
+def _storable(value: object) -> object:
+    """JSON has no NaN or infinity and UTF-8 no half surrogates; the former become text, the latter a mark."""
+    if isinstance(value, dict):
+        return {_storable(str(k)): _storable(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_storable(v) for v in value]
+    if isinstance(value, float) and not math.isfinite(value):
+        return str(value)
+    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(value, str) else value
+
+
+def read_object(reply: str | None) -> str | None:
+    """The first JSON object of a reply as JSON text, each place tried as it stands and then repaired; else None."""
+    for place in _places(reply or ""):
+        for text in (place, _repaired(place)):
+            try:
+                value = json.loads(text)
+                if isinstance(value, dict):
+                    return json.dumps(_storable(value), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                continue
+    return None
+
+
+def read_label(reply: str | None) -> str | None:
+    """The label that a classifier's reply holds, in lower case; None when it holds no valid one."""
+    found = re.search(WIDEST_OBJECT, reply or "")
+    try:
+        value = json.loads(re.sub(TRAILING_COMMA, r"\1", found[0])) if found else None
+    except (ValueError, RecursionError):
+        return None
+    label = str(value.get("label", "")).strip().lower() if isinstance(value, dict) else ""
+    return label if label in HALLUCINATION_LABELS else None
+
+
+@F.pandas_udf(T.StringType())
+def object_text(raw: pd.Series) -> pd.Series:
+    return raw.map(read_object)
+
+
+@F.pandas_udf(T.StringType())
+def label_of(raw: pd.Series) -> pd.Series:
+    """Label of a classifier reply in lower case; NULL when the reply has no valid one."""
+    return raw.map(read_label)
 
 
+# --- fields of an object, as columns over VARIANT ---------------------------------------------------
 def json_object(raw: Column) -> Column:
-    """The JSON object inside a reply, as VARIANT; NULL when there is none.
-
-    Tried in turn: a fenced block, the first closed object, the widest brace span, the whole reply; each as
-    it stands and then repaired. The Spark parser stops at the end of the first value, so the widest span as
-    it stands already yields the first closed object, and the character fold only runs on what is left.
-    """
-    reply = F.coalesce(raw, F.lit(""))
-    fenced = F.nullif(F.regexp_extract(reply, UNICODE + FENCED_OBJECT, 1), F.lit(""))
-    widest = F.nullif(F.regexp_extract(reply, WIDEST_OBJECT, 0), F.lit(""))
-    return F.coalesce(
-        _first_object(fenced, repair_json(fenced), widest),
-        _first_object(repair_json(first_closed_object(reply)), repair_json(widest), reply, repair_json(reply)),
-    )
+    """The JSON object inside a reply, as VARIANT; NULL when there is none."""
+    return F.try_parse_json(object_text(raw))
 
 
 def text_field(payload: Column, name: str) -> Column:
     return strip(F.try_variant_get(payload, f"$.{name}", "string"))
 
 
+def _member(payload: Column, name: str) -> Column:
+    return F.try_variant_get(payload, f"$.{name}", "variant")
+
+
+def _is_text(member: Column) -> Column:
+    return F.schema_of_variant(member) == "STRING"
+
+
 def number_field(payload: Column, name: str) -> Column:
-    return F.try_variant_get(payload, f"$.{name}", "double")
+    """A number, a truth value or a text that spells a number; NULL for all else."""
+    text = F.try_variant_get(payload, f"$.{name}", "string")
+    readable = ~_is_text(_member(payload, name)) | text.rlike(DECIMAL_TEXT)
+    return F.when(readable, F.try_variant_get(payload, f"$.{name}", "double"))
+
+
+def whole_field(payload: Column, name: str, default: int | None) -> Column:
+    """Number cut to a whole one, or a text that spells a whole one; ``default`` where the field is absent.
+
+    NULL where the field holds anything else or a number beyond 32 bits: such a reply is an error, see ``unreadable``.
+    """
+    member = _member(payload, name)
+    text = F.try_variant_get(payload, f"$.{name}", "string")
+    number = F.when(~_is_text(member) | text.rlike(WHOLE_TEXT), F.try_variant_get(payload, f"$.{name}", "double"))
+    return F.when(member.isNull(), F.lit(default).cast("int")).otherwise(F.when(F.abs(number) < F.lit(2.0**31), number.cast("int")))
 
 
-def whole_field(payload: Column, name: str, default: int) -> Column:
-    """Number field cut to a whole number; ``default`` where it is missing or no number."""
-    number = F.coalesce(number_field(payload, name), F.lit(float(default)))
-    return F.greatest(F.lit(-1e9), F.least(F.lit(1e9), number)).cast("int")
+def unreadable(payload: Column, name: str, value: Column) -> Column:
+    """Whether the field is there but ``value``, what was read from it, is not."""
+    return payload.isNotNull() & _member(payload, name).isNotNull() & value.isNull()
 
 
 def flag_field(payload: Column, name: str) -> Column:
-    """Boolean field; the words true and false are read as such, other text and numbers by being non-empty."""
+    """Boolean field, NULL where it is absent and false where it is null.
+
+    The words true and false are read as such, other texts, numbers and lists by being non-empty.
+    """
     text = F.lower(F.try_variant_get(payload, f"$.{name}", "string"))
-    return F.when(text.isin("false", "", "0", "0.0"), F.lit(False)).when(text.isNotNull(), F.lit(True))
+    empty = F.coalesce(text, F.lit("")).isin("false", "", "0", "0.0", "[]", "{}")
+    return F.when(_member(payload, name).isNotNull(), ~empty)
 
 
 def subtasks_of(payload: Column) -> Column:
-    """Subtasks of a reply as an array of structs; entries that are not objects are skipped."""
+    """Subtasks of a reply as an array of structs; entries that are not objects are skipped.
+
+    ``story_points`` is NULL where an entry's points cannot be read.
+    """
     entries = F.try_variant_get(payload, "$.subtasks", "array<variant>")
     objects = F.filter(entries, lambda e: F.schema_of_variant(e).startswith("OBJECT"))
     built = F.transform(
@@ -121,13 +187,6 @@ def subtasks_of(payload: Column) -> Column:
     return F.coalesce(built, F.array().cast("array<struct<title string, story_points int, reasoning string>>"))
 
 
-def label_of(raw: Column) -> Column:
-    """Label of a classifier reply in lower case; NULL when the reply has no valid one."""
-    body = F.nullif(F.regexp_extract(F.coalesce(raw, F.lit("")), WIDEST_OBJECT, 0), F.lit(""))
-    label = F.lower(strip(F.try_variant_get(F.try_parse_json(drop_trailing_commas(body)), "$.label", "string")))
-    return F.when(label.isin(*HALLUCINATION_LABELS), label)
-
-
 def claimed_points(text: Column) -> Column:
     """Digits that follow the first mention of points or of an estimate; NULL without such a claim."""
     digits = F.regexp_extract(F.coalesce(text, F.lit("")), UNICODE + POINT_CLAIM, 1)

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 
+NORMAL_FROM = 100_000  # rows from which the normal limit is used
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function, by the modified Lentz method."""
     tiny = 1e-300
@@ -24,8 +27,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"the continued fraction at a={a}, b={b}, x={x} does not converge")
 
 
 def two_sided_p(rho: float, n: float) -> float | None:
@@ -34,6 +37,9 @@ def two_sided_p(rho: float, n: float) -> float | None:
         return None
     if abs(rho) >= 1.0:
         return 0.0
+    if n > NORMAL_FROM:  # Wallace's transformation of t to a normal deviate, whose error falls with the square of n
+        free = n - 2
+        return math.erfc((8 * free + 1) / (8 * free + 3) * math.sqrt(-free * math.log1p(-rho * rho) / 2))
     a, b = (n - 2) / 2.0, 0.5
     x = 1.0 - rho * rho
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)) if rho else 0.0

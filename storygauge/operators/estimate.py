@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storygauge.functions.neighbours import neighbours_json
 from storygauge.functions.prompts import NO_RETRIEVAL_WARNING
 from storygauge.functions.replies import (
-    flag_field, json_object, number_field, subtasks_of, text_field, whole_field,
+    flag_field, json_object, number_field, subtasks_of, text_field, unreadable, whole_field,
 )
 from storygauge.functions.rounding import round_exact
 from storygauge.functions.scale import is_on_scale, snap_to_scale
@@ -141,38 +141,56 @@ def merge_replies(replied: DataFrame, model: str) -> DataFrame:
     """Estimates from replies, with or without neighbours, one row per ticket.
 
     ``replied`` has the ticket columns, the neighbour estimate (NULL without neighbours), ``similar_tickets``,
-    ``reply`` and ``error``. With neighbours the points are theirs and the reply only explains; without, the points
-    come from the reply and the confidence is capped. A reply without a JSON object gives an error, not an estimate.
+    ``reply`` and ``error``, and, straight from the generator, the ``payload`` read from the reply. With neighbours the
+    points are theirs and the reply only explains; without, the points come from the reply and the confidence is capped.
+    A failed call, a reply without a JSON object and one whose numbers cannot be read give an ``error``; every estimate
+    column of such a row is NULL.
     """
-    payload = F.col("_payload")
+    payload, subtasks = F.col("_payload"), F.col("_subtasks")
     grounded = F.col("rag_story_points").isNotNull()
-    said = whole_field(payload, "story_points", 3)
+    said, stated = F.col("_said"), F.col("_stated")
     own_points = F.when(is_on_scale(said), said).otherwise(snap_to_scale(said))
-    stated = number_field(payload, "confidence")
     reasoning = text_field(payload, "reasoning")
     warned = F.when(reasoning.startswith(NO_RETRIEVAL_WARNING), reasoning).otherwise(
         F.concat(F.lit(NO_RETRIEVAL_WARNING), F.lit(" "), reasoning)
     )
-    failed = F.coalesce("error", F.when(payload.isNull(), F.lit("no JSON object in the reply")))
-    return (
-        replied.withColumn("_payload", json_object(F.col("reply")))
+    wrong = lambda condition, message: F.when(condition, F.lit(message))
+    failed = F.coalesce(
+        "error",
+        wrong(payload.isNull(), "no JSON object in the reply"),
+        wrong(~grounded & unreadable(payload, "story_points", said), "story_points is no whole number"),
+        wrong(unreadable(payload, "confidence", stated), "confidence is no number"),
+        wrong(F.exists(subtasks, lambda s: s["story_points"].isNull()), "story_points of a subtask is no whole number"),
+    )
+    text = F.try_parse_json("payload") if "payload" in replied.columns else json_object(F.col("reply"))
+    read = (
+        replied.withColumn("_payload", text)
+        .withColumn("_said", whole_field(payload, "story_points", 3))
+        .withColumn("_stated", number_field(payload, "confidence"))
+        .withColumn("_subtasks", subtasks_of(payload))
         .withColumn("error", failed)
-        .withColumn("story_points", F.when(grounded, F.col("rag_story_points")).otherwise(own_points))
+    )
+    fine = lambda value: F.when(F.col("error").isNull(), value)
+    points = fine(F.when(grounded, F.col("rag_story_points")).otherwise(own_points))
+    return (
+        read.withColumn("story_points", points)
         .withColumn(
             "confidence",
-            F.when(grounded, F.least(F.coalesce(stated, F.col("rag_confidence")), F.col("rag_confidence")))
-            .otherwise(F.least(F.coalesce(stated, F.lit(0.4)), F.lit(NO_RETRIEVAL_CONFIDENCE_CAP))),
+            fine(F.when(grounded, F.least(F.coalesce(stated, F.col("rag_confidence")), F.col("rag_confidence")))
+                 .otherwise(F.least(F.coalesce(stated, F.lit(0.4)), F.lit(NO_RETRIEVAL_CONFIDENCE_CAP)))),
         )
-        .withColumn("reasoning", F.when(grounded, reasoning).otherwise(warned))
-        .withColumn("complex", F.coalesce(flag_field(payload, "complex"), F.col("story_points") >= COMPLEX_POINTS))
-        .withColumn("subtasks", subtasks_of(payload))
+        .withColumn("reasoning", fine(F.when(grounded, reasoning).otherwise(warned)))
+        .withColumn("complex", fine(F.coalesce(flag_field(payload, "complex"), F.col("story_points") >= COMPLEX_POINTS)))
+        .withColumn("subtasks", fine(subtasks))
         .withColumn(
             "source",
-            F.when(grounded, F.lit(f"rag+llm:{model}")).otherwise(F.lit(f"llm:{model}+no-retrieval")),
+            fine(F.when(grounded, F.lit(f"rag+llm:{model}")).otherwise(F.lit(f"llm:{model}+no-retrieval"))),
         )
-        .withColumn("no_rag_fallback", ~grounded)
-        .withColumn("rag_raw_average", round_exact(F.col("rag_raw_average"), 2))
-        .drop("_payload")
+        .withColumn("no_rag_fallback", fine(~grounded))
+        .withColumn("rag_story_points", fine(F.col("rag_story_points")))
+        .withColumn("rag_raw_average", fine(round_exact(F.col("rag_raw_average"), 2)))
+        .withColumn("rag_confidence", fine(F.col("rag_confidence")))
+        .drop("_payload", "_said", "_stated", "_subtasks", "payload")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from storygauge.functions.neighbours import parse_neighbours, same_stem_share
 from storygauge.functions.scale import is_on_scale
 from storygauge.functions.stats import correlation_p
-from storygauge.operators.checks import require_columns
+from storygauge.operators.checks import estimated, require_columns, require_whole_numbers
 from storygauge.schemas import COMPLEX_THRESHOLD
 from storygauge.session import durable
 
@@ -22,14 +22,14 @@ RANK_GROUP = 1 << 16
 
 def off_scale(results: DataFrame) -> DataFrame:
     """Predictions that are not on the story-point scale."""
-    return results.filter(~is_on_scale(F.col("predicted_story_points"))).select("issue_key", "predicted_story_points")
+    return estimated(results).filter(~is_on_scale(F.col("predicted_story_points"))).select("issue_key", "predicted_story_points")
 
 
 def point_pairs(results: DataFrame) -> DataFrame:
-    """How often each (actual, predicted) pair occurs."""
-    return results.groupBy(
-        F.col("actual_story_points").cast("int").alias("actual"),
-        F.col("predicted_story_points").cast("int").alias("predicted"),
+    """How often each (actual, predicted) pair occurs among the estimated tickets."""
+    require_whole_numbers(results, ("actual_story_points", "predicted_story_points"), "results")
+    return estimated(results).groupBy(
+        F.col("actual_story_points").alias("actual"), F.col("predicted_story_points").alias("predicted"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -62,16 +62,15 @@ def _rank_correlation(pairs: DataFrame) -> DataFrame:
         pairs.join(average_ranks(pairs, "actual"), "actual", "left")
         .join(average_ranks(pairs, "predicted"), "predicted", "left")
     )
-    n, x, y = F.col("n").cast("double"), F.col("actual_rank"), F.col("predicted_rank")
+    # ranks have the mean (n + 1) / 2 exactly, so a constant column is exactly zero once centred
+    middle = (pairs.agg(F.sum("n")).scalar() + 1) / 2
+    n, x, y = F.col("n").cast("double"), F.col("actual_rank") - middle, F.col("predicted_rank") - middle
     sums = ranked.agg(
-        F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"),
-        F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"),
+        F.sum(n).alias("n"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"),
         F.count_if(F.col("actual").isNull() | F.col("predicted").isNull()).alias("gaps"),
     )
-    mean_x, mean_y = F.col("x") / F.col("n"), F.col("y") / F.col("n")
-    cov = F.col("xy") / F.col("n") - mean_x * mean_y
-    var = (F.col("xx") / F.col("n") - mean_x * mean_x) * (F.col("yy") / F.col("n") - mean_y * mean_y)
-    rho = F.when((F.col("gaps") == 0) & (F.col("n") > 1) & (var > 0), cov / F.sqrt(var))
+    vary = (F.col("xx") > 0) & (F.col("yy") > 0)
+    rho = F.when((F.col("gaps") == 0) & (F.col("n") > 1) & vary, F.col("xy") / F.sqrt("xx") / F.sqrt("yy"))
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))
     return sums.select(F.coalesce(F.col("n"), F.lit(0.0)).alias("n"), F.when(rho.isNotNull(), bounded).alias("spearman_rho")).select(
         F.col("n").cast("long").alias("n"), "spearman_rho", correlation_p("spearman_rho", "n").alias("spearman_p")
@@ -113,7 +112,7 @@ def worst_misses(results: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` largest absolute errors, ties in key order."""
     error = F.abs(F.col("predicted_story_points") - F.col("actual_story_points")).alias("abs_error")
     return (
-        results.select(*POINT_COLUMNS, error).orderBy(F.desc_nulls_last("abs_error"), "issue_key").limit(n)
+        estimated(results).select(*POINT_COLUMNS, error).orderBy(F.desc_nulls_last("abs_error"), "issue_key").limit(n)
     )
 
 
@@ -126,7 +125,7 @@ def paired_errors(rag: DataFrame, norag: DataFrame) -> DataFrame:
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         error = F.abs(F.col("predicted_story_points") - F.col("actual_story_points"))
-        return df.groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.count(F.lit(1)).alias(f"_n_{tag}"))
+        return estimated(df).groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.count(F.lit(1)).alias(f"_n_{tag}"))
 
     wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731 - the product may exceed 64 bits
     return (
@@ -153,7 +152,7 @@ def retrieval_stats(results: DataFrame) -> DataFrame:
     points = F.transform(items, lambda t: F.coalesce(t["story_points"], F.lit(0)))
     some = F.size(items) > 0
     total = F.aggregate(sims, F.lit(0.0), lambda a, b: a + b)
-    per_row = results.select("issue_key", parse_neighbours(F.col("similar_tickets_json")).alias("_items")).select(
+    per_row = estimated(results).select("issue_key", parse_neighbours(F.col("similar_tickets_json")).alias("_items")).select(
         some.alias("some"),
         F.when(some, F.array_max(sims)).alias("top1"),
         F.when(some, total / F.size(items)).alias("topk"),
@@ -174,7 +173,7 @@ def confidence_band_errors(results: DataFrame) -> DataFrame:
     """Tickets and mean absolute error of the high (>= 0.70) and low (< 0.55) retrieval-confidence bands."""
     confidence = F.col("rag_confidence").try_cast("double")
     error = F.abs(F.col("predicted_story_points") - F.col("actual_story_points")).cast("double")
-    kept = results.select(F.nanvl(confidence, F.lit(None).cast("double")).alias("c"), error.alias("e"))
+    kept = estimated(results).select(F.nanvl(confidence, F.lit(None).cast("double")).alias("c"), error.alias("e"))
     high, low = F.col("c") >= 0.70, F.col("c") < 0.55
     return kept.agg(
         F.count_if(high).alias("nh"), F.avg(F.when(high, F.col("e"))).alias("eh"),
@@ -186,7 +185,7 @@ def confusion_counts(results: DataFrame, threshold: int = COMPLEX_THRESHOLD) ->
     """Complexity flag against actual points at or above the threshold, one row."""
     actual = F.coalesce(F.col("actual_story_points") >= threshold, F.lit(False))
     flagged = F.coalesce(F.col("complex_flag"), F.lit(False))
-    return results.agg(
+    return estimated(results).agg(
         F.count_if(actual & flagged).alias("true_positive"),
         F.count_if(~actual & flagged).alias("false_positive"),
         F.count_if(actual & ~flagged).alias("false_negative"),

@@ -7,11 +7,15 @@ How the blocks meet depends on a checked size:
 
 * The queries fit the broadcast bound: every task scans its own part of the corpus against them. The corpus is
   read once and not shuffled, and each task keeps one running top ``k`` per query.
-* They do not: both sides are cut into blocks of bounded size by the hash of their keys and meet by an equi-join
-  on the pair of block numbers. Each side is copied once per block of the other side.
+* They do not: the queries are cut by key hash into slices that do, and the corpus is scanned once for each slice.
 
-``approximate_neighbours`` is the second plan within cells of similar vectors. A cell of any size is cut into as
-many bounded blocks as it needs, so a crowded cell costs more tasks, not a larger one.
+The queries are staged first, so a costly vector is made once whichever way is taken. A large corpus is first searched
+in a small part, chosen by key hash: the k-th best similarity there is a lower bound for the whole, and with it most
+tasks of the full scan give back next to nothing.
+
+``approximate_neighbours`` works within cells of similar vectors: both sides are cut into blocks of bounded size by the
+hash of their keys and meet by an equi-join on cell and block numbers. A cell of any size is cut into as many bounded
+blocks as it needs, so a crowded cell costs more tasks, not a larger one.
 
 Results are ranked by similarity (to 12 decimals, so that equal vectors tie) and then by key.
 """
@@ -19,13 +23,14 @@ Results are ranked by similarity (to 12 decimals, so that equal vectors tie) and
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from storygauge.functions.rounding import round_exact
 from storygauge.functions.similarity import unit, usable
@@ -34,14 +39,17 @@ from storygauge.session import durable, staged_keys
 
 BROADCAST_BYTES = 64 << 20  # query vectors that may be sent to every task
 BROADCAST_ROWS = 500_000  # neighbour rows that may be
+SEED_ROWS = 1 << 16  # rows of the part of a large corpus that is searched first
 BLOCK_ROWS = 16_384  # rows of one block in the block join
+CENTRE_BYTES = 128 << 20  # cell centres that may be sent to every task
 KEEP_DECIMALS = 12
 SLACK = 1e-11  # wide enough that rounding never drops a row that ties with the last one kept
 SLAB = 4 << 20  # similarities computed at a time
 
 
-def clamp_k(k: int) -> int:
-    return max(1, min(k, MAX_NEIGHBOURS))
+def clamp_k(k: int, max_k: int = MAX_NEIGHBOURS) -> int:
+    """The number of neighbours a lookup gives: between 1 and ``max_k``."""
+    return max(1, min(k, max_k))
 
 
 def searchable(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -75,9 +83,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int | None) -> np.nda
 class _Best:
     """Running best ``k`` corpus rows of each query."""
 
-    def __init__(self, queries: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.queries, self.k = queries, k
-        self.floor = np.full(len(queries), -np.inf)
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
         self.rows: pa.Table | None = None
 
     def add(self, keys: pa.Array, vectors: np.ndarray, payload: Sequence[pa.Array], names: Sequence[str]) -> None:
@@ -126,7 +134,7 @@ class _Best:
         place = np.arange(len(q)) - starts[q]
         self.rows = table.filter(pa.array(place < self.k))
         full = np.nonzero(place == self.k - 1)[0]
-        self.floor[q[full]] = table["sim"].to_numpy()[full]
+        self.floor[q[full]] = np.maximum(self.floor[q[full]], table["sim"].to_numpy()[full])
 
     def batches(self, query_keys: pa.Array, schema: pa.Schema, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
         if self.rows is not None and self.rows.num_rows:
@@ -158,60 +166,74 @@ def nearest(
     queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_NEIGHBOURS, *, query_key: str = "query_key",
     query_vector: str = "query_vector", key: str = "issue_key", vector: str = "embedding",
     payload: Sequence[str] = ("story_points",), fetch: Sequence[str] = (), dimension: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES, seed_rows: int = SEED_ROWS,
 ) -> DataFrame:
     """Exact ``k`` nearest corpus rows of every query: query_key, key, payload, rank, similarity (4 decimals).
 
     Keys are unique on each side, as in the vector table. ``payload`` columns travel with the vectors; wide ones
-    belong in ``fetch``, which looks them up for the rows found, without reading a vector again. Give ``dimension``
-    where the query vectors are costly to make: otherwise one of them is fetched to learn it.
+    belong in ``fetch``, which looks them up for the rows found, without reading a vector again. Queries whose vector is
+    of another length than ``dimension`` are an error, as are unequal lengths.
     """
-    k = clamp_k(k)
+    k = max(1, k)
     q = searchable(queries, query_vector).select(F.col(query_key).alias("query_key"), F.col(query_vector).alias("query_vector"))
     c = searchable(corpus, vector).select(key, F.col(vector).alias("_vector"), *payload)
     fields = _output(q, c, "query_key", key, payload)
-    bounded = _bounded_table(q, broadcast_bytes, dimension)
-    if bounded is not None:
-        found = _rank(_scan_against(bounded, c, k, key, payload, fields), key, k)
-        if fetch and bounded.num_rows * k <= BROADCAST_ROWS:
-            return with_columns_of(F.broadcast(found), corpus, key, fetch)  # the wide table is not shuffled
-    else:
-        staged = durable(q)
-        one_cell = {
-            "cell": F.lit(0), "q_blocks": _blocks(staged.count(), block_rows), "c_blocks": _blocks(corpus.count(), block_rows)
-        }
-        pairs = _block_join(staged.withColumns(one_cell), c.withColumns(one_cell), k, key, payload, fields)
-        found = _rank(pairs, key, k)
+    q = durable(q)
+    count, width = q.agg(F.count(F.lit(1)), F.max(F.size("query_vector"))).head()
+    at_once = max(1, broadcast_bytes // (8 * max(width or 1, dimension or 1)))
+    slices = -(-count // at_once)
+    floors = _floors(q, c, k, key, seed_rows, slices, dimension) if slices else None
+    if slices <= 1:
+        found = _rank(_scan_against(q.toArrow(), c, k, key, payload, fields, dimension, floors), key, k)
+    else:  # one scan of the corpus after the other, each leaving a bounded result behind
+        scan = lambda i: _scan_against(_slice(q, i, slices).toArrow(), c, k, key, payload, fields, dimension, floors)
+        found = reduce(DataFrame.unionByName, [durable(_rank(scan(i), key, k)) for i in range(slices)])
+    if fetch and count * k <= BROADCAST_ROWS:
+        return with_columns_of(F.broadcast(found), corpus, key, fetch)  # the wide table is not shuffled
     return with_columns_of(found, corpus, key, fetch) if fetch else found
 
 
-def _bounded_table(queries: DataFrame, limit_bytes: int, dimension: int | None) -> pa.Table | None:
-    """The query vectors if they fit ``limit_bytes`` in double precision, else None."""
-    if dimension is None:
-        head = queries.limit(1).toArrow()
-        if head.num_rows == 0:
-            return head
-        dimension = len(head["query_vector"][0].as_py())
-    rows = limit_bytes // (8 * max(1, dimension))
-    if rows == 0:
+def _slice(queries: DataFrame, number: int, slices: int) -> DataFrame:
+    return queries.filter(F.pmod(F.xxhash64("query_key"), F.lit(slices)) == number)
+
+
+def _floors(
+    queries: DataFrame, corpus: DataFrame, k: int, key: str, seed_rows: int, slices: int, dimension: int | None
+) -> dict | None:
+    """For each query the k-th best similarity in a part of the corpus; None for a corpus that is not much larger.
+
+    The part is chosen by key hash and has about ``seed_rows`` rows. At most one number a query reaches the driver, and
+    none where the queries need several scans anyway.
+    """
+    if slices > 1:
+        return None
+    total = corpus.count()
+    if total <= 4 * max(seed_rows, k):
         return None
-    table = queries.limit(rows + 1).toArrow()
-    return table if table.num_rows <= rows else None
+    share = F.pmod(F.xxhash64(key), F.lit(total)) < F.lit(max(seed_rows, 4 * k))
+    part = corpus.filter(share).select(key, "_vector")
+    fields = _output(queries, part, "query_key", key, ())
+    best = _scan_against(queries.toArrow(), part, k, key, (), fields, dimension)
+    order = Window.partitionBy("query_key").orderBy(F.desc("raw_similarity"))
+    kth = best.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == k)
+    return {r[0]: r[1] for r in kth.select("query_key", "raw_similarity").collect()}
 
 
 def _scan_against(
-    table: pa.Table, corpus: DataFrame, k: int, key: str, payload: Sequence[str], fields: T.StructType
+    table: pa.Table, corpus: DataFrame, k: int, key: str, payload: Sequence[str], fields: T.StructType,
+    dimension: int | None, floors: dict | None = None,
 ) -> DataFrame:
     if table.num_rows == 0:
         return corpus.sparkSession.createDataFrame([], fields)
     query_keys = table["query_key"].combine_chunks()
-    units = _matrix(table["query_vector"], None)
-    sent = corpus.sparkSession.sparkContext.broadcast((query_keys, units))
+    units = _matrix(table["query_vector"], dimension)
+    least = None if floors is None else np.array([floors.get(x, -np.inf) for x in query_keys.to_pylist()])
+    sent = corpus.sparkSession.sparkContext.broadcast((query_keys, units, least))
     names = list(payload)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_, units_ = sent.value
-        best, schema = _Best(units_, k), None
+        keys_, units_, least_ = sent.value
+        best, schema = _Best(units_, k, least_), None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -284,21 +306,37 @@ def _block_join(
 
 
 class CellIndex:
-    """Cells of similar vectors, found by k-means on a bounded, hash-chosen part of the corpus."""
+    """Cells of similar vectors, found by k-means. The centres go to every task, so their size is bounded."""
 
     def __init__(self, centres: np.ndarray):
+        if centres.size * 8 > CENTRE_BYTES:
+            raise ValueError(f"{len(centres)} centres of {centres.shape[1]} numbers exceed {CENTRE_BYTES} bytes; use fewer cells")
         self.centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
+        spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("errorifexists").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CellIndex":
+        stored = spark.read.schema("cell int, centre array<double>").parquet(path)
+        numbers = stored.agg(F.sum(F.size("centre"))).head()[0] or 0
+        if numbers * 8 > CENTRE_BYTES:
+            raise ValueError(f"the index at {path} holds {numbers} numbers, more than {CENTRE_BYTES} bytes")
+        return cls(np.array([r.centre for r in stored.orderBy("cell").collect()]))
+
     @classmethod
     def fit(
         cls, corpus: DataFrame, cells: int, *, key: str = "issue_key", vector: str = "embedding",
-        rows_per_cell: int = 256, seed: int = 42,
+        rows_per_cell: int | None = None, seed: int = 42,
     ) -> "CellIndex":
+        """Centres of all searchable rows, or, with ``rows_per_cell``, of a hash-chosen part of so many rows a cell."""
         rows = searchable(corpus, vector)
-        total = rows.count()
-        share = min(1.0, cells * rows_per_cell / max(1, total))
-        place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
-        chosen = rows.filter(place < F.lit(int(share * (1 << 40)))).select(unit(F.col(vector)).alias("_unit"))
+        if rows_per_cell is not None:
+            share = min(1.0, cells * rows_per_cell / max(1, rows.count()))
+            place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40))
+            rows = rows.filter(place < F.lit(int(share * (1 << 40))))
+        chosen = rows.select(unit(F.col(vector)).alias("_unit"))
         training = durable(chosen).select(array_to_vector("_unit").alias("features"))  # read once per iteration
         model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(training)
         return cls(np.array(model.clusterCenters()))
@@ -326,22 +364,28 @@ class CellIndex:
 def approximate_neighbours(
     queries: DataFrame, corpus: DataFrame, index: CellIndex, k: int = DEFAULT_NEIGHBOURS, probes: int = 4, *,
     query_key: str = "query_key", query_vector: str = "query_vector", key: str = "issue_key",
-    vector: str = "embedding", payload: Sequence[str] = ("story_points",), block_rows: int = BLOCK_ROWS,
+    vector: str = "embedding", payload: Sequence[str] = ("story_points",), fetch: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Nearest corpus rows within the ``probes`` cells closest to each query, exactly ranked there.
 
     With as many probes as cells the result is that of ``nearest``. A corpus that is searched often is better
-    stored with its ``cell`` (``index.assign``), which is then used as it is.
+    stored with its ``cell`` (``write_vectors`` with an index), which is then used as it is: where the table is
+    partitioned by it, only the probed cells are read.
     """
-    k = clamp_k(k)
+    k = max(1, k)
     q = searchable(queries, query_vector).select(F.col(query_key).alias("query_key"), F.col(query_vector).alias("query_vector"))
     placed = searchable(corpus, vector)
-    placed = placed if "cell" in corpus.columns else index.assign(placed, vector)
+    probed = durable(index.assign(q, "query_vector", probes))
+    if "cell" in corpus.columns:
+        cells = [r[0] for r in probed.select("cell").distinct().collect()]  # at most as many as centres
+        placed = placed.filter(F.col("cell").isin(cells))
+    else:
+        placed = index.assign(placed, vector)
     c = placed.select(key, F.col(vector).alias("_vector"), *payload, "cell")
     fields = _output(q, c, "query_key", key, payload)
-    probed = durable(index.assign(q, "query_vector", probes))
-    found = _block_join(*_with_block_counts(probed, c, block_rows), k, key, payload, fields)
-    return _rank(found, key, k)
+    found = _rank(_block_join(*_with_block_counts(probed, c, block_rows), k, key, payload, fields), key, k)
+    return with_columns_of(found, corpus, key, fetch) if fetch else found
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = "issue_key") -> DataFrame:
@@ -361,7 +405,7 @@ def with_columns_of(neighbours: DataFrame, corpus: DataFrame, key: str, columns:
 
 
 def ranked_list(columns: Sequence[str]) -> Column:
-    """Aggregate: a query's neighbours in rank order, at most fifty."""
+    """Aggregate: a query's neighbours in rank order, at most ``k`` of the search."""
     items = F.sort_array(F.collect_list(F.struct("rank", *columns)))
     return F.transform(items, lambda t: F.struct(*[t[c].alias(c) for c in columns]))
 

@@ -182,10 +182,8 @@ def _describe(lengths: DataFrame) -> DataFrame:
 def length_histogram(issues: DataFrame, text: str = "Description_Text", bins: int = 50) -> DataFrame:
     """Equal-width histogram of the text length; the top edge belongs to the last bin, empty bins are kept."""
     lengths = length_counts(issues, text)
-    span = Window.partitionBy(F.lit(0))  # over the distinct lengths
-    ranged = lengths.select(
-        "length", "n", F.min("length").over(span).alias("lo"), F.max("length").over(span).alias("hi")
-    )
+    span = lengths.agg(F.struct(F.min("length").alias("lo"), F.max("length").alias("hi"))).scalar()
+    ranged = lengths.select("length", "n", span["lo"].alias("lo"), span["hi"].alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     place = F.when(width > 0, F.floor((F.col("length") - F.col("lo")) / width) + 1).otherwise(F.lit(1))
     filled = ranged.groupBy(F.least(place, F.lit(bins)).cast("int").alias("bin"), "lo", "hi").agg(

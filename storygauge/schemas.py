@@ -14,10 +14,6 @@ MAX_NEIGHBOURS = 50
 DEFAULT_NEIGHBOURS = 10
 RUBRIC_COLUMNS = ("grounded", "faithful_to_rag", "comparative", "no_hallucination", "useful")
 HALLUCINATION_LABELS = ("grounded", "inferred", "hallucinated")
-ISSUE_TYPES = (
-    "Story", "Bug", "Task", "Epic", "Improvement", "New Feature", "Suggestion",
-    "Enhancement Request", "Technical task",
-)
 # ------------------------------------------------------------------------------------------------
 
 _TYPES = {

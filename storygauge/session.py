@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_KEYS = 500_000  # rows of a narrow table that may be sent to every executor
@@ -29,14 +27,13 @@ def build_session(app: str = "storygauge", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder for staged data that the session names in ``spark.checkpoint.dir``.
 
-    A private folder is made only where none is named, as in unit tests; on a cluster that is an error.
+    The setting is static: a running session is given a folder by ``sparkContext.setCheckpointDir``. Without one this is
+    an error; the library never chooses a machine's own folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="storygauge-")
+    return folder.rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -53,5 +50,5 @@ def staged_keys(keys: DataFrame) -> tuple[DataFrame, bool]:
     If so it comes with the hint, so that a join against it leaves the other side where it is.
     """
     staged = durable(keys)
-    small = staged.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    small = staged.count() <= BROADCAST_KEYS
     return (F.broadcast(staged) if small else staged), small

@@ -89,6 +89,9 @@ def test_merge_replies(spark):
         ("off scale", None, None, None, '{"story_points": 9, "confidence": 0.9, "reasoning": "r"}', None),
         ("defaults", None, None, None, "{}", None),
         ("huge", None, None, None, '{"story_points": 1e30, "subtasks": [{"story_points": 1e12}, {"story_points": 1e12}, {"story_points": 1e12}]}', None),
+        ("part", None, None, None, '{"subtasks": [{"story_points": "n/a"}]}', None),
+        ("not a number", None, None, None, '{"story_points": 3, "confidence": NaN}', None),
+        ("settled", 5, 5.0, 0.5, '{"story_points": "five"}', None),
         ("broken", None, None, None, "nope", None),
         ("failed", None, None, None, None, "ValueError: x"),
     ]
@@ -101,8 +104,12 @@ def test_merge_replies(spark):
     assert (r.story_points, r.confidence, r.no_rag_fallback) == (13, 0.45, True)
     assert r.reasoning.startswith("No similar tickets found") and r.source == "llm:m+no-retrieval"
     assert (got["defaults"].story_points, got["defaults"].confidence) == (3, 0.4)
-    assert got["huge"].story_points == 21 and len(got["huge"].subtasks) == 3
+    assert got["huge"].error == "story_points is no whole number" and got["part"].error == "story_points of a subtask is no whole number"
+    assert got["not a number"].error == "confidence is no number" and got["settled"].error is None and got["settled"].story_points == 5
     assert got["broken"].error == "no JSON object in the reply" and got["failed"].error == "ValueError: x"
+    for k in ("huge", "part", "not a number", "broken", "failed"):
+        made = ("story_points", "confidence", "reasoning", "complex", "subtasks", "source", "no_rag_fallback")
+        assert [got[k][c] for c in made] == [None] * len(made)
 
 
 def test_warning_is_added_once(spark):

@@ -44,10 +44,92 @@ def test_scan_equals_brute_force(spark, data):
 
 def test_blocks_equal_brute_force(spark, data):
     q, c = frames(spark, *data)
-    got = nn.nearest(q, c, 7, broadcast_bytes=0, block_rows=32)
+    got = nn.nearest(q, c, 7, broadcast_bytes=8 * 12 * 15)  # three scans
     assert found(got) == brute_force(*data, 7)
 
 
+def test_seeded_floors_keep_the_result_and_thin_the_scan(spark, data, monkeypatch):
+    q, c = frames(spark, *data)
+    c = c.repartition(30)
+    assert found(nn.nearest(q, c, 7, seed_rows=40)) == brute_force(*data, 7)
+    rows = {}
+    scan = nn._scan_against
+
+    def counted(table, corpus, k, key, payload, fields, dimension, floors=None):
+        out = scan(table, corpus, k, key, payload, fields, dimension, floors)
+        rows[floors is not None] = out.count()
+        return out
+
+    monkeypatch.setattr(nn, "_scan_against", counted)
+    nn.nearest(q, c, 7, seed_rows=100).count()
+    nn.nearest(q, c, 7, seed_rows=1 << 20).count()
+    assert rows[True] < 0.6 * rows[False]
+
+
+def test_a_query_is_encoded_once(spark, data):
+    """On either side of the broadcast bound."""
+    _, c = frames(spark, *data)
+    for bound in (1 << 20, 8 * 12 * 15):
+        calls = spark.sparkContext.accumulator(0)
+
+        @F.udf("array<double>")
+        def encode(i):
+            calls.add(1)
+            return [float(i + j) for j in range(12)]
+
+        q = spark.range(40).select(F.concat(F.lit("q"), "id").alias("query_key"), encode.asNondeterministic()("id").alias("query_vector"))
+        assert nn.nearest(q, c, 3, broadcast_bytes=bound).count() == 120
+        assert calls.value == 40
+
+
+def test_size_checks_bring_no_rows_together(spark, data, capsys):
+    """No plan limits rows in one task to learn how many there are."""
+    from storygauge.operators import ingest, sampling
+
+    tickets = spark.createDataFrame([(f"k{i}", i % 4) for i in range(50)], "issue_key string, actual_story_points int")
+    stored = spark.createDataFrame([("k1", "m")], "issue_key string, embedding_model string")
+    q, c = frames(spark, *data)
+    plans = [ingest.not_yet_stored(tickets, stored, "m"), sampling.mark_split(tickets), sampling.stratified_sample(tickets, 2), nn.nearest(q, c, 3)]
+    for df in plans:
+        assert "GlobalLimit" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_is_stored_with_the_vectors(spark, tmp_path):
+    from storygauge.operators.encode import CallableEncoder
+    from storygauge.operators.ingest import embed_tickets
+    from storygauge.plans import lookup
+    from storygauge.sources.vectors import read_vectors, write_vectors
+
+    encoder = CallableEncoder("len-3", 3, lambda: (lambda texts: [[float(len(t)), float(t.count("a")), 3.0] for t in texts]))
+    tickets = spark.createDataFrame([(f"C-{i}", "P", "Bug", f"t{i}", "a" * (i % 13) + "b" * (i % 7 + 1), i % 8) for i in range(90)],
+                                    "issue_key string, project string, issue_type string, title string, description string, actual_story_points int")
+    vectors = embed_tickets(tickets, encoder)
+    index = nn.CellIndex.fit(vectors, 5)
+    index.save(spark, str(tmp_path / "index"))
+    write_vectors(vectors, str(tmp_path / "vectors"), index=index)
+    again = nn.CellIndex.load(spark, str(tmp_path / "index"))
+    assert np.allclose(again.centres, index.centres)
+    stored = read_vectors(spark, str(tmp_path / "vectors"), "len-3", indexed=True)
+    assert stored.count() == 90 and stored.columns[-1] == "cell"
+    asked = tickets.select("description").limit(20)
+    exact = lookup.find_similar(asked, read_vectors(spark, str(tmp_path / "vectors"), "len-3"), encoder, 4)
+    whole = lookup.find_similar(asked, stored, encoder, 4, index=again, probes=5)
+    columns = ["query_key", "rank", "issue_key", "similarity", "title", "description"]
+    assert sorted(whole.select(columns).collect()) == sorted(exact.select(columns).collect())
+    again.assign = lambda df, vector, probes=1: index.assign(df, vector, probes) if vector == "query_vector" else pytest.fail("assigned again")
+    few = lookup.find_similar(asked, stored, encoder, 4, index=again, probes=1)
+    plan = few._jdf.queryExecution().toString()
+    assert any("cell" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
+    with pytest.raises(ValueError, match="fewer cells"):
+        nn.CellIndex(np.zeros((1 << 12, 1 << 13)))
+
+
+def test_cells_learn_from_every_row(spark):
+    rows = [(f"a{i}", [1.0, 0.0]) for i in range(500)] + [("far", [0.0, 1.0])]
+    c = spark.createDataFrame(rows, "issue_key string, embedding array<double>")
+    assert {tuple(np.round(x, 6)) for x in nn.CellIndex.fit(c, 2).centres} == {(1.0, 0.0), (0.0, 1.0)}
+
+
 def test_cells_equal_brute_force_when_all_are_probed(spark, data):
     q, c = frames(spark, *data)
     index = nn.CellIndex.fit(c, 6)
@@ -100,10 +182,10 @@ def test_no_queries(spark):
     assert nn.nearest(q.filter("false"), c, 5).collect() == []
 
 
-def test_k_is_clamped(spark):
+def test_k_is_honoured_and_clamped_in_lookups(spark):
     assert [nn.clamp_k(k) for k in (-1, 0, 1, 50, 51)] == [1, 1, 1, 50, 50]
     q, c = frames(spark, [("q", [1.0, 0.5])], [(f"a{i:02d}", [1.0, float(i)]) for i in range(80)])
-    assert nn.nearest(q, c, 500).count() == 50
+    assert nn.nearest(q, c, 500).count() == 80 and nn.clamp_k(500, 60) == 60
 
 
 def test_rank_follows_similarity(spark, data):
@@ -117,7 +199,7 @@ def test_rank_follows_similarity(spark, data):
 def test_neighbour_texts_come_with_the_rows(spark):
     c = spark.createDataFrame([("a", [1.0, 0.0], 3, "T", "D")], "issue_key string, embedding array<float>, story_points int, title string, description string")
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_key string, query_vector array<double>")
-    for bound in (1 << 20, 0):
+    for bound in (1 << 20, 8):
         (r,) = nn.nearest(q, c, 3, fetch=("title", "description"), broadcast_bytes=bound).collect()
         assert (r.query_key, r.issue_key, r.story_points, r.title, r.description, r.similarity) == ("q", "a", 3, "T", "D", 1.0)
 
