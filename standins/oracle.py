@@ -200,10 +200,21 @@ asked AS (SELECT doc_id AS query_key, {strip('description')} AS body FROM subs W
 q AS (SELECT query_key, {letters('body')} AS query_vector FROM asked),
 c AS (SELECT issue_key, actual_story_points AS story_points, {letters(strip('description'))} AS embedding FROM tickets),
 found AS ({nearest("(SELECT * FROM q WHERE list_sum(query_vector) > 0)", "(SELECT * FROM c WHERE list_sum(embedding) > 0)", 3)}),
-lists AS (SELECT query_key, string_agg(issue_key, ',' ORDER BY rank) AS keys FROM found GROUP BY query_key)
+texts AS (SELECT issue_key, {strip('title')} AS title, {strip('description')} AS description FROM tickets),
+lists AS (SELECT query_key, string_agg(issue_key, ',' ORDER BY rank) AS keys, string_agg(CAST(story_points AS VARCHAR), ',' ORDER BY rank) AS points,
+  string_agg(printf('%.4f', similarity), ',' ORDER BY rank) AS similarities, string_agg(title || '|' || description, ',' ORDER BY rank) AS texts
+  FROM found JOIN texts USING (issue_key) GROUP BY query_key)
 SELECT s.doc_id, CASE WHEN {strip('s.description')} = '' THEN '{{"error":"description must not be empty"}}' END AS error,
-  CASE WHEN {strip('s.description')} <> '' THEN coalesce(l.keys, '') END AS keys
+  {', '.join(f"CASE WHEN {strip('s.description')} <> '' THEN coalesce(l.{c}, '') END AS {c}" for c in ('keys', 'points', 'similarities'))},
+  md5(CASE WHEN {strip('s.description')} <> '' THEN coalesce(l.texts, '') END) AS texts
 FROM subs s LEFT JOIN lists l ON l.query_key = s.doc_id"""
+ORACLES["looked_up_through_an_index"] = ORACLES["lookup_answers"]
+ORACLES["neighbours_at_most_fifty"] = f"""WITH subs AS ({view(views.SUBMISSIONS)}), {TICKETS}
+SELECT md5({strip('description')}) AS query_key, CAST(50 AS BIGINT) AS n, 50 AS last FROM subs
+WHERE list_sum({letters(strip('description'))}) > 0 GROUP BY 1"""
+ORACLES["approximate_tickets"] = f"""WITH {QUERY_VECTORS} SELECT query_key, CAST(10 AS BIGINT) AS n, true AS gapless, true AS exact FROM queries"""
+ORACLES["approximate_recall"] = "SELECT 10 * count(*) AS n_exact, true AS most_found FROM embeddings"
+ORACLES["tfidf_vectors"] = f"""WITH {TICKETS} SELECT issue_key, 64 AS dimension, CASE WHEN {strip('description')} = '' THEN 0 ELSE 1 END::DOUBLE AS length FROM tickets"""
 ORACLES["embedded_texts"] = f"""WITH {TICKETS}, texts AS (SELECT issue_key, CASE WHEN {strip('title')} <> ''
   THEN {strip('title')} || chr(10) || chr(10) || {strip('description')} ELSE {strip('description')} END AS text FROM tickets)
 SELECT issue_key, 26 AS dimension, list_sum({letters('text')}) AS letters, CAST(length(text) AS INTEGER) AS chars FROM texts"""
@@ -232,6 +243,7 @@ SELECT 'TKT-' || CASE WHEN number < 1000 THEN lpad(CAST(number AS VARCHAR), 3, '
   {strip('project')}, {strip('issue_type')}, {strip('title')}, {strip('description')} FROM numbered"""
 REWRITES = f"""{VECTORS}, rewrites AS ({view(views.REWRITES)}), latest AS (
   SELECT * FROM rewrites QUALIFY row_number() OVER (PARTITION BY issue_key, embedding_model ORDER BY turn DESC) = 1)"""
+ORACLES["backlog_from_json"] = ORACLES["backlog_with_submissions"]
 ORACLES["upserted_vectors"] = f"""WITH {REWRITES}
 SELECT issue_key, embedding_model, story_points, description, false AS touched FROM vectors
   WHERE (issue_key, embedding_model) NOT IN (SELECT (issue_key, embedding_model) FROM latest)
@@ -339,6 +351,8 @@ parts AS (SELECT lab, n * want // total AS whole, n * want % total AS remainder,
 quotas AS (SELECT lab, whole + CASE WHEN row_number() OVER (ORDER BY remainder DESC, lab) <= missing THEN 1 ELSE 0 END AS quota FROM parts)
 SELECT issue_key, actual_story_points, CASE WHEN row_number() OVER (PARTITION BY actual_story_points ORDER BY {hashed(42, 'issue_key')}) <= quota
   THEN 'corpus' ELSE 'holdout' END AS side FROM eligible JOIN quotas ON lab = actual_story_points"""
+ORACLES["split_through_files"] = f"""WITH marked AS ({ORACLES['corpus_and_holdout']})
+  SELECT side, actual_story_points, count(*) AS n, true AS ordered FROM marked GROUP BY ALL"""
 ORACLES["split_overlap"] = f"""WITH marked AS ({ORACLES['corpus_and_holdout']}) SELECT count(*) AS overlap FROM marked a
   WHERE side = 'corpus' AND issue_key IN (SELECT issue_key FROM marked WHERE side = 'holdout')"""
 ORACLES["first_tickets"] = f"WITH {TICKETS} SELECT issue_key, project FROM tickets ORDER BY issue_key LIMIT 25"
@@ -456,6 +470,10 @@ LABEL_PROMPT_LENGTH = """length('# Subtask: ' || subtask_title || chr(10) || sub
 ORACLES["labelled_subtasks"] = f"""WITH {SUBTASKS} SELECT issue_key, subtask_title, CASE {LABEL_PROMPT_LENGTH} % 5 WHEN 0 THEN 'grounded'
   WHEN 1 THEN 'inferred' WHEN 2 THEN 'hallucinated' WHEN 3 THEN 'grounded' ELSE 'inferred' END AS label FROM subtasks"""
 
+ORACLES["reviewed_subtasks"] = f"""WITH labelled AS ({ORACLES["labelled_subtasks"]})
+""" + " UNION ALL ".join(f"""SELECT '{name}' AS label, CAST(count_if(label = '{name}') AS BIGINT) AS n,
+  round(CAST(count_if(label = '{name}') AS DOUBLE) / count(*), 6) AS share FROM labelled""" for name in HALLUCINATION_LABELS)
+
 # --- scores ----------------------------------------------------------------------------------------
 ORACLES["off_scale_predictions"] = f"""WITH {ISSUES} SELECT CAST(ID AS VARCHAR) AS issue_key, CAST(trunc(Story_Point) AS INTEGER) AS predicted_story_points
   FROM issues WHERE NOT coalesce(CAST(trunc(Story_Point) AS INTEGER) IN {SCALE}, false)"""
@@ -538,6 +556,14 @@ sheet AS (SELECT rag.*, line, keys FROM rag JOIN lines ON query_key = rag.issue_
 ORACLES["justification_sheet"] = f"""WITH {SHEET} SELECT issue_key, title AS ticket_title, CASE WHEN length(description) > 500
   THEN substr(description, 1, 500) || '...' ELSE description END AS ticket_description_snippet, predicted_story_points, reasoning,
   line AS neighbour_keys, {', '.join(f"'' AS {c}" for c in RUBRIC_COLUMNS)} FROM sheet"""
+NUMBER = "CAST(split_part(issue_key, '-', 2) AS BIGINT)"
+MARKS = ", ".join(f"CASE WHEN {NUMBER} % {11 + i} = 0 THEN NULL WHEN {NUMBER} % {i + 2} = 0 THEN 1 ELSE 0 END AS {c}" for i, c in enumerate(RUBRIC_COLUMNS))
+ORACLES["reviewed_justifications"] = f"""WITH {SHEET}, marked AS (SELECT {MARKS} FROM sheet),
+done AS (SELECT * FROM marked WHERE {' AND '.join(f"{c} IS NOT NULL" for c in RUBRIC_COLUMNS)}),
+t AS (SELECT count(*) AS labeled, (SELECT count(*) FROM marked) - count(*) AS unlabeled,
+  round(({' + '.join(f"avg({c})" for c in RUBRIC_COLUMNS)}) / {len(RUBRIC_COLUMNS)}, 6) AS mean_rate FROM done)
+""" + " UNION ALL ".join(f"""SELECT '{c}' AS rubric, CAST(sum({c}) AS BIGINT) AS positive, any_value(labeled) AS labeled, any_value(unlabeled) AS unlabeled,
+  round(avg({c}), 6) AS rate, any_value(mean_rate) AS mean_rate FROM done, t""" for c in RUBRIC_COLUMNS)
 CHECKS = f"""{SHEET}, checks AS (SELECT issue_key, {AGREES} AS consistent, true AS has_neighbours, list_has_any(cited, keys) AS cites_neighbour, cited,
   list_filter(cited, lambda k: NOT list_contains(keys, k)) AS invented FROM (SELECT *, {keys_in('reasoning')} AS cited FROM sheet))"""
 ORACLES["citation_checks"] = f"""WITH {CHECKS} SELECT issue_key, consistent, has_neighbours, cites_neighbour,

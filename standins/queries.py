@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from standins.stubs import LETTERS, scripted_generator, scripted_labeller
 from standins.views import (
@@ -19,7 +19,7 @@ from storygauge.operators import (
 )
 from storygauge.plans import evaluate, export, ingest as ingest_job, lookup
 from storygauge.session import shared_folder
-from storygauge.sources import files, tables, vectors as vector_store
+from storygauge.sources import backlog, files, tables, vectors as vector_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LARGE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -76,16 +76,47 @@ def nearest_tickets_by_blocks(t):
 
 @query
 def approximate_tickets(t):
+    """For each query how many tickets the probed cells gave, and whether ranks and similarities are those of the pairs."""
     index = nn.CellIndex.fit(t.vectors(), 16)
     found = nn.approximate_neighbours(t.queries(), t.vectors(), index, 10, probes=6)
-    return found.select("query_key", "rank", "issue_key", "story_points", "similarity")
+    pairs = found.join(t.queries(), "query_key").join(t.vectors().select("issue_key", "embedding"), "issue_key")
+    exact = F.round(fv.cosine(F.col("query_vector"), F.col("embedding").cast("array<double>")), 4)
+    return pairs.groupBy("query_key").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("rank") == F.count(F.lit(1))).alias("gapless"),
+        (F.max(F.abs(exact - F.col("similarity"))) < 2e-4).alias("exact"),
+    )
 
 
 @query
 def approximate_recall(t):
-    index = nn.CellIndex.fit(t.vectors(), 16)
-    found = nn.approximate_neighbours(t.queries(), t.vectors(), index, 10, probes=6)
-    return rounded(nn.recall(found, t.neighbours()))
+    """Recall of a search in 6 of 16 cells, through a stored index and a table stored by cell."""
+    folder = scratch(t.spark, "index")
+    nn.CellIndex.fit(t.vectors(), 16).save(t.spark, f"{folder}/centres")
+    index = nn.CellIndex.load(t.spark, f"{folder}/centres")
+    rows = t.vectors().withColumn("created_at", F.lit(None).cast("timestamp"))
+    vector_store.write_vectors(rows, f"{folder}/vectors", index=index)
+    stored = vector_store.read_vectors(t.spark, f"{folder}/vectors", indexed=True)
+    found = nn.approximate_neighbours(t.queries(), stored, index, 10, probes=6)
+    return nn.recall(found, t.neighbours()).select("n_exact", (F.col("recall") >= 0.6).alias("most_found"))
+
+
+@query
+def looked_up_through_an_index(t):
+    """Ticket texts looked up in a table stored by cell, with all cells probed: the exact neighbours."""
+    folder = scratch(t.spark, "index")
+    vectors = letter_vectors(t)
+    index = nn.CellIndex.fit(vectors, 6)
+    vector_store.write_vectors(vectors, f"{folder}/vectors", index=index)
+    stored = vector_store.read_vectors(t.spark, f"{folder}/vectors", LETTERS.model, indexed=True)
+    answers = lookup.lookup_json(t.view(SUBMISSIONS), stored, LETTERS, 3, index=index, probes=6)
+    return _answer_parts(answers)
+
+
+@query
+def neighbours_at_most_fifty(t):
+    """A lookup that asks for 80 neighbours gets 50."""
+    found = lookup.find_similar(t.view(SUBMISSIONS), letter_vectors(t), LETTERS, 80)
+    return found.groupBy("query_key").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
 
 
 @query
@@ -131,12 +162,20 @@ def vector_quality(t):
 @query
 def lookup_answers(t):
     """Every submission looked up among the documents' letter vectors; blank ones get an error."""
-    answers = lookup.lookup_json(t.view(SUBMISSIONS), letter_vectors(t), LETTERS, 3)
-    items = F.from_json("answer", "array<struct<issue_key string, story_points int, similarity double>>")
+    return _answer_parts(lookup.lookup_json(t.view(SUBMISSIONS), letter_vectors(t), LETTERS, 3))
+
+
+def _answer_parts(answers: DataFrame) -> DataFrame:
+    """The error of an answer, or its neighbours' keys, points, similarities and texts, each as one text."""
+    items = F.from_json("answer", "array<struct<issue_key string, story_points int, similarity double, title string, description string>>")
+    joined = lambda name, text: F.when(
+        F.col("answer").startswith("["), F.array_join(F.transform(items, text), ",")).alias(name)
     return answers.select(
         "doc_id",
         F.when(F.col("answer").startswith("{"), F.col("answer")).alias("error"),
-        F.when(F.col("answer").startswith("["), F.array_join(F.transform(items, lambda i: i["issue_key"]), ",")).alias("keys"),
+        joined("keys", lambda i: i["issue_key"]), joined("points", lambda i: i["story_points"].cast("string")),
+        joined("similarities", lambda i: F.format_string("%.4f", i["similarity"])),
+        F.md5(joined("texts", lambda i: F.concat(i["title"], F.lit("|"), i["description"]))).alias("texts"),
     )
 
 
@@ -210,6 +249,16 @@ def tickets_through_csv(t):
     return files.read_csv(t.spark, path, schemas.TICKETS)
 
 
+@query
+def backlog_from_json(t):
+    """The backlog written as one JSON array, read back and extended by the submissions."""
+    path = scratch(t.spark, "backlog")
+    rows = t.view(BACKLOG).select(F.struct(*schemas.BACKLOG.fieldNames()).alias("row"))  # a table of fixed size
+    rows.agg(F.to_json(F.collect_list("row")).alias("value")).write.text(path)
+    accepted, _ = cleaning.split_submissions(t.view(SUBMISSIONS))
+    return ingest.append_tickets(backlog.read_backlog(t.spark, path), accepted, [F.col("doc_id")])
+
+
 @query
 def backlog_with_submissions(t):
     accepted, _ = cleaning.split_submissions(t.view(SUBMISSIONS))
@@ -375,6 +424,20 @@ def corpus_and_holdout(t):
     return sampling.mark_split(pool, 0.8).select("issue_key", "actual_story_points", "side")
 
 
+@query
+def split_through_files(t):
+    """Both sides written as CSV and read back: how many tickets each holds, and whether its files are in key order."""
+    folder = scratch(t.spark, "split")
+    counted = []
+    for side, path in zip(("corpus", "holdout"), export.write_split(export.split(t.issues(), t.projects()), folder)):
+        rows = files.read_csv(t.spark, path, schemas.TICKETS).select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+        before = F.lag("issue_key").over(Window.partitionBy("file").orderBy("place"))
+        ordered = rows.withColumn("_ordered", F.coalesce(before <= F.col("issue_key"), F.lit(True)))
+        counted.append(ordered.groupBy("actual_story_points").agg(F.count(F.lit(1)).alias("n"), F.bool_and("_ordered").alias("ordered"))
+                       .withColumn("side", F.lit(side)))
+    return counted[0].unionByName(counted[1])
+
+
 @query
 def split_overlap(t):
     marked = export.split(t.issues(), t.projects())
@@ -677,6 +740,32 @@ def justification_sheet(t):
     )
 
 
+@query
+def reviewed_justifications(t):
+    """The justification sheet through CSV: written, filled in by formula, written, read and scored."""
+    folder = scratch(t.spark, "review")
+    names = schemas.JUSTIFICATION_REVIEW.fieldNames()
+    files.write_csv(review.justification_sheet(t.results_rag()).select(*names), f"{folder}/blank")
+    blank = files.read_csv(t.spark, f"{folder}/blank", schemas.JUSTIFICATION_REVIEW)
+    number = F.split("issue_key", "-")[1].cast("long")
+    mark = lambda i: F.when(number % (11 + i) == 0, F.lit(None)).when(number % (i + 2) == 0, F.lit("1")).otherwise(F.lit("0.0"))
+    filled = blank.withColumns({c: mark(i).cast("string") for i, c in enumerate(schemas.RUBRIC_COLUMNS)})
+    files.write_csv(filled, f"{folder}/filled")
+    return rounded(review.rubric_rates(files.read_csv(t.spark, f"{folder}/filled", schemas.JUSTIFICATION_REVIEW)))
+
+
+@query
+def reviewed_subtasks(t):
+    """The subtask sheet through CSV: written, labelled, written, read and scored."""
+    folder = scratch(t.spark, "review")
+    names = schemas.HALLUCINATION_REVIEW.fieldNames()
+    files.write_csv(review.subtask_sheet(t.results_norag()).select(*names), f"{folder}/blank")
+    blank = files.read_csv(t.spark, f"{folder}/blank", schemas.HALLUCINATION_REVIEW)
+    files.write_csv(generate.label_subtasks(blank, scripted_labeller, batch_size=64), f"{folder}/labelled")
+    sheet = files.read_csv(t.spark, f"{folder}/labelled", schemas.HALLUCINATION_REVIEW)
+    return rounded(review.label_rates(sheet))
+
+
 @query
 def citation_checks(t):
     return review.citation_checks(review.justification_sheet(t.results_rag())).select(

@@ -108,32 +108,31 @@ def mentions_any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def _read_words(text: Column) -> Column:
-    """Number of words, and the points its keywords add."""
+def _keyword_points(text: Column) -> Column:
+    """The points that the keywords of a lower-case text add."""
     points_of = lambda keywords, n: F.when(mentions_any(text, keywords), n).otherwise(0)
-    keyword_points = points_of(LARGE_WORDS, 6) + points_of(MEDIUM_WORDS, 2) - points_of(SMALL_WORDS, 2)
-    return F.struct(word_count(text).alias("words"), keyword_points.alias("keyword_points"))
+    return points_of(LARGE_WORDS, 6) + points_of(MEDIUM_WORDS, 2) - points_of(SMALL_WORDS, 2)
 
 
 def estimate_from_keywords(tickets: DataFrame) -> DataFrame:
     """Tickets with the keyword estimate; no neighbours and no generator are needed."""
     text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
-    read = F.transform(F.array(text), _read_words)[0]  # the text is made once, however often it is looked at
-    words, points = F.col("_read.words"), F.col("story_points")
-    score = F.least(F.floor(words / 25), F.lit(6)) + F.col("_read.keyword_points")
+    words, points = F.col("_words"), F.col("story_points")
+    score = F.least(F.floor(words / 25), F.lit(6)) + F.col("_keyword_points")
     standard = F.array(*[
         F.struct(F.lit(t).alias("title"), F.lit(p).alias("story_points"), F.lit(r).alias("reasoning"))
         for t, p, r in STANDARD_SUBTASKS
     ])
     return (
-        tickets.withColumn("_read", read)
+        tickets.withColumn("_text", text)  # a projection of its own: the text is made once, however often it is looked at
+        .withColumns({"_words": word_count(F.col("_text")), "_keyword_points": _keyword_points(F.col("_text"))})
         .withColumn("story_points", snap_to_scale(F.greatest(F.lit(1), score)))
         .withColumn("confidence", round_exact(F.lit(0.55) + F.least(F.lit(0.25), words / 400), 2))
         .withColumn("complex", points >= COMPLEX_POINTS)
         .withColumn("reasoning", F.format_string(KEYWORD_REASONING, words, points))
         .withColumn("subtasks", F.when(F.col("complex"), standard).otherwise(F.array().cast(SUBTASK_ARRAY)))
         .withColumn("source", F.lit("heuristic"))
-        .drop("_read")
+        .drop("_text", "_words", "_keyword_points")
     )
 
 

@@ -153,3 +153,25 @@ def test_split_is_written_side_by_side(spark, tmp_path):
     corpus, holdout = (read_csv(spark, p, TICKETS) for p in export.write_split(marked, str(tmp_path / "s")))
     assert (corpus.count(), holdout.count()) == (80, 20)
     assert sorted(tuple(r) for r in corpus.unionByName(holdout).collect()) == rows
+
+
+def test_rows_without_a_label_are_split_too(spark):
+    for labels in ([1, 1, None, None, 2, 2, None], [1, None, 2], [None] * 4, [1, 1, 1, None]):
+        pool = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(labels)], "issue_key string, actual_story_points int")
+        corpus, holdout = sampling.split_tickets(pool, 0.5)
+        sides = [sorted(map(tuple, side.collect()), key=repr) for side in (corpus, holdout)]
+        assert sorted(sides[0] + sides[1], key=repr) == sorted(((f"k{i}", v) for i, v in enumerate(labels)), key=repr)
+        assert all(sides) or len(labels) < 2
+
+
+def test_crowded_prefixes_are_counted_again(spark, monkeypatch):
+    """The cut-off is the same however few rows a window may rank."""
+    rows = [(f"k{i}", i % 3) for i in range(3000)] + [("same", 0)] * 200
+    df = spark.createDataFrame(rows, "issue_key string, c int").repartition(6)
+    taken = lambda: sorted(map(tuple, sampling.take_per_class(df, F.col("c"), sampling.EvenShare(0.3), ("issue_key",)).collect()))
+    expected, widths = taken(), []
+    prefix = sampling._prefix
+    monkeypatch.setattr(sampling, "_prefix", lambda digits: widths.append(digits) or prefix(digits))
+    monkeypatch.setattr(sampling, "PREFIX_DIGITS", 1)
+    monkeypatch.setattr(sampling, "WINDOW_ROWS", 3)
+    assert taken() == expected and max(widths) > 2

@@ -1,9 +1,11 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from storygauge.functions import stats
 from storygauge.functions.stats import two_sided_p
 from storygauge.operators import metrics, profile, review
 from storygauge.plans import evaluate
@@ -218,3 +220,46 @@ def test_ablation_report_sections(spark):
     assert sections == {"rag", "norag", "paired", "retrieval", "confidence"}
     plain = results(spark, [(1, 2), (5, 5)])
     assert {r.section for r in evaluate.ablation_report(plain, plain).collect()} == {"rag", "norag", "paired"}
+
+
+def test_constant_and_nearly_constant_columns_at_scale(spark):
+    """Given counts of pairs of ten billion rows, no noise passes for a correlation."""
+    n = 10_000_000_019
+    constant = spark.createDataFrame([(3, p, n // (p + 2)) for p in range(5)], "actual int, predicted int, n long")
+    assert metrics._rank_correlation(constant).head().spearman_rho is None
+    nearly = spark.createDataFrame([(3, 3, n), (5, 8, 1), (3, 5, 4)], "actual int, predicted int, n long")
+    (found,) = metrics._rank_correlation(nearly).collect()
+
+    def ranks(counts):
+        before, out = 0, {}
+        for v in sorted(counts):
+            out[v] = Fraction(2 * before + counts[v] + 1, 2)
+            before += counts[v]
+        return out
+
+    total, a, p = n + 5, ranks({3: n + 4, 5: 1}), ranks({3: n, 5: 4, 8: 1})
+    middle = Fraction(total + 1, 2)
+    pairs = [(3, 3, n), (5, 8, 1), (3, 5, 4)]
+    xy = sum(c * (a[x] - middle) * (p[y] - middle) for x, y, c in pairs)
+    xx, yy = sum(c * (a[x] - middle) ** 2 for x, _, c in pairs), sum(c * (p[y] - middle) ** 2 for _, y, c in pairs)
+    assert found.spearman_rho == pytest.approx(float(xy) / math.sqrt(xx) / math.sqrt(yy), rel=1e-9)
+
+
+def test_p_of_many_rows(monkeypatch):
+    """The normal limit agrees with the continued fraction where both hold, and with erfc far beyond."""
+    for t in (0.5, 1.0, 2.5, 5.0):
+        n = 150_000
+        rho = t / math.sqrt(n - 2 + t * t)
+        near = stats.two_sided_p(rho, n)
+        monkeypatch.setattr(stats, "NORMAL_FROM", 10 ** 9)
+        assert near == pytest.approx(stats.two_sided_p(rho, n), rel=1e-8)
+        monkeypatch.setattr(stats, "NORMAL_FROM", 100_000)
+        assert stats.two_sided_p(t / math.sqrt(1e11), 1e11) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-8)
+    with pytest.raises(ArithmeticError):
+        stats._beta_fraction(1e12, 1e12, 0.5)
+
+
+def test_fractions_are_refused(spark):
+    df = spark.createDataFrame([("k", 1.5, 2)], "issue_key string, actual_story_points double, predicted_story_points int")
+    with pytest.raises(ValueError, match="whole numbers"):
+        metrics.error_metrics(df)
