@@ -33,6 +33,18 @@ def point_pairs(results: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_counts(results: DataFrame) -> DataFrame:
+    """How often each (issue_key, actual, predicted) occurs among the estimated tickets of a run.
+
+    Several scores of one run can be taken from it, once it is staged: ``error_scores`` and ``paired_scores``.
+    """
+    require_columns(results, POINT_COLUMNS, "results")
+    require_whole_numbers(results, ("actual_story_points", "predicted_story_points"), "results")
+    return estimated(results).groupBy(
+        "issue_key", F.col("actual_story_points").alias("actual"), F.col("predicted_story_points").alias("predicted"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 def average_ranks(pairs: DataFrame, value: str) -> DataFrame:
     """Tied average rank of each distinct value, from counts.
 
@@ -104,7 +116,12 @@ def error_metrics(results: DataFrame) -> DataFrame:
     A ticket with zero actual points has no relative error: MMRE leaves it out, and PRED counts it as a miss.
     """
     require_columns(results, POINT_COLUMNS, "results")
-    pairs = durable(point_pairs(results))
+    return error_scores(point_pairs(results))
+
+
+def error_scores(counts: DataFrame) -> DataFrame:
+    """``error_metrics`` of a run given by counts of (actual, predicted), with or without further keys."""
+    pairs = durable(counts.groupBy("actual", "predicted").agg(F.sum("n").alias("n")))
     return _plain_errors(pairs).join(_rank_correlation(pairs), "n")
 
 
@@ -123,9 +140,17 @@ def paired_errors(rag: DataFrame, norag: DataFrame) -> DataFrame:
     that occurs often on both sides yields as many rows as it has different errors, not the square of its rows.
     """
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        error = F.abs(F.col("predicted_story_points") - F.col("actual_story_points"))
-        return estimated(df).groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.count(F.lit(1)).alias(f"_n_{tag}"))
+    def side(df: DataFrame) -> DataFrame:
+        return estimated(df).groupBy("issue_key", F.col("actual_story_points").alias("actual"), F.col("predicted_story_points").alias("predicted")).agg(
+            F.count(F.lit(1)).alias("n"))
+
+    return _paired(side(rag), side(norag))
+
+
+def _paired(rag: DataFrame, norag: DataFrame) -> DataFrame:
+    def side(counts: DataFrame, tag: str) -> DataFrame:
+        error = F.abs(F.col("predicted") - F.col("actual"))
+        return counts.groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.sum("n").alias(f"_n_{tag}"))
 
     wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731 - the product may exceed 64 bits
     return (
@@ -136,9 +161,18 @@ def paired_errors(rag: DataFrame, norag: DataFrame) -> DataFrame:
 
 def paired_comparison(rag: DataFrame, norag: DataFrame) -> DataFrame:
     """Pairs, mean error difference (negative favours retrieval) and share of pairs closer with it; one row."""
+    return _comparison(paired_errors(rag, norag))
+
+
+def paired_scores(rag: DataFrame, norag: DataFrame) -> DataFrame:
+    """``paired_comparison`` of two runs given by ``run_counts``."""
+    return _comparison(_paired(rag, norag))
+
+
+def _comparison(pairs: DataFrame) -> DataFrame:
     n = F.col("n_pairs").cast("double")
     delta = (F.col("error_rag") - F.col("error_norag")).cast("double")
-    return paired_errors(rag, norag).agg(
+    return pairs.agg(
         F.coalesce(F.sum(F.col("n_pairs").cast("decimal(38,0)")), F.lit(0)).try_cast("long").alias("n_paired"),
         _ratio(F.sum(delta * n), F.sum(F.when(delta.isNotNull(), n))).alias("mean_abs_error_delta"),
         _ratio(F.sum(F.when(delta < 0, n).otherwise(0.0)), F.sum(n)).alias("pct_rag_closer"),
