@@ -13,6 +13,7 @@ from storygauge.session import durable
 
 SPACES = "\t\n\x0b\x0c\r"  # with the blank: the white space that separates words everywhere in this folder
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1_000
 BROADCAST_ROWS = 200_000  # rows of a staged key table, counted beforehand, that may go to every executor
 
 
@@ -51,6 +52,12 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends at most 1,000 texts at a time to a Python worker, so that its memory does not grow with a task's input."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def per_process(name: str, make: Callable[[], object]) -> object:
     """A value that a Python worker makes once and keeps for all its tasks, whose code arrives anew with each task."""
     held = sys.modules.setdefault("_corpus_worker", types.ModuleType("_corpus_worker")).__dict__

@@ -17,9 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from storygauge.llm.common import per_process, unit_interval
+from storygauge.llm.common import per_process, small_batches, unit_interval
 
 FEATURES = 1 << 14
 ORDERS = 3
@@ -138,6 +138,7 @@ def snippet(points: np.ndarray, draw: np.random.Generator) -> np.ndarray:
 
 def fit(docs: DataFrame, learns: Column, per_class: int = PER_CLASS) -> Model:
     """A model of the rows with a label for which ``learns`` holds; ids choose the sample, and only texts are features."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(learns & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text", unit_interval(F.xxhash64(F.lit(77), "doc_id", "text")).alias("_u"))
     counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_CLASSES).collect()
@@ -192,19 +193,17 @@ def fit(docs: DataFrame, learns: Column, per_class: int = PER_CLASS) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
-    """The ``keep`` columns of every row with ``lang_pred`` and ``score``; only the text is looked at."""
-    kept = docs.select(F.col("text").alias("_text"), *keep)
-    fields = kept.drop("_text")
-    schema = fields.schema.add("lang_pred", "string").add("score", "double")
+def predicted(text: Column, model: Model) -> Column:
+    """``lang_pred`` and ``score`` of a text; only the text travels to Python, and only they come back."""
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.predict(text.as_py()) for text in batch.column(0)]
-            arrays = [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], "lang_pred", "score"])
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        found = [model.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return run(text)
 
 
 def held_out() -> Column:
@@ -215,11 +214,13 @@ def held_out() -> Column:
 def identify(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score``; rows that are not held out are learned from."""
     model = fit(docs, ~held_out(), per_class)
-    return predict(docs, model, F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), predicted(F.col("text"), model).alias("_p"))
+    return found.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
 def accepted(docs: DataFrame, least: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
     """The documents whose language is told with a score of at least ``least``, with all their columns."""
     model = fit(docs, ~held_out(), per_class)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    return predict(docs, model, held).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_doc.*")
+    told = docs.select(held, predicted(F.col("text"), model).alias("_p"))
+    return told.filter((F.col("_p.lang_pred") != UNDETERMINED) & (F.col("_p.score") >= least)).select("_doc.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from storygauge.llm import shingles
-from storygauge.llm.common import small_side, staged, texts
+from storygauge.llm.common import per_process, small_batches, small_side, staged, texts
 from storygauge.session import durable
 
 THRESHOLD = 0.8
@@ -37,7 +37,7 @@ RARE = 1e-3
 MOST_FREQUENT = 1 << 20  # entries of the list of frequent shingles; beyond, the rarest of them are dropped as a whole
 TABLE = 1 << 12
 BLOCK_BYTES = 2 << 20  # texts of one side of a block
-RUN = 1 << 21  # shingle hashes that a task sorts and counts at once
+RUN = 1 << 20  # shingle hashes that a task sorts and counts at once
 FEATURES_AT_ONCE = 1 << 12
 
 
@@ -178,7 +178,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
+        sampler = per_process("sampler", Sampler)
         for batch in batches:
             content, bands = [], []
             for found, counts, digest in _texts_of(batch.column(2)):
@@ -266,6 +266,7 @@ class Classes:
 
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD):
         self.threshold = threshold
+        small_batches(docs.sparkSession)
         source = texts(docs)
         total, size = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
         hashes, df, _ = frequent_shingles(docs, total, size)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from storygauge.llm.common import per_process, texts
+from storygauge.llm.common import per_process, small_batches, texts
 
 END, LONGEST, TIERS = 1, 2048, (2048, 1024, 512, 256)
 STEP_TOKENS = 16 * LONGEST
@@ -173,4 +173,5 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
         if packer.out:
             yield packer.drained(with_ids)
 
+    small_batches(docs.sparkSession)
     return texts(docs).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from storygauge.llm.common import per_process
+
 SIZE = 5
 CHUNK = 1 << 20  # bytes hashed at once; a longer text is a chunk of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,7 +69,7 @@ def chunks(column: pa.Array, between: np.ndarray = WHITE, size: int = CHUNK) ->
     _, place, held = column.buffers()
     offsets = np.frombuffer(place, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
-    begin, up, down = 0, *powers(min(size, int(offsets[-1] - offsets[0])))
+    begin, up, down = 0, *(per_process("powers", lambda: powers(CHUNK)) if size == CHUNK else powers(int(offsets[-1] - offsets[0])))
     while begin < len(column):
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, "right")) - 1)
         chunk, at = data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin]
