@@ -7,7 +7,7 @@ Every overlapping window of a text is scored, and a logistic regression over the
 three largest logits and the number of windows gives the text's score.
 
 The network learns from windows of at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents, chosen by a hash of the id
-(no more than ``WINDOWS_EACH`` windows of one text); the regression from as many others, with all their windows. Only
+(no more than ``WINDOWS_EACH`` windows of one text); the regression from three others for every seven, with all their windows. Only
 texts are inputs. Words are lower case; a null or empty text has no window and the share of toxic labels as its score,
 as has every text where only one label is known. Repeated rows and null ids are rows like others; an empty table gives an
 empty result; other columns are not read.
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from storygauge.llm import shingles
-from storygauge.llm.common import unit_interval
+from storygauge.llm.common import small_batches, unit_interval
 
 WINDOW, STRIDE = 64, 32
 BUCKETS, EMBED, HIDDEN, ATTEND = 1 << 16, 8, 8, 8
@@ -32,6 +32,8 @@ MOST_TOXIC, MOST_CLEAN, WINDOWS_EACH = 1_200, 2_400, 5
 BETWEEN = np.ones(256, bool)  # bytes between words: all but lower-case letters, digits and bytes beyond ASCII
 BETWEEN[97:123] = BETWEEN[48:58] = BETWEEN[128:] = False
 BATCH = 2_048
+TRAINED_WINDOWS = 60_000
+FOR_NETWORK = 0.7  # share of the sample that the network learns from; the regression learns from the rest
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -196,24 +198,43 @@ def summary(logits: np.ndarray) -> list[float]:
 
 
 # --- training --------------------------------------------------------------------------------------
-def train(windows: list[str], labels: np.ndarray, groups: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 0.01,
+def train(windows: list[str], labels: np.ndarray, groups: np.ndarray, steps: int = TRAINED_WINDOWS, batch: int = 128, rate: float = 0.01,
           drop: float = 0.3, seed: int = 4) -> Network:
-    """Windows carry their document's label. After two rounds, of a toxic document only the likelier half of its windows."""
+    """Windows carry their document's label. In the second half of the rounds, of a toxic document only the likelier half of its windows.
+
+    There are as many rounds as bring about ``steps`` windows past the network, 4 to 60.
+    """
     network, draw = Network(), np.random.default_rng(seed)
+    epochs = min(60, max(4, round(steps / max(1, len(windows)))))
     words = list(shingles.chunks(pa.array(windows), BETWEEN, size=1 << 30))[0]
     vocabulary = Vocabulary(words)
     sizes = np.minimum(np.diff(words.places), WINDOW)
     usable = np.flatnonzero(sizes > 0)
+    # a word or a run of a single document can only tell that document, so it has no embedding of its own
+    documents = np.int64(groups.max(initial=0) + 1)
+    of_token = groups[np.repeat(np.arange(len(windows)), np.diff(words.places))]
+    pairs = np.unique(vocabulary.token * documents + of_token)
+    of_word = np.bincount(pairs // documents, minlength=len(vocabulary.word))
+    shared = (of_word > 1).astype(np.float32)
     places = np.minimum(words.places[:-1, None] + np.arange(WINDOW), len(vocabulary.token) - 1)
     gram, owner = np.concatenate(vocabulary.grams), np.concatenate(vocabulary.owner)
     order = np.argsort(owner, kind="stable")
     gram, bounds = gram[order], np.searchsorted(owner[order], np.arange(len(vocabulary.word) + 1))
+    starts = np.searchsorted(pairs // documents, np.arange(len(vocabulary.word)))
+    lone = np.flatnonzero(of_word == 1)  # most words; of the others every run is in several documents anyway
+    told = np.full(BUCKETS, -1, np.int64)  # the only document known to hold a run, -2 for several
+    for word, document in zip(lone, pairs[starts[lone]] % documents):
+        own = gram[bounds[word]:bounds[word + 1]]
+        told[own] = np.where((told[own] == -1) | (told[own] == document), document, -2)
+    for word in np.flatnonzero(of_word > 1):
+        told[gram[bounds[word]:bounds[word + 1]]] = -2
+    known = (told[gram] == -2).astype(np.float32)[:, None]
     slow = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     seen = [np.full((BUCKETS, 1), 1e-4, np.float32) for _ in range(2)]
     step = 0
     for epoch in range(epochs):
         active = usable
-        if epoch >= 2:
+        if epoch >= epochs // 2:
             projected = network.inputs(vocabulary) @ network.p["input"] + network.p["bias"]
             logit = np.full(len(sizes), -np.inf, np.float32)
             logit[usable] = network.logits(projected, vocabulary.token[places[usable]], sizes[usable])
@@ -229,8 +250,8 @@ def train(windows: list[str], labels: np.ndarray, groups: np.ndarray, epochs: in
             spans = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in own])
             lengths = (bounds[own + 1] - bounds[own])
             of = np.repeat(np.arange(len(own)), lengths)
-            heard = (draw.random(len(own)) >= drop).astype(np.float32)[:, None]
-            characters = np.add.reduceat(network.grams[gram[spans]], np.concatenate(([0], np.cumsum(lengths)[:-1])), axis=0) / lengths[:, None]
+            heard = ((draw.random(len(own)) >= drop) * shared[own]).astype(np.float32)[:, None]
+            characters = np.add.reduceat(network.grams[gram[spans]] * known[spans], np.concatenate(([0], np.cumsum(lengths)[:-1])), axis=0) / lengths[:, None]
             x = np.concatenate((network.words[vocabulary.word[own]] * heard, characters), axis=1).astype(np.float32)
             projected = x @ network.p["input"] + network.p["bias"]
             logit, trace = network.forward(projected[local], mask, keep=True)
@@ -248,13 +269,13 @@ def train(windows: list[str], labels: np.ndarray, groups: np.ndarray, epochs: in
                 square += 0.001 * (g * g - square)
                 network.p[name] -= (rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
             pairs = ((network.words, vocabulary.word[own], d_x[:, :EMBED] * heard, seen[0]),
-                     (network.grams, gram[spans], (d_x[:, EMBED:] / lengths[:, None])[of], seen[1]))
-            for table, rows, g, known in pairs:
+                     (network.grams, gram[spans], (d_x[:, EMBED:] / lengths[:, None])[of] * known[spans], seen[1]))
+            for table, rows, g, past in pairs:
                 kept, back = np.unique(rows, return_inverse=True)
                 total = np.zeros((len(kept), EMBED), np.float32)
                 np.add.at(total, back, g)
-                known[kept, 0] += (total * total).mean(axis=1)
-                table[kept] -= 10 * rate * total / np.sqrt(known[kept])
+                past[kept, 0] += (total * total).mean(axis=1)
+                table[kept] -= 10 * rate * total / np.sqrt(past[kept])
     return network
 
 
@@ -306,6 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, most_toxic: int = MO
 
     Of a document with several labels the largest counts.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter("toxic in (0, 1)").groupBy(F.col("doc_id").alias("_l")).agg(F.max("toxic").cast("int").alias("_y"))
     numbers = known.join(docs.filter(learns).select(F.col("doc_id").cast("long").alias("_l")), "_l").groupBy("_y").count().collect()
     count = {r[0]: r[1] for r in numbers}
@@ -314,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, most_toxic: int = MO
     if len(count) < 2:
         return Model(None, np.zeros(5), prior)
     u = unit_interval(F.xxhash64(F.lit(99), "_l"))
-    share = {1: min(1.0, 2 * most_toxic / count[1]), 0: min(1.0, 2 * most_clean / count[0])}
+    share = {1: min(1.0, most_toxic / FOR_NETWORK / count[1]), 0: min(1.0, most_clean / FOR_NETWORK / count[0])}
     chosen = known.withColumn("_u", u).filter(F.when(F.col("_y") == 1, F.col("_u") < share[1]).otherwise(F.col("_u") < share[0]))
     sample = docs.filter(learns).select(F.col("doc_id").cast("long").alias("_l"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "_l")
 
@@ -324,8 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, most_toxic: int = MO
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(_windows(batch.column(1), draws), pa.list_(pa.string()))], ["y", "u", "windows"])
 
-    split = F.col("_u") * F.when(F.col("_y") == 1, 1 / share[1]).otherwise(1 / share[0])  # below a half: for the network
-    first = sample.filter(split < 0.5).select("_y", "text", "_u").mapInArrow(for_network, "y int, u double, windows array<string>").collect()
+    split = F.col("_u") * F.when(F.col("_y") == 1, 1 / share[1]).otherwise(1 / share[0])
+    first = sample.filter(split < FOR_NETWORK).select("_y", "text", "_u").mapInArrow(for_network, "y int, u double, windows array<string>").collect()
     first.sort(key=lambda r: (r.u, r.windows))
     flat = [(w, r.y, i) for i, r in enumerate(first) for w in r.windows]
     if len({y for _, y, _ in flat}) < 2:
@@ -337,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, most_toxic: int = MO
             found = [summary(x) if len(x) else None for x in text_logits(batch.column(1), network)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["y", "x"])
 
-    second = [r for r in sample.filter(split >= 0.5).select("_y", "text").mapInArrow(for_regression, "y int, x array<double>").collect() if r.x]
+    second = [r for r in sample.filter(split >= FOR_NETWORK).select("_y", "text").mapInArrow(for_regression, "y int, x array<double>").collect() if r.x]
     second.sort(key=lambda r: (r.x, r.y))
     if len({r.y for r in second}) < 2:
         return Model(None, np.zeros(5), prior)
@@ -353,6 +375,7 @@ def held_out() -> Column:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
