@@ -34,7 +34,7 @@ from storygauge.session import durable
 THRESHOLD = 0.8
 SAMPLES, ROWS = 64, 4
 RARE = 1e-3
-MOST_FREQUENT = 1 << 20  # entries of the list of frequent shingles; beyond, the rarest of them are dropped as a whole
+MOST_FREQUENT = 1 << 20  # entries of the list of frequent shingles; where there are more, "rare" begins higher
 TABLE = 1 << 12
 BLOCK_BYTES = 2 << 20  # texts of one side of a block
 RUN = 1 << 20  # shingle hashes that a task sorts and counts at once
@@ -60,6 +60,10 @@ def _counted(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.n
     return ordered[first], np.add.reduceat(counts[order], first)
 
 
+def first_cut(total: int) -> int:
+    return max(2, math.ceil(RARE * total))
+
+
 def frequent_shingles(docs: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes and document frequencies of all shingles from the cut on, and the cut.
 
@@ -67,7 +71,7 @@ def frequent_shingles(docs: DataFrame, total: int, size: int) -> tuple[np.ndarra
     before the shuffle; a block of hash values holds about a million hashes, whatever the input.
     """
     bits = min(30, max(6, math.ceil(math.log2(max(1.0, size / 6 / (1 << 20))))))
-    cut = max(2, math.ceil(RARE * total))
+    cut = first_cut(total)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
@@ -117,8 +121,10 @@ def frequent_shingles(docs: DataFrame, total: int, size: int) -> tuple[np.ndarra
 class Weights:
     """The idf of shingles: a sorted list of the frequent ones, one value for all others."""
 
-    def __init__(self, hashes: np.ndarray, df: np.ndarray, total: int):
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, total: int, cut: int = 0):
         span, floor = math.log(1 / RARE), max(1.0, RARE * total)
+        if cut > first_cut(total):  # the list was too long: all that is not on it counts as frequent as its rarest
+            floor = float(cut)
         self.rare = np.float32(2 + math.log(max(1.0, total / floor)) / span)
         self.hashes = hashes
         self.idf = (2 + np.log(np.maximum(1.0, total / np.maximum(df, floor))) / span).astype(np.float32)
@@ -269,8 +275,8 @@ class Classes:
         small_batches(docs.sparkSession)
         source = texts(docs)
         total, size = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        hashes, df, _ = frequent_shingles(docs, total, size)
-        self.weights = Weights(hashes, df, max(1, total))
+        hashes, df, cut = frequent_shingles(docs, total, size)
+        self.weights = Weights(hashes, df, max(1, total), cut)
         signed = durable(signatures(docs, self.weights))
         self.rows = signed.select("doc_id", "key", "content")
         least = F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "doc_id"))
