@@ -182,7 +182,8 @@ def nearest(
     count, width = q.agg(F.count(F.lit(1)), F.max(F.size("query_vector"))).head()
     at_once = max(1, broadcast_bytes // (8 * max(width or 1, dimension or 1)))
     slices = -(-count // at_once)
-    floors = _floors(q, c, k, key, seed_rows, slices, dimension) if slices else None
+    # the rows are counted without their vectors, which costs next to nothing on a stored table
+    floors = _floors(q, c, corpus.select(key).count(), k, key, seed_rows, dimension) if slices == 1 else None
     if slices <= 1:
         found = _rank(_scan_against(q.toArrow(), c, k, key, payload, fields, dimension, floors), key, k)
     else:  # one scan of the corpus after the other, each leaving a bounded result behind
@@ -198,16 +199,12 @@ def _slice(queries: DataFrame, number: int, slices: int) -> DataFrame:
 
 
 def _floors(
-    queries: DataFrame, corpus: DataFrame, k: int, key: str, seed_rows: int, slices: int, dimension: int | None
+    queries: DataFrame, corpus: DataFrame, total: int, k: int, key: str, seed_rows: int, dimension: int | None
 ) -> dict | None:
     """For each query the k-th best similarity in a part of the corpus; None for a corpus that is not much larger.
 
-    The part is chosen by key hash and has about ``seed_rows`` rows. At most one number a query reaches the driver, and
-    none where the queries need several scans anyway.
+    The part is chosen by key hash and has about ``seed_rows`` rows. One number a query reaches the driver.
     """
-    if slices > 1:
-        return None
-    total = corpus.count()
     if total <= 4 * max(seed_rows, k):
         return None
     share = F.pmod(F.xxhash64(key), F.lit(total)) < F.lit(max(seed_rows, 4 * k))

@@ -161,3 +161,19 @@ def test_stream_ingest(spark, tmp_path):
         stream_ingest(stream, store, lengths_encoder(), str(tmp_path / "cp")).awaitTermination()
         assert read_vectors(spark, store).count() == expected
         tickets(spark, [("A-1", "one", "first", 3), ("A-9", "n", "new", 1)]).write.mode("append").parquet(source)
+
+
+def test_forced_ingest_rewrites_touched_buckets_only(spark, tmp_path):
+    import os
+
+    encoder = CallableEncoder("len-1", 1, lambda: (lambda texts: [[float(len(t))] for t in texts]))
+    store = str(tmp_path / "vectors")
+    rows = [(f"K-{i}", "P", "Bug", f"t{i}", "d" * (i + 1), i % 8) for i in range(60)]
+    assert job.ingest(spark.createDataFrame(rows, TICKETS), store, encoder, buckets=16) == 60
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(store) for f in names if f.startswith("part-")}
+    before = files()
+    again = spark.createDataFrame([("K-3", "P", "Bug", "new", "x" * 500, 1), ("K-99", "P", "Bug", "new", "y", 2)], TICKETS)
+    assert job.ingest(again, store, encoder, force=True, buckets=16) == 2
+    got = {r.issue_key: r for r in read_vectors(spark, store, "len-1").collect()}
+    assert len(got) == 61 and got["K-3"].embedding == [500.0] and got["K-99"].title == "new" and got["K-4"].embedding == [5.0]
+    assert len(before & files()) >= len(before) * 0.7
