@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storygauge.llm.common import WORD, small_side, staged, unit_interval
+from storygauge.llm.common import WORD, small_side, staged
 from storygauge.session import durable
 
 FINE = 1 << 20  # cells of the rank scale; one source's rows are summed by cell, and ranked one by one in a single cell
@@ -77,7 +77,9 @@ class Mix:
         self.plan, self.count = staged(self._plan(weights))
 
     def draw(self, doc_id: Column, text: Column) -> Column:
-        return unit_interval(F.xxhash64(F.lit(self.seed), doc_id, F.coalesce(text, F.lit(""))))
+        """A number between 0 and 1 from the first 13 hexadecimal digits of an MD5."""
+        key = F.concat_ws(":", F.lit(str(self.seed)), F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit("")))
+        return (F.conv(F.left(F.md5(key), F.lit(13)), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
     def _plan(self, weights: DataFrame | None) -> DataFrame:
         sizes = durable(self.narrow.groupBy("source", "size").agg(F.count(F.lit(1)).alias("_n")))

@@ -44,3 +44,48 @@ WITH k AS (
 SELECT d.doc_id, d.digest, CASE WHEN d.digest <> md5('  ') THEN license END AS license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN k USING (digest) LEFT JOIN m ON m.doc_id = d.doc_id
 """
+
+ORACLES["op5_pareto_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST(CAST('0x' || left(md5('20011:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 13) AS BIGINT) AS DOUBLE) + 0.5)
+      / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, CAST(3 * source_size AS DOUBLE) AS most,
+    greatest(CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(CAST(sum(3 * source_size) OVER before AS DOUBLE), 0), 0)
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level, row_number() OVER (ORDER BY 3 * source_size / weight, weight) AS place
+  FROM s WINDOW before AS (ORDER BY 3 * source_size / weight, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(coalesce((SELECT arg_min(level, place) FROM w WHERE weight * level <= most * (1 + 1e-12)) * weight, most), most) AS target
+  FROM w
+), z AS (
+  SELECT source, size, CAST(count(*) * size AS DOUBLE) AS words, power(CAST(size AS DOUBLE), CAST(0.25 AS DOUBLE)) AS gain
+  FROM d WHERE size > 0 GROUP BY source, size
+), l AS (
+  SELECT z.*, target, greatest(target - coalesce(sum(3 * words) OVER before, 0), 0)
+      / (sum(words * gain) OVER (PARTITION BY z.source) - coalesce(sum(words * gain) OVER before, 0)) AS level
+  FROM z JOIN t ON t.source IS NOT DISTINCT FROM z.source
+  WINDOW before AS (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), c AS (
+  SELECT source, arg_max(level, size) FILTER (WHERE words * gain * level <= 3 * words * (1 + 1e-12)) AS level FROM l GROUP BY source
+), e AS (
+  SELECT d.*, source_size, target, CASE WHEN size = 0 THEN 0 ELSE least(coalesce(c.level * power(CAST(size AS DOUBLE), CAST(0.25 AS DOUBLE)), 3), 3) END AS expected
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN c ON c.source IS NOT DISTINCT FROM d.source
+), p AS (
+  SELECT *, floor(expected) AS whole, expected - floor(expected) AS pi, target - sum(floor(expected) * size) OVER (PARTITION BY source) AS rest FROM e
+), v AS (
+  SELECT *, CASE WHEN pi <= 0 THEN 1 ELSE u * (1 - pi) / (u * (1 - pi) + (1 - u) * pi) END AS rank FROM p
+), r AS (
+  SELECT *, sum(CASE WHEN rank < 1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    - sum(size) OVER (PARTITION BY source, rank) AS before, sum(size) OVER (PARTITION BY source, rank) AS same FROM v
+)
+SELECT doc_id, size, source_size, target, source,
+  CAST(whole + CASE WHEN rank < 1 AND before + same / 2 <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies,
+  CAST((whole + CASE WHEN rank < 1 AND before + same / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM r
+"""
