@@ -89,3 +89,52 @@ SELECT doc_id, size, source_size, target, source,
   CAST((whole + CASE WHEN rank < 1 AND before + same / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM r
 """
+
+
+def _spans(body: str, kind: str, pattern: str, valid: str) -> str:
+    """Spans of one kind: the lengths of the pieces between matches and of the matches add up."""
+    found, pieces = f"regexp_extract_all({body}, '{pattern}')", f"string_split_regex({body}, '{pattern}')"
+    size = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    start = f"CAST({size(f'{pieces}[:i + 1]')} + {size(f'{found}[:i]')} AS BIGINT)"
+    every = f"list_transform(range(len({found})), lambda i: {{'start': {start}, 'value': {found}[i + 1]}})"
+    return f"list_transform(list_filter({every}, lambda s: {valid}), lambda s: {{'start': s.start, 'stop': s.start + length(s.value), 'kind': '{kind}', 'value': s.value}})"
+
+
+_DIGITS = "regexp_replace(s.value, '[^0-9]', '', 'g')"
+_BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_DOUBLED = f"CAST(reverse({_DIGITS})[k] AS INT) * (2 - k % 2)"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: {_DOUBLED} - CASE WHEN {_DOUBLED} > 9 THEN 9 ELSE 0 END)) % 10 = 0"
+_BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", rf"regexp_full_match(s.value, '{_BYTE}(?:\.{_BYTE}){{3}}')"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+)
+_KIND = "list_position(['email', 'ip', 'card', 'phone', 'term'], kind)"
+_NEAR = "list_filter(list_transform(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: NOT regexp_matches(w, '[@0-9]')), " \
+    "lambda w: regexp_extract(w, '\\p{{L}}{{3,}}', 0)), lambda w: w <> '')"
+_LEFT = _NEAR.format("CASE WHEN start > 80 THEN regexp_replace(substr(body, start - 79, 80), '^\\S*', '') ELSE substr(body, 1, start) END")
+_RIGHT = _NEAR.format("CASE WHEN length(substr(body, stop + 1, 80)) = 80 THEN regexp_replace(substr(body, stop + 1, 80), '\\S*$', '') ELSE substr(body, stop + 1, 80) END")
+
+ORACLES["op6_private_data"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+b AS (SELECT doc_id, body, unnest(list_concat({', '.join(_spans('body', *k) for k in _BASE[:2])}), recursive := true) FROM d UNION ALL
+      SELECT doc_id, body, unnest(list_concat({', '.join(_spans('body', *k) for k in _BASE[2:])}), recursive := true) FROM d),
+m AS (SELECT *, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(value) END AS entity,
+  {_LEFT} AS before, ({_RIGHT})[:8] AS after FROM b),
+c AS (SELECT doc_id, entity, list_sort(list_distinct(flatten(list(list_concat(before[greatest(len(before) - 7, 1):], after))))) AS terms
+      FROM m GROUP BY doc_id, entity),
+e AS (SELECT entity, count(*) AS d_e FROM c GROUP BY entity),
+p AS (SELECT entity, term, count(*) AS d_et FROM (SELECT entity, terms, unnest(terms) AS term FROM c) GROUP BY entity, term HAVING count(DISTINCT terms) >= 3),
+w AS (SELECT term, count(*) AS d_t FROM (SELECT unnest(list_distinct(string_split_regex(lower(body), '[^\\p{{L}}]+'))) AS term FROM d) GROUP BY term),
+r AS (SELECT entity, term FROM p JOIN w USING (term) JOIN e USING (entity), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
+      WHERE d_e < n AND ln(n * least(d_et, d_t) / (CAST(d_e AS DOUBLE) * d_t)) / ln(n / d_e) >= 0.8),
+f AS (SELECT doc_id, list(DISTINCT term) AS terms FROM c JOIN r USING (entity) GROUP BY doc_id),
+t AS (SELECT doc_id, unnest({_spans('body', 'term', chr(92) + 'p{L}+', 'list_contains(terms, lower(s.value))')}, recursive := true) FROM d JOIN f USING (doc_id)),
+s AS (SELECT doc_id, start, stop, kind FROM b UNION ALL SELECT doc_id, start, stop, kind FROM t),
+g AS (SELECT doc_id, {', '.join(f"CAST(count_if(kind = '{k}') AS BIGINT) AS n_{k}" for k, *_ in _BASE)},
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {_KIND}) FILTER (WHERE kind <> 'term'), '') AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {_KIND}) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

@@ -144,3 +144,19 @@ def test_query_digest(spark, small):
     texts = {r.doc_id: r.text for r in small.collect()}
     rows = QUERIES["op6_private_data"](spark, "/root/testdata/sf0.001").collect()
     assert all(r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest() for r in rows) and len(rows) == len(texts)
+
+
+def test_query_equals_its_sql_where_terms_are_found(spark, messy, tmp_path):
+    import duckdb
+
+    from compare import difference
+    from storygauge.llm.oracle import ORACLES
+    from storygauge.llm.queries import QUERIES
+
+    rows = [r for r in planted()[:401]] + [(1000 + i, t) for i, t in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    made = QUERIES["op6_private_data"](spark, str(tmp_path))
+    assert made.filter("spans like '%term%'").count() == 8
+    assert difference(made, con, ORACLES["op6_private_data"]) is None
