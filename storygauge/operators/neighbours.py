@@ -255,14 +255,14 @@ def _blocks(rows: int | Column, block_rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(count / F.lit(block_rows)).cast("int"))
 
 
-def _with_block_counts(queries: DataFrame, corpus: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _with_block_counts(queries: DataFrame, corpus: DataFrame, cells: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with the block counts of their cell; cells found on one side only drop out.
 
-    The table of counts has one row per cell.
+    ``cells`` has the ``cell`` of every corpus row and need not read a vector. The table of counts has one row per cell.
     """
     size = F.count(F.lit(1)).alias("n")
     q = queries.groupBy("cell").agg(size).select("cell", _blocks(F.col("n"), block_rows).alias("q_blocks"))
-    c = corpus.groupBy("cell").agg(size).select("cell", _blocks(F.col("n"), block_rows).alias("c_blocks"))
+    c = cells.groupBy("cell").agg(size).select("cell", _blocks(F.col("n"), block_rows).alias("c_blocks"))
     counts, _ = staged_keys(q.join(c, "cell"))
     return queries.join(counts, "cell"), corpus.join(counts, "cell")
 
@@ -376,12 +376,13 @@ def approximate_neighbours(
     probed = durable(index.assign(q, "query_vector", probes))
     if "cell" in corpus.columns:
         cells = [r[0] for r in probed.select("cell").distinct().collect()]  # at most as many as centres
-        placed = placed.filter(F.col("cell").isin(cells))
+        placed, sized = placed.filter(F.col("cell").isin(cells)), corpus.filter(F.col("cell").isin(cells)).select("cell")
     else:
         placed = index.assign(placed, vector)
+        sized = placed.select("cell")
     c = placed.select(key, F.col(vector).alias("_vector"), *payload, "cell")
     fields = _output(q, c, "query_key", key, payload)
-    found = _rank(_block_join(*_with_block_counts(probed, c, block_rows), k, key, payload, fields), key, k)
+    found = _rank(_block_join(*_with_block_counts(probed, c, sized, block_rows), k, key, payload, fields), key, k)
     return with_columns_of(found, corpus, key, fetch) if fetch else found
 
 
