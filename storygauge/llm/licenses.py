@@ -55,7 +55,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     source = texts(docs).withColumn("digest", digest(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) > 0)
     source = source.withColumn("_lines", F.when(F.contains("text", F.lit("\n")), F.transform(lines, digest)).otherwise(F.array("digest")))
-    joined = source.drop("text").join(F.broadcast(table), "digest", "left").withColumn("_one", F.lit(1)).join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one")
+    joined = source.drop("text").join(F.broadcast(table), "digest", "left").withColumn("_known", listed.scalar())
     found = let(F.transform("_lines", lambda d: F.try_element_at("_known", d)), lambda x: F.array_sort(F.array_distinct(F.array_compact(x))))
     return joined.select(
         "doc_id", "digest", F.when(F.col("digest") != empty, F.col("license")).alias("license"), F.array_join(found, ",").alias("notices"))
