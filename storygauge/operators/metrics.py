@@ -140,21 +140,17 @@ def paired_errors(rag: DataFrame, norag: DataFrame) -> DataFrame:
     that occurs often on both sides yields as many rows as it has different errors, not the square of its rows.
     """
 
-    def side(df: DataFrame) -> DataFrame:
-        return estimated(df).groupBy("issue_key", F.col("actual_story_points").alias("actual"), F.col("predicted_story_points").alias("predicted")).agg(
-            F.count(F.lit(1)).alias("n"))
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        error = F.abs(F.col("predicted_story_points") - F.col("actual_story_points"))
+        return estimated(df).groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.count(F.lit(1)).alias(f"_n_{tag}"))
 
-    return _paired(side(rag), side(norag))
+    return _paired(side(rag, "rag"), side(norag, "norag"))
 
 
 def _paired(rag: DataFrame, norag: DataFrame) -> DataFrame:
-    def side(counts: DataFrame, tag: str) -> DataFrame:
-        error = F.abs(F.col("predicted") - F.col("actual"))
-        return counts.groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.sum("n").alias(f"_n_{tag}"))
-
     wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731 - the product may exceed 64 bits
     return (
-        side(rag, "rag").join(side(norag, "norag"), "issue_key")
+        rag.join(norag, "issue_key")
         .select("issue_key", "error_rag", "error_norag", (wide("_n_rag") * wide("_n_norag")).alias("n_pairs"))
     )
 
@@ -166,7 +162,11 @@ def paired_comparison(rag: DataFrame, norag: DataFrame) -> DataFrame:
 
 def paired_scores(rag: DataFrame, norag: DataFrame) -> DataFrame:
     """``paired_comparison`` of two runs given by ``run_counts``."""
-    return _comparison(_paired(rag, norag))
+    def side(counts: DataFrame, tag: str) -> DataFrame:
+        error = F.abs(F.col("predicted") - F.col("actual"))
+        return counts.groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.sum("n").alias(f"_n_{tag}"))
+
+    return _comparison(_paired(side(rag, "rag"), side(norag, "norag")))
 
 
 def _comparison(pairs: DataFrame) -> DataFrame:
