@@ -181,15 +181,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
     """``doc_id, key`` (MD5 of the text), ``content`` (digest of its words), ``size`` in bytes, ``bands``."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = per_process("sampler", Sampler)
         for batch in batches:
             content, bands = [], []
             for found, counts, digest in _texts_of(batch.column(2)):
                 content.append(digest)
-                bands.append(sampler.bands(found, counts * held.value.of(found)) if len(found) else [])
+                bands.append(sampler.bands(found, counts * weights.of(found)) if len(found) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(content, pa.binary()), batch.column(3), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "key", "content", "size", "bands"])
@@ -210,11 +208,9 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.n
 
 def similarities(pairs: DataFrame, weights: Weights) -> DataFrame:
     """``a, b, similarity`` of rows ``a, b, text_a, text_b``."""
-    held = pairs.sparkSession.sparkContext.broadcast(weights)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [[(f, c, held.value.of(f)) for f, c, _ in _texts_of(batch.column(i))] for i in (2, 3)]
+            sets = [[(f, c, weights.of(f)) for f, c, _ in _texts_of(batch.column(i))] for i in (2, 3)]
             found = [weighted_jaccard(x, y) for x, y in zip(*sets)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
@@ -343,10 +339,10 @@ class Classes:
         right = open_.select("bucket", "content", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_i") - 1)).alias("i"),
                              F.pmod(spot, "_j").cast("int").alias("j"))
         rows = left.union(right).join(bodies, "content").select("bucket", "i", "j", "side", "content", "root", "text")
-        return durable(rows.groupBy("bucket", "i", "j").applyInArrow(self._linker(rows), "a binary, b binary"))
+        return durable(rows.groupBy("bucket", "i", "j").applyInArrow(self._linker(), "a binary, b binary"))
 
-    def _linker(self, rows: DataFrame):
-        held, threshold = rows.sparkSession.sparkContext.broadcast(self.weights), self.threshold
+    def _linker(self):
+        weights, threshold = self.weights, self.threshold
 
         def run(table: pa.Table) -> pa.Table:
             side = table.column("side").to_numpy()
@@ -355,7 +351,7 @@ class Classes:
             if all(p.num_rows for p in parts):
                 names = [p.column("content").to_pylist() for p in parts]
                 roots = [p.column("root").to_pylist() for p in parts]
-                sets = [[(f, c, held.value.of(f)) for chunk in p.column("text").chunks for f, c, _ in _texts_of(chunk)] for p in parts]
+                sets = [[(f, c, weights.of(f)) for chunk in p.column("text").chunks for f, c, _ in _texts_of(chunk)] for p in parts]
                 parent: dict[bytes, bytes] = {}
 
                 def top(x: bytes) -> bytes:

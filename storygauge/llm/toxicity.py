@@ -376,11 +376,10 @@ def held_out() -> Column:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held.value.scores(batch.column(2)), pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(batch.column(2)), pa.float64())], ["doc_id", "held_out", "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     scored = source.mapInArrow(run, "doc_id long, held_out boolean, score double")
