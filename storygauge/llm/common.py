@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from storygauge.session import durable
+from storygauge import session
 
 SPACES = "\t\n\x0b\x0c\r"  # with the blank: the white space that separates words everywhere in this folder
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,12 +18,21 @@ BROADCAST_ROWS = 200_000  # rows of a staged key table, counted beforehand, that
 
 
 def documents(spark: SparkSession, directory: str) -> DataFrame:
-    """The table ``documents``; a local session that names no shared folder gets a private one, a cluster never does."""
+    return spark.read.parquet(f"{directory}/documents.parquet")
+
+
+def name_folder(spark: SparkSession) -> None:
+    """Gives a local session that names no shared folder, as in tests, a private one; a cluster must name its own."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named and context.master.startswith("local") and not context.master.startswith("local-cluster"):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
-    return spark.read.parquet(f"{directory}/documents.parquet")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Rows written to the shared folder, their lineage cut."""
+    name_folder(df.sparkSession)
+    return session.durable(df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -11,8 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storygauge.llm.common import SPACES, small_side, staged, texts
-from storygauge.session import durable
+from storygauge.llm.common import SPACES, durable, small_side, staged, texts
 
 
 def normalised(text: Column) -> Column:

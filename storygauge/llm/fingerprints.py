@@ -15,9 +15,8 @@ import random
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storygauge.llm.common import SPACES, let, texts
+from storygauge.llm.common import SPACES, durable, let, texts
 from storygauge.operators.ingest import number_rows
-from storygauge.session import durable
 
 SHINGLE = 5
 BIN_BITS, LOW_BITS = 7, 4

@@ -17,8 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from storygauge.llm.common import WORD, small_side, staged
-from storygauge.session import durable
+from storygauge.llm.common import WORD, durable, small_side, staged
 
 FINE = 1 << 20  # cells of the rank scale; one source's rows are summed by cell, and ranked one by one in a single cell
 COARSE = 1 << 10

@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from storygauge.llm import shingles
-from storygauge.llm.common import per_process, small_batches, small_side, staged, texts
-from storygauge.session import durable
+from storygauge.llm.common import durable, per_process, small_batches, small_side, staged, texts
 
 THRESHOLD = 0.8
 SAMPLES, ROWS = 64, 4

@@ -15,8 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storygauge.llm.common import let, small_side, staged, texts
-from storygauge.session import durable
+from storygauge.llm.common import durable, let, small_side, staged, texts
 
 # Possessive repeats match what greedy ones do here and need no stack on long runs of digits or labels. A card has 14
 # digits at least, and a shorter run of digits cannot hide a longer one, so the pattern asks for them at once.

@@ -16,8 +16,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from storygauge.llm.common import texts
-from storygauge.session import durable
+from storygauge.llm.common import durable, texts
 
 CELL_BITS = 16  # the ring is counted in 65,536 cells; nothing larger than this table ever reaches the driver
 VIRTUAL = 128

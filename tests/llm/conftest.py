@@ -5,9 +5,6 @@ from cases import SCHEMA, SMALL, messy_rows
 
 @pytest.fixture(scope="session")
 def messy(spark):
-    from storygauge.llm.common import documents
-
-    documents(spark, SMALL)  # names a checkpoint folder for this local session
     return spark.createDataFrame(messy_rows(), SCHEMA)
 
 
