@@ -35,7 +35,7 @@ SAMPLES, ROWS = 64, 4
 RARE = 1e-3
 MOST_FREQUENT = 1 << 20  # entries of the list of frequent shingles; where there are more, "rare" begins higher
 TABLE = 1 << 12
-BLOCK_BYTES = 2 << 20  # texts of one side of a block
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 768  # texts of one side of a block, about
 RUN = 1 << 20  # shingle hashes that a task sorts and counts at once
 FEATURES_AT_ONCE = 1 << 12
 
@@ -326,9 +326,11 @@ class Classes:
             F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)).alias("_left"),
             F.sum(F.when(~F.col("direct"), F.col("size")).otherwise(0)).alias("_right"), F.sum("size").alias("_all"))
         counts = counts.filter("n_apart > 1 or (n_apart = 1 and (n_loose > 0 or (n_near > 0 and n_direct > 0)))")
-        blocks = lambda c: F.ceil((c + 1) / BLOCK_BYTES).cast("int")
-        counts, count = staged(counts.select("bucket", (F.col("n_near") > 0).alias("_with_direct"), blocks(F.col("_left")).alias("_i"),
-                                             blocks(F.when(F.col("n_near") > 0, F.col("_all")).otherwise(F.col("_right"))).alias("_j")))
+        blocks = lambda size, rows: F.greatest(F.ceil((size + 1) / BLOCK_BYTES), F.ceil((rows + 1) / BLOCK_ROWS)).cast("int")
+        others = F.col("n_apart") + F.col("n_loose")
+        right = F.when(F.col("n_near") > 0, blocks(F.col("_all"), others + F.col("n_direct"))).otherwise(blocks(F.col("_right"), others))
+        counts, count = staged(counts.select(
+            "bucket", (F.col("n_near") > 0).alias("_with_direct"), blocks(F.col("_left"), F.col("n_apart")).alias("_i"), right.alias("_j")))
         if not count:
             return None
         open_ = seen.join(small_side(counts, count), "bucket").filter("_with_direct or not direct")
