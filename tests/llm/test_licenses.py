@@ -52,3 +52,22 @@ def test_own_table(spark, small):
 
 def test_messy_and_empty(messy, nothing):
     assert licenses.scan(messy).count() == messy.count() and licenses.scan(nothing).count() == 0
+
+
+def test_wrapping_does_not_matter(spark, messy):
+    import textwrap
+
+    texts, rows = {n: t for n, title, t in LICENSES}, []
+    for name, text in texts.items():
+        for width in (20, 33, 47, 60, 72, 80, 100, 10 ** 6):
+            paragraphs = [textwrap.fill(p, width) for p in text.split("\n\n")]
+            head = "Copyright (c) 2020, 2021 Jo 🙂 Doe and others"
+            rows += [(name, "\n\n".join(paragraphs)), (name, "\n\n".join([head, *paragraphs])), (name, "\r\n".join(paragraphs)),
+                     (name, textwrap.fill(f"{head}. {text}", width))]
+    mit = texts["MIT"]
+    rows += [("MIT", mit.replace("AUTHORS OR\nCOPYRIGHT", "AUTHORS OR COPYRIGHT")), ("MIT", "The MIT License (MIT) © Jo " + " ".join(mit.split()))]
+    rows += [(None, "Some words on copyright ahead.\n\n" + " ".join(mit.split())), (None, " ".join(mit.split()) + " And more."),
+             (None, " ".join(mit.replace("COPYRIGHT HOLDERS", "").split()))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert [(rows[i], found[i]) for i in found if found[i] != rows[i][0]] == []
