@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from storygauge.llm import shingles
 from storygauge.llm.common import durable, per_process, small_batches, small_side, staged, texts
@@ -263,7 +263,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """Staged rows (``doc_id, key, content``) and, for every text that is not alone, ``content, class_id, class_size``."""
+    """Staged rows (``doc_id, key, content``) and, for every text that is not alone, ``content, root, class_id, class_size``.
+
+    A class is told by its root, a content of its own; its smallest id is a label that several classes may share.
+    """
 
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD):
         self.threshold = threshold
@@ -285,7 +288,7 @@ class Classes:
         whole = held.groupBy("root").agg(
             F.min(F.struct(F.col("least").isNull().alias("_unnamed"), "least")).alias("_l"), F.sum("copies").alias("class_size"))
         whole = durable(whole.select("root", F.col("_l.least").alias("class_id"), "class_size"))
-        self.classes, self.count = staged(durable(held.select("content", "root")).join(whole, "root").drop("root"))
+        self.classes, self.count = staged(durable(held.select("content", "root")).join(whole, "root"))
 
     def _links(self, docs: DataFrame) -> DataFrame:
         """``a, b`` of links that connect all texts which a chain of links through shared buckets connects."""
@@ -370,7 +373,7 @@ class Classes:
         return run
 
     def matched(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``content`` and, unless their text is alone, ``class_id`` and ``class_size``."""
+        """Rows with ``content`` and, unless their text is alone, ``root``, ``class_id`` and ``class_size``."""
         return rows.join(small_side(self.classes, self.count), "content", "left")
 
 
@@ -388,24 +391,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with the smallest id of their class, with all their columns.
 
-    Rows that repeat that id and a text of the class are equal here; one of them stays, the first in the order of their
-    JSON. The texts are not shuffled while the table of classes is small enough to be sent.
+    Rows of one class that repeat that id are equal here; one of them stays, the first in the order of their JSON. Classes
+    that share their smallest id, or have none, each keep a document. The texts are not shuffled while the table of classes is small enough to be sent.
     """
     found = Classes(docs, threshold)
     many = found.matched(found.rows.dropDuplicates(["key", "content"]).select("key", "content")).filter("class_size is not null")
-    by_key, count = staged(many.select(F.col("key").alias("_key"), "class_id"))
+    by_key, count = staged(many.select(F.col("key").alias("_key"), "root", "class_id"))
     held = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("_key"),
         F.col("doc_id").cast("long").alias("_id"))
     sided = by_key.withColumn("_in", F.lit(True))
     kept = held.join(small_side(sided, count), "_key", "left").filter(F.col("_in").isNull() | F.col("_id").eqNullSafe(F.col("class_id")))
     firsts = found.matched(found.rows).filter("class_size is not null").filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    twice, repeats = staged(firsts.groupBy("class_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("class_id"))
+    twice, repeats = staged(firsts.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("root"))
     if repeats:
-        again = F.col("_in") & F.col("_again")
-        marked = kept.join(small_side(twice.withColumn("_again", F.lit(True)).withColumnRenamed("class_id", "_t"), repeats), F.col("class_id").eqNullSafe(F.col("_t")), "left")
-        once = marked.filter(~F.coalesce(again, F.lit(False)))
-        place = F.row_number().over(Window.partitionBy("class_id").orderBy(F.to_json("_doc")))
-        first = marked.filter(F.coalesce(again, F.lit(False))).withColumn("_place", place).filter("_place = 1").drop("_place")
-        kept = once.unionByName(first)
+        again = F.coalesce("_again", F.lit(False))
+        marked = kept.join(small_side(twice.withColumn("_again", F.lit(True)), repeats), "root", "left")
+        first = marked.filter(again).groupBy("root").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))  # combined before it is shuffled
+        kept = marked.filter(~again).select("_doc").union(first.select("_doc"))
     return kept.select("_doc.*")

@@ -182,3 +182,16 @@ def test_document_frequencies(spark, messy, cut):
     hashes, df, used = nd.frequent_shingles(docs.repartition(5), len(texts) if cut == 2 else int(cut / nd.RARE), 10_000)
     count = Counter(h for s, _ in shingles.of_texts(pa.array([t or "" for t in texts])) for h in set(s.tolist()))
     assert used == cut and dict(zip(hashes.tolist(), df.tolist())) == {h: c for h, c in count.items() if c >= cut}
+
+
+def test_classes_that_share_their_smallest_id_each_keep_a_document(spark, messy):
+    texts = {g: words(700 + g, 90) for g in range(6)}
+    near = {g: t.replace(t.split()[40], "changed", 1) for g, t in texts.items()}
+    owners = {0: (None, None), 1: (None, None), 2: (7, 7), 3: (7, 8), 4: (7, 9), 5: (20, None)}
+    rows = [row for g, (a, b) in owners.items() for row in ((a, texts[g]), (b, near[g]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in nd.without_near_duplicates(docs).collect()]
+    group = {t: g for side in (texts, near) for g, t in side.items()}
+    assert sorted(group[t] for _, t in kept) == list(range(6))
+    assert {group[t]: i for i, t in kept} == {0: None, 1: None, 2: 7, 3: 7, 4: 7, 5: 20}
+    assert {r.class_size for r in nd.near_duplicates(docs).collect()} == {2}
