@@ -206,6 +206,14 @@ def predicted(text: Column, model: Model) -> Column:
     return run(text)
 
 
+def lettered(text: Column) -> Column:
+    @F.arrow_udf(T.BooleanType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([len(characters(t.as_py())) > 0 for t in texts], pa.bool_())
+
+    return run(text)
+
+
 def held_out() -> Column:
     """Rows that no model learns from: those whose checksum of the id is 2 modulo 4."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -218,9 +226,9 @@ def identify(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     return found.select("doc_id", "held_out", "_p.lang_pred", "_p.score")
 
 
-def accepted(docs: DataFrame, least: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
-    """The documents whose language is told with a score of at least ``least``, with all their columns."""
+def accepted(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """The documents whose language is told, whatever the score, with all their columns; where nothing can be learned, those with a letter."""
     model = fit(docs, ~held_out(), per_class)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    told = docs.select(held, predicted(F.col("text"), model).alias("_p"))
-    return told.filter((F.col("_p.lang_pred") != UNDETERMINED) & (F.col("_p.score") >= least)).select("_doc.*")
+    told = predicted(F.col("text"), model)["lang_pred"] != UNDETERMINED if model.languages else lettered(F.col("text"))
+    return docs.select(held, told.alias("_told")).filter("_told").select("_doc.*")

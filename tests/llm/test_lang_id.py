@@ -88,3 +88,13 @@ def test_messy_and_empty(messy, nothing):
 
 def test_accepted_keeps_clean_documents(docs):
     assert lang_id.accepted(docs).count() >= docs.count() - 2
+
+
+def test_accepted_keeps_every_text_with_a_letter(spark, messy):
+    rows = [(i, f"l{i % 25}", f"the same few words {i % 7}") for i in range(500)] + [(500, "l1", "1 2 3"), (501, None, "word"), (502, "l2", None), (None, None, "ß")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    expected = sorted((r for r in rows if r[0] not in (500, 502)), key=repr)
+    assert max(r.score for r in lang_id.identify(docs).collect()) < 0.3
+    for given in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
+        kept = lang_id.accepted(given).select("doc_id", "text")
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted(((i, t) for i, _, t in expected), key=repr)
