@@ -2,7 +2,8 @@
 
 A text is lowered, everything between letters becomes one blank, and its runs of one to three characters are hashed into
 ``FEATURES`` features. Document frequencies count every labelled row. The regression is trained by follow-the-
-regularised-leader with elastic-net penalties on at most ``PER_CLASS`` rows of each language, chosen by a hash of the id
+regularised-leader with elastic-net penalties on at most ``PER_CLASS`` rows of each language, fewer where there are more
+than 40, and never less than ``LEAST_ROWS`` of those there are. Every language is learned. The rows are chosen by a hash of the id
 and brought to the driver as feature counts; each also lends a short snippet, for the sake of short texts. A part of the
 sample is held out to calibrate the temperature of the scores.
 
@@ -24,7 +25,7 @@ from storygauge.llm.common import per_process, small_batches, unit_interval
 FEATURES = 1 << 14
 ORDERS = 3
 PER_CLASS = 1_000  # labelled rows of a language that are learned from, at most
-MOST_CLASSES = 200  # languages that are learned, the most frequent first
+SAMPLE_ROWS, LEAST_ROWS = 40_000, 20  # of all languages together, about; of each, however many there are
 UNDETERMINED = "und"
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
@@ -141,9 +142,10 @@ def fit(docs: DataFrame, learns: Column, per_class: int = PER_CLASS) -> Model:
     small_batches(docs.sparkSession)
     rows = docs.filter(learns & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), "text", unit_interval(F.xxhash64(F.lit(77), "doc_id", "text")).alias("_u"))
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_CLASSES).collect()
+    counted = rows.groupBy("lang").count().collect()
     languages, sizes = sorted(r[0] for r in counted), {r[0]: r[1] for r in counted}
     place = {lang: i for i, lang in enumerate(languages)}
+    most = min(per_class, max(LEAST_ROWS, SAMPLE_ROWS // max(1, len(languages))))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(FEATURES + 1, np.int64), 0
@@ -176,18 +178,18 @@ def fit(docs: DataFrame, learns: Column, per_class: int = PER_CLASS) -> Model:
             columns = list(zip(*made)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["y", "u", "kind", "present", "counts"])
 
-    share = F.lit(0.0)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 0.9 * per_class / size)).otherwise(share)
-    sample = rows.filter(F.col("_u") < share).mapInArrow(features, "y int, u double, kind int, present binary, counts binary")
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 0.9 * most / size)) for lang, size in sizes.items()], "lang string, _share double")
+    chosen = rows.join(F.broadcast(shares), "lang").filter(F.col("_u") < F.col("_share")).select("lang", "text", "_u")
+    sample = chosen.mapInArrow(features, "y int, u double, kind int, present binary, counts binary")
     taken, samples, held, per = sample.collect(), [], [], {}
     for row in sorted(taken, key=lambda r: (r.u, r.kind, r.y, bytes(r.present))):
         per[row.y] = per.get(row.y, 0) + 1
-        if per[row.y] <= 2 * per_class:
+        if per[row.y] <= 2 * most:
             item = (np.frombuffer(row.present, "<u2").astype(np.int64), np.frombuffer(row.counts, "<u4").astype(np.int64), row.y)
             (held if int(row.u * (1 << 40)) % 5 == 0 else samples).append(item)
-    if not samples:
-        samples, held = held, []
+    learned = {y for *_, y in samples}
+    samples += [item for item in held if item[-1] not in learned]  # a language of a few rows may have fallen into the held-out part whole
+    held = [item for item in held if item[-1] in learned]
     model = train(languages, idf, samples) if samples else Model([], idf, np.zeros((FEATURES, 0)), np.zeros(0))
     model.temperature = calibrate(model, held)
     return model

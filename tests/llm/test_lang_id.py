@@ -98,3 +98,12 @@ def test_accepted_keeps_every_text_with_a_letter(spark, messy):
     for given in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
         kept = lang_id.accepted(given).select("doc_id", "text")
         assert sorted(map(tuple, kept.collect()), key=repr) == sorted(((i, t) for i, _, t in expected), key=repr)
+
+
+def test_every_language_is_learned(spark, messy):
+    rows = [(20 * i + k, f"l{i:03d}", "".join(chr(0x4E00 + 30 * i + (7 * j + k) % 30) for j in range(40)))
+            for i in range(230) for k in range(20 if i < 229 else 1)]
+    docs = spark.createDataFrame([r for r in rows if r[1] != "l229"] + [(0, "l229", rows[-1][2])], "doc_id long, lang string, text string")
+    model = lang_id.fit(docs, F.lit(True), per_class=6)
+    assert model.languages == sorted({lang for _, lang, _ in rows})
+    assert {lang for _, lang, t in rows if model.predict(t)[0] != lang} == set()
