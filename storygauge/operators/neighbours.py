@@ -22,6 +22,7 @@ Results are ranked by similarity (to 12 decimals, so that equal vectors tie) and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -41,6 +42,7 @@ BROADCAST_BYTES = 64 << 20  # query vectors that may be sent to every task
 BROADCAST_ROWS = 500_000  # neighbour rows that may be
 SEED_ROWS = 1 << 16  # rows of the part of a large corpus that is searched first
 BLOCK_ROWS = 16_384  # rows of one block in the block join
+PROBED_SHARE = 0.75  # of the cells of an index, searched unless told otherwise
 CENTRE_BYTES = 128 << 20  # cell centres that may be sent to every task
 KEEP_DECIMALS = 12
 SLACK = 1e-11  # wide enough that rounding never drops a row that ties with the last one kept
@@ -338,6 +340,9 @@ class CellIndex:
         model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(training)
         return cls(np.array(model.clusterCenters()))
 
+    def usual_probes(self) -> int:
+        return max(4, math.ceil(PROBED_SHARE * len(self.centres)))
+
     def assign(self, df: DataFrame, vector: str, nearest_cells: int = 1) -> DataFrame:
         """Each row once per cell among its ``nearest_cells`` closest, in a column ``cell``."""
         sent = df.sparkSession.sparkContext.broadcast(self.centres)
@@ -359,18 +364,20 @@ class CellIndex:
 
 
 def approximate_neighbours(
-    queries: DataFrame, corpus: DataFrame, index: CellIndex, k: int = DEFAULT_NEIGHBOURS, probes: int = 4, *,
+    queries: DataFrame, corpus: DataFrame, index: CellIndex, k: int = DEFAULT_NEIGHBOURS, probes: int | None = None, *,
     query_key: str = "query_key", query_vector: str = "query_vector", key: str = "issue_key",
     vector: str = "embedding", payload: Sequence[str] = ("story_points",), fetch: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Nearest corpus rows within the ``probes`` cells closest to each query, exactly ranked there.
 
+    By default three quarters of the cells are searched, at least four; how many neighbours that finds is told by ``recall``.
     With as many probes as cells the result is that of ``nearest``. A corpus that is searched often is better
     stored with its ``cell`` (``write_vectors`` with an index), which is then used as it is: where the table is
     partitioned by it, only the probed cells are read.
     """
     k = max(1, k)
+    probes = index.usual_probes() if probes is None else probes
     q = searchable(queries, query_vector).select(F.col(query_key).alias("query_key"), F.col(query_vector).alias("query_vector"))
     placed = searchable(corpus, vector)
     probed = durable(index.assign(q, "query_vector", probes))

@@ -234,3 +234,11 @@ def test_a_crowd_of_equal_vectors_stays_inside_the_product():
         sims = np.round(best.queries[q] @ vectors.T, 12)
         expected = sorted(zip(-sims, keys.to_pylist()))[:5]
         assert list(rows["key"]) == [k for _, k in expected]
+
+
+def test_usual_probes_find_nine_tenths(spark, data):
+    q, c = frames(spark, *data)
+    for cells in (6, 16, 40):
+        index = nn.CellIndex.fit(c, cells)
+        found_ = nn.approximate_neighbours(q, c, index, 7)
+        assert nn.recall(found_, nn.nearest(q, c, 7)).head().recall >= 0.9
