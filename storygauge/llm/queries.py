@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storygauge.llm import (
-    exact_dedup, fingerprints, lang_id, licenses, mixing, near_dedup, packing, private_data, sharding, toxicity,
+    divergence, exact_dedup, fingerprints, lang_id, licenses, mixing, near_dedup, packing, private_data, sharding, toxicity,
 )
 from storygauge.llm.common import documents
 
@@ -80,3 +80,8 @@ def op7_toxicity(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op4_license_scan(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.scan(documents(spark, directory))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, directory: str) -> DataFrame:
+    return divergence.audit(documents(spark, directory))
