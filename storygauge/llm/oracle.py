@@ -165,3 +165,40 @@ f AS (
 ), o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM o WHERE part = 'pair' OR rank <= 50
 """
+
+
+def _vector_codes() -> str:
+    """Rounds are written out: assign every part (``m`` holds distance and entry in one number), then divide the sums."""
+    steps = [r"""
+WITH e AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM e, range(4) AS r(part)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS e FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256
+)"""]
+    for i in range(5):
+        steps.append(rf"""a{i} AS MATERIALIZED (
+  SELECT vec_id, p.part, any_value(v) AS v, min(256 * CAST(list_sum(list_transform(list_zip(v, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) + entry) AS m
+  FROM p JOIN c{i} c ON c.part = p.part GROUP BY vec_id, p.part
+)""")
+        if i < 4:
+            steps.append(rf"""s{i} AS MATERIALIZED (
+  SELECT part, m % 256 AS entry, k, CAST(sum(v[k]) AS BIGINT) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM p))) AS k) GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(f.e, c.e) AS e FROM c{i} c
+  LEFT JOIN (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY k) AS e FROM s{i} GROUP BY ALL) f ON f.part = c.part AND f.entry = c.entry
+)""")
+    steps.append(r"""o AS (
+  SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a4 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM c4) AS codebooks_sha256
+FROM o JOIN e USING (vec_id)
+""")
+    return ", ".join(steps)
+
+
+ORACLES["op13_vector_codes"] = _vector_codes()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storygauge.llm import (
     divergence, exact_dedup, fingerprints, lang_id, licenses, mixing, near_dedup, packing, private_data, sharding, toxicity,
+    vector_codes,
 )
 from storygauge.llm.common import documents
 
@@ -85,3 +86,8 @@ def op4_license_scan(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op11_source_divergence(spark: SparkSession, directory: str) -> DataFrame:
     return divergence.audit(documents(spark, directory))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
+    return vector_codes.with_label_errors(vector_codes.compress(spark.read.parquet(f"{directory}/embeddings.parquet")))
