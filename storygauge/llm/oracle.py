@@ -202,3 +202,18 @@ FROM o JOIN e USING (vec_id)
 
 
 ORACLES["op13_vector_codes"] = _vector_codes()
+
+ORACLES["op12_repeated_passages"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(len(h) // 2 - 399)) AS i FROM d)),
+s AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+n AS (SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM s)),
+p AS (SELECT r, span, min(i) AS a, max(i) + 400 AS b FROM n GROUP BY r, span),
+k AS (SELECT p.r, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY p.r ORDER BY a), 0))) AS ahead
+  FROM p JOIN d ON d.r = p.r),
+o AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(ahead, '' ORDER BY a) AS ahead FROM k GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(ahead, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN o ON o.r = d.r
+"""

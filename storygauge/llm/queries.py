@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from storygauge.llm import (
-    divergence, exact_dedup, fingerprints, lang_id, licenses, mixing, near_dedup, packing, private_data, sharding, toxicity,
+    divergence, exact_dedup, fingerprints, lang_id, licenses, mixing, near_dedup, packing, private_data, repeats, sharding, toxicity,
     vector_codes,
 )
 from storygauge.llm.common import documents
@@ -91,3 +91,8 @@ def op11_source_divergence(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def op13_vector_codes(spark: SparkSession, directory: str) -> DataFrame:
     return vector_codes.with_label_errors(vector_codes.compress(spark.read.parquet(f"{directory}/embeddings.parquet")))
+
+
+@query
+def op12_repeated_passages(spark: SparkSession, directory: str) -> DataFrame:
+    return repeats.removals(documents(spark, directory))

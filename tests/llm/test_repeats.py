@@ -1,0 +1,104 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from cases import words
+from storygauge.llm import repeats
+
+FIELDS = "doc_id long, text string, core string, tid int, body string, kept string"
+
+
+def brute(texts, length):
+    """(bytes, removed, spans, digest of the rest) of each text, every window looked at."""
+    bodies = [(t or "").encode() for t in texts]
+    seen = Counter(b[i:i + length] for b in bodies for i in range(len(b) - length + 1))
+    out = []
+    for b in bodies:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i:i + length]] > 1:
+                gone[i:i + length] = True
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = int(np.count_nonzero(np.diff(np.concatenate(([False], gone)).astype(int)) == 1))
+        out.append((len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def result(spark, texts, length=repeats.LENGTH, crowd=repeats.CROWD):
+    df = spark.createDataFrame([(i, t, "c", 1, "b", "k") for i, t in enumerate(texts)], FIELDS)
+    return [tuple(r)[1:] for r in sorted(repeats.removals(df, length, crowd).collect())]
+
+
+def planted(seed):
+    draw = random.Random(seed)
+    passage, other = words(seed, 120), words(seed + 1, 150)
+    texts = [words(seed + 10 + i, draw.randint(20, 300)) for i in range(20)]
+    texts += [f"{words(seed + 50 + i, 30)} {passage} {words(seed + 80 + i, 30)}" for i in range(6)]  # a shared passage, other edges
+    texts += [f"{words(seed + 50, 30)} {passage[:450]}|{passage[450:]}", passage[:400], passage[1:400], passage[3:403]]
+    texts += [other, other, other.replace(other.split()[70], "changed", 1), other + other, "é漢🙂" * 150, "é漢🙂" * 90 + "x"]
+    texts += [None, "", "a" * 399, "b" * 400, "c" * 401, "d" * 3_000, "ab" * 700, "x@" * 2_000 + "end", words(seed + 2, 3_000)]
+    return texts
+
+
+def test_equals_brute_force(spark, many_parts):
+    texts = planted(1)
+    with many_parts():
+        assert result(spark, texts) == brute(texts, 400)
+
+
+def test_crowded_classes_are_settled_window_by_window(spark):
+    texts = planted(200)
+    assert result(spark, texts, crowd=1) == brute(texts, 400)
+
+
+def test_texts_beyond_a_slice_and_few_contexts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 700)
+    monkeypatch.setattr(repeats, "TOGETHER", 3)
+    texts = planted(300)
+    assert result(spark, texts) == brute(texts, 400)
+
+
+@pytest.mark.parametrize("length", [2, 7, 30])
+def test_other_lengths(spark, length):
+    draw = random.Random(length)
+    texts = ["".join(draw.choices("ab", k=draw.randint(0, 60))) for _ in range(12)] + [words(length, 40)] * 2 + [words(length + 1, 60)]
+    assert result(spark, texts, length) == brute(texts, length)
+
+
+def test_a_length_without_a_phrase_is_an_error(spark):
+    with pytest.raises(ValueError, match="two bytes"):
+        result(spark, ["a"], 1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", max_size=60), max_size=4), st.integers(4, 24))
+def test_every_window_lies_in_one_run_of_its_class(texts, length):
+    shape = repeats.Shape(length)
+    bodies = [t.encode() for t in texts]
+    places = {}
+    for names, data, bounds in repeats.pieces(bodies, shape):
+        runs = repeats.parse(data, bounds, shape)
+        for piece, first, last, high, core in zip(runs.piece, runs.first, runs.last, runs.high, runs.core):
+            for i in range(first, last + 1):
+                row, base = names[piece]
+                places[row, base + i - bounds[piece]] = (core, high - (i - first))
+    windows = {(r, i): b[i:i + length] for r, b in enumerate(bodies) for i in range(len(b) - length + 1)}
+    assert set(places) == set(windows)
+    of_window = {}
+    for at, window in windows.items():
+        assert of_window.setdefault(window, places[at]) == places[at]  # equal windows share class and place
+
+
+def test_messy_and_nothing(spark, messy, nothing):
+    rows = messy.collect()
+    found = [tuple(r) for r in repeats.removals(messy).collect()]
+    assert sorted(found, key=repr) == sorted(((r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], 400))), key=repr)
+    kept = repeats.without_repeats(messy)
+    assert kept.columns == [*messy.columns, "kept_bytes"] and kept.count() == len(rows)
+    digests = sorted(hashlib.sha256(r.kept_bytes).hexdigest() for r in kept.collect())
+    assert digests == sorted(r[4] for r in found)
+    assert repeats.removals(nothing).count() == 0 and repeats.without_repeats(nothing).count() == 0
