@@ -10,8 +10,8 @@ Every task packs the documents it reads: nothing is shuffled, a task holds one b
 that is run again gives the same pieces. A null text is empty and has the end id only. Repeated rows and null ids are
 packed like any others, an empty table gives no piece, and other columns are not read.
 
-Ids are those of the byte-level BPE vocabulary in ``byte_bpe_50k``; they are made from its rank file, whose ids equal those
-of the JSON file (tested), with strings of special tokens taken as ordinary text.
+Ids are those of the byte-level BPE vocabulary in ``byte_bpe_50k``, made from its rank file and the one token that the JSON file
+adds to it, so that a text which holds that token's string gets its id, as from the JSON file (tested).
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from storygauge.llm.common import per_process, small_batches, texts
 END, LONGEST, TIERS = 1, 2048, (2048, 1024, 512, 256)
 STEP_TOKENS = 16 * LONGEST
 BUFFER = 1 << 20
+ADDED_TOKENS = {"<|endoftext|>": 50256}  # fixed value: what the vocabulary adds to its ranks
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long, step_group long"
@@ -45,7 +46,7 @@ def encoder(path: str | None = None):
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS)
 
     return per_process(f"encoder {path}", make)
 
@@ -165,7 +166,7 @@ def pack(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIER
         encode, packer = encoder(path), Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode.encode_to_numpy(text.as_py())
+                ids = encode.encode_to_numpy(text.as_py(), allowed_special="all")
                 packer.add(doc_id, np.append(ids.astype(np.uint32), np.uint32(END)))
                 if len(packer.out) >= 4096:
                     yield packer.drained(with_ids)

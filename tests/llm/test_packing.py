@@ -70,8 +70,17 @@ def test_short_documents_stay_whole_when_they_fit():
 
 def test_rank_file_gives_the_ids_of_the_json_file(messy, small):
     texts = [r.text or "" for r in messy.collect()] + [r.text for r in small.limit(80).collect()] + ["<|end|> it's  we'LL\r\n\t x", " 　 a"]
+    mark = next(iter(packing.ADDED_TOKENS))
+    texts += [f"hello {mark} world", mark, f"{mark}{mark}", f"a  {mark}  b\n", f"{mark[:-1]} {mark.upper()}"]
     encode = packing.encoder()
-    assert [[*encode.encode_ordinary(t), 1] for t in texts] == token_ids(texts)
+    assert [[*encode.encode_to_numpy(t, allowed_special="all").tolist(), 1] for t in texts] == token_ids(texts)
+    assert token_ids([f"hello {mark} world"]) == [[31373, 220, 50256, 995, 1]]
+
+
+def test_pieces_of_texts_with_the_added_token(spark):
+    mark = next(iter(packing.ADDED_TOKENS))
+    docs = spark.createDataFrame([(i, f"{mark} word {i} {mark}" * i) for i in range(40)], "doc_id long, text string").coalesce(2)
+    check(docs, packing.pack(docs, with_ids=True))
 
 
 def test_empty_and_wrong_tiers(nothing):
