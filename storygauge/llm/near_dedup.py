@@ -276,7 +276,7 @@ class Classes:
         hashes, df, cut = frequent_shingles(docs, total, size)
         self.weights = Weights(hashes, df, max(1, total), cut)
         signed = durable(signatures(docs, self.weights))
-        self.rows = signed.select("doc_id", "key", "content")
+        self.rows = signed.select("doc_id", "key", "content", F.monotonically_increasing_id().alias("_row"))
         least = F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "doc_id"))
         self.nodes = durable(signed.groupBy("content").agg(
             F.count(F.lit(1)).alias("copies"), least["doc_id"].alias("least"), F.min("key").alias("key"), F.min("size").alias("size"),
@@ -378,13 +378,19 @@ class Classes:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: ``doc_id, class_id`` (smallest id of its class), ``class_size, kept``."""
+    """One row per document: ``doc_id, class_id`` (smallest id of its class), ``class_size, kept``.
+
+    One row of each class is kept: one with the smallest id, any of them where rows repeat it or have none.
+    """
     found = Classes(docs, threshold)
+    rows = found.matched(found.rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "doc_id", "_row"))["_row"].alias("_row")
+    firsts, count = staged(rows.filter("class_size is not null").groupBy("root").agg(first).select("_row", F.lit(True).alias("_first")))
     alone = F.col("class_size").isNull()
-    return found.matched(found.rows).select(
+    return rows.join(small_side(firsts, count), "_row", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (alone | F.col("_first").isNotNull()).alias("kept"),
     )
 
 
@@ -395,7 +401,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     that share their smallest id, or have none, each keep a document. The texts are not shuffled while the table of classes is small enough to be sent.
     """
     found = Classes(docs, threshold)
-    many = found.matched(found.rows.dropDuplicates(["key", "content"]).select("key", "content")).filter("class_size is not null")
+    many = found.matched(found.rows.select("key", "content").distinct()).filter("class_size is not null")
     by_key, count = staged(many.select(F.col("key").alias("_key"), "root", "class_id"))
     held = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("_key"),

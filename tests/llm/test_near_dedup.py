@@ -195,3 +195,11 @@ def test_classes_that_share_their_smallest_id_each_keep_a_document(spark, messy)
     assert sorted(group[t] for _, t in kept) == list(range(6))
     assert {group[t]: i for i, t in kept} == {0: None, 1: None, 2: 7, 3: 7, 4: 7, 5: 20}
     assert {r.class_size for r in nd.near_duplicates(docs).collect()} == {2}
+
+
+def test_one_row_of_a_class_is_kept_though_ids_repeat_or_are_missing(spark):
+    same, near, bare = words(800, 90), words(800, 90).replace(words(800, 90).split()[40], "changed", 1), words(801, 90)
+    rows = [(1, same), (1, same), (1, near), (None, bare), (None, bare), (None, bare), (2, words(802, 90)), (3, ""), (3, None)]
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted(((r.doc_id, r.class_size) for r in found if r.kept), key=repr)
+    assert len(found) == len(rows) and kept == [(1, 3), (2, 1), (3, 2), (None, 3)]
