@@ -185,6 +185,7 @@ ORACLES["neighbour_estimates"] = f"WITH {ESTIMATES} SELECT * REPLACE (round(rag_
 ORACLES["nearest_tickets"] = f"WITH {NEIGHBOURS} SELECT * FROM neighbours"
 ORACLES["nearest_tickets_by_blocks"] = ORACLES["nearest_tickets"]
 ORACLES["approximate_tickets_all_cells"] = ORACLES["nearest_tickets"]
+ORACLES["nearest_tickets_by_cells"] = ORACLES["nearest_tickets"]
 ORACLES["close_neighbours"] = f"WITH {CLOSE} SELECT query_key, issue_key, similarity FROM close"
 ORACLES["neighbour_spread"] = f"""WITH {NEIGHBOURS} SELECT query_key, max(similarity) AS top_similarity,
   max(story_points) - min(story_points) AS points_spread FROM neighbours GROUP BY query_key"""
@@ -209,11 +210,11 @@ SELECT s.doc_id, CASE WHEN {strip('s.description')} = '' THEN '{{"error":"descri
   md5(CASE WHEN {strip('s.description')} <> '' THEN coalesce(l.texts, '') END) AS texts
 FROM subs s LEFT JOIN lists l ON l.query_key = s.doc_id"""
 ORACLES["looked_up_through_an_index"] = ORACLES["lookup_answers"]
+ORACLES["looked_up_in_a_kept_store"] = ORACLES["lookup_answers"].replace("FROM tickets)", "FROM kept)").replace(
+    "asked AS (", "kept AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN description || ' zzz' ELSE description END AS description) FROM tickets),\nasked AS (", 1)
 ORACLES["neighbours_at_most_fifty"] = f"""WITH subs AS ({view(views.SUBMISSIONS)}), {TICKETS}
 SELECT md5({strip('description')}) AS query_key, CAST(50 AS BIGINT) AS n, 50 AS last FROM subs
 WHERE list_sum({letters(strip('description'))}) > 0 GROUP BY 1"""
-ORACLES["approximate_tickets"] = f"""WITH {QUERY_VECTORS} SELECT query_key, CAST(10 AS BIGINT) AS n, true AS gapless, true AS exact FROM queries"""
-ORACLES["approximate_recall"] = "SELECT 10 * count(*) AS n_exact, true AS most_found FROM embeddings"
 ORACLES["tfidf_vectors"] = f"""WITH {TICKETS} SELECT issue_key, 64 AS dimension, CASE WHEN {strip('description')} = '' THEN 0 ELSE 1 END::DOUBLE AS length FROM tickets"""
 ORACLES["embedded_texts"] = f"""WITH {TICKETS}, texts AS (SELECT issue_key, CASE WHEN {strip('title')} <> ''
   THEN {strip('title')} || chr(10) || chr(10) || {strip('description')} ELSE {strip('description')} END AS text FROM tickets)

@@ -90,11 +90,14 @@ class _Best:
         self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
         self.rows: pa.Table | None = None
 
+    def _similar(self, first: int, last: int, vectors: np.ndarray) -> np.ndarray:
+        return self.queries[first:last] @ vectors.T
+
     def add(self, keys: pa.Array, vectors: np.ndarray, payload: Sequence[pa.Array], names: Sequence[str]) -> None:
         step = max(1, SLAB // max(1, len(vectors)))
         q_parts, c_parts, s_parts, by_key = [], [], [], None
         for lo in range(0, len(self.queries), step):
-            sims = self.queries[lo:lo + step] @ vectors.T
+            sims = self._similar(lo, lo + step, vectors)
             floor = self.floor[lo:lo + step] - SLACK
             better = sims >= floor[:, None]
             many = np.nonzero(better.sum(axis=1) > 4 * self.k)[0]
@@ -305,12 +308,16 @@ def _block_join(
 
 
 class CellIndex:
-    """Cells of similar vectors, found by k-means. The centres go to every task, so their size is bounded."""
+    """Cells of similar vectors, found by k-means. The centres go to every task, so their size is bounded.
+
+    Cells are numbered as the centres are, unless ``ids`` gives them other numbers.
+    """
 
-    def __init__(self, centres: np.ndarray):
+    def __init__(self, centres: np.ndarray, ids: Sequence[int] | None = None):
         if centres.size * 8 > CENTRE_BYTES:
             raise ValueError(f"{len(centres)} centres of {centres.shape[1]} numbers exceed {CENTRE_BYTES} bytes; use fewer cells")
         self.centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+        self.ids = np.arange(len(centres), dtype=np.int32) if ids is None else np.asarray(ids, np.int32)
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centres)]
@@ -345,17 +352,17 @@ class CellIndex:
 
     def assign(self, df: DataFrame, vector: str, nearest_cells: int = 1) -> DataFrame:
         """Each row once per cell among its ``nearest_cells`` closest, in a column ``cell``."""
-        sent = df.sparkSession.sparkContext.broadcast(self.centres)
+        sent = df.sparkSession.sparkContext.broadcast((self.centres, self.ids))
         take = max(1, min(nearest_cells, len(self.centres)))
         fields = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres = sent.value
+            centres, ids = sent.value
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
                 sims = _matrix(batch.column(vector), centres.shape[1]) @ centres.T
-                cells = np.argsort(-sims, axis=1, kind="stable")[:, :take].astype(np.int32)
+                cells = ids[np.argsort(-sims, axis=1, kind="stable")[:, :take]]
                 again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), take)))
                 names = [*batch.schema.names, "cell"]
                 yield pa.RecordBatch.from_arrays([*again.columns, pa.array(cells.ravel())], names=names)
