@@ -384,8 +384,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = Classes(docs, threshold)
     rows = found.matched(found.rows)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "doc_id", "_row"))["_row"].alias("_row")
-    firsts, count = staged(rows.filter("class_size is not null").groupBy("root").agg(first).select("_row", F.lit(True).alias("_first")))
+    named = rows.filter("class_size is not null").filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    firsts, count = staged(named.groupBy("root").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_first")))
     alone = F.col("class_size").isNull()
     return rows.join(small_side(firsts, count), "_row", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
