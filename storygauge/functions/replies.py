@@ -1,11 +1,18 @@
-"""Reading what a text generator sent back: JSON repair, extraction, labels and point claims."""
+"""Reading what a text generator sent back: JSON repair, extraction, labels and point claims.
+
+A reply is read in two steps that are both data: ``PLACES`` where an object may stand in it, in the order of trust, and
+``REPAIRS``, substitutions that turn the usual slips into JSON. A ``Reader`` is a choice of both; the columns are generated from
+the same table of repairs.
+"""
 
 from __future__ import annotations
 
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -13,40 +20,49 @@ from pyspark.sql import Column, functions as F, types as T
 from storygauge.functions.text import UNICODE, strip
 from storygauge.schemas import HALLUCINATION_LABELS
 
-# --- fixed values: patterns and character swaps of the repair and of the point-claim test ---------
-TRAILING_COMMA = r",\s*([}\]])"
-CURLY_QUOTES = ("“”‘’", "\"\"''")
-LITERAL_WORDS = (("True", "true"), ("False", "false"), ("None", "null"))
-SINGLE_QUOTED = r"'([^'\\]*)'"
+# --- fixed values: the slips that are repaired, in order, where objects stand, and point claims ---------
+TRAILING_COMMA = (r",\s*([}\]])", "$1")
+REPAIRS = (
+    TRAILING_COMMA,
+    ("[“”]", '"'),
+    ("[‘’]", "'"),
+    (r"\bTrue\b", "true"),
+    (r"\bFalse\b", "false"),
+    (r"\bNone\b", "null"),
+    (r"'([^'\\]*)'", '"$1"'),
+)
 FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
-WIDEST_OBJECT = r"(?s)\{.*\}"
+WIDEST_OBJECT = r"(?s)(\{.*\})"
 JSON_TOKEN = r'(?s)\\.|["{}]|[^\\"{}]+'
 WHOLE_TEXT = r"^\s*[+-]?\d+\s*$"
 DECIMAL_TEXT = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 POINT_CLAIM = r"(?i)(?:story\s*points?|estimate(?:d)?(?:\s+at)?)\s*[:=]?\s*(\d+)"
 # ------------------------------------------------------------------------------------------------
 
+Repair = tuple[str, str]
+
 
+# --- repairs, as columns and as text ---------------------------------------------------------------
 def drop_trailing_commas(text: Column) -> Column:
-    return F.regexp_replace(text, UNICODE + TRAILING_COMMA, "$1")
+    return _repaired_column(text, (TRAILING_COMMA,))
 
 
 def repair_json(text: Column) -> Column:
     """Turn the usual slips of generated JSON into valid JSON, as far as text rules can."""
-    fixed = F.translate(drop_trailing_commas(strip(text)), *CURLY_QUOTES)
-    for word, literal in LITERAL_WORDS:
-        fixed = F.regexp_replace(fixed, rf"{UNICODE}\b{word}\b", literal)
-    return F.regexp_replace(fixed, SINGLE_QUOTED, '"$1"')
+    return _repaired_column(strip(text), REPAIRS)
+
 
+def _repaired_column(text: Column, repairs: Sequence[Repair]) -> Column:
+    return reduce(lambda done, repair: F.regexp_replace(done, UNICODE + repair[0], repair[1]), repairs, text)
 
-# --- one reply, read in Python: the same code decides about a retry and makes the result -----------
-def _repaired(text: str) -> str:
-    fixed = re.sub(TRAILING_COMMA, r"\1", text.strip()).translate(str.maketrans(*CURLY_QUOTES))
-    for word, literal in LITERAL_WORDS:
-        fixed = re.sub(rf"\b{word}\b", literal, fixed)
-    return re.sub(SINGLE_QUOTED, r'"\1"', fixed)
 
+def _repaired_text(text: str, repairs: Sequence[Repair]) -> str:
+    for slip, cure in repairs:
+        text = re.sub(slip, cure.replace("$", "\\"), text)
+    return text
 
+
+# --- places of an object ---------------------------------------------------------------------------
 def _first_closed(text: str) -> str:
     """From the first opening brace to the one that closes it, strings skipped; empty when none does."""
     start = text.find("{")
@@ -62,14 +78,40 @@ def _first_closed(text: str) -> str:
     return ""
 
 
-def _places(reply: str) -> Iterator[str]:
-    """Where the object may be: a fenced block, the first closed braces, the widest braces, the whole reply."""
-    if fenced := re.search(FENCED_OBJECT, reply):
-        yield fenced[1]
-    yield _first_closed(reply)
-    if widest := re.search(WIDEST_OBJECT, reply):
-        yield widest[0]
-    yield reply
+def _matched(pattern: str) -> Callable[[str], str]:
+    """The first match of a pattern's group; empty without one."""
+    return lambda text: next((m[1] for m in re.finditer(pattern, text)), "")
+
+
+PLACES = {"fenced": _matched(FENCED_OBJECT), "closed": _first_closed, "widest": _matched(WIDEST_OBJECT), "whole": str}
+
+
+@dataclass(frozen=True)
+class Reader:
+    """Finds the first JSON object of a reply: at each place in turn, after each set of repairs in turn."""
+
+    places: tuple[str, ...]
+    repairs: tuple[tuple[Repair, ...], ...]
+
+    def attempts(self, reply: str) -> Iterator[str]:
+        for place in self.places:
+            found = PLACES[place](reply).strip()
+            yield from (_repaired_text(found, repairs) for repairs in (self.repairs if found else ()))
+
+    def read(self, reply: str | None) -> dict | None:
+        return next((value for value in map(_decoded, self.attempts(reply or "")) if isinstance(value, dict)), None)
+
+
+OBJECTS = Reader(("fenced", "closed", "widest", "whole"), ((), REPAIRS))
+LABELS = Reader(("widest",), ((TRAILING_COMMA,),))
+
+
+def _decoded(text: str) -> object:
+    """What JSON text stands for; None where it is none, which is no object either."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
 
 
 def _storable(value: object) -> object:
@@ -83,28 +125,17 @@ def _storable(value: object) -> object:
     return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(value, str) else value
 
 
+# --- one reply: the same code decides about a retry and makes the result ----------------------------
 def read_object(reply: str | None) -> str | None:
-    """The first JSON object of a reply as JSON text, each place tried as it stands and then repaired; else None."""
-    for place in _places(reply or ""):
-        for text in (place, _repaired(place)):
-            try:
-                value = json.loads(text)
-                if isinstance(value, dict):
-                    return json.dumps(_storable(value), ensure_ascii=False)
-            except (ValueError, RecursionError):
-                continue
-    return None
+    """The first JSON object of a reply as JSON text; None without one."""
+    value = OBJECTS.read(reply)
+    return None if value is None else json.dumps(_storable(value), ensure_ascii=False)
 
 
 def read_label(reply: str | None) -> str | None:
     """The label that a classifier's reply holds, in lower case; None when it holds no valid one."""
-    found = re.search(WIDEST_OBJECT, reply or "")
-    try:
-        value = json.loads(re.sub(TRAILING_COMMA, r"\1", found[0])) if found else None
-    except (ValueError, RecursionError):
-        return None
-    label = str(value.get("label", "")).strip().lower() if isinstance(value, dict) else ""
-    return label if label in HALLUCINATION_LABELS else None
+    said = str((LABELS.read(reply) or {}).get("label")).strip().lower()
+    return {label: label for label in HALLUCINATION_LABELS}.get(said)
 
 
 @F.pandas_udf(T.StringType())

@@ -110,3 +110,20 @@ def test_point_claims(spark):
     ]
     df = spark.createDataFrame([(i, t, p) for i, (t, p, _) in enumerate(rows)], "i int, t string, p int").orderBy("i")
     assert [r[0] for r in df.select(fr.agrees_with_points(F.col("t"), F.col("p"))).collect()] == [r[2] for r in rows]
+
+
+def test_columns_and_text_share_one_table_of_repairs(one):
+    from storygauge.functions import replies as fr
+
+    texts = ["{'a': 1,}", "{“a”: ‘b’, \"c\": True,\n}", "[1, 2 ,\u00a0]", "Nonesuch None_ None", "{'it': 'a\\'b'}", "'' 'x' True,]", "", "plain"]
+    assert one(texts, fr.repair_json) == [fr._repaired_text(t.strip(), fr.REPAIRS) for t in texts]
+    assert one(texts, fr.drop_trailing_commas) == [fr._repaired_text(t, (fr.TRAILING_COMMA,)) for t in texts]
+
+
+def test_a_reader_is_its_places_and_repairs():
+    from storygauge.functions import replies as fr
+
+    reply = "first {'a': 1} then ```json\n{\"b\": 2}\n``` and {\"c\": 3,}"
+    assert fr.OBJECTS.read(reply) == {"b": 2} and fr.LABELS.read(reply) is None
+    assert fr.Reader(("closed",), (fr.REPAIRS,)).read(reply) == {"a": 1}
+    assert fr.Reader(("closed",), ((),)).read(reply) is None and fr.OBJECTS.read(None) is None
