@@ -445,6 +445,7 @@ ORACLES["estimate_run_without_retrieval"] = f"""WITH {SCRIPTED} SELECT issue_key
   CASE WHEN NOT failed THEN CAST(size % 4 + 1 AS INTEGER) END AS subtask_points_sum, CASE WHEN NOT failed THEN 'only part' END AS subtask_titles,
   CASE WHEN NOT failed THEN '{NO_RETRIEVAL_WARNING} Length ' || size END AS reasoning,
   CASE WHEN NOT failed THEN 'llm:m+no-retrieval' END AS source, CASE WHEN NOT failed THEN true END AS no_rag_fallback FROM scripted"""
+ORACLES["estimate_run_from_a_log"] = ORACLES["estimate_run_without_retrieval"]
 ORACLES["estimate_run_outcome"] = f"""WITH {SCRIPTED} SELECT count(*) AS n, CAST(count_if(NOT failed) AS BIGINT) AS written,
   CAST(count_if(failed) AS BIGINT) AS failed FROM scripted"""
 ORACLES["failed_estimates"] = f"WITH {SCRIPTED} SELECT issue_key, 'no usable reply in 3 attempts' AS error FROM scripted WHERE failed"

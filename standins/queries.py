@@ -634,9 +634,7 @@ def generated_replies(t):
     return made.select("issue_key", "reply", "attempts", "error")
 
 
-@query
-def estimate_run_without_retrieval(t):
-    made = evaluate.run_estimates(t.tickets(), None, None, scripted_generator, "m", use_rag=False)
+def _run_columns(made: DataFrame) -> DataFrame:
     return made.select(
         "issue_key", "actual_story_points", "predicted_story_points", F.round("confidence", 6).alias("confidence"), "complex_flag",
         "subtask_count", "subtask_points_sum", "subtask_titles", "reasoning", "source", "no_rag_fallback",
@@ -644,6 +642,21 @@ def estimate_run_without_retrieval(t):
     )
 
 
+@query
+def estimate_run_without_retrieval(t):
+    return _run_columns(evaluate.run_estimates(t.tickets(), None, None, scripted_generator, "m", use_rag=False))
+
+
+@query
+def estimate_run_from_a_log(t):
+    """All tickets estimated after a run over some of them: the replies of that run are taken from its log."""
+    log = scratch(t.spark, "replies")
+    run = lambda tickets: evaluate.run_estimates(
+        tickets, None, None, scripted_generator, "m", use_rag=False, log=log, task_rows=1 << 14)
+    run(t.tickets().filter("doc_id % 2 = 0"))
+    return _run_columns(run(t.tickets()))
+
+
 @query
 def estimate_run_outcome(t):
     return estimate.run_outcome(evaluate.run_estimates(t.tickets(), None, None, scripted_generator, "m", use_rag=False))
