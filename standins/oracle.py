@@ -260,6 +260,8 @@ ORACLES["pending_tickets"] = f"""WITH {VECTORS}, {TICKETS} SELECT issue_key, act
 ORACLES["ingested_vectors"] = f"""WITH {TICKETS} SELECT issue_key, actual_story_points AS story_points, 'letters-26' AS embedding_model,
   list_sum({letters(strip('description'))}) AS letters, (SELECT count(*) FROM tickets) AS first_run, CAST(0 AS BIGINT) AS second_run
   FROM tickets"""
+ORACLES["streamed_upserts"] = f"""WITH {TICKETS} SELECT issue_key, actual_story_points AS story_points, 'letters-26' AS embedding_model,
+  list_sum({letters(strip('description'))}) + CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS letters FROM tickets"""
 
 
 # --- profile ---------------------------------------------------------------------------------------

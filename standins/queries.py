@@ -20,6 +20,7 @@ from storygauge.operators import (
 from storygauge.plans import evaluate, export, ingest as ingest_job, lookup
 from storygauge.session import durable, shared_folder
 from storygauge.sources import backlog, files, tables, vectors as vector_store
+from storygauge.streaming.ingest import stream_upserts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LARGE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -336,6 +337,20 @@ def ingested_vectors(t):
     )
 
 
+@query
+def streamed_upserts(t):
+    """Every ticket streamed into a vector table, then a second batch of repeats and changed ones: as one batch job would leave it."""
+    source, store, state = (scratch(t.spark, name) for name in ("stream", "streamed", "state"))
+    tickets = t.tickets().select(*schemas.TICKETS.fieldNames(), "doc_id")
+    changed = tickets.filter("doc_id % 5 = 0").withColumn("description", F.concat("description", F.lit(" zzz")))
+    for batch in (tickets, changed.unionByName(tickets.filter("doc_id % 5 = 1"))):
+        batch.select(*schemas.TICKETS.fieldNames()).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(schemas.TICKETS).parquet(source)
+        stream_upserts(stream, store, LETTERS, state, buckets=8).awaitTermination()
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b.cast("double"))
+    return vector_store.read_vectors(t.spark, store).select("issue_key", "story_points", "embedding_model", total.alias("letters"))
+
+
 # --- profile ---------------------------------------------------------------------------------------
 @query
 def dataset_summary(t):
