@@ -594,3 +594,5 @@ ORACLES["hallucination_summary"] = f"""WITH {LABELLED}, s AS (SELECT count(label
   CAST(count_if(label = 'hallucinated') AS BIGINT) AS hallucinated, count(DISTINCT CASE WHEN label IS NOT NULL THEN issue_key END) AS tickets,
   count(DISTINCT CASE WHEN label = 'hallucinated' THEN issue_key END) AS tickets_hallucinated FROM labelled)
 SELECT *, round({share('hallucinated', 'labeled')}, 6) AS hallucination_rate, round({share('tickets_hallucinated', 'tickets')}, 6) AS ticket_rate FROM s"""
+ORACLES["tickets_through_split_csv"] = ORACLES["tickets_through_csv"]
+ORACLES["backlog_from_split_json"] = ORACLES["backlog_from_json"]

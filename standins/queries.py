@@ -288,6 +288,24 @@ def backlog_from_json(t):
     return ingest.append_tickets(backlog.read_backlog(t.spark, path), accepted, [F.col("doc_id")])
 
 
+@query
+def tickets_through_split_csv(t):
+    """The tickets through CSV files whose records any number of tasks put together."""
+    path = scratch(t.spark, "split-csv")
+    files.write_csv(tickets_of(t).coalesce(1), path)
+    return files.read_csv(t.spark, path, schemas.TICKETS, split=True)
+
+
+@query
+def backlog_from_split_json(t):
+    """As ``backlog_from_json``, the array cut at its braces."""
+    path = scratch(t.spark, "split-backlog")
+    rows = t.view(BACKLOG).select(F.struct(*schemas.BACKLOG.fieldNames()).alias("row"))  # a table of fixed size
+    rows.agg(F.to_json(F.collect_list("row")).alias("value")).write.text(path)
+    accepted, _ = cleaning.split_submissions(t.view(SUBMISSIONS))
+    return ingest.append_tickets(backlog.read_backlog(t.spark, path, split=True), accepted, [F.col("doc_id")])
+
+
 @query
 def backlog_with_submissions(t):
     accepted, _ = cleaning.split_submissions(t.view(SUBMISSIONS))
