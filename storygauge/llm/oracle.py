@@ -111,32 +111,36 @@ _BASE = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
 )
 _KIND = "list_position(['email', 'ip', 'card', 'phone', 'term'], kind)"
-_NEAR = "list_filter(list_transform(list_filter(string_split_regex(lower({}), '\\s+'), lambda w: NOT regexp_matches(w, '[@0-9]')), " \
-    "lambda w: regexp_extract(w, '\\p{{L}}{{3,}}', 0)), lambda w: w <> '')"
-_LEFT = _NEAR.format("CASE WHEN start > 80 THEN regexp_replace(substr(body, start - 79, 80), '^\\S*', '') ELSE substr(body, 1, start) END")
-_RIGHT = _NEAR.format("CASE WHEN length(substr(body, stop + 1, 80)) = 80 THEN regexp_replace(substr(body, stop + 1, 80), '\\S*$', '') ELSE substr(body, stop + 1, 80) END")
+_TRIM = "regexp_replace({}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+_TERMS = f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+'), lambda w: lower({_TRIM.format('w')})), lambda w: w <> '')))"
 
 ORACLES["op6_private_data"] = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
-b AS (SELECT doc_id, body, unnest(list_concat({', '.join(_spans('body', *k) for k in _BASE[:2])}), recursive := true) FROM d UNION ALL
-      SELECT doc_id, body, unnest(list_concat({', '.join(_spans('body', *k) for k in _BASE[2:])}), recursive := true) FROM d),
-m AS (SELECT *, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(value) END AS entity,
-  {_LEFT} AS before, ({_RIGHT})[:8] AS after FROM b),
-c AS (SELECT doc_id, entity, list_sort(list_distinct(flatten(list(list_concat(before[greatest(len(before) - 7, 1):], after))))) AS terms
-      FROM m GROUP BY doc_id, entity),
-e AS (SELECT entity, count(*) AS d_e FROM c GROUP BY entity),
-p AS (SELECT entity, term, count(*) AS d_et FROM (SELECT entity, terms, unnest(terms) AS term FROM c) GROUP BY entity, term HAVING count(DISTINCT terms) >= 3),
-w AS (SELECT term, count(*) AS d_t FROM (SELECT unnest(list_distinct(string_split_regex(lower(body), '[^\\p{{L}}]+'))) AS term FROM d) GROUP BY term),
-r AS (SELECT entity, term FROM p JOIN w USING (term) JOIN e USING (entity), (SELECT CAST(count(*) AS DOUBLE) AS n FROM d)
-      WHERE d_e < n AND ln(n * least(d_et, d_t) / (CAST(d_e AS DOUBLE) * d_t)) / ln(n / d_e) >= 0.8),
-f AS (SELECT doc_id, list(DISTINCT term) AS terms FROM c JOIN r USING (entity) GROUP BY doc_id),
-t AS (SELECT doc_id, unnest({_spans('body', 'term', chr(92) + 'p{L}+', 'list_contains(terms, lower(s.value))')}, recursive := true) FROM d JOIN f USING (doc_id)),
-s AS (SELECT doc_id, start, stop, kind FROM b UNION ALL SELECT doc_id, start, stop, kind FROM t),
-g AS (SELECT doc_id, {', '.join(f"CAST(count_if(kind = '{k}') AS BIGINT) AS n_{k}" for k, *_ in _BASE)},
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body FROM documents),
+b AS (SELECT row, doc_id, body, unnest(list_concat({', '.join(_spans('body', *k) for k in _BASE[:2])}), recursive := true) FROM d UNION ALL
+      SELECT row, doc_id, body, unnest(list_concat({', '.join(_spans('body', *k) for k in _BASE[2:])}), recursive := true) FROM d),
+m AS (SELECT DISTINCT row, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE lower(value) END AS entity FROM b),
+h AS (SELECT row, {_TERMS} AS terms FROM d),
+a AS (SELECT row, list(entity ORDER BY entity) AS entities FROM m GROUP BY row),
+g AS (SELECT row, (SELECT count(*) FROM d) AS n, entity, md5(array_to_string(entities, chr(13)) || chr(10) || array_to_string(terms, chr(13))) AS alike
+      FROM m JOIN a USING (row) JOIN h USING (row)),
+e AS (SELECT entity, any_value(n) AS n, count(*) AS d_e FROM g GROUP BY entity HAVING count(DISTINCT alike) >= 3 AND count(*) < any_value(n)),
+w AS (SELECT term, count(*) AS d_t FROM (SELECT unnest(terms) AS term FROM h) GROUP BY term),
+p AS (SELECT entity, term, count(*) AS d_et FROM (SELECT entity, alike, unnest(terms) AS term FROM g JOIN h USING (row)) GROUP BY entity, term
+      HAVING count(DISTINCT alike) >= 3),
+r AS (SELECT entity, term FROM p JOIN w USING (term) JOIN e USING (entity)
+      WHERE ln(CAST(n AS DOUBLE) * d_et / (CAST(d_e AS DOUBLE) * d_t)) / ln(CAST(n AS DOUBLE) / d_e) >= 0.8),
+f AS (SELECT row, list(DISTINCT term) AS terms FROM m JOIN r USING (entity) GROUP BY row),
+o AS (SELECT row, unnest({_spans('body', 'term', '[^' + chr(92) + 'x20' + chr(92) + 'x09-' + chr(92) + 'x0D]+', f"list_contains(terms, lower({_TRIM.format('s.value')}))")}, recursive := true)
+      FROM d JOIN f USING (row)),
+t AS (SELECT row, start + length(value) - length(regexp_replace(value, '^[^\\p{{L}}\\p{{N}}]+', '')) AS start,
+             start + length(regexp_replace(value, '[^\\p{{L}}\\p{{N}}]+$', '')) AS stop, kind FROM o),
+s AS (SELECT row, start, stop, kind FROM b UNION ALL
+      SELECT row, start, stop, kind FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.row = t.row AND b.start < t.stop AND t.start < b.stop)),
+q AS (SELECT row, {', '.join(f"CAST(count_if(kind = '{k}') AS BIGINT) AS n_{k}" for k, *_ in _BASE)},
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {_KIND}) FILTER (WHERE kind <> 'term'), '') AS base,
-  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {_KIND}) AS spans FROM s GROUP BY doc_id)
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, {_KIND}) AS spans FROM s GROUP BY row)
 SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+FROM d LEFT JOIN q ON q.row = d.row
 """
 
 ORACLES["op11_source_divergence"] = r"""

@@ -1,11 +1,17 @@
 """Personal data: base patterns, and terms that the corpus shows to reveal the entities found by them.
 
 Base kinds are email, ip, card and phone, leftmost non-overlapping per kind, in code points. Every value found is a
-protected entity. Terms are the words around its mentions. With documents as events, a term t reveals an entity e by
-their pointwise mutual information over e's own information, ``ln(N d_et / (d_e d_t)) / ln(N / d_e)``: 1 where t is never
-seen without e. All counts are over all documents: N documents, d_e that mention e, d_t that hold t, d_et that hold t
-around e. A ratio is trusted from ``support`` different surroundings on, so copies of a text prove nothing. In documents
-that mention e, terms at or above ``generalise_at`` are generalised, those at or above ``remove_at`` are removed.
+protected entity. Terms are the tokens of the documents that mention it: runs of other than white space without the signs at
+their ends, in lower case, whatever they are made of and wherever in the document they stand. With documents as events, a term t
+reveals an entity e by their pointwise mutual information over e's own information, ``ln(N d_et / (d_e d_t)) / ln(N / d_e)``: 1
+where t is never seen without e. All counts are over whole documents: N documents, d_e that mention e, d_t that hold t, d_et that
+do both. A ratio is trusted from ``support`` documents of different tokens on, so copies of a text prove nothing.
+
+A ratio of r asks for ``d_t <= d_e^r N^(1-r)``. Terms and entities that cannot reach it or the support are left out before they
+are paired, which leaves few terms of a document, and changes no result.
+
+In documents that mention e, terms at or above ``generalise_at`` are generalised: to their longest beginning that ``CROWD``
+different tokens of the corpus share, or to their class where there is none. Those at or above ``remove_at`` are removed.
 
 A null text counts as empty; long texts are searched whole. Rows that repeat id and text have equal results; null ids are
 ids. An empty table gives an empty result. Other columns are not read.
@@ -15,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from storygauge.llm.common import durable, let, small_side, staged, texts
+from storygauge.llm.common import WORD, durable, let, small_side, staged, texts
 
 # Possessive repeats match what greedy ones do here and need no stack on long runs of digits or labels. A card has 14
 # digits at least, and a shorter run of digits cannot hide a longer one, so the pattern asks for them at once.
@@ -29,8 +35,11 @@ KINDS = [*PATTERNS, "term"]
 MARKS = {"email": "@", "ip": ".", "phone": "+"}  # a text without it holds none of the kind
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-AROUND, REACH = 8, 80  # words on either side of a mention, and the characters they are looked for in
+TOKEN, EDGES = WORD, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+CROWD = 5  # different tokens that must share the beginning a term is generalised to
 GENERALISED, REMOVED = "<word>", ""
+_STEP = 256  # numbers summed up at a time
+_SLACK = 1e-9
 
 
 def _digits(value: Column) -> Column:
@@ -56,22 +65,39 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _before_each(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it, in two levels, so that work grows with the array's length."""
+    none = F.array().cast("array<int>")
+
+    def sums(numbers: Column, first: Column) -> Column:
+        start = F.struct(first.cast("int").alias("at"), none.alias("list"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list"))
+        return F.aggregate(numbers, start, step)["list"]
+
+    count = F.ceil(F.size(sizes) / _STEP).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.slice(sizes, c * _STEP + 1, F.lit(_STEP)))
+
+    def run(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda t, x: t + x))
+        return let(sums(totals, F.lit(0)), lambda first: F.flatten(F.transform(parts, lambda p, i: sums(p, F.get(first, i)))))
+
+    return F.when(F.size(sizes) == 0, none).otherwise(let(chunks, run))
+
+
 def _located(text: Column, pattern: Column, kind: str) -> Column:
     """All matches with their places: the lengths of the pieces between matches and of the matches add up."""
     none = F.array().cast(SPAN)
 
     def places(found: Column) -> Column:
         def run(pieces: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+            sizes = F.transform(found, lambda f, i: F.length(F.get(pieces, i)) + F.length(f))
 
-            def step(acc: Column, i: Column) -> Column:
-                begin = acc["at"] + F.length(F.get(pieces, i))
-                value = F.get(found, i)
-                end = begin + F.length(value)
-                span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-                return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span).cast(SPAN)).alias("spans"))
+            def span(value: Column, i: Column, before: Column) -> Column:
+                begin = F.get(before, i) + F.length(F.get(pieces, i))
+                return F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (begin + F.length(value)).alias("end"),
+                                F.lit(kind).alias("kind"), value.alias("value"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["spans"]
+            return let(_before_each(sizes), lambda before: F.transform(found, lambda f, i: span(f, i, before)))
 
         return F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), run))
 
@@ -99,85 +125,103 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _terms_around(text: Column, span: Column) -> Column:
-    """The nearest words before and after a mention, lower case; tokens that hold a digit or an @ are no words."""
-    begin, end = span["start"], span["end"]
-    left = F.substring(text, F.greatest(begin - REACH, F.lit(0)) + 1, F.least(begin, F.lit(REACH)))
-    right = F.substring(text, end + 1, F.lit(REACH))
+def _term(token: Column) -> Column:
+    return F.lower(F.regexp_replace(token, EDGES, ""))
 
-    def words(part: Column) -> Column:
-        kept = F.filter(F.split(F.lower(part), r"\s+"), lambda w: ~w.rlike("[@0-9]"))
-        return F.filter(F.transform(kept, lambda w: F.regexp_extract(w, r"\p{L}{3,}", 0)), lambda w: w != "")
 
-    whole_left = F.when(begin > REACH, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    whole_right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
-    before = let(words(whole_left), lambda w: F.slice(w, F.greatest(F.size(w) - AROUND, F.lit(0)) + 1, F.lit(AROUND)))
-    return F.concat(before, F.slice(words(whole_right), 1, AROUND))
-
-
-def _surroundings(text: Column, spans: Column) -> Column:
-    """For each entity of a document the set of terms around its mentions."""
-    def of(entity: Column) -> Column:
-        near = F.transform(F.filter(spans, lambda s: _entity(s) == entity), lambda s: _terms_around(text, s))
-        return F.struct(entity.alias("entity"), F.array_sort(F.array_distinct(F.flatten(near))).alias("terms"))
-
-    return F.transform(F.array_distinct(F.transform(spans, _entity)), of)
+def terms_in(text: Column) -> Column:
+    """The different terms of a text, in order."""
+    every = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), _term)
+    return F.array_sort(F.array_distinct(F.filter(every, lambda t: t != "")))
 
 
 def _row_key() -> Column:
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))))
 
 
-def words_in(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
-
-
 def disclosing_terms(docs: DataFrame, found: DataFrame, total: int, generalise_at: float, support: int) -> DataFrame:
     """``entity, term, ratio`` of the terms that reveal an entity.
 
-    ``found`` holds ``surroundings`` of the documents with base spans. Equal surroundings are counted before they move.
+    ``found`` holds ``entities`` and ``terms`` of the documents with base spans. Documents alike in both are counted before they move.
     """
-    one = found.select(F.explode("surroundings").alias("_s")).select("_s.*")
-    sets = durable(one.groupBy("entity", "terms").agg(F.count(F.lit(1)).alias("_docs")))
-    entities = sets.groupBy("entity").agg(F.sum("_docs").alias("d_e"))
-    pairs = sets.select("entity", "_docs", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
-        F.sum("_docs").alias("d_et"), F.count(F.lit(1)).alias("_support"))
-    likely = durable(pairs.filter(F.col("_support") >= support).drop("_support"))
-    words = texts(docs).select(F.explode(words_in(F.col("text"))).alias("term"))  # one row a word and task is shuffled
-    held = words.groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
-    counted = likely.join(held.join(likely.select("term").distinct(), "term", "left_semi"), "term").join(entities, "entity")
-    n, d_et = F.lit(float(total)), F.least("d_et", "d_t").cast("double")
-    ratio = F.when(F.col("d_e") < n, F.log(n * d_et / (F.col("d_e") * F.col("d_t"))) / F.log(n / F.col("d_e")))
+    alike = F.md5(F.concat_ws("\n", F.array_join("entities", "\r"), F.array_join("terms", "\r")))
+    sets = durable(found.groupBy(alike.alias("alike")).agg(
+        F.count(F.lit(1)).alias("docs"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    n = float(total)
+    named = sets.select("alike", "docs", F.explode("entities").alias("entity"))
+    entities = named.groupBy("entity").agg(F.sum("docs").alias("d_e"), F.count(F.lit(1)).alias("sets"))
+    entities = durable(entities.filter((F.col("sets") >= support) & (F.col("d_e") < n)).select("entity", "d_e"))
+    most = entities.agg(F.max("d_e")).head()[0]
+    limit = lambda d_e: F.pow(d_e.cast("double"), F.lit(generalise_at)) * F.pow(F.lit(n), F.lit(1 - generalise_at)) * (1 + _SLACK)
+    if most is None:
+        return entities.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("ratio")).limit(0)
+    # one row a term and task is shuffled; what is too frequent or too rare for any entity goes here
+    held = texts(docs).select(F.explode(terms_in(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
+    rare = held.filter((F.col("d_t") >= support) & (F.col("d_t") <= limit(F.lit(most))))
+    likely = sets.select("alike", "docs", F.explode("terms").alias("term")).join(rare, "term")
+    pairs = likely.join(named.select("alike", "entity").join(entities, "entity"), "alike").filter(F.col("d_t") <= limit(F.col("d_e")))
+    counted = pairs.groupBy("entity", "term").agg(
+        F.sum("docs").alias("d_et"), F.count(F.lit(1)).alias("sets"), F.max("d_t").alias("d_t"), F.max("d_e").alias("d_e")).filter(F.col("sets") >= support)
+    ratio = F.log(F.lit(n) * F.col("d_et") / (F.col("d_e").cast("double") * F.col("d_t"))) / F.log(F.lit(n) / F.col("d_e"))
     return counted.select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise_at)
 
 
-def find_private(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3) -> DataFrame:
+def coarser_values(docs: DataFrame, terms: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``term, coarse``: the longest beginning of a term that ``crowd`` different tokens of the corpus share, followed by a star."""
+    cut = terms.select("term", F.explode(F.sequence(F.lit(1), F.greatest(F.length("term") - 1, F.lit(1)))).alias("size"))
+    cut = cut.filter(F.col("size") < F.length("term")).select("term", "size", F.expr("substring(term, 1, size)").alias("beginning"))
+    wanted, count = staged(cut.select("beginning").distinct())
+    held = texts(docs).select(F.explode(terms_in(F.col("text"))).alias("token")).distinct()
+    sizes = F.sequence(F.lit(1), F.length("token"))
+    beginnings = held.select("token", F.explode(F.transform(sizes, lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("beginning"))
+    shared = beginnings.join(small_side(wanted, count), "beginning", "left_semi").groupBy("beginning").agg(F.count(F.lit(1)).alias("n"))
+    best = cut.join(shared.filter(F.col("n") >= crowd), "beginning").groupBy("term").agg(F.max_by("beginning", "size").alias("beginning"))
+    return best.select("term", F.concat("beginning", F.lit("*")).alias("coarse"))
+
+
+def find_private(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3, crowd: int = CROWD) -> DataFrame:
     """One row per document: ``doc_id, base, spans``; spans are structs of start, rank, end, kind, value.
 
-    ``base`` has those of the patterns, ``spans`` also the disclosing terms; a term's value is what takes its place.
+    ``base`` has those of the patterns, ``spans`` also the disclosing terms, whole tokens that no base span overlaps; a term's
+    value is what takes its place.
     """
     source = texts(docs).withColumn("_key", _row_key())
     with_base = source.withColumn("base", base_spans(F.col("text")))
+    some = F.size("base") > 0
     rows = durable(with_base.select(
-        "doc_id", "_key", "base",
-        F.when(F.size("base") > 0, _surroundings(F.col("text"), F.col("base"))).alias("surroundings"),
+        "doc_id", "_key", "base", F.when(some, F.array_sort(F.array_distinct(F.transform("base", _entity)))).alias("entities"),
+        F.when(some, terms_in(F.col("text"))).alias("terms"),
     ))
-    found = rows.filter("surroundings is not null")
+    found = rows.filter("entities is not null")
     revealing, count = staged(disclosing_terms(docs, found, rows.count(), generalise_at, support))
-    mentions = found.select("_key", F.explode("surroundings.entity").alias("entity")).distinct()
-    by_doc = mentions.join(small_side(revealing, count), "entity").groupBy("_key", "term").agg(F.max("ratio").alias("ratio"))
-    by_key, by_key_count = staged(by_doc.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("_terms")))
-    inside = source.join(small_side(by_key, by_key_count), "_key")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.array_sort(F.map_keys("_terms")), "|"), F.lit(r")(?!\p{L})"))
+    plain = rows.select("doc_id", "_key", "base")
+    if not count:
+        return plain.withColumn("spans", F.col("base"))
+    coarse = coarser_values(docs, revealing.filter(F.col("ratio") < remove_at).select("term").distinct(), crowd)
+    valued = revealing.join(coarse, "term", "left").withColumn("coarse", F.coalesce("coarse", F.lit(GENERALISED)))
+    mentions = found.select("_key", F.explode("entities").alias("entity")).distinct()
+    by_doc = mentions.join(small_side(durable(valued), count), "entity").groupBy("_key", "term").agg(
+        F.max(F.struct("ratio", "coarse")).alias("best"))
+    by_key, by_key_count = staged(by_doc.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "best"))).alias("_terms")))
+    inside = source.join(small_side(by_key, by_key_count), "_key").withColumn("base", base_spans(F.col("text")))
+
+    def trimmed(s: Column) -> Column:
+        """A token's span without the signs at its ends, its value the term's."""
+        ahead = F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]+", ""))
+        own = F.regexp_replace(s["value"], EDGES, "")
+        begin = s["start"] + ahead
+        return F.struct(begin.alias("start"), s["rank"].alias("rank"), (begin + F.length(own)).alias("end"), s["kind"].alias("kind"), F.lower(own).alias("value"))
 
     def replaced(s: Column) -> Column:
-        ratio = F.try_element_at("_terms", F.lower(s["value"]))
+        best = F.try_element_at("_terms", s["value"])
         return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"),
-                        F.when(ratio >= remove_at, F.lit(REMOVED)).otherwise(F.lit(GENERALISED)).alias("value"))
+                        F.when(best["ratio"] >= remove_at, F.lit(REMOVED)).otherwise(best["coarse"]).alias("value"))
 
-    located = inside.withColumn("_pattern", pattern).select("_key", F.transform(_located(F.col("text"), F.col("_pattern"), "term"), replaced).alias("_extra"))
-    extra, extra_count = staged(located.groupBy("_key").agg(F.first("_extra").alias("_extra")))
-    joined = rows.join(small_side(extra, extra_count), "_key", "left")
+    tokens = F.transform(_located(F.col("text"), F.lit(TOKEN), "term"), trimmed)
+    known = F.filter(tokens, lambda s: F.map_contains_key("_terms", s["value"]))
+    apart = F.filter(known, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    extra, extra_count = staged(inside.select("_key", F.transform(apart, replaced).alias("_extra")).groupBy("_key").agg(F.first("_extra").alias("_extra")))
+    joined = plain.join(small_side(extra, extra_count), "_key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("_extra", F.array().cast(SPAN))))
     return joined.select("doc_id", "_key", "base", spans.alias("spans"))
 

@@ -1,6 +1,8 @@
 import hashlib
 import math
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,52 +54,60 @@ def test_base_spans(spark, small, messy):
 
 
 def planted():
-    """An entity that one rare name goes with, words that go with everything, and fillers."""
+    """An entity that rare tokens go with, near and far, words that go with everything, and fillers."""
     rows = []
     for i in range(400):
         own = chr(97 + i % 26) * 4
         text = f"filler number w{i} the report of the committee was read again today in hall {i}"
         if i < 8:
-            text = f"note w{i} about the Zorblax person: write to zed@example.org today with {own} regards from the team"
+            middle = " ".join(f"the report w{i * 50 + k} of hall {k}" for k in range(40))
+            text = f"Zebulon (Li)\n\nthe report, EMP4711: {middle} by O'Brien for (Zorblax), zed@example.org today {own}"
         elif i < 12:
-            text = f"call {own} Quimby at +1 202 555 01{i:02d} about the report today"
+            text = f"call {own} Quimby at +1 202 555 01{i:02d} the report today"
         rows.append((i, text))
-    rows += [(400, None), (None, ""), (401, rows[0][1]), (0, rows[0][1])]
+    rows += [(400, None), (None, ""), (401, rows[20][1]), (0, rows[0][1])]
     return rows
 
 
+def plain_terms(text):
+    """(term, start, end) of every token."""
+    out = []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        word = [k for k, c in enumerate(m[0]) if c.isalpha() or c.isnumeric()]
+        if word:
+            out.append((m[0][word[0]:word[-1] + 1].lower(), m.start() + word[0], m.start() + word[-1] + 1))
+    return out
+
+
+def entities_of(text):
+    """(entity, start, end) of every base span."""
+    out = []
+    for part in filter(None, brute(text).split(",")):
+        kind, a, b = part.split(":")
+        value = text[int(a):int(b)]
+        out.append((f"{kind}:" + (re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()), int(a), int(b)))
+    return out
+
+
 def brute_terms(rows, at=0.8, support=3):
-    """Ratios of (entity, term) counted directly."""
-    def near(text, a, b):
-        left = re.findall(r"\S+", text[max(0, a - 80):a].lower())
-        if a > 80:
-            left = re.findall(r"\S+", re.sub(r"^\S*", "", text[a - 80:a].lower()))
-        right = text[b:b + 80].lower()
-        right = re.findall(r"\S+", re.sub(r"\S*$", "", right) if len(right) == 80 else right)
-        word = lambda ws: [m[0] for w in ws if not re.search("[@0-9]", w) and (m := re.search(r"[^\W\d_]{3,}", w))]
-        return word(left)[-8:] + word(right)[:8]
-
-    docs, n, d_e, d_et, seen = [(t or "") for _, t in rows], len(rows), {}, {}, {}
-    for t in docs:
-        sets = {}
-        for part in filter(None, brute(t).split(",")):
-            kind, a, b = part.split(":")
-            value = t[int(a):int(b)]
-            entity = f"{kind}:" + (re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower())
-            sets.setdefault(entity, set()).update(near(t, int(a), int(b)))
-        for e, terms in sets.items():
-            d_e[e] = d_e.get(e, 0) + 1
+    """Ratios of (entity, term) counted directly over whole documents."""
+    n, d_e, d_et, d_t, seen = len(rows), Counter(), Counter(), Counter(), {}
+    for _, t in rows:
+        terms, entities = {w for w, _, _ in plain_terms(t)}, {e for e, _, _ in entities_of(t)}
+        d_t.update(terms)
+        d_e.update(entities)
+        d_et.update((e, w) for e in entities for w in terms)
+        for e in entities:
             for w in terms:
-                d_et[e, w] = d_et.get((e, w), 0) + 1
-                seen.setdefault((e, w), set()).add(frozenset(terms))
-    out = {}
-    for (e, w), both in d_et.items():
-        if len(seen[e, w]) >= support and d_e[e] < n:
-            d_t = sum(w in re.split(r"[\W\d_]+", t.lower()) for t in docs)
-            ratio = math.log(n * min(both, d_t) / (d_e[e] * d_t)) / math.log(n / d_e[e])
-            if ratio >= at:
-                out[e, w] = ratio
-    return out
+                seen.setdefault((e, w), set()).add((frozenset(terms), frozenset(entities)))
+    ratio = lambda e, w: math.log(n * d_et[e, w] / (d_e[e] * d_t[w])) / math.log(n / d_e[e])
+    return {(e, w): ratio(e, w) for e, w in d_et if len(seen[e, w]) >= support and d_e[e] < n and ratio(e, w) >= at}
+
+
+def brute_spans(text, terms):
+    entities = entities_of(text)
+    flagged = {w for e, w in terms if e in {x for x, _, _ in entities}}
+    return {(a, b) for w, a, b in plain_terms(text) if w in flagged and not any(x < b and a < y for _, x, y in entities)}
 
 
 @pytest.fixture(scope="module")
@@ -109,20 +119,42 @@ def test_terms_that_reveal(corpus):
     rows = planted()
     found = pd_.find_private(corpus)
     terms = brute_terms(rows)
-    assert ("email:zed@example.org", "zorblax") in terms and ("email:zed@example.org", "the") not in terms
+    revealed = {w for e, w in terms if e == "email:zed@example.org"}
+    assert {"zebulon", "li", "emp4711", "o'brien", "zorblax"} <= revealed and not revealed & {"the", "report", "today", "hall"}
     for r in found.collect():
         text = next((t for i, t in rows if i == r.doc_id), "") or ""
-        flagged = {w for (e, w) in terms if e.split(":", 1)[1] in text.lower()}
-        expected = {(m.start(), m.end()) for w in flagged for m in re.finditer(rf"(?i)(?<![^\W\d_]){w}(?![^\W\d_])", text)}
-        assert {(s.start, s.end) for s in r.spans if s.kind == "term"} == expected
+        assert {(s.start, s.end) for s in r.spans if s.kind == "term"} == brute_spans(text, terms)
         assert [s for s in r.spans if s.kind != "term"] == r.base
-    assert sum(bool(r.spans) for r in found.collect()) == 8 + 4 + 2
+    first = rows[0][1]
+    assert {first[a:b] for a, b in brute_spans(first, terms)} >= {"Zebulon", "Li", "EMP4711", "O'Brien", "Zorblax"}
 
 
 def test_sanitised(corpus):
     text = {r.doc_id: r.text for r in pd_.sanitised(corpus).filter("doc_id is not null").collect()}
-    assert "zed@" not in text[1] and "Zorblax" not in text[1] and "<email>" in text[1] and text[1].startswith(" w1 ")
-    assert text[20] == dict(planted())[20] and text[400] == ""
+    assert "zed@" not in text[1] and "<email>" in text[1] and text[1].startswith(" ()\n\nthe report, : the report w50")
+    assert not re.search("Zorblax|Zebulon|EMP4711|Brien", text[1]) and text[20] == dict(planted())[20] and text[400] == ""
+
+
+def test_terms_are_generalised_by_the_corpus(spark):
+    """A term that is not quite exclusive becomes the beginning that many tokens share; one without company its class."""
+    rows = [(i, f"zed@example.org zorblax qqq x{i}") for i in range(8)] + [(8, "zorblax qqq here")]
+    rows += [(10 + i, f"filler zorb{chr(109 + i % 13)}{i} zo{i} {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = brute_terms(rows)
+    assert all(0.8 <= terms["email:zed@example.org", w] < 0.99 for w in ("zorblax", "qqq"))
+    spans = {r.doc_id: {s.value for s in r.spans if s.kind == "term"} for r in pd_.find_private(docs, remove_at=0.99).collect()}
+    assert spans[3] == {"zorb*", "<word>"} and spans[8] == set()
+    assert {r.doc_id: r.text for r in pd_.sanitised(docs, remove_at=0.99).collect()}[2] == "<email> zorb* <word> x2"
+
+
+def test_places_of_very_many_matches(spark):
+    """Work grows with the number of matches, not with its square."""
+    text = " ".join(f"u{i}@ex.org" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, "a@b.cd")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r.base for r in pd_.find_private(docs).collect()}
+    assert time.perf_counter() - start < 60 and len(got[1]) == 20_000
+    assert all(text[s.start:s.end] == s.value for s in got[1][::997])
 
 
 def test_copies_prove_nothing(spark, messy):
