@@ -596,3 +596,4 @@ ORACLES["hallucination_summary"] = f"""WITH {LABELLED}, s AS (SELECT count(label
 SELECT *, round({share('hallucinated', 'labeled')}, 6) AS hallucination_rate, round({share('tickets_hallucinated', 'tickets')}, 6) AS ticket_rate FROM s"""
 ORACLES["tickets_through_split_csv"] = ORACLES["tickets_through_csv"]
 ORACLES["backlog_from_split_json"] = ORACLES["backlog_from_json"]
+ORACLES["kept_ablation_report"] = ORACLES["ablation_report"]

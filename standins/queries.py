@@ -17,7 +17,7 @@ from storygauge.functions import neighbours as fn, replies as fr, scale as fs, s
 from storygauge.operators import (
     cleaning, encode, estimate, generate, index as nn_index, ingest, metrics, neighbours as nn, profile, review, sampling,
 )
-from storygauge.plans import evaluate, export, ingest as ingest_job, lookup
+from storygauge.plans import evaluate, export, ingest as ingest_job, lookup, scores
 from storygauge.session import durable, shared_folder
 from storygauge.sources import backlog, files, tables, vectors as vector_store
 from storygauge.streaming.ingest import stream_upserts
@@ -805,6 +805,18 @@ def ablation_report(t):
     return rounded(evaluate.ablation_report(rag, norag))
 
 
+@query
+def kept_ablation_report(t):
+    """The report over both runs from a state that their results were added to in three parts."""
+    rag, norag = written(t, t.results_rag(), "rag"), written(t, t.results_norag(), "norag")
+    state = scratch(t.spark, "scores")
+    some, rest = F.col("vec_id") % 3 == 0, F.col("doc_id") % 4 == 0
+    scores.add_results(t.spark, state, rag.filter(some), norag.filter(rest))
+    scores.add_results(t.spark, state, rag.filter(~some))
+    scores.add_results(t.spark, state, None, norag.filter(~rest))
+    return rounded(scores.kept_report(t.spark, state))
+
+
 # --- reviews ---------------------------------------------------------------------------------------
 @query
 def justification_sheet(t):

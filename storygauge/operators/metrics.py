@@ -160,27 +160,52 @@ def paired_comparison(rag: DataFrame, norag: DataFrame) -> DataFrame:
     return _comparison(paired_errors(rag, norag))
 
 
+def error_counts(counts: DataFrame, tag: str) -> DataFrame:
+    """How often each absolute error of a key occurs in a run given by ``run_counts``."""
+    error = F.abs(F.col("predicted") - F.col("actual"))
+    return counts.groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.sum("n").alias(f"_n_{tag}"))
+
+
 def paired_scores(rag: DataFrame, norag: DataFrame) -> DataFrame:
     """``paired_comparison`` of two runs given by ``run_counts``."""
-    def side(counts: DataFrame, tag: str) -> DataFrame:
-        error = F.abs(F.col("predicted") - F.col("actual"))
-        return counts.groupBy("issue_key", error.alias(f"error_{tag}")).agg(F.sum("n").alias(f"_n_{tag}"))
+    return _comparison(_paired(error_counts(rag, "rag"), error_counts(norag, "norag")))
 
-    return _comparison(_paired(side(rag, "rag"), side(norag, "norag")))
+
+def paired_sums(rag: DataFrame, norag: DataFrame) -> DataFrame:
+    """What ``paired_scores`` is worked out from, one row; rows of several parts of the pairs add up."""
+    return _comparison_sums(_paired(error_counts(rag, "rag"), error_counts(norag, "norag")))
 
 
 def _comparison(pairs: DataFrame) -> DataFrame:
+    return comparison_of(_comparison_sums(pairs))
+
+
+def _comparison_sums(pairs: DataFrame) -> DataFrame:
     n = F.col("n_pairs").cast("double")
     delta = (F.col("error_rag") - F.col("error_norag")).cast("double")
     return pairs.agg(
-        F.coalesce(F.sum(F.col("n_pairs").cast("decimal(38,0)")), F.lit(0)).try_cast("long").alias("n_paired"),
-        _ratio(F.sum(delta * n), F.sum(F.when(delta.isNotNull(), n))).alias("mean_abs_error_delta"),
-        _ratio(F.sum(F.when(delta < 0, n).otherwise(0.0)), F.sum(n)).alias("pct_rag_closer"),
+        F.coalesce(F.sum(F.col("n_pairs").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("n_pairs"),
+        F.sum(delta * n).alias("delta_sum"), F.sum(F.when(delta.isNotNull(), n)).alias("known"),
+        F.sum(F.when(delta < 0, n).otherwise(0.0)).alias("closer"), F.sum(n).alias("all_pairs"),
     )
 
 
-def retrieval_stats(results: DataFrame) -> DataFrame:
-    """How useful the neighbours were: coverage, similarities, spread of points, same-project share; one row."""
+def comparison_of(sums: DataFrame) -> DataFrame:
+    """``paired_comparison`` from one or more rows of sums."""
+    return sums.agg(
+        F.coalesce(F.sum("n_pairs"), F.lit(0)).try_cast("long").alias("n_paired"),
+        _ratio(F.sum("delta_sum"), F.sum("known")).alias("mean_abs_error_delta"),
+        _ratio(F.sum("closer"), F.sum("all_pairs")).alias("pct_rag_closer"),
+    )
+
+
+RETRIEVAL_VALUES = {
+    "top1": "mean_top1_similarity", "topk": "mean_topk_similarity", "spread": "mean_neighbour_sp_spread", "stem": "mean_same_project_rate",
+}
+
+
+def retrieval_sums(results: DataFrame) -> DataFrame:
+    """What ``retrieval_stats`` is worked out from, one row; rows of several parts of the results add up."""
     items = F.col("_items")
     sims = F.transform(items, lambda t: F.coalesce(t["similarity"], F.lit(0.0)))
     points = F.transform(items, lambda t: F.coalesce(t["story_points"], F.lit(0)))
@@ -193,26 +218,47 @@ def retrieval_stats(results: DataFrame) -> DataFrame:
         F.when(some, (F.array_max(points) - F.array_min(points)).cast("double")).alias("spread"),
         same_stem_share(F.col("issue_key"), items).alias("stem"),
     )
-    return per_row.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.avg(F.col("some").cast("double")), F.lit(0.0)).alias("pct_with_neighbours"),
-        F.avg("top1").alias("mean_top1_similarity"),
-        F.avg("topk").alias("mean_topk_similarity"),
-        F.avg("spread").alias("mean_neighbour_sp_spread"),
-        F.avg("stem").alias("mean_same_project_rate"),
-    )
+    values = [x for c in RETRIEVAL_VALUES for x in (F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n"))]
+    return per_row.agg(F.count(F.lit(1)).alias("n"), F.count_if("some").alias("some"), *values)
 
 
-def confidence_band_errors(results: DataFrame) -> DataFrame:
-    """Tickets and mean absolute error of the high (>= 0.70) and low (< 0.55) retrieval-confidence bands."""
+def retrieval_of(sums: DataFrame) -> DataFrame:
+    """``retrieval_stats`` from one or more rows of sums."""
+    n = F.sum("n")
+    means = [_ratio(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(name) for c, name in RETRIEVAL_VALUES.items()]
+    with_some = F.coalesce(_ratio(F.sum("some").cast("double"), n), F.lit(0.0))
+    return sums.agg(F.coalesce(n, F.lit(0)).alias("n"), with_some.alias("pct_with_neighbours"), *means)
+
+
+def retrieval_stats(results: DataFrame) -> DataFrame:
+    """How useful the neighbours were: coverage, similarities, spread of points, same-project share; one row."""
+    return retrieval_of(retrieval_sums(results))
+
+
+def confidence_band_sums(results: DataFrame) -> DataFrame:
+    """What ``confidence_band_errors`` is worked out from, one row; rows of several parts of the results add up."""
     confidence = F.col("rag_confidence").try_cast("double")
     error = F.abs(F.col("predicted_story_points") - F.col("actual_story_points")).cast("double")
     kept = estimated(results).select(F.nanvl(confidence, F.lit(None).cast("double")).alias("c"), error.alias("e"))
-    high, low = F.col("c") >= 0.70, F.col("c") < 0.55
-    return kept.agg(
-        F.count_if(high).alias("nh"), F.avg(F.when(high, F.col("e"))).alias("eh"),
-        F.count_if(low).alias("nl"), F.avg(F.when(low, F.col("e"))).alias("el"),
-    ).select(F.stack(F.lit(2), F.lit("high"), "nh", "eh", F.lit("low"), "nl", "el").alias("band", "n", "mae"))
+    bands = {"high": F.col("c") >= 0.70, "low": F.col("c") < 0.55}
+    return kept.agg(*[x for name, band in bands.items() for x in (
+        F.count_if(band).alias(f"{name}_n"), F.sum(F.when(band, F.col("e"))).alias(f"{name}_sum"),
+        F.count(F.when(band, F.col("e"))).alias(f"{name}_known"),
+    )])
+
+
+def confidence_bands_of(sums: DataFrame) -> DataFrame:
+    """``confidence_band_errors`` from one or more rows of sums."""
+    names = ("high", "low")
+    whole = sums.agg(*[x for b in names for x in (
+        F.coalesce(F.sum(f"{b}_n"), F.lit(0)).alias(f"{b}_n"), _ratio(F.sum(f"{b}_sum"), F.sum(f"{b}_known")).alias(f"{b}_mae"))])
+    parts = [x for b in names for x in (F.lit(b), F.col(f"{b}_n"), F.col(f"{b}_mae"))]
+    return whole.select(F.stack(F.lit(len(names)), *parts).alias("band", "n", "mae"))
+
+
+def confidence_band_errors(results: DataFrame) -> DataFrame:
+    """Tickets and mean absolute error of the high (>= 0.70) and low (< 0.55) retrieval-confidence bands."""
+    return confidence_bands_of(confidence_band_sums(results))
 
 
 def confusion_counts(results: DataFrame, threshold: int = COMPLEX_THRESHOLD) -> DataFrame:
