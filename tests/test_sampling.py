@@ -175,3 +175,17 @@ def test_crowded_prefixes_are_counted_again(spark, monkeypatch):
     monkeypatch.setattr(sampling, "PREFIX_DIGITS", 1)
     monkeypatch.setattr(sampling, "WINDOW_ROWS", 3)
     assert taken() == expected and max(widths) > 2
+
+
+@pytest.mark.parametrize("quota", [1, 7, 40])
+def test_one_scan_takes_the_same_rows(spark, tmp_path, quota):
+    rows = [(f"K-{i % 150}", f"text {i % 7}", [1, 1, 1, 3, 8, None][i % 6]) for i in range(900)] + [("hot", "same", 1)] * 300 + [("K-0", None, 5)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "issue_key string, title string, actual_story_points int").repartition(9).write.parquet(path)
+    df = spark.read.parquet(path)
+    cls = F.col("actual_story_points")
+    one = sampling.bottom_per_class(df, cls, quota, ("issue_key",))
+    several = sampling.take_per_class(df, cls, sampling.FixedCount(quota), ("issue_key",))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, several.collect()), key=repr)
+    plan = sampling.bottom_per_class(df, cls, quota, ("issue_key",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "WindowGroupLimit" in plan
