@@ -18,10 +18,17 @@ def parse_items(raw: Column, item_ddl: str) -> Column:
     fields = [f.split() for f in item_ddl.split(", ")]
     whole = strip(raw)
     array = F.when(whole.startswith("["), whole)
-    # the parser stops after the first value; no text that goes on can be the only member of an object and of a list
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), array, F.lit("}")))
-    listed = F.try_parse_json(F.concat(F.lit("["), array, F.lit("]")))
-    items = F.when(listed.isNotNull(), F.try_variant_get(member, "$.v", "array<variant>"))
+    # The parser stops after the first value, so the text stands between a bracket and a mark of its own that it cannot hold:
+    # the mark is there only if nothing in the text has closed the list before.
+    mark = F.md5(array)
+    wrapped = F.try_parse_json(F.concat(F.lit('[{"v":'), array, F.lit('},"'), mark, F.lit('"]')))
+
+    def only(members: Column) -> Column:
+        alone = (F.size(members) == 2) & (F.try_variant_get(F.get(members, 1), "$", "string") == mark)
+        held = F.try_variant_get(F.get(members, 0), "$", "map<string,variant>")
+        return F.when(alone & (F.size(held) == 1), F.try_variant_get(F.try_element_at(held, F.lit("v")), "$", "array<variant>"))
+
+    items = F.transform(F.array(F.try_variant_get(wrapped, "$", "array<variant>")), only)[0]
 
     def value(item: Column, name: str, kind: str) -> Column:
         if kind == "string":

@@ -116,12 +116,15 @@ def error_metrics(results: DataFrame) -> DataFrame:
     A ticket with zero actual points has no relative error: MMRE leaves it out, and PRED counts it as a miss.
     """
     require_columns(results, POINT_COLUMNS, "results")
-    return error_scores(point_pairs(results))
+    return _scores(durable(point_pairs(results)))
 
 
 def error_scores(counts: DataFrame) -> DataFrame:
     """``error_metrics`` of a run given by counts of (actual, predicted), with or without further keys."""
-    pairs = durable(counts.groupBy("actual", "predicted").agg(F.sum("n").alias("n")))
+    return _scores(durable(counts.groupBy("actual", "predicted").agg(F.sum("n").alias("n"))))
+
+
+def _scores(pairs: DataFrame) -> DataFrame:
     return _plain_errors(pairs).join(_rank_correlation(pairs), "n")
 
 

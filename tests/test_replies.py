@@ -127,3 +127,12 @@ def test_a_reader_is_its_places_and_repairs():
     assert fr.OBJECTS.read(reply) == {"b": 2} and fr.LABELS.read(reply) is None
     assert fr.Reader(("closed",), (fr.REPAIRS,)).read(reply) == {"a": 1}
     assert fr.Reader(("closed",), ((),)).read(reply) is None and fr.OBJECTS.read(None) is None
+
+
+def test_lists_that_go_on_are_no_lists(one):
+    from storygauge.functions.neighbours import parse_neighbours
+
+    good = '[{"issue_key": "K", "story_points": 3, "similarity": 0.5}]'
+    tails = ["}", "]", ', "x": 2', '}, {"v": [2]', ', "v": [2]', "}]", "},1]", '}, 1', '},""]', " and more", "[]"]
+    sizes = one([good, f" {good}\n", "[]", None, "", "{}", "7", *[good + t for t in tails]], lambda c: F.size(parse_neighbours(c)))
+    assert sizes == [1, 1] + [0] * (5 + len(tails))
