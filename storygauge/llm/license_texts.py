@@ -78,6 +78,25 @@ NOTICES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+#: Identifier and digest of all words of long licences in their published texts, their own notices and appendices included.
+WORDINGS = [
+    ("Apache-2.0", "ed4d0ee78cc123e955c44f930ce77930"),
+    ("Artistic-1.0-Perl", "74f1e3cda1403e07ae43420f9f67955a"),
+    ("CC0-1.0", "92858801dcc6eb7f6eac73e3a9292b99"),
+    ("GFDL-1.2", "5e9e424acea63aff00acfbc560e4eede"),
+    ("GFDL-1.3", "d783948c24cf04870467d112fc687824"),
+    ("GPL-1.0", "29a20b01260424ac87e15ba1f732eed5"),
+    ("GPL-2.0", "d98147d9641afe1b51fd43c885be8da6"),
+    ("GPL-3.0", "10b78d4f8fa6382782a227289d64d833"),
+    ("LGPL-2.0", "43b4b92842b92066ace36153159f25bc"),
+    ("LGPL-2.1", "9ac02a794773f6176c47c73acadf07dd"),
+    ("LGPL-3.0", "b6e6f6f56aeefd764d26bc5c57a4f81b"),
+    ("MPL-1.1", "63b928d70cda219c2a5f3e4585145dd8"),
+    ("MPL-2.0", "91cb597a6809f99333cad35f0bc6f107"),
+]
+#: Words, of which each of those texts holds one in lower case.
+WORDING_MARKS = ("gnu", "apache", "mozilla", "artistic", "cc0")
+
 #: Spellings that count as one, as words of the canonical text.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sublicence", "sublicense"),

@@ -7,8 +7,9 @@ document holds. The known table is a parameter; the default has a few dozen rows
 
 That form depends on where lines break, since a sentence that wraps before "copyright" loses a line. A text is therefore
 also looked up by all its words, in which only copyright notices ahead of a known text's opening words are left out: from
-a mark with a year, a sign or a name to the end of its paragraph or to the opening. ``digest`` stays that of the canonical
-form.
+a mark with a year, a sign or a name to the end of its paragraph or to the opening. Long licences (Apache, GPL, LGPL, GFDL, MPL,
+Artistic, CC0) are known by the digest of all words of their published texts, however these are wrapped. ``digest`` stays that
+of the canonical form.
 
 A null text counts as empty. An empty canonical form is no licence. Long texts are read whole. Repeated rows and null ids
 are rows like others; an empty table gives an empty result; other columns are not read.
@@ -22,7 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from storygauge.llm.common import let, texts
-from storygauge.llm.license_texts import LICENSES, NOTICES, SPELLINGS
+from storygauge.llm.license_texts import LICENSES, NOTICES, SPELLINGS, WORDING_MARKS, WORDINGS
 
 COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n]*(?:\(c\)|copyright|©)[^\n]*$"
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
@@ -81,6 +82,13 @@ def wording(text: Column, opening: str, marks: list[str]) -> Column:
     return F.when(let(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(m)) for m in marks))), found)
 
 
+def known_wording(text: Column, wordings: list[tuple[str, str]]) -> Column:
+    """The long licence whose words, all of them, are the text's; null for other texts."""
+    names = F.create_map(*[F.lit(x) for name, digest_ in wordings for x in (digest_, name)])
+    marked = let(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(m)) for m in WORDING_MARKS)))
+    return F.when(marked, F.try_element_at(names, F.md5(words(text))))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per document: ``doc_id, digest, license`` of the entire text, and ``notices``, the licences of entire lines.
 
@@ -96,10 +104,11 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     source = texts(docs).withColumn("digest", digest(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) > 0)
     source = source.withColumn("_lines", F.when(F.contains("text", F.lit("\n")), F.transform(lines, digest)).otherwise(F.array("digest")))
+    source = source.withColumn("_long", known_wording(F.col("text"), WORDINGS))
     source = source.withColumn("_wording", wording(F.col("text"), *opening) if opening else F.lit(None).cast("string"))
     joined = source.drop("text").join(F.broadcast(table), "digest", "left").withColumn("_known", listed.scalar())
     license_ = F.when(F.col("digest") != empty, F.col("license"))
-    joined = joined.withColumn("license", F.coalesce(license_, F.try_element_at(worded.scalar(), F.col("_wording"))))
+    joined = joined.withColumn("license", F.coalesce(license_, F.try_element_at(worded.scalar(), F.col("_wording")), "_long"))
     found = let(F.transform("_lines", lambda d: F.try_element_at("_known", d)), lambda x: F.array_sort(F.array_distinct(F.array_compact(x))))
     return joined.select(
         "doc_id", "digest", "license", F.array_join(found, ",").alias("notices"))

@@ -16,8 +16,31 @@ FROM t WINDOW same AS (PARTITION BY body)
 """
 
 
+# --- fixed values, written out here so that a wrong one in the operator shows --------------------------
+LONG_LICENSES = (
+    ("Apache-2.0", "ed4d0ee78cc123e955c44f930ce77930"),
+    ("Artistic-1.0-Perl", "74f1e3cda1403e07ae43420f9f67955a"),
+    ("CC0-1.0", "92858801dcc6eb7f6eac73e3a9292b99"),
+    ("GFDL-1.2", "5e9e424acea63aff00acfbc560e4eede"),
+    ("GFDL-1.3", "d783948c24cf04870467d112fc687824"),
+    ("GPL-1.0", "29a20b01260424ac87e15ba1f732eed5"),
+    ("GPL-2.0", "d98147d9641afe1b51fd43c885be8da6"),
+    ("GPL-3.0", "10b78d4f8fa6382782a227289d64d833"),
+    ("LGPL-2.0", "43b4b92842b92066ace36153159f25bc"),
+    ("LGPL-2.1", "9ac02a794773f6176c47c73acadf07dd"),
+    ("LGPL-3.0", "b6e6f6f56aeefd764d26bc5c57a4f81b"),
+    ("MPL-1.1", "63b928d70cda219c2a5f3e4585145dd8"),
+    ("MPL-2.0", "91cb597a6809f99333cad35f0bc6f107"),
+)
+LONG_MARKS = ("gnu", "apache", "mozilla", "artistic", "cc0")
+# ------------------------------------------------------------------------------------------------------
+
+
 def _canonical(text: str) -> str:
-    kept = rf"regexp_replace({text}, '(?im)^[^\p{{L}}\p{{N}}\n]*(?:\(c\)|copyright|©)[^\n]*$', '', 'g')"
+    return _words(rf"regexp_replace({text}, '(?im)^[^\p{{L}}\p{{N}}\n]*(?:\(c\)|copyright|©)[^\n]*$', '', 'g')")
+
+
+def _words(kept: str) -> str:
     out = rf"(' ' || trim(regexp_replace(lower({kept}), '[^\p{{L}}\p{{N}}]+', '  ', 'g')) || ' ')"
     for spelling, usual in SPELLINGS:
         out = f"replace({out}, ' {spelling} ', ' {usual} ')"
@@ -41,7 +64,8 @@ WITH k AS (
   SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
   FROM (SELECT doc_id, md5({_canonical("line")}) AS digest FROM l WHERE line <> '') JOIN k USING (digest) GROUP BY doc_id
 )
-SELECT d.doc_id, d.digest, CASE WHEN d.digest <> md5('  ') THEN license END AS license, coalesce(notices, '') AS notices
+SELECT d.doc_id, d.digest, coalesce(CASE WHEN d.digest <> md5('  ') THEN license END, CASE WHEN regexp_matches(lower(body), '{"|".join(LONG_MARKS)}')
+  THEN (MAP {{{", ".join(f"'{d}': '{n}'" for n, d in LONG_LICENSES)}}})[md5({_words("body")})] END) AS license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN k USING (digest) LEFT JOIN m ON m.doc_id = d.doc_id
 """
 

@@ -171,6 +171,8 @@ def coarser_values(docs: DataFrame, terms: DataFrame, crowd: int = CROWD) -> Dat
     cut = terms.select("term", F.explode(F.sequence(F.lit(1), F.greatest(F.length("term") - 1, F.lit(1)))).alias("size"))
     cut = cut.filter(F.col("size") < F.length("term")).select("term", "size", F.expr("substring(term, 1, size)").alias("beginning"))
     wanted, count = staged(cut.select("beginning").distinct())
+    if not count:  # every term is removed, or too short to be cut
+        return terms.select("term", F.lit("").alias("coarse")).limit(0)
     held = texts(docs).select(F.explode(terms_in(F.col("text"))).alias("token")).distinct()
     sizes = F.sequence(F.lit(1), F.length("token"))
     beginnings = held.select("token", F.explode(F.transform(sizes, lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("beginning"))

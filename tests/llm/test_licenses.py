@@ -1,4 +1,6 @@
+import os
 import re
+import textwrap
 
 import pytest
 
@@ -71,3 +73,32 @@ def test_wrapping_does_not_matter(spark, messy):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     found = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
     assert [(rows[i], found[i]) for i in found if found[i] != rows[i][0]] == []
+
+
+PUBLISHED = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(PUBLISHED), reason="needs the published texts")
+def test_long_licences_are_known_however_they_are_wrapped(spark, tmp_path):
+    import duckdb
+
+    from compare import difference
+    from storygauge.llm.oracle import ORACLES
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, expected = [], {}
+    for name, file in files.items():
+        text = open(f"{PUBLISHED}/{file}", encoding="utf-8").read()
+        flat = " ".join(text.split())
+        forms = [text, flat, "\n".join(textwrap.wrap(flat, 50)), "\n".join(textwrap.wrap(flat, 97)).upper(), re.sub(r"\bLicense\b", "Licence", text)]
+        for form in [*forms, text[:-400], text + "\nand one more sentence"]:
+            expected[len(rows)] = name if form in forms else None
+            rows.append((len(rows), form))
+    rows += [(len(rows), "a clean text on gnu and apache cattle"), (len(rows) + 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert got == expected | {len(rows) - 2: None, len(rows) - 1: None}
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(licenses.scan(docs).select("doc_id", "digest", "license", "notices"), con, ORACLES["op4_license_scan"]) is None
