@@ -2,7 +2,7 @@
 
 Texts are equal when they are identical after every run of white space is replaced by one blank; a null text counts as
 empty. Null ids come after all others. Rows that repeat both id and text are told apart only by which of them is kept:
-one. An empty table gives an empty result, other columns are carried through untouched or not read at all.
+one. Very long texts are hashed and compared whole. An empty table gives an empty result, other columns are carried through untouched or not read at all.
 """
 
 from __future__ import annotations

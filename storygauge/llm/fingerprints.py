@@ -6,7 +6,8 @@ all bins, so that the search always ends. Four low-order bits of each bin are ke
 fingerprints agree by chance in a sixteenth of the bins, which ``likeness`` corrects for.
 
 Words are separated by white space. A text of fewer than five words is one shingle; a text without words (or null) has
-the fingerprint of an empty shingle. Equal texts have equal fingerprints. Long texts are hashed whole.
+the fingerprint of an empty shingle. Equal texts have equal fingerprints. Long texts are hashed whole. Repeated rows and null ids
+are rows like others, null ids last in the order of ids; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ and brought to the driver as feature counts; each also lends a short snippet, fo
 sample is held out to calibrate the temperature of the scores.
 
 A null text, and one without a letter, is ``und`` with score 0, as is every text where no row is labelled. Long texts are
-read whole. Repeated rows and null ids are rows like others; an empty table gives an empty result.
+read whole. Repeated rows and null ids are rows like others; an empty table gives an empty result. Other columns are not read by
+``identify`` and carried along by ``accepted``, whatever their names.
 """
 
 from __future__ import annotations

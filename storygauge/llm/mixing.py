@@ -8,7 +8,7 @@ the sample's size is fixed in words, to within half of one document.
 
 A null text has size 0 and is never taken; a null source is a source like any other, the last one. Rows that repeat id
 and text share one random number and one decision. Nothing is chosen by order of arrival, so reruns agree. An empty
-table gives an empty mix. Other columns are carried along, whatever their names.
+table gives an empty mix. Words of very long texts are counted whole. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations

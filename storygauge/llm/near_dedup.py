@@ -15,7 +15,8 @@ component of links. No list of pairs is ever made:
   triangle inequality of the Jaccard distance rules out are left aside.
 
 A null text counts as empty; texts without words are one class. Null ids come last. Rows that repeat id and text are
-members like others. An empty table gives an empty result; other columns are carried through or not read.
+members like others. Very long texts are compared whole. An empty table gives an empty result; other columns are carried through
+or not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ clockwise. Rows enter in ring order. With ``slack`` 0 the loads add up to the nu
 at most one apart; with more slack fewer rows move when a shard is added.
 
 Null texts have no bytes; null ids are ids of their own. Rows that repeat id and text share a place and are told apart
-only by their slot. An empty table gives an empty result. Other columns are not read.
+only by their slot. A very long text is one row like any other. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
