@@ -12,27 +12,42 @@ from storygauge.session import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is told; only those without letters go."""
+    """The documents whose language is told; only those without letters go.
+
+    Null and empty texts go with them; repeated rows, null ids and very long texts stay. An empty table stays empty.
+    """
     return lang_id.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of the documents whose texts are equal up to white space."""
+    """One of the documents whose texts are equal up to white space: the one with the smallest id, null ids last, one of repeated rows.
+
+    Null texts are empty ones. Long texts are compared whole. An empty table stays empty.
+    """
     return exact_dedup.without_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each class of near duplicates."""
+    """One of each class of near duplicates: the one with the smallest id, null ids last, one of repeated rows.
+
+    Null texts are empty ones. Long texts are compared whole. An empty table stays empty.
+    """
     return near_dedup.without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the sources' weights take them; a repeated document is a repeated row."""
+    """The documents as often as the sources' weights take them; a repeated document is a repeated row.
+
+    A null source is a source. Texts without words are never taken. An empty table gives an empty mix.
+    """
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their training sequences."""
+    """The pieces of all documents in their training sequences.
+
+    A null text has its end id only. Long texts are cut in pieces. An empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
