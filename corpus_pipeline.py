@@ -55,12 +55,19 @@ STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix)
 ORACLE_SQL = None  # hashes, sampling and token ids are beyond SQL; tests/llm compares the stages with brute force
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder and read again by the next."""
+    """All stages in order, each written to the shared folder and read again by the next; only the last one's rows stay there."""
     docs = documents(spark, sf_dir)
     name_folder(spark)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for place, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{place}")
         docs = spark.read.parquet(f"{folder}/{place}")
+        if place:
+            remove(spark, f"{folder}/{place - 1}")
     return docs
