@@ -126,3 +126,49 @@ def test_no_task_writes_the_whole_file_to_split(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "scratch", lambda s, name: str(tmp_path / name))
     got = queries.QUERIES["tickets_through_split_csv"](spark, str(tmp_path))
     assert got.count() == 200 and len(glob.glob(str(tmp_path / "split-csv" / "*.csv"))) == 4
+
+
+def spread(rng, n, width):
+    """Vectors that are large in few directions."""
+    return unit(np.abs(rng.normal(size=(n, width)) * np.geomspace(1, 0.01, width) + 0.2))
+
+
+@pytest.mark.parametrize("bounds", ["none", "all", "some"])
+def test_vectors_are_screened_before_they_are_compared_in_full(monkeypatch, bounds):
+    """With bounds few pairs are compared in full, and the best rows are those of brute force."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(nn, "SCREEN_ROWS", 512, raising=False)
+    rng = np.random.default_rng(5)
+    queries, vectors = spread(rng, 150, 20), spread(rng, 4_003, 20)
+    vectors[100:140] = vectors[7]  # a crowd that ties
+    queries[0] = vectors[7]
+    sims, keys = np.round(queries @ vectors.T, 12), np.array([f"k{i:04d}" for i in rng.permutation(len(vectors))])
+    floor = {"none": None, "all": np.sort(sims, 1)[:, -4], "some": np.where(np.arange(150) % 5, np.sort(sims, 1)[:, -4], -np.inf)}[bounds]
+    best, compared = nn._Best(queries, 4, floor), []
+    similar = best._similar
+    best._similar = lambda places, rows: (compared.append(len(places) * len(rows)), similar(places, rows))[1]
+    for lo in range(0, len(vectors), 1_500):
+        best.add(pa.array(keys[lo:lo + 1_500]), vectors[lo:lo + 1_500], [], [])
+    for q, rows in best.rows.to_pandas().groupby("q"):
+        assert list(rows["key"]) == [k for _, k in sorted(zip(-sims[q], keys))[:4]]
+    assert sum(compared) < {"none": 0.5, "all": 0.2, "some": 0.5}[bounds] * len(queries) * len(vectors)
+
+
+def test_a_shortened_product_is_an_upper_bound():
+    rng = np.random.default_rng(6)
+    for width in (1, 2, 7, 64):
+        queries, vectors = unit(rng.normal(size=(40, width))), unit(rng.normal(size=(90, width)))
+        screen = nn._Screen(queries)
+        assert (screen.own @ screen.short(vectors).T >= queries @ vectors.T - nn.SCREEN_SLACK).all()
+
+
+def test_a_part_that_gives_bounds_is_searched_with_bounds(spark, data, monkeypatch):
+    """The part of a large corpus that is searched first is itself searched with the bounds of a part of it."""
+    queries, corpus = data
+    given, real = [], nn._scan_against
+    monkeypatch.setattr(nn, "_scan_against", lambda *a, **o: (given.append((a + (None,) * 8)[7] is not None), real(*a, **o))[1])
+    monkeypatch.setattr(nn, "SEED_SHARE", 4)
+    q, c = frames(spark, queries, corpus)
+    assert found(nn.nearest(q, c, 1, seed_rows=8)) == brute_force(queries, corpus, 1)
+    assert given == [False, True, True]
