@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from storygauge.operators.cleaning import with_key
 from storygauge.operators.encode import Encoder
 from storygauge.plans.ingest import ingest
 
+STATE_GROUPS = 4_096  # of keys that share a state; a checkpoint stands and falls with this number
+
 
 def stream_ingest(
     tickets: DataFrame, store: str, encoder: Encoder, checkpoint: str, *, include_title: bool = False,
@@ -36,30 +39,34 @@ def changed_tickets(tickets: DataFrame, include_title: bool = False, order: str
 
     State holds one digest a key: of the text to embed, the title and the points. Of several rows of a key in one batch the last in
     ``order`` counts, or the greatest row where there is none, so what comes out is at most one row a key and batch. Rows with a
-    blank key are left out.
+    blank key are left out. Keys are dealt to ``STATE_GROUPS`` groups by their hash, since a call for every key costs far more than
+    its row; whole numbers beyond 2**53 in a column that has NULLs are rounded, as pandas does.
     """
     keyed = with_key(tickets).withColumn("issue_key", strip(F.col("issue_key")))
     text = embedding_text(F.col("title"), F.col("description"), include_title)
     empty = F.lit("\u0000")
     parts = [text, strip(F.col("title")), strip(F.col("description")), F.col("actual_story_points").cast("string")]
     digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(p, empty) for p in parts]))
-    rows = keyed.withColumn("_digest", digest)
+    group = F.pmod(F.xxhash64("issue_key"), F.lit(STATE_GROUPS)).cast("int")
+    rows = keyed.withColumns({"_digest": digest, "_group": group})
     columns = tickets.columns
     by = ([order] if order else []) + [c for c in columns if c not in ("issue_key", order)]
     fields = T.StructType([keyed.schema[c] for c in columns])
 
-    def pick(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def pick(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = json.loads(state.get[0]) if state.exists else {}
         last = None
-        for frame in frames:  # no more than one row is carried from frame to frame
+        for frame in frames:  # no more than one row a key is carried from frame to frame
             held = frame if last is None else pd.concat([last, frame], ignore_index=True)
-            last = held.sort_values(by, na_position="first", kind="stable").tail(1)
-        new = last["_digest"].iloc[0]
-        if not state.exists or state.get[0] != new:
-            state.update((new,))
-            yield last[columns]
-
-    return rows.groupBy("issue_key").applyInPandasWithState(
-        pick, outputStructType=fields, stateStructType="digest string", outputMode="update", timeoutConf=GroupStateTimeout.NoTimeout)
+            last = held.sort_values(by, na_position="first", kind="stable").drop_duplicates("issue_key", keep="last")
+        digests = dict(zip(last["issue_key"], last["_digest"]))
+        changed = [known.get(key) != new for key, new in digests.items()]
+        if any(changed):
+            state.update((json.dumps({**known, **digests}),))
+            yield last.loc[changed, columns]
+
+    return rows.groupBy("_group").applyInPandasWithState(
+        pick, outputStructType=fields, stateStructType="digests string", outputMode="update", timeoutConf=GroupStateTimeout.NoTimeout)
 
 
 def stream_upserts(

@@ -70,3 +70,27 @@ def test_the_last_row_of_a_key_counts_and_going_back_is_a_change(spark, tmp_path
     before = read_vectors(spark, store).select(F.max("created_at")).head()[0]
     stream_upserts(spark.readStream.schema(TICKETS).parquet(source), store, encoder, str(tmp_path / "cp"), buckets=2).awaitTermination()
     assert read_vectors(spark, store).select(F.max("created_at")).head()[0] == before  # nothing new, nothing written
+
+
+def test_keys_of_one_group_keep_their_own_digests(spark, tmp_path, monkeypatch):
+    """The state is asked once a group of keys, not once a key, and tells every key's change apart."""
+    from storygauge.streaming import ingest as si
+
+    monkeypatch.setattr(si, "STATE_GROUPS", 3, raising=False)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    first = [(f'K"{i}', f"t{i}", f"text {i}", None if i % 7 == 0 else i) for i in range(60)] * 2
+    then = [(k, t, x, 99 if k.endswith("5") else p) for k, t, x, p in first[:50]] + [('K"5', "t5", "text 5", 3), ("new", None, None, None)]
+    got = []
+    for rows in (first, then):
+        tickets(spark, rows).write.mode("append").parquet(source)
+        changed = si.changed_tickets(spark.readStream.schema(TICKETS).parquet(source))
+        folder = f"{out}-{len(got)}"
+        write = changed.writeStream.option("checkpointLocation", str(tmp_path / "cp")).outputMode("update")
+        write.trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("append").parquet(folder)).start().awaitTermination()
+        found = spark.read.parquet(folder)
+        got.append(sorted((r.issue_key, r.title or "", r.description or "", r.actual_story_points or -1) for r in found.collect()))
+    state = spark.read.format("statestore").load(str(tmp_path / "cp"))
+    assert state.count() == 3
+    shown = lambda rows: sorted({(k, t or "", x or "", p or -1) for k, t, x, p in rows})
+    assert got[0] == shown(first)
+    assert got[1] == shown([r for r in then[:50] if r[0].endswith("5")] + [then[-1]])
