@@ -172,3 +172,19 @@ def test_a_part_that_gives_bounds_is_searched_with_bounds(spark, data, monkeypat
     q, c = frames(spark, queries, corpus)
     assert found(nn.nearest(q, c, 1, seed_rows=8)) == brute_force(queries, corpus, 1)
     assert given == [False, True, True]
+
+
+def test_a_lookup_in_all_cells_copies_no_query_for_each_cell(spark, monkeypatch):
+    from storygauge.operators.encode import CallableEncoder
+    from storygauge.operators.ingest import embed_tickets
+    from storygauge.plans import lookup
+
+    encoder = CallableEncoder("len-2", 2, lambda: (lambda texts: [[float(len(t)), float(t.count("a")) + 1] for t in texts]))
+    rows = [(f"C-{i}", "P", "Bug", f"t{i}", "a" * (i % 13) + "b" * (i % 7 + 1), i % 8) for i in range(60)]
+    tickets = spark.createDataFrame(rows, TICKETS)
+    vectors = embed_tickets(tickets, encoder)
+    index = nn.CellIndex.fit(vectors, 4)
+    monkeypatch.setattr(lookup, "approximate_neighbours", lambda *a, **o: pytest.fail("searched by cells"))
+    columns = ["query_key", "rank", "issue_key", "similarity", "title"]
+    whole = lookup.find_similar(tickets, vectors, encoder, 4, index=index, probes=4).select(columns)
+    assert sorted(whole.collect()) == sorted(lookup.find_similar(tickets, vectors, encoder, 4).select(columns).collect())
