@@ -78,6 +78,15 @@ def test_best_rows_a_task_holds_are_bounded(spark, data, monkeypatch):
     assert found(nn.nearest(q, c, 30, seed_rows=40)) == brute_force(*data, 30)  # three scans, each with floors of its own
 
 
+def test_queries_of_one_scan_are_bounded_however_many_there_are(spark, data, monkeypatch):
+    monkeypatch.setattr(nn, "SCAN_QUERIES", 25, raising=False)
+    sizes, real = [], nn._scan_against
+    monkeypatch.setattr(nn, "_scan_against", lambda table, *a, **b: (sizes.append(table.num_rows), real(table, *a, **b))[1])
+    q, c = frames(spark, *data)
+    assert found(nn.nearest(q, c, 7)) == brute_force(*data, 7)
+    assert sum(sizes) == 60 and len(sizes) == 3 and max(sizes) < 60  # as many scans as the bound asks for, each with a part by key hash
+
+
 def test_a_small_bound_does_not_scan_the_corpus_again_and_again(spark, data, monkeypatch):
     scans, real = [], nn._scan_against
     monkeypatch.setattr(nn, "_scan_against", lambda *a, **b: (scans.append(1), real(*a, **b))[1])
